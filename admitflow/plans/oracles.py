@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import limiter_queries as LQ
+from . import request_queries as RQ
 from . import sqlviews as V
 from .limiter_sql import sliding_counter_sql, sliding_log_sql, token_bucket_sql
 
@@ -17,9 +18,11 @@ def _tb() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    o = {
         "token_bucket": _tb(),
         "sliding_window_log": sliding_log_sql(KEY, LQ.LIMIT, LQ.WINDOW_US),
         "swc_grid": sliding_counter_sql(KEY, LQ.LIMIT, LQ.WINDOW_US, anchored=False),
         "swc_anchored": sliding_counter_sql(KEY, LQ.LIMIT, LQ.WINDOW_US, anchored=True),
     }
+    o.update(RQ.ORACLES)
+    return o

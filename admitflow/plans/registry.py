@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import limiter_queries as LQ
+from . import request_queries as RQ
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    q = {
         "token_bucket": LQ.token_bucket,
         "sliding_window_log": LQ.sliding_window_log,
         "swc_grid": LQ.swc_grid,
         "swc_anchored": LQ.swc_anchored,
     }
+    q.update(RQ.QUERIES)
+    return q

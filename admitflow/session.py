@@ -20,6 +20,7 @@ def get_session(master: str | None = None, app: str = "admitflow",
         b = b.master(master)
     parts = shuffle_partitions or int(os.environ.get("ADMITFLOW_SHUFFLE_PARTITIONS", "8"))
     b = (b.config("spark.ui.enabled", "false")
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.shuffle.partitions", str(parts))
           .config("spark.sql.adaptive.enabled", "true")
