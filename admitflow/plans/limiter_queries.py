@@ -42,3 +42,15 @@ def swc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def swc_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4: sliding window counter anchored at each key's first request."""
     return _limited(spark, sf_dir, "sliding_window_counter", "first_request")
+
+
+QUERIES = {
+    "token_bucket": token_bucket,
+    "sliding_window_log": sliding_window_log,
+    "swc_grid": swc_grid,
+    "swc_anchored": swc_anchored,
+}
+
+from .oracles import limiter_oracles  # noqa: E402
+
+ORACLES = limiter_oracles()

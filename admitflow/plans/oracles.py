@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from . import limiter_queries as LQ
-from . import request_queries as RQ
+from .limiter_queries import LIMIT, WINDOW_US
 from . import sqlviews as V
 from .limiter_sql import sliding_counter_sql, sliding_log_sql, token_bucket_sql
 
@@ -11,18 +10,16 @@ KEY = V.limit_key("subject", "remote_addr")
 
 
 def _tb() -> str:
-    inner = token_bucket_sql(KEY, LQ.LIMIT, LQ.WINDOW_US)
+    inner = token_bucket_sql(KEY, LIMIT, WINDOW_US)
     return (f"SELECT *, {V.seconds_ceil('reset_after_us')} AS x_ratelimit_reset, "
             f"CASE WHEN allowed THEN NULL ELSE greatest(1, {V.seconds_ceil('retry_after_us')}) END AS retry_after_s "
             f"FROM ({inner}) t")
 
 
-def oracle_sql() -> dict[str, str]:
-    o = {
+def limiter_oracles() -> dict[str, str]:
+    return {
         "token_bucket": _tb(),
-        "sliding_window_log": sliding_log_sql(KEY, LQ.LIMIT, LQ.WINDOW_US),
-        "swc_grid": sliding_counter_sql(KEY, LQ.LIMIT, LQ.WINDOW_US, anchored=False),
-        "swc_anchored": sliding_counter_sql(KEY, LQ.LIMIT, LQ.WINDOW_US, anchored=True),
+        "sliding_window_log": sliding_log_sql(KEY, LIMIT, WINDOW_US),
+        "swc_grid": sliding_counter_sql(KEY, LIMIT, WINDOW_US, anchored=False),
+        "swc_anchored": sliding_counter_sql(KEY, LIMIT, WINDOW_US, anchored=True),
     }
-    o.update(RQ.ORACLES)
-    return o

@@ -1,4 +1,5 @@
-"""The registry of queries: name -> callable(spark, sf_dir) -> DataFrame."""
+"""The registry of queries: name -> callable(spark, sf_dir) -> DataFrame,
+and the DuckDB oracle of each query SQL can express."""
 
 from __future__ import annotations
 
@@ -6,16 +7,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import commerce_queries as CQ
 from . import limiter_queries as LQ
 from . import request_queries as RQ
 
+MODULES = (LQ, RQ, CQ)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    q = {
-        "token_bucket": LQ.token_bucket,
-        "sliding_window_log": LQ.sliding_window_log,
-        "swc_grid": LQ.swc_grid,
-        "swc_anchored": LQ.swc_anchored,
-    }
-    q.update(RQ.QUERIES)
+    q: dict = {}
+    for m in MODULES:
+        q.update(m.QUERIES)
     return q
+
+
+def oracle_sql() -> dict[str, str]:
+    o: dict = {}
+    for m in MODULES:
+        o.update(m.ORACLES)
+    return o
