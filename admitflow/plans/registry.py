@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import commerce_queries as CQ
 from . import limiter_queries as LQ
 from . import request_queries as RQ
+from . import saga_queries as SQ
 
-MODULES = (LQ, RQ, CQ)
+MODULES = (LQ, RQ, CQ, SQ)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
