@@ -57,10 +57,10 @@ def segment_ids(df: DataFrame, key: str, time_col: str, width: int,
     return with_b.join(runs, [key, "_b"], "inner").drop("_b")
 
 
-def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str,
+def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
                make_stepper: StepperFactory, out_fields: list[T.StructField],
                anchor_col: str | None = None, split_width: int | None = None,
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, extra_inputs: list[str] | None = None) -> DataFrame:
     """Run ``make_stepper``'s fold over each key in (time, seq) order.
 
     Returns ``df`` with ``out_fields`` appended (one output row per input row).
@@ -72,8 +72,9 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str,
         df = df.withColumn("_seg", F.lit(0))
         part_cols = [key]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = [seq_col] if isinstance(seq_col, str) else list(seq_col)
     ordered = (df.repartition(n, *part_cols)
-                 .sortWithinPartitions(key, "_seg", time_col, seq_col))
+                 .sortWithinPartitions(key, "_seg", time_col, *ties))
     in_schema = ordered.schema
     out_schema = T.StructType(list(in_schema.fields) + list(out_fields))
     names = [f.name for f in out_fields]
@@ -82,6 +83,7 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str,
     seg_i = in_schema.fieldNames().index("_seg")
     t_i = in_schema.fieldNames().index(time_col)
     a_i = in_schema.fieldNames().index(anchor_col) if anchor_col else None
+    extra_i = [in_schema.fieldNames().index(c) for c in (extra_inputs or [])]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = make_stepper()
@@ -95,7 +97,11 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str,
             times = b.column(t_i).to_numpy(zero_copy_only=False).tolist()
             anchors = (b.column(a_i).to_numpy(zero_copy_only=False).tolist()
                        if a_i is not None else None)
-            out = run(ident, times, anchors)
+            if extra_i:
+                extras = [b.column(i).to_pylist() for i in extra_i]
+                out = run(ident, times, anchors, *extras)
+            else:
+                out = run(ident, times, anchors)
             arrays = list(b.columns) + [pa.array(out[nm], type=ty) for nm, ty in zip(names, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=out_schema.fieldNames())
 

@@ -11,8 +11,9 @@ from . import commerce_queries as CQ
 from . import limiter_queries as LQ
 from . import request_queries as RQ
 from . import saga_queries as SQ
+from . import ledger_queries as GQ
 
-MODULES = (LQ, RQ, CQ, SQ)
+MODULES = (LQ, RQ, CQ, SQ, GQ)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -258,3 +258,34 @@ def consumer_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (j.groupBy(group.alias("consumer_group"), "topic", "partition")
              .agg(F.count(F.lit(1)).alias("end_offset"),
                   F.sum(F.when(processed, 1).otherwise(0)).cast("bigint").alias("committed")))
+
+
+def ledger_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog commands derived from order lines, per product:
+
+    n=0 reserve at ship time; n=1 commit (order F) or release (order P)
+    30 days later; n=2 the reserve redelivered a day after that (orders
+    with key % 7 = 0, settled); n=3 restock of the line's quantity 10 days
+    after shipping (orders with key % 10 = 3). Position within a product:
+    (t_us, n, order_id, line_no, supp_id, quantity, extended_price), which
+    has no ties on the driver data.
+    """
+    li = order_lines(spark, sf_dir)
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"),
+                                                   F.col("o_orderstatus").alias("_st"))
+    j = li.join(o, "order_id", "left")
+    n = F.col("n")
+    settled = F.col("_st").isin("F", "P")
+    keep = ((n == 0) | ((n == 1) & settled) | ((n == 2) & settled & (F.col("order_id") % 7 == 0))
+            | ((n == 3) & (F.col("order_id") % 10 == 3)))
+    base = j.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(keep)
+    op = (F.when(n.isin(0, 2), "reserve").when((n == 1) & (F.col("_st") == "F"), "commit")
+           .when(n == 1, "release").otherwise("add_stock"))
+    t = (F.col("ship_us") + F.when(n == 1, 30 * DAY_US).when(n == 2, 31 * DAY_US)
+         .when(n == 3, 10 * DAY_US).otherwise(0))
+    return base.select("product_id", t.alias("t_us"), n.cast("int").alias("n"), "order_id", "line_no",
+                       "supp_id", F.col("quantity").cast("long").alias("quantity"), "extended_price",
+                       op.alias("op"))
+
+
+LEDGER_ORDER = ["n", "order_id", "line_no", "supp_id", "quantity", "extended_price"]
