@@ -12,8 +12,9 @@ from . import limiter_queries as LQ
 from . import request_queries as RQ
 from . import saga_queries as SQ
 from . import ledger_queries as GQ
+from . import trace_queries as TQ
 
-MODULES = (LQ, RQ, CQ, SQ, GQ)
+MODULES = (LQ, RQ, CQ, SQ, GQ, TQ)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
