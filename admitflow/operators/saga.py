@@ -182,3 +182,33 @@ def stuck_pending(resolved: DataFrame, holds: DataFrame, now_us: Column, max_age
     return p.join(held, "order_id", "left").select(
         "order_id", ((F.col("_now") - F.col("created_us")) / 86_400_000_000).cast("bigint").alias("age_days"),
         F.coalesce("held_units", F.lit(0)).cast("bigint").alias("held_units"))
+
+
+def compensate(cancelled: DataFrame, holds: DataFrame, release_fails: Column) -> DataFrame:
+    """Release every hold of a cancelled order, in product order, then
+    cancel. A failing release stops the pass and leaves the order pending;
+    the redelivered event retries (release is idempotent), so an outage
+    that clears costs one more attempt. Per order: items, units released,
+    releases done on the first attempt, attempts, status after the first
+    attempt and in the end. Orders have at most 50 items, so the
+    per-order window below is bounded."""
+    from pyspark.sql import Window
+    c = cancelled.select("order_id").join(holds, "order_id").withColumn("_fails", release_fails)
+    w = Window.partitionBy("order_id")
+    c = c.withColumn("_ff", F.min(F.when(F.col("_fails"), F.col("product_id"))).over(w))
+    before = F.col("_ff").isNull() | (F.col("product_id") < F.col("_ff"))
+    return c.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum("quantity").cast("bigint").alias("released_units"),
+        F.sum(F.when(before, 1).otherwise(0)).cast("bigint").alias("released_first_attempt"),
+        F.when(F.max("_ff").isNull(), 1).otherwise(2).alias("attempts"),
+        F.when(F.max("_ff").isNull(), "cancelled").otherwise("pending").alias("status_after_first"),
+        F.lit("cancelled").alias("status"))
+
+
+def confirm(confirmed: DataFrame, holds: DataFrame) -> DataFrame:
+    """Commit every hold of a confirmed order, then confirm it."""
+    c = confirmed.select("order_id").join(holds, "order_id")
+    return c.groupBy("order_id").agg(F.count(F.lit(1)).alias("items"),
+                                     F.sum("quantity").cast("bigint").alias("committed_units"),
+                                     F.lit("confirmed").alias("status"))

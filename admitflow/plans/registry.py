@@ -13,8 +13,9 @@ from . import request_queries as RQ
 from . import saga_queries as SQ
 from . import ledger_queries as GQ
 from . import trace_queries as TQ
+from . import source_queries as XQ
 
-MODULES = (LQ, RQ, CQ, SQ, GQ, TQ)
+MODULES = (LQ, RQ, CQ, SQ, GQ, TQ, XQ)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -81,3 +81,25 @@ def write_events(records: DataFrame, *, bootstrap: str | None = None, path: str
     if path is None:
         raise ValueError("write_events needs bootstrap servers or a path")
     records.write.mode(mode).partitionBy("topic").parquet(path)
+
+
+ENVELOPE_FIELDS = "id STRING, type STRING, correlation_id STRING"
+
+
+def records_from_deliveries(deliveries: DataFrame) -> DataFrame:
+    """Kafka-shaped records (topic, partition, offset, key, value) of a
+    delivery table; the value embeds the raw payload JSON."""
+    value = F.concat(F.lit('{"id":"'), F.col("envelope_id"), F.lit('","type":"'), F.col("type"),
+                     F.lit('","correlation_id":"'), F.col("correlation_id"), F.lit('","payload":'),
+                     F.col("payload"), F.lit("}"))
+    return deliveries.select("topic", "partition", "offset", "key", value.alias("value"))
+
+
+def parse_envelopes(records: DataFrame) -> DataFrame:
+    """Decode the envelope of each record; the payload stays raw JSON text
+    (decoded per type later, see :mod:`admitflow.functions.jsonx`)."""
+    env = F.from_json(F.col("value"), ENVELOPE_FIELDS)
+    return records.select("*", env.alias("_e"),
+                          F.get_json_object("value", "$.payload").alias("payload")).select(
+        *records.columns, F.col("_e.id").alias("id"), F.col("_e.type").alias("type"),
+        F.col("_e.correlation_id").alias("correlation_id"), "payload")
