@@ -26,40 +26,50 @@ EVENT_FIELDS = {
 _KIND = {"string": ["STRING"], "int": ["BIGINT", "INT", "SMALLINT", "TINYINT"], "array": None}
 
 
-def _field_ok(v: Column, field: str, kind: str) -> Column:
-    """Missing, null or of the right kind; the type is referenced once so
-    the check stays small after projections are collapsed."""
-    t = F.coalesce(F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant")), F.lit("VOID"))
+ALL_FIELDS = sorted({f for fs in EVENT_FIELDS.values() for f in fs})
+BAD_RECORD = "_bad_record"
+
+
+def payload_struct(payload: Column) -> Column:
+    """Parse a payload once: every known field as a VARIANT (so its JSON
+    kind is still visible) plus the raw text when the payload is not a
+    JSON object. NULL for an empty payload."""
+    schema = ", ".join(f"{f} VARIANT" for f in ALL_FIELDS) + f", {BAD_RECORD} STRING"
+    return F.from_json(payload, schema, {"columnNameOfCorruptRecord": BAD_RECORD, "mode": "PERMISSIVE"})
+
+
+def _field_ok(p: Column, field: str, kind: str) -> Column:
+    """Missing, null or of the right kind (one type lookup per field)."""
+    t = F.coalesce(F.schema_of_variant(p.getField(field)), F.lit("VOID"))
     if kind == "array":
         return F.substring_index(t, "<", 1).isin("VOID", "ARRAY")
     return t.isin("VOID", *_KIND[kind])
 
 
-def decode_event(type_col: Column, v: Column, expected: Column | str) -> tuple[Column, Column]:
-    """(decodable, reason). ``v`` is the payload parsed once with
-    ``try_parse_json``. The envelope type must equal ``expected`` before
-    the payload is read; then it must be a JSON object whose known fields
-    have the right JSON kinds (missing or null fields decode to zero
-    values, unknown fields are allowed)."""
+def decode_event(type_col: Column, p: Column, expected: Column | str) -> tuple[Column, Column]:
+    """(decodable, reason). ``p`` is :func:`payload_struct` of the
+    payload. The envelope type must equal ``expected`` before the payload
+    is read; then it must be a JSON object whose known fields have the
+    right JSON kinds (missing or null fields decode to zero values,
+    unknown fields are allowed)."""
     exp = F.lit(expected) if isinstance(expected, str) else expected
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
     checks = None
     for etype, fields in EVENT_FIELDS.items():
         ok = F.lit(True)
         for f, kind in fields.items():
-            ok = ok & _field_ok(v, f, kind)
+            ok = ok & _field_ok(p, f, kind)
         checks = F.when(type_col == etype, ok) if checks is None else checks.when(type_col == etype, ok)
     checks = checks.otherwise(F.lit(False))
     reason = (F.when(type_col != exp, F.lit("unexpected event type"))
-               .when(v.isNull() | ~F.coalesce(is_obj, F.lit(False)), F.lit("payload is not a JSON object"))
+               .when(p.isNull() | p.getField(BAD_RECORD).isNotNull(), F.lit("payload is not a JSON object"))
                .when(~checks, F.lit("payload field has the wrong type")))
     return reason.isNull(), reason
 
 
-def event_field(v: Column, field: str, as_type: str = "string") -> Column:
+def event_field(p: Column, field: str, as_type: str = "string") -> Column:
     """A field of a parsed payload, NULL when absent or not castable; only
     meaningful on rows ``decode_event`` accepted."""
-    return F.try_variant_get(v, f"$.{field}", as_type)
+    return F.try_variant_get(p.getField(field), "$", as_type)
 
 
 def strict_decode(body: Column, allowed: list[str]) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import decode_event, event_field
+from ..functions.jsonx import decode_event, event_field, payload_struct
 from ..functions.scalars import charge_outcome, normalize_currency
 
 PAYMENT_TOPICS = ("payment.succeeded", "payment.failed")
@@ -32,7 +32,7 @@ def expected_type(topic: Column) -> Column:
 def decode_deliveries(events: DataFrame) -> DataFrame:
     """P12 over a delivery log: ``decodable, decode_error, order_id`` plus
     the typed payload fields used downstream (NULL when undecodable)."""
-    parsed = events.withColumn("_v", F.try_parse_json("payload"))
+    parsed = events.withColumn("_v", payload_struct(F.col("payload")))
     _, why = decode_event(F.col("type"), F.col("_v"), expected_type(F.col("topic")))
     # decode_error is the one large expression; everything else refers to
     # it once, so collapsing projections never duplicates it.
@@ -53,16 +53,25 @@ def _has_id(c: str = "order_id") -> Column:
 def charge_once(decoded: DataFrame, declined: Column) -> DataFrame:
     """E1 + P20: exactly one payment row per order: the first decodable
     OrderCreated with an order id; its outcome is final (a decline is not
-    retried). ``declined`` is the charge rule as a Column predicate."""
-    oc = decoded.where((F.col("topic") == "order.created") & F.col("decodable") & _has_id())
-    first = oc.groupBy("order_id").agg(F.min("seq").alias("charged_seq"))
-    winners = oc.join(first, (oc.order_id == first.order_id) & (oc.seq == first.charged_seq)).drop(first.order_id)
+    retried). ``declined`` is the charge rule as a Column predicate over
+    ``amount_cents``. One ``min_by`` aggregate per order: partial
+    aggregation keeps a redelivery storm on one order cheap."""
+    # Filter on the topic only (it reaches the scan); decodability is a
+    # condition inside the aggregate so each payload is parsed once.
+    oc = decoded.where(F.col("topic") == "order.created")
+    ok = F.col("decodable") & _has_id()
+    first = (oc.groupBy("order_id")
+               .agg(F.min_by(F.struct("seq", "user_id", "amount_cents", "currency_raw"),
+                             F.when(ok, F.col("seq"))).alias("_w"))
+               .where(F.col("_w").isNotNull()))
+    w = first.select("order_id", F.col("_w.seq").alias("charged_seq"), F.col("_w.user_id").alias("user_id"),
+                     F.coalesce(F.col("_w.amount_cents"), F.lit(0)).cast("bigint").alias("amount_cents"),
+                     F.col("_w.currency_raw").alias("currency_raw"))
     status, reason = charge_outcome(declined)
-    return winners.select(
+    return w.select(
         "order_id",
         F.concat(F.lit("pay-"), F.col("order_id")).alias("payment_id"),
-        "user_id",
-        F.coalesce("amount_cents", F.lit(0)).cast("bigint").alias("amount_cents"),
+        "user_id", "amount_cents",
         normalize_currency("currency_raw").alias("currency"),
         status.alias("status"),
         reason.alias("failure_reason"),
@@ -81,22 +90,22 @@ def republish_outcome(decoded: DataFrame, payments: DataFrame) -> DataFrame:
                     (F.col("seq") == F.col("charged_seq")).alias("fresh_charge"))
 
 
-def first_terminal(decoded: DataFrame, orders: DataFrame) -> DataFrame:
-    """The first decodable payment event of each known order (J3 drops the
-    rest as unknown)."""
-    known = orders.select(F.col("order_id").cast("string").alias("order_id"))
-    pay = decoded.where(F.col("topic").isin(*PAYMENT_TOPICS) & F.col("decodable") & _has_id())
-    pay = pay.join(known, "order_id", "left_semi")
+def first_terminal(decoded: DataFrame) -> DataFrame:
+    """The first decodable payment event per order id (known or not; the
+    callers join to the orders they know)."""
+    pay = decoded.where(F.col("topic").isin(*PAYMENT_TOPICS))
+    ok = F.col("decodable") & _has_id()
     return pay.groupBy("order_id").agg(
-        F.min("seq").alias("decided_seq"),
-        F.min_by("type", "seq").alias("decided_type"),
-        F.min_by("reason", "seq").alias("decided_reason"))
+        F.min_by(F.struct("seq", "type", "reason"), F.when(ok, F.col("seq"))).alias("_f")).where(
+        F.col("_f").isNotNull()).select(
+        "order_id", F.col("_f.seq").alias("decided_seq"), F.col("_f.type").alias("decided_type"),
+        F.col("_f.reason").alias("decided_reason"))
 
 
 def resolve_orders(decoded: DataFrame, orders: DataFrame) -> DataFrame:
     """E3 + E5: pending until the first terminal event, which wins; a
     cancellation's reason is the payload's, or ``payment failed``."""
-    ft = first_terminal(decoded, orders)
+    ft = first_terminal(decoded)
     o = orders.select(F.col("order_id").cast("string").alias("order_id"), "user_id", "created_us")
     j = o.join(ft, "order_id", "left")
     status = (F.when(F.col("decided_type") == "PaymentSucceeded", "confirmed")
@@ -107,14 +116,20 @@ def resolve_orders(decoded: DataFrame, orders: DataFrame) -> DataFrame:
                     reason.alias("failure_reason"), "decided_seq")
 
 
-def delivery_effects(decoded: DataFrame, orders: DataFrame, payments: DataFrame) -> DataFrame:
+def delivery_effects(decoded: DataFrame, orders: DataFrame) -> DataFrame:
     """What each delivery did: applied, duplicate, late_ignored,
-    unknown_order, undecodable or no_order_id."""
-    ft = first_terminal(decoded, orders)
-    known = orders.select(F.col("order_id").cast("string").alias("order_id"), F.lit(True).alias("_known"))
-    p = payments.select("order_id", "charged_seq")
-    d = (decoded.join(ft, "order_id", "left").join(known, "order_id", "left").join(p, "order_id", "left"))
+    unknown_order, undecodable or no_order_id. One summary aggregate per
+    order (first payment event, first OrderCreated) is joined back to the
+    deliveries together with the set of known orders."""
     is_pay = F.col("topic").isin(*PAYMENT_TOPICS)
+    ok = F.col("decodable") & _has_id()
+    summary = (decoded.groupBy("order_id")
+                      .agg(F.min_by(F.struct("seq", "type"), F.when(ok & is_pay, F.col("seq"))).alias("_p"),
+                           F.min(F.when(ok & ~is_pay, F.col("seq"))).alias("charged_seq"))
+                      .select("order_id", F.col("_p.seq").alias("decided_seq"), F.col("_p.type").alias("decided_type"),
+                              "charged_seq"))
+    known = orders.select(F.col("order_id").cast("string").alias("order_id"), F.lit(True).alias("_known"))
+    d = decoded.join(summary, "order_id", "left").join(known, "order_id", "left")
     effect = (F.when(~F.col("decodable"), "undecodable")
                .when(~_has_id(), "no_order_id")
                .when(is_pay & F.col("_known").isNull(), "unknown_order")
@@ -168,7 +183,8 @@ def saga_pairs(decoded: DataFrame, orders: DataFrame) -> DataFrame:
     means still pending."""
     oc = (decoded.where((F.col("topic") == "order.created") & F.col("decodable") & _has_id())
                  .groupBy("order_id").agg(F.min("seq").alias("created_seq")))
-    ft = first_terminal(decoded, orders)
+    known = orders.select(F.col("order_id").cast("string").alias("order_id"))
+    ft = first_terminal(decoded).join(known, "order_id", "left_semi")
     j = oc.join(ft, "order_id", "left")
     return j.select("order_id", "created_seq", F.col("decided_type").alias("outcome_type"),
                     F.col("decided_seq").alias("outcome_seq"), F.col("decided_type").isNull().alias("pending"))

@@ -37,19 +37,26 @@ def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_RO
                                .withColumn("st", F.lit("u")).withColumn("decided_round", F.lit(None).cast("int")))
     w = Window.partitionBy("product_id").orderBy("order_id").rowsBetween(Window.unboundedPreceding, -1)
     for rnd in range(1, max_rounds + 1):
-        j = merged.join(status.select("order_id", "st"), "order_id")
+        # Only products that still carry an undecided order need new sums;
+        # decided orders keep their status, so each round works on the
+        # shrinking slice of the lines those products hold.
+        undecided = status.where(F.col("st") == "u").select("order_id")
+        active = merged.join(undecided, "order_id", "left_semi").select("product_id").distinct()
+        j = (merged.join(active, "product_id", "left_semi")
+                   .join(status.select("order_id", "st"), "order_id"))
         hi = F.coalesce(F.sum(F.when(F.col("st") != "n", F.col("q"))).over(w), F.lit(0))
         lo = F.coalesce(F.sum(F.when(F.col("st") == "y", F.col("q"))).over(w), F.lit(0))
         lines_r = (j.withColumn("fits", F.col("stock").isNotNull() & (hi + F.col("q") <= F.col("stock")))
-                    .withColumn("fails", F.col("stock").isNull() | (lo + F.col("q") > F.col("stock"))))
+                    .withColumn("fails", F.col("stock").isNull() | (lo + F.col("q") > F.col("stock")))
+                    .where(F.col("st") == "u"))
         per = lines_r.groupBy("order_id").agg(F.bool_and("fits").alias("all_fit"),
                                               F.bool_or("fails").alias("any_fail"))
-        nxt = status.join(per, "order_id").select(
+        decided = (per.where(F.col("all_fit") | F.col("any_fail"))
+                      .select("order_id", F.when(F.col("any_fail"), "n").otherwise("y").alias("_new")))
+        nxt = status.join(decided, "order_id", "left").select(
             "order_id",
-            F.when(F.col("st") != "u", F.col("st")).when(F.col("any_fail"), "n")
-             .when(F.col("all_fit"), "y").otherwise("u").alias("st"),
-            F.when(F.col("st") != "u", F.col("decided_round"))
-             .when(F.col("any_fail") | F.col("all_fit"), F.lit(rnd)).alias("decided_round"))
+            F.coalesce(F.col("_new"), F.col("st")).alias("st"),
+            F.when(F.col("_new").isNotNull(), F.lit(rnd)).otherwise(F.col("decided_round")).alias("decided_round"))
         status = cut_lineage(nxt)
         if status.where(F.col("st") == "u").isEmpty():
             return status.select("order_id", (F.col("st") == "y").alias("admitted"), "decided_round")

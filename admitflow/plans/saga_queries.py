@@ -54,7 +54,7 @@ def q_resolve_orders(spark, sf):
 
 
 def _effects(spark, sf):
-    return SG.delivery_effects(_decoded(spark, sf), VW.orders(spark, sf), _payments(spark, sf))
+    return SG.delivery_effects(_decoded(spark, sf), VW.orders(spark, sf))
 
 
 def q_delivery_effects(spark, sf):
