@@ -51,9 +51,9 @@ def _ceil_div(a: int, b: int) -> int:
 
 
 def token_bucket_stepper(C: int, W: int):
-    def make():
+    def make(cur=None):
         full = C * W
-        cur = [None, 0, 0]  # ident, level, last
+        cur = cur if cur is not None else [None, 0, 0]  # ident, level, last
 
         def run(ident, times, anchors):
             n = len(times)
@@ -83,13 +83,14 @@ def token_bucket_stepper(C: int, W: int):
             cur[0], cur[1], cur[2] = k, tok, last
             return {"allowed": allowed, "limit": [C] * n, "remaining": remaining,
                     "reset_after_us": reset, "retry_after_us": retry, "state_entries": [1] * n}
+        run.cur = cur
         return run
     return make
 
 
 def sliding_log_stepper(C: int, W: int):
-    def make():
-        cur = [None, deque()]
+    def make(cur=None):
+        cur = cur if cur is not None else [None, deque()]
 
         def run(ident, times, anchors):
             n = len(times)
@@ -119,14 +120,15 @@ def sliding_log_stepper(C: int, W: int):
             cur[0], cur[1] = k, log
             return {"allowed": allowed, "limit": [C] * n, "remaining": remaining,
                     "reset_after_us": reset, "retry_after_us": retry, "state_entries": entries}
+        run.cur = cur
         return run
     return make
 
 
 def sliding_counter_stepper(C: int, W: int):
-    def make():
+    def make(cur=None):
         full = C * W
-        cur = [None, 0, 0, 0]  # ident, window index, curr, prev
+        cur = cur if cur is not None else [None, 0, 0, 0]  # ident, window index, curr, prev
 
         def run(ident, times, anchors):
             n = len(times)
@@ -168,6 +170,7 @@ def sliding_counter_stepper(C: int, W: int):
             cur[0], cur[1], cur[2], cur[3] = k, win, curr, prev
             return {"allowed": allowed, "limit": [C] * n, "remaining": remaining,
                     "reset_after_us": reset, "retry_after_us": retry, "state_entries": [1] * n}
+        run.cur = cur
         return run
     return make
 
