@@ -12,8 +12,9 @@ or a partition: memory is O(1) per key (O(limit) for the sliding log) and
 the sort spills. Input columns pass through untouched as Arrow arrays;
 only the key, time and the output columns cross into Python lists.
 
-Hot keys: a key is split into segments at points where its state provably
-resets, so segments fold in parallel with the same result. For every
+Hot keys (more than ``HOT_KEY_ROWS`` rows) are split into segments at
+points where their state provably resets, so segments fold in parallel
+with the same result. For every
 limiter here that point is a bucket of width ``window`` (aligned to
 ``anchor``) with no request in it: the time gap is then > window, which
 refills a bucket, empties a log and clears both counters. Segments are
@@ -42,34 +43,55 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
             T.LongType: pa.int64(), T.StringType: pa.string()}[type(dt)]
 
 
+# A key with more rows than this is split at its reset points.
+HOT_KEY_ROWS = 1_000_000
+
+
 def segment_ids(df: DataFrame, key: str, time_col: str, width: int,
-                anchor_col: str | None = None) -> DataFrame:
-    """Append ``_seg``: the index of the run of consecutive non-empty
-    ``width`` buckets the row falls in, per key."""
-    rel = F.col(time_col) - (F.col(anchor_col) if anchor_col else F.lit(0))
-    bucket = F.floor(rel / F.lit(width)).cast("long")
-    with_b = df.withColumn("_b", bucket)
+                anchor_first: bool = False, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Append ``_seg``: for rows of hot keys (more than ``hot_key_rows``
+    rows), the index of the run of consecutive non-empty ``width``
+    buckets the row falls in; 0 for every other row.
+
+    The hot-key list comes from a partial-aggregate count and holds at
+    most rows / hot_key_rows keys; the run table holds one row per
+    (hot key, run). Neither join is hinted: AQE broadcasts them from their
+    runtime size and shuffles when they are large, so the data itself is
+    not shuffled here when no key is hot.
+    """
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"))
+             .where(F.col("_n") > hot_key_rows).select(key, F.lit(True).alias("_hot"), "_t0"))
+    if hot.isEmpty():
+        # One small job (a partial-aggregate count) decides the plan: with
+        # no hot key there is nothing to split and no extra pass is added.
+        return df.withColumn("_seg", F.lit(0)).withColumn("_t0", F.lit(None).cast("long"))
+    # Hot keys carry their anchor (first request) explicitly, because their
+    # later segments do not start at it; other keys take it in the fold.
+    tagged = df.join(hot, key, "left")
+    rel = F.col(time_col) - (F.coalesce(F.col("_t0"), F.lit(0)) if anchor_first else F.lit(0))
+    tagged = tagged.withColumn("_b", F.floor(rel / F.lit(width)).cast("long"))
     w = Window.partitionBy(key).orderBy("_b")
-    runs = (with_b.select(key, "_b").distinct()
-            .withColumn("_seg", F.sum(F.when(F.col("_b") - F.lag("_b").over(w) > 1, 1)
-                                       .otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            )
-    return with_b.join(runs, [key, "_b"], "inner").drop("_b")
+    runs = (tagged.where(F.col("_hot")).select(key, "_b").distinct()
+                  .withColumn("_seg", F.sum(F.when(F.col("_b") - F.lag("_b").over(w) > 1, 1)
+                                             .otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    out = tagged.join(runs, [key, "_b"], "left")
+    return out.withColumn("_seg", F.coalesce(F.col("_seg"), F.lit(0))).drop("_b", "_hot")
 
 
 def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
                make_stepper: StepperFactory, out_fields: list[T.StructField],
-               anchor_col: str | None = None, split_width: int | None = None,
-               num_partitions: int | None = None, extra_inputs: list[str] | None = None) -> DataFrame:
+               split_width: int | None = None, anchor_first: bool = False,
+               num_partitions: int | None = None, extra_inputs: list[str] | None = None,
+               hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Run ``make_stepper``'s fold over each key in (time, seq) order.
 
     Returns ``df`` with ``out_fields`` appended (one output row per input row).
     """
     if split_width:
-        df = segment_ids(df, key, time_col, split_width, anchor_col)
+        df = segment_ids(df, key, time_col, split_width, anchor_first, hot_key_rows)
         part_cols = [key, "_seg"]
     else:
-        df = df.withColumn("_seg", F.lit(0))
+        df = df.withColumn("_seg", F.lit(0)).withColumn("_t0", F.lit(None).cast("long"))
         part_cols = [key]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ties = [seq_col] if isinstance(seq_col, str) else list(seq_col)
@@ -82,7 +104,7 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
     key_i = in_schema.fieldNames().index(key)
     seg_i = in_schema.fieldNames().index("_seg")
     t_i = in_schema.fieldNames().index(time_col)
-    a_i = in_schema.fieldNames().index(anchor_col) if anchor_col else None
+    a_i = in_schema.fieldNames().index("_t0") if anchor_first else None
     extra_i = [in_schema.fieldNames().index(c) for c in (extra_inputs or [])]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +117,7 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
             # (key, segment) identifies one independent fold.
             ident = list(zip(keys, segs))
             times = b.column(t_i).to_numpy(zero_copy_only=False).tolist()
-            anchors = (b.column(a_i).to_numpy(zero_copy_only=False).tolist()
-                       if a_i is not None else None)
+            anchors = b.column(a_i).to_pylist() if a_i is not None else None
             if extra_i:
                 extras = [b.column(i).to_pylist() for i in extra_i]
                 out = run(ident, times, anchors, *extras)
@@ -105,7 +126,7 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
             arrays = list(b.columns) + [pa.array(out[nm], type=ty) for nm, ty in zip(names, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=out_schema.fieldNames())
 
-    return ordered.mapInArrow(fold, out_schema).drop("_seg")
+    return ordered.mapInArrow(fold, out_schema).drop("_seg", "_t0")
 
 
 def check_limit(limit: int, window_us: int) -> None:

@@ -125,10 +125,15 @@ def sliding_log_stepper(C: int, W: int):
     return make
 
 
-def sliding_counter_stepper(C: int, W: int):
+def sliding_counter_stepper(C: int, W: int, anchored: bool = False):
+    """Grid windows, or (``anchored``) windows starting at the key's first
+    request: the anchor is the row's ``anchors`` value when given, else
+    the time of the first row the fold sees for the key (rows arrive in
+    time order, so that is the key's first request)."""
     def make(cur=None):
         full = C * W
-        cur = cur if cur is not None else [None, 0, 0, 0]  # ident, window index, curr, prev
+        # ident, window index, curr, prev, anchor
+        cur = cur if cur is not None else [None, 0, 0, 0, 0]
 
         def run(ident, times, anchors):
             n = len(times)
@@ -136,9 +141,13 @@ def sliding_counter_stepper(C: int, W: int):
             remaining = [0] * n
             reset = [0] * n
             retry = [0] * n
-            k, win, curr, prev = cur
+            k, win, curr, prev, a0 = cur
             for i in range(n):
-                rel = times[i] - (anchors[i] if anchors is not None else 0)
+                if ident[i] != k:
+                    a0 = 0
+                    if anchored:
+                        a0 = anchors[i] if anchors is not None and anchors[i] is not None else times[i]
+                rel = times[i] - a0
                 idx = rel // W
                 e = rel - idx * W
                 if ident[i] != k:
@@ -167,7 +176,7 @@ def sliding_counter_stepper(C: int, W: int):
                             r = COUNTER_MIN_RETRY_US if wait <= 0 else min(wait, rest)
                     retry[i] = r
                 reset[i] = rest
-            cur[0], cur[1], cur[2], cur[3] = k, win, curr, prev
+            cur[0], cur[1], cur[2], cur[3], cur[4] = k, win, curr, prev, a0
             return {"allowed": allowed, "limit": [C] * n, "remaining": remaining,
                     "reset_after_us": reset, "retry_after_us": retry, "state_entries": [1] * n}
         run.cur = cur
@@ -177,7 +186,8 @@ def sliding_counter_stepper(C: int, W: int):
 
 def rate_limit(df: DataFrame, key: str | Column, algorithm: str, limit: int, window_us: int,
                time_col: str = "t_us", seq_col: str = "seq", anchor: str = "grid",
-               split_hot_keys: bool = True, num_partitions: int | None = None) -> DataFrame:
+               split_hot_keys: bool = True, num_partitions: int | None = None,
+               hot_key_rows: int | None = None) -> DataFrame:
     """Append the limiter decision to every row of ``df``.
 
     ``key`` is a column name or any Column (e.g. :func:`limit_key`);
@@ -189,18 +199,16 @@ def rate_limit(df: DataFrame, key: str | Column, algorithm: str, limit: int, win
     if anchor not in ANCHORS:
         raise ValueError(f"anchor must be one of {ANCHORS}, got {anchor!r}")
     df, kname = key_column(df, key, "key")
-    anchor_col = None
-    if algorithm == "sliding_window_counter" and anchor == "first_request":
-        first = df.groupBy(kname).agg(F.min(time_col).alias("_t0"))
-        df = df.join(first, kname, "inner")
-        anchor_col = "_t0"
-    make = {"token_bucket": token_bucket_stepper,
-            "sliding_window_log": sliding_log_stepper,
-            "sliding_window_counter": sliding_counter_stepper}[algorithm](limit, window_us)
-    out = keyed_fold(df, kname, time_col, seq_col, make, OUT_FIELDS, anchor_col=anchor_col,
-                     split_width=window_us if split_hot_keys else None,
-                     num_partitions=num_partitions)
-    return out.drop("_t0") if anchor_col else out
+    anchored = algorithm == "sliding_window_counter" and anchor == "first_request"
+    if algorithm == "sliding_window_counter":
+        make = sliding_counter_stepper(limit, window_us, anchored)
+    else:
+        make = {"token_bucket": token_bucket_stepper,
+                "sliding_window_log": sliding_log_stepper}[algorithm](limit, window_us)
+    extra = {} if hot_key_rows is None else {"hot_key_rows": hot_key_rows}
+    return keyed_fold(df, kname, time_col, seq_col, make, OUT_FIELDS,
+                      split_width=window_us if split_hot_keys else None,
+                      anchor_first=anchored, num_partitions=num_partitions, **extra)
 
 
 def fixed_window(df: DataFrame, key: str | Column, limit: int, window_us: int,

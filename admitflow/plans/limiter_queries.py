@@ -16,8 +16,13 @@ WINDOW_US = DAY_US
 RESULT_COLS = ["request_id", "key", "allowed", "limit", "remaining", "reset_after_us", "retry_after_us"]
 
 
+# Columns a limiter fold needs: mapInArrow is a boundary column pruning
+# cannot cross, so each query projects before it folds.
+FOLD_INPUT = ["request_id", "seq", "t_us", "subject", "remote_addr"]
+
+
 def _limited(spark: SparkSession, sf_dir: str, algorithm: str, anchor: str = "grid") -> DataFrame:
-    req = requests(spark, sf_dir)
+    req = requests(spark, sf_dir).select(*FOLD_INPUT)
     out = rate_limit(req, limit_key("subject", "remote_addr"), algorithm, LIMIT, WINDOW_US, anchor=anchor)
     return out.select(*RESULT_COLS)
 
@@ -73,7 +78,7 @@ ALGOS = {
 
 def all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log decided by each algorithm, tagged ``algorithm``."""
-    req = requests(spark, sf_dir)
+    req = requests(spark, sf_dir).select(*FOLD_INPUT)
     key = limit_key("subject", "remote_addr")
     out = None
     for name, (algo, anchor) in ALGOS.items():
@@ -123,7 +128,7 @@ def limiter_state_size(spark, sf):
 
 
 def _per_instance(spark, sf):
-    req = requests(spark, sf)
+    req = requests(spark, sf).select(*FOLD_INPUT, "instance")
     shared = rate_limit(req, limit_key("subject", "remote_addr"), "token_bucket", LIMIT, WINDOW_US) \
         .select("request_id", "key", "instance", F.col("allowed").alias("allowed_shared"))
     inst_key = F.concat(limit_key("subject", "remote_addr"), F.lit("@"), F.col("instance"))
@@ -157,7 +162,7 @@ def boundary_burst(spark, sf):
     any trailing window, per algorithm, with the plain fixed window as the
     baseline (its bursts reach 2 x limit across a window edge)."""
     d = all_decisions(spark, sf).select("algorithm", "key", "t_us", "allowed")
-    req = requests(spark, sf)
+    req = requests(spark, sf).select(*FOLD_INPUT)
     fw = fixed_window(req, limit_key("subject", "remote_addr"), LIMIT, WINDOW_US) \
         .select(F.lit("fixed_window").alias("algorithm"), "key", "t_us", "allowed")
     a = d.unionByName(fw).where("allowed")

@@ -54,7 +54,7 @@ def q_ensure_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rate_headers(spark: SparkSession, sf: str) -> DataFrame:
     """Response headers of the grid sliding-window-counter decisions."""
-    r = requests(spark, sf)
+    r = requests(spark, sf).select("request_id", "seq", "t_us", "subject", "remote_addr")
     out = rate_limit(r, S.limit_key("subject", "remote_addr"), "sliding_window_counter", LIMIT, WINDOW_US)
     return out.select("request_id", *S.rate_headers("limit", "remaining", "reset_after_us",
                                                     "retry_after_us", "allowed"))
@@ -86,7 +86,7 @@ def limiter_down(k="k"):
 
 def q_gateway_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """Class of every request through the gateway pipeline."""
-    r = requests(spark, sf)
+    r = requests(spark, sf).select("request_id", "seq", "t_us", "k", "subject", "remote_addr", "path", "status")
     out = _gateway(r, "token_bucket", LIMIT, WINDOW_US, limiter_error=limiter_down())
     return out.select("request_id", "stage", "outcome_status", "outcome", "allowed")
 

@@ -146,8 +146,9 @@ def test_golden_counts(spark, sf, key, limit, window, expected):
 def test_hot_key_split_and_partitioning_do_not_change_decisions(spark, algo, anchor):
     req = requests(spark, "/root/testdata/sf0.001")
     cols = ["request_id", "allowed", "remaining", "reset_after_us", "retry_after_us"]
+    # hot_key_rows=0 makes every key hot, so every key is split.
     a = rate_limit(req, "event_type", algo, 3, 3600 * SEC, anchor=anchor, split_hot_keys=True,
-                   num_partitions=3).select(*cols)
+                   num_partitions=3, hot_key_rows=0).select(*cols)
     b = rate_limit(req, "event_type", algo, 3, 3600 * SEC, anchor=anchor, split_hot_keys=False,
                    num_partitions=7).select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
