@@ -97,14 +97,16 @@ def _route_regex(pattern: str) -> str:
     return "^" + "/".join(parts) + "$"
 
 
-def route_label(method, path) -> Column:
+def route_label(method, path, routes: list[tuple[str, str]] = ROUTES) -> Column:
     """P5: the route pattern a request matched, else ``unmatched``.
 
-    The route table is a fixed list of 16 patterns, so it compiles into one
-    CASE chain: no join, no broadcast, stays in codegen."""
+    ``routes`` is the plug point for another service's table of (method,
+    pattern); ``{name}`` matches one path segment. A route table is small
+    and fixed, so it compiles into one CASE chain: no join, no broadcast,
+    stays in codegen."""
     m, p = _c(method), _c(path)
     expr = None
-    for meth, pat in ROUTES:
+    for meth, pat in routes:
         cond = (m == meth) & p.rlike(_route_regex(pat))
         expr = F.when(cond, F.lit(pat)) if expr is None else expr.when(cond, F.lit(pat))
     return expr.otherwise(F.lit("unmatched"))

@@ -150,7 +150,7 @@ def q_fk_orphans(spark, sf):
 
 def q_src_orders(spark, sf):
     """The orders table scan with a pushed-down filter and pruned columns."""
-    return VW.orders(spark, sf).where(F.col("status") == "pending").select("order_id", "user_id", "total_cents")
+    return VW.orders(spark, sf, status="pending").select("order_id", "user_id", "total_cents")
 
 
 def audit_rules(spark, sf):

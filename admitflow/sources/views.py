@@ -77,9 +77,19 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders from ``orders``: F confirmed, P cancelled, O pending."""
+# Driver order status codes and the order states they stand for.
+ORDER_STATUS = {"F": "confirmed", "P": "cancelled", "O": "pending"}
+
+
+def orders(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
+    """Orders from ``orders``: F confirmed, P cancelled, O pending.
+
+    ``status`` filters on the raw status code, so the predicate reaches the
+    parquet reader (a filter on the derived label would not)."""
     o = read_table(spark, sf_dir, "orders")
+    if status is not None:
+        codes = [c for c, name in ORDER_STATUS.items() if name == status]
+        o = o.where(F.col("o_orderstatus").isin(*codes))
     st = F.col("o_orderstatus")
     return o.select(
         F.col("o_orderkey").alias("order_id"),
