@@ -18,6 +18,10 @@ from .limits import rate_limit
 
 PROTECTED_PREFIXES = ("/catalog/", "/orders/", "/payment/")
 PUBLIC_PREFIX = "/auth/"
+# The identity endpoint. The gateway strips the identity header
+# and the public /auth/* group restores none, so the service always answers
+# 401 to it through the gateway (after the limiter counted it).
+IDENTITY_PATH = "/auth/me"
 GATEWAY_PATHS = ("/healthz", "/metrics")
 
 
@@ -47,7 +51,8 @@ def gateway_outcome(requests: DataFrame, algorithm: str, limit: int, window_us:
     limited = rate_limit(st.where(reaches), key, algorithm, limit, window_us)
     rest = st.where(~reaches)
     both = limited.unionByName(rest, allowMissingColumns=True)
-    upstream = F.when(F.col("status") == 502, F.lit(502)).otherwise(F.col("status"))
+    upstream = (F.when(F.col("status") == 502, F.lit(502))
+                 .when(F.col("path") == IDENTITY_PATH, F.lit(401)).otherwise(F.col("status")))
     code = (F.when(F.col("stage") == "gateway", F.lit(200))
              .when(F.col("stage") == "unrouted", F.lit(404))
              .when(~F.col("_auth"), F.lit(401))
@@ -61,5 +66,6 @@ def gateway_outcome(requests: DataFrame, algorithm: str, limit: int, window_us:
             .when(F.col("_lerr") & F.lit(on_error == "closed"), "limiter_unavailable")
             .when(~F.coalesce(F.col("allowed"), F.lit(True)), "rate_limited")
             .when(F.col("status") == 502, "upstream_error")
+            .when(F.col("path") == IDENTITY_PATH, "upstream_unauthorized")
             .otherwise("upstream"))
     return both.withColumn("outcome_status", code.cast("int")).withColumn("outcome", why).drop("_auth")

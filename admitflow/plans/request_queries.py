@@ -183,10 +183,12 @@ def _gateway_sql() -> str:
     fold = token_bucket_sql(key, LIMIT, WINDOW_US, prelude=prelude, source="lim_src")
     return (f"WITH {prelude} SELECT g.request_id, g.stage, "
             "CAST(CASE WHEN g.stage = 'gateway' THEN 200 WHEN g.stage = 'unrouted' THEN 404 WHEN NOT g.auth THEN 401 "
-            "WHEN g.lerr THEN 503 WHEN NOT l.allowed THEN 429 ELSE g.status END AS INTEGER) AS outcome_status, "
+            "WHEN g.lerr THEN 503 WHEN NOT l.allowed THEN 429 WHEN g.status = 502 THEN 502 "
+            "WHEN g.path = '/auth/me' THEN 401 ELSE g.status END AS INTEGER) AS outcome_status, "
             "CASE WHEN g.stage = 'gateway' THEN 'served' WHEN g.stage = 'unrouted' THEN 'unrouted' "
             "WHEN NOT g.auth THEN 'unauthorized' WHEN g.lerr THEN 'limiter_unavailable' "
             "WHEN NOT coalesce(l.allowed, true) THEN 'rate_limited' WHEN g.status = 502 THEN 'upstream_error' "
+            "WHEN g.path = '/auth/me' THEN 'upstream_unauthorized' "
             "ELSE 'upstream' END AS outcome, l.allowed "
             f"FROM gw2 g LEFT JOIN ({fold}) l ON l.request_id = g.request_id")
 
