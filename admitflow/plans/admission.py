@@ -19,15 +19,51 @@ a live service, do not exist under serial semantics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 MAX_ROUNDS = 500
+# A product with more merged lines than this gets its running sums in two
+# levels (see ``prefix_sums``) instead of one window over the product.
+HOT_PRODUCT_LINES = 1_000_000
+CHUNKS = 256
 
 
-def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def prefix_sums(df: DataFrame, key: str, order: str, values: dict[str, Column],
+                width: int | None) -> DataFrame:
+    """Exclusive running sums of ``values`` per ``key`` in ``order`` order
+    (strictly earlier rows; ``order`` is unique within a key).
+
+    ``width=None``: one window per key. Otherwise two levels, so a key with
+    a third of all rows is not one task: totals per (key, order // width)
+    chunk, a carry per chunk from the small chunk table, then running sums
+    inside each (key, chunk) plus that carry.
+    """
+    if width is None:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        out = df
+        for name, v in values.items():
+            out = out.withColumn(name, F.coalesce(F.sum(v).over(w), F.lit(0)))
+        return out
+    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
+    for name, v in values.items():
+        d = d.withColumn(f"_v_{name}", v)
+    tot = d.groupBy(key, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(key, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(wc), F.lit(0)).alias(f"_c_{n}")
+                                        for n in values])
+    wi = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = d.join(carry, [key, "_chunk"], "left")
+    for n in values:
+        out = out.withColumn(n, F.coalesce(F.col(f"_c_{n}"), F.lit(0))
+                             + F.coalesce(F.sum(f"_v_{n}").over(wi), F.lit(0)))
+    return out.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
+
+
+def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_ROUNDS,
+                 hot_product_lines: int = HOT_PRODUCT_LINES) -> DataFrame:
     """Return ``order_id, admitted, decided_round`` for every order with lines."""
     merged = (lines.groupBy("order_id", "product_id").agg(F.sum("quantity").cast("long").alias("q"))
                    .join(products.select("product_id", F.col("stock").cast("long").alias("stock")),
@@ -35,7 +71,13 @@ def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_RO
     merged = cut_lineage(merged)
     status = cut_lineage(merged.select("order_id").distinct()
                                .withColumn("st", F.lit("u")).withColumn("decided_round", F.lit(None).cast("int")))
-    w = Window.partitionBy("product_id").orderBy("order_id").rowsBetween(Window.unboundedPreceding, -1)
+    # One small job decides whether any product is hot; if so the running
+    # sums use chunks of the order-id range.
+    width = None
+    hot = merged.groupBy("product_id").count().where(F.col("count") > hot_product_lines)
+    if not hot.isEmpty():
+        lo_id, hi_id = merged.agg(F.min("order_id"), F.max("order_id")).first()
+        width = max(1, (hi_id - lo_id + 1) // CHUNKS + 1)
     for rnd in range(1, max_rounds + 1):
         # Only products that still carry an undecided order need new sums;
         # decided orders keep their status, so each round works on the
@@ -44,10 +86,11 @@ def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_RO
         active = merged.join(undecided, "order_id", "left_semi").select("product_id").distinct()
         j = (merged.join(active, "product_id", "left_semi")
                    .join(status.select("order_id", "st"), "order_id"))
-        hi = F.coalesce(F.sum(F.when(F.col("st") != "n", F.col("q"))).over(w), F.lit(0))
-        lo = F.coalesce(F.sum(F.when(F.col("st") == "y", F.col("q"))).over(w), F.lit(0))
-        lines_r = (j.withColumn("fits", F.col("stock").isNotNull() & (hi + F.col("q") <= F.col("stock")))
-                    .withColumn("fails", F.col("stock").isNull() | (lo + F.col("q") > F.col("stock")))
+        j = prefix_sums(j, "product_id", "order_id",
+                        {"_hi": F.when(F.col("st") != "n", F.col("q")).otherwise(0),
+                         "_lo": F.when(F.col("st") == "y", F.col("q")).otherwise(0)}, width)
+        lines_r = (j.withColumn("fits", F.col("stock").isNotNull() & (F.col("_hi") + F.col("q") <= F.col("stock")))
+                    .withColumn("fails", F.col("stock").isNull() | (F.col("_lo") + F.col("q") > F.col("stock")))
                     .where(F.col("st") == "u"))
         per = lines_r.groupBy("order_id").agg(F.bool_and("fits").alias("all_fit"),
                                               F.bool_or("fails").alias("any_fail"))

@@ -8,8 +8,15 @@ from admitflow.sources.views import order_lines, products
 from conftest import SF001
 
 
-def test_fixpoint_matches_serial_admission(spark):
-    res = {r.order_id: r.admitted for r in admit_orders(order_lines(spark, SF001), products(spark, SF001)).collect()}
+import pytest
+
+
+@pytest.mark.parametrize("hot", [None, 0])
+def test_fixpoint_matches_serial_admission(spark, hot):
+    # hot=0 makes every product hot, so the two-level running sums run.
+    kw = {} if hot is None else {"hot_product_lines": hot}
+    res = {r.order_id: r.admitted
+           for r in admit_orders(order_lines(spark, SF001), products(spark, SF001), **kw).collect()}
     lines = duckdb.sql(f"SELECT l_orderkey, l_partkey, SUM(CAST(l_quantity AS INTEGER)) FROM "
                        f"read_parquet('{SF001}/lineitem.parquet') GROUP BY 1, 2 ORDER BY 1, 2").fetchall()
     left = dict(duckdb.sql(f"SELECT p_partkey, p_size * 20 FROM read_parquet('{SF001}/part.parquet')").fetchall())
