@@ -93,10 +93,11 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
     else:
         df = df.withColumn("_seg", F.lit(0)).withColumn("_t0", F.lit(None).cast("long"))
         part_cols = [key]
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ties = [seq_col] if isinstance(seq_col, str) else list(seq_col)
-    ordered = (df.repartition(n, *part_cols)
-                 .sortWithinPartitions(key, "_seg", time_col, *ties))
+    # Without an explicit count the shuffle starts at spark.sql.shuffle.partitions
+    # and AQE may merge small partitions; hash partitioning keeps keys whole.
+    parted = df.repartition(num_partitions, *part_cols) if num_partitions else df.repartition(*part_cols)
+    ordered = parted.sortWithinPartitions(key, "_seg", time_col, *ties)
     in_schema = ordered.schema
     out_schema = T.StructType(list(in_schema.fields) + list(out_fields))
     names = [f.name for f in out_fields]
