@@ -26,7 +26,11 @@ def get_session(master: str | None = None, app: str = "admitflow",
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # Keyed stream state (limiter buckets, holds, order guards) grows with
+          # the number of keys; RocksDB keeps it off the JVM heap.
+          .config("spark.sql.streaming.stateStore.providerClass",
+                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
     if master and master.startswith("local"):
         # Local runs bind to loopback so block fetches never leave the host.
         b = (b.config("spark.driver.host", "127.0.0.1")
