@@ -224,3 +224,20 @@ def fixed_window(df: DataFrame, key: str | Column, limit: int, window_us: int,
     return (df.withColumn("_rn", F.row_number().over(w))
               .withColumn("allowed", F.col("_rn") <= limit)
               .drop("_rn", "_w"))
+
+
+def trailing_window_count(df: DataFrame, key: str | list[str], time_col: str, window_us: int,
+                          out: str = "in_window") -> DataFrame:
+    """Rows of the same key in (t - window, t] for every row, without one
+    window per key: the time axis is cut into chunks of width ``window``,
+    and each row is also copied into the next chunk's partition, because
+    (t - window, t] only reaches back into the previous chunk. Counting per
+    (key, chunk) and keeping the chunk's own rows is exact, and a key's
+    history is spread over its chunks."""
+    keys = [key] if isinstance(key, str) else list(key)
+    chunk = F.floor(F.col(time_col) / F.lit(window_us)).cast("long")
+    own = df.withColumn("_c", chunk).withColumn("_own", F.lit(True))
+    spill = df.withColumn("_c", chunk + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(*keys, "_c").orderBy(time_col).rangeBetween(-(window_us - 1), 0)
+    both = own.unionByName(spill).withColumn(out, F.count(F.lit(1)).over(w))
+    return both.where(F.col("_own")).drop("_c", "_own")

@@ -134,7 +134,7 @@ def load_report(requests: DataFrame, step: str = "route", approx: bool = False)
         "avg_ms", "min_ms", "med_ms", "p90_ms", "p95_ms", "p99_ms", "max_ms")
 
 
-def in_flight(requests: DataFrame, scrape_us: int = 15_000_000, chunk_us: int = 3_600_000_000) -> DataFrame:
+def in_flight(requests: DataFrame, scrape_us: int = 15_000_000, chunk_us: int = 60_000_000) -> DataFrame:
     """M4: requests in flight per gateway instance: the highest value seen
     at scrape instants, and the exact peak over continuous time.
 

@@ -65,7 +65,7 @@ ORACLES = limiter_oracles()
 
 from pyspark.sql import Window  # noqa: E402
 
-from ..operators.limits import fixed_window  # noqa: E402
+from ..operators.limits import fixed_window, trailing_window_count  # noqa: E402
 
 # name -> (algorithm, anchor)
 ALGOS = {
@@ -166,8 +166,7 @@ def boundary_burst(spark, sf):
     fw = fixed_window(req, limit_key("subject", "remote_addr"), LIMIT, WINDOW_US) \
         .select(F.lit("fixed_window").alias("algorithm"), "key", "t_us", "allowed")
     a = d.unionByName(fw).where("allowed")
-    w = Window.partitionBy("algorithm", "key").orderBy("t_us").rangeBetween(-(WINDOW_US - 1), 0)
-    inwin = a.withColumn("n", F.count(F.lit(1)).over(w))
+    inwin = trailing_window_count(a, ["algorithm", "key"], "t_us", WINDOW_US, out="n")
     per_key = inwin.groupBy("algorithm", "key").agg(F.max("n").alias("max_in_window"))
     return per_key.groupBy("algorithm").agg(
         F.max("max_in_window").alias("max_in_window"),

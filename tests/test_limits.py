@@ -87,6 +87,11 @@ def test_log_never_exceeds_limit_in_any_trailing_window(spark):
     w = Window.partitionBy("user_id").orderBy("t_us").rangeBetween(-(DAY_US - 1), 0)
     worst = out.withColumn("n", F.count(F.lit(1)).over(w)).agg(F.max("n")).collect()[0][0]
     assert worst == 3
+    # the chunked trailing count agrees with the plain range window row by row
+    from admitflow.operators.limits import trailing_window_count
+    a = out.withColumn("n", F.count(F.lit(1)).over(w)).select("request_id", "n")
+    b = trailing_window_count(out, "user_id", "t_us", DAY_US, out="n").select("request_id", "n")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 @pytest.mark.parametrize("bad", [(0, MIN), (-1, MIN), (3, 0), (3, -5)])
