@@ -184,7 +184,7 @@ def sliding_counter_stepper(C: int, W: int, anchored: bool = False):
     return make
 
 
-def rate_limit(df: DataFrame, key: str | Column, algorithm: str, limit: int, window_us: int,
+def rate_limit(df: DataFrame, key: str | Column, algorithm, limit: int, window_us: int,
                time_col: str = "t_us", seq_col: str = "seq", anchor: str = "grid",
                split_hot_keys: bool = True, num_partitions: int | None = None,
                hot_key_rows: int | None = None) -> DataFrame:
@@ -194,6 +194,13 @@ def rate_limit(df: DataFrame, key: str | Column, algorithm: str, limit: int, win
     rows of one key are decided in (``time_col``, ``seq_col``) order.
     """
     check_limit(limit, window_us)
+    if callable(algorithm):
+        # User-defined limiter: algorithm(limit, window_us) returns a stepper
+        # factory with the same contract as the built-ins (make(cur=None) ->
+        # run(ident, times, anchors) -> dict of the OUT_FIELDS lists).
+        df, kname = key_column(df, key, "key")
+        return keyed_fold(df, kname, time_col, seq_col, algorithm(limit, window_us), OUT_FIELDS,
+                          num_partitions=num_partitions)
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm must be one of {ALGORITHMS}, got {algorithm!r}")
     if anchor not in ANCHORS:

@@ -157,3 +157,31 @@ def test_hot_key_split_and_partitioning_do_not_change_decisions(spark, algo, anc
     b = rate_limit(req, "event_type", algo, 3, 3600 * SEC, anchor=anchor, split_hot_keys=False,
                    num_partitions=7).select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_user_defined_limiter_plugs_into_the_fold(spark):
+    # "first C requests per key, ever": a fold the caller brings.
+    def lifetime_quota(C, W):
+        def make(cur=None):
+            cur = cur if cur is not None else [None, 0]
+
+            def run(ident, times, anchors):
+                n = len(times)
+                out = {f: [0] * n for f in ("remaining", "reset_after_us", "retry_after_us")}
+                out["allowed"], out["limit"], out["state_entries"] = [False] * n, [C] * n, [1] * n
+                k, used = cur
+                for i in range(n):
+                    if ident[i] != k:
+                        k, used = ident[i], 0
+                    if used < C:
+                        used += 1
+                        out["allowed"][i] = True
+                        out["remaining"][i] = C - used
+                cur[0], cur[1] = k, used
+                return out
+            run.cur = cur
+            return run
+        return make
+    rows = [("a", t) for t in range(5)] + [("b", t) for t in range(2)]
+    d = decide(spark, rows, lifetime_quota, 3, MIN)
+    assert [r["allowed"] for r in d] == [True, True, True, False, False, True, True]
