@@ -123,6 +123,10 @@ def delivery_effects(decoded: DataFrame, orders: DataFrame) -> DataFrame:
     deliveries together with the set of known orders."""
     is_pay = F.col("topic").isin(*PAYMENT_TOPICS)
     ok = F.col("decodable") & _has_id()
+    # Both branches start from the same repartition by order id: the
+    # summary aggregate and the join back need no further shuffle, and the
+    # identical exchange is reused, so each payload is parsed once.
+    decoded = decoded.repartition("order_id")
     summary = (decoded.groupBy("order_id")
                       .agg(F.min_by(F.struct("seq", "type"), F.when(ok & is_pay, F.col("seq"))).alias("_p"),
                            F.min(F.when(ok & ~is_pay, F.col("seq"))).alias("charged_seq"))
