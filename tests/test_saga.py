@@ -65,3 +65,22 @@ def test_first_terminal_event_wins_and_late_events_are_ignored(spark):
                    5: "unknown_order"}
     out = {r.outcome: (r.per_delivery, r.per_order) for r in SG.saga_outcomes(SG.delivery_effects(d, o)).collect()}
     assert out == {"confirmed": (2, 1), "compensated": (1, 1)}
+
+
+def test_shuffled_and_replayed_log_changes_nothing(spark):
+    from admitflow.sources import views as VW
+    from conftest import SF001
+    ev = VW.saga_events(spark, SF001)
+    orders = VW.orders(spark, SF001)
+    rule = F.col("amount_cents") % 10 == 0
+
+    def outcome(log):
+        d = SG.decode_deliveries(log)
+        return (SG.charge_once(d, rule).select("order_id", "status", "charged_seq"),
+                SG.resolve_orders(d, orders).select("order_id", "status", "failure_reason", "decided_seq"))
+    base_pay, base_res = outcome(ev)
+    # physical order shuffled, and the whole log replayed a second time
+    for log in (ev.repartition(7, "payload"), ev.unionByName(ev).repartition(5)):
+        pay, res = outcome(log)
+        assert pay.exceptAll(base_pay).count() == 0 and base_pay.exceptAll(pay).count() == 0
+        assert res.exceptAll(base_res).count() == 0 and base_res.exceptAll(res).count() == 0
