@@ -123,14 +123,11 @@ def delivery_effects(decoded: DataFrame, orders: DataFrame) -> DataFrame:
     deliveries together with the set of known orders."""
     is_pay = F.col("topic").isin(*PAYMENT_TOPICS)
     ok = F.col("decodable") & _has_id()
-    # Both branches start from the same repartition by order id: the
-    # summary aggregate and the join back need no further shuffle, and the
-    # identical exchange is reused, so each payload is parsed once.
-    # Known limit: deliveries without an order id (undecodable or id-less)
-    # share the NULL key's partition; they match nothing and pass through
-    # linearly, but a log where they are a large share makes that task a
-    # straggler (a per-delivery key avoided it but cost ~60% more here).
-    decoded = decoded.repartition("order_id")
+    # The summary is joined back without an explicit repartition: AQE
+    # broadcasts it when small, and otherwise the shuffle join's skew
+    # handling splits a hot partition on the deliveries' side, including the
+    # one where deliveries without an order id (NULL key) meet. The price is
+    # reading the payloads in both branches.
     summary = (decoded.groupBy("order_id")
                       .agg(F.min_by(F.struct("seq", "type"), F.when(ok & is_pay, F.col("seq"))).alias("_p"),
                            F.min(F.when(ok & ~is_pay, F.col("seq"))).alias("charged_seq"))
