@@ -50,3 +50,15 @@ def test_ledger_is_independent_of_partitioning(spark):
     a = run_ledger(cmds, prods, VW.LEDGER_ORDER, num_partitions=3)
     b = run_ledger(cmds.repartition(7), prods, VW.LEDGER_ORDER, num_partitions=11)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_read_logs_from_files(spark):
+    from admitflow.sources.logs import read_logs
+    lines = VW.log_lines(spark, SF001)
+    path = tempfile.mkdtemp(prefix="admitflow-logs-") + "/l"
+    lines.select("line").write.text(path)
+    got = read_logs(spark, path)
+    assert got.count() == lines.count()
+    assert got.where(F.col("service").isNull() | F.col("msg").isNull()).count() == 0
+    # attributes beyond the fixed fields are kept, never dropped
+    assert got.where(F.col("attrs").getItem("order_id").isNull()).count() == 0
