@@ -39,7 +39,18 @@ def micros(df: DataFrame, col: str) -> Column:
     raise TypeError(f"{col} is {dtype}, not a timestamp")
 
 
-def micros_to_ts(col: Column) -> Column:
-    """Inverse of :func:`micros` as TIMESTAMP_NTZ (wall clock, UTC)."""
-    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), col.cast("decimal(38,6)") / F.lit(1_000_000))
+def iso_utc(us: Column) -> Column:
+    """RFC 3339 text (``yyyy-MM-ddTHH:mm:ss.ffffffZ``) of epoch microseconds,
+    built from the day number and the time of day, so no session time zone
+    (and no daylight-saving gap) is involved."""
+    day_us = 86_400_000_000
+    day = F.floor(us / F.lit(day_us))
+    rem = us - day * F.lit(day_us)
+
+    def two(x):
+        return F.lpad(x.cast("string"), 2, "0")
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"),
+                    two(F.floor(rem / 3_600_000_000)), F.lit(":"),
+                    two(F.floor(rem / 60_000_000) % 60), F.lit(":"),
+                    two(F.floor(rem / 1_000_000) % 60), F.lit("."),
+                    F.lpad((rem % 1_000_000).cast("string"), 6, "0"), F.lit("Z"))

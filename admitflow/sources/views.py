@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import micros, read_table
+from .tables import iso_utc, micros, read_table
 
 DAY_US = 86_400_000_000
 MINUTE_US = 60_000_000
@@ -239,15 +239,14 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log rows as raw JSON text (what a log shipper stores)."""
     lg = logs(spark, sf_dir)
-    iso = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    iso = iso_utc(F.col("ts_us"))
     corr = F.when(F.col("correlation_id").isNull(), F.lit("")).otherwise(
         F.concat(F.lit(',"correlation_id":"'), F.col("correlation_id"), F.lit('"')))
     extra = F.when(F.col("service") == "payment", F.concat(F.lit(',"attempt":'), (F.col("line_no") - 2).cast("string"))).otherwise(F.lit(""))
     line = F.concat(F.lit('{"time":"'), iso, F.lit('","level":"'), F.col("level"), F.lit('","msg":"'),
                     F.col("msg"), F.lit('","service":"'), F.col("service"), F.lit('"'), corr,
                     F.lit(',"order_id":"'), F.col("order_id"), F.lit('"'), extra, F.lit("}"))
-    from .tables import micros_to_ts
-    return lg.withColumn("ts", micros_to_ts(F.col("ts_us"))).select(F.col("ts_us"), F.col("line_no"), line.alias("line"))
+    return lg.select(F.col("ts_us"), F.col("line_no"), line.alias("line"))
 
 
 def consumer_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

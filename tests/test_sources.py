@@ -62,3 +62,11 @@ def test_read_logs_from_files(spark):
     assert got.where(F.col("service").isNull() | F.col("msg").isNull()).count() == 0
     # attributes beyond the fixed fields are kept, never dropped
     assert got.where(F.col("attrs").getItem("order_id").isNull()).count() == 0
+
+
+def test_iso_utc_is_zone_free(spark):
+    from admitflow.sources.tables import iso_utc
+    df = spark.createDataFrame([(0,), (1_704_067_200_123_456,), (1_710_064_800_000_001,)], "us long")
+    got = [r.s for r in df.select(iso_utc(F.col("us")).alias("s")).orderBy("us").collect()]
+    # the last one falls in a daylight-saving gap of some zones; UTC text is unaffected
+    assert got == ["1970-01-01T00:00:00.000000Z", "2024-01-01T00:00:00.123456Z", "2024-03-10T10:00:00.000001Z"]
