@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import messages as M
+
 SECOND_US = 1_000_000
 
 # Host:port splitting (bracketed IPv6 host, or a host with no
@@ -137,15 +139,15 @@ def currency_ok_for_catalog(raw) -> Column:
 # a bare addr-spec, or a display name with the addr-spec in angle brackets).
 EMAIL_BARE = r"^[^\s<>@,;:\"]+@[^\s<>@,;:\"]+$"
 EMAIL_NAMED = r"^[^<>@]*<([^\s<>@,;:\"]+@[^\s<>@,;:\"]+)>$"
-EMAIL_MAX_BYTES = 254
+EMAIL_MAX_BYTES = M.EMAIL_MAX_BYTES
 
 
 def email_reason(raw) -> Column:
     """First failing rule, or NULL when the address is usable."""
     e = F.trim(_c(raw))
-    return (F.when(e.isNull() | (e == ""), F.lit("email is required"))
-             .when(F.octet_length(e) > EMAIL_MAX_BYTES, F.lit("email is too long"))
-             .when(~(e.rlike(EMAIL_BARE) | e.rlike(EMAIL_NAMED)), F.lit("email is not a valid address")))
+    return (F.when(e.isNull() | (e == ""), F.lit(M.EMAIL_REQUIRED))
+             .when(F.octet_length(e) > EMAIL_MAX_BYTES, F.lit(M.EMAIL_TOO_LONG))
+             .when(~(e.rlike(EMAIL_BARE) | e.rlike(EMAIL_NAMED)), F.lit(M.EMAIL_INVALID)))
 
 
 def normalize_email(raw) -> Column:
@@ -182,7 +184,7 @@ def charge_outcome(declined: Column) -> tuple[Column, Column]:
     """P20: processor stand-in. ``declined`` is any boolean Column (the
     pluggable charge rule); returns (status, failure_reason)."""
     status = F.when(declined, F.lit("failed")).otherwise(F.lit("succeeded"))
-    reason = F.when(declined, F.lit("card declined"))
+    reason = F.when(declined, F.lit(M.CARD_DECLINED))
     return status, reason
 
 

@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from ..functions.scalars import currency_ok_for_catalog, normalize_currency
 
-MAX_ITEMS_PER_ORDER = 50
 
 
 def first_wins(df: DataFrame, key: str | list[str], order: str, winner: str = "first") -> DataFrame:
@@ -40,11 +40,11 @@ def validate_products(req: DataFrame) -> DataFrame:
     """First failing rule of a product-create request, in handler order.
     Expects ``sku, name, price_cents, stock, currency_raw``."""
     sku, name = F.trim("sku"), F.trim("name")
-    reason = (F.when(sku.isNull() | (sku == ""), "sku is required")
-               .when(name.isNull() | (name == ""), "name is required")
-               .when(F.col("price_cents") < 0, "price_cents must not be negative")
-               .when(F.col("stock") < 0, "stock must not be negative")
-               .when(~currency_ok_for_catalog("currency_raw"), "currency must be a 3-letter code"))
+    reason = (F.when(sku.isNull() | (sku == ""), M.SKU_REQUIRED)
+               .when(name.isNull() | (name == ""), M.NAME_REQUIRED)
+               .when(F.col("price_cents") < 0, M.PRICE_NEGATIVE)
+               .when(F.col("stock") < 0, M.STOCK_NEGATIVE)
+               .when(~currency_ok_for_catalog("currency_raw"), M.CURRENCY_CODE))
     return req.withColumn("currency", normalize_currency("currency_raw")).withColumn("reason", reason)
 
 
@@ -72,17 +72,17 @@ def validate_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("order_id", "product_id").orderBy("line_no", "supp_id", "quantity", "unit_cents")
     ln = lines.withColumn("_dup", F.row_number().over(w) > 1)
     pid = F.col("product_id")
-    reason = (F.when(pid.isNull(), "each item needs a product_id")
-               .when(F.col("quantity") <= 0, "each item needs a positive quantity")
-               .when(F.col("_dup"), "each product may appear only once per order"))
+    reason = (F.when(pid.isNull(), M.ITEM_NO_PRODUCT)
+               .when(F.col("quantity") <= 0, M.ITEM_BAD_QUANTITY)
+               .when(F.col("_dup"), M.ITEM_REPEATED))
     per = (ln.withColumn("_r", reason)
              .groupBy("order_id")
              .agg(F.count(F.lit(1)).alias("n_lines"),
                   F.min_by("_r", F.when(F.col("_r").isNotNull(), line_position(ln))).alias("_first_bad")))
     o = orders.select("order_id").join(per, "order_id", "left")
     n = F.coalesce(F.col("n_lines"), F.lit(0))
-    why = (F.when(n == 0, "an order must have at least one item")
-            .when(n > MAX_ITEMS_PER_ORDER, "too many items in one order")
+    why = (F.when(n == 0, M.NO_ITEMS)
+            .when(n > M.MAX_ITEMS_PER_ORDER, M.TOO_MANY_ITEMS)
             .otherwise(F.col("_first_bad")))
     return o.select("order_id", n.cast("bigint").alias("n_lines"), why.alias("reason"),
                     why.isNull().alias("valid"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import client_ip
 from .limits import rate_limit
 
+# The gateway route groups (token-protected prefixes, the
+# public prefix, and the endpoints the gateway serves itself).
 PROTECTED_PREFIXES = ("/catalog/", "/orders/", "/payment/")
 PUBLIC_PREFIX = "/auth/"
 # The identity endpoint. The gateway strips the identity header

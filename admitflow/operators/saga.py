@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from ..functions.jsonx import decode_event, event_field, payload_struct
 from ..functions.scalars import charge_outcome, normalize_currency
 
@@ -111,7 +112,7 @@ def resolve_orders(decoded: DataFrame, orders: DataFrame) -> DataFrame:
     status = (F.when(F.col("decided_type") == "PaymentSucceeded", "confirmed")
                .when(F.col("decided_type") == "PaymentFailed", "cancelled").otherwise("pending"))
     reason = F.when(status == "cancelled",
-                    F.coalesce(F.nullif(F.col("decided_reason"), F.lit("")), F.lit("payment failed")))
+                    F.coalesce(F.nullif(F.col("decided_reason"), F.lit("")), F.lit(M.PAYMENT_FAILED)))
     return j.select("order_id", "user_id", "created_us", status.alias("status"),
                     reason.alias("failure_reason"), "decided_seq")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from ..functions import scalars as S
 from ..operators import commerce as C
 from ..sources import views as VW
@@ -96,8 +97,8 @@ def charge_requests(spark, sf):
 def q_validate_charges(spark, sf):
     """Charge requests: order id present, amount positive."""
     r = charge_requests(spark, sf)
-    reason = (F.when(F.col("order_id").isNull() | (F.col("order_id") == ""), "order_id is required")
-               .when(F.col("amount_cents") <= 0, "amount_cents must be positive"))
+    reason = (F.when(F.col("order_id").isNull() | (F.col("order_id") == ""), M.ORDER_ID_REQUIRED)
+               .when(F.col("amount_cents") <= 0, M.AMOUNT_NOT_POSITIVE))
     return r.select("request_id", reason.alias("reason"))
 
 

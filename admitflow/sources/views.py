@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from .tables import iso_utc, micros, read_table
 
 DAY_US = 86_400_000_000
@@ -168,7 +169,7 @@ def saga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_id = F.when(n == 6, -ok - 1).otherwise(ok)
     oid = order_id.cast("string")
     amount = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")
-    reason = F.when(ok % 3 == 0, F.lit("")).otherwise(F.lit("card declined"))
+    reason = F.when(ok % 3 == 0, F.lit("")).otherwise(F.lit(M.CARD_DECLINED))
     payload = (F.when(n <= 1, F.concat(F.lit('{"order_id":"'), oid, F.lit('","user_id":"'),
                                        F.col("o_custkey").cast("string"), F.lit('","amount_cents":'),
                                        amount, F.lit(',"currency":"USD"}')))
