@@ -38,20 +38,29 @@ def stage(path: Column) -> Column:
 
 
 def gateway_outcome(requests: DataFrame, algorithm: str, limit: int, window_us: int,
-                    limiter_error: Column | None = None, on_error: str = "closed") -> DataFrame:
+                    limiter_error: Column | None = None, on_error: str = "closed",
+                    keep: list[str] | None = None, time_col: str = "t_us", seq_col: str = "seq") -> DataFrame:
     """Append ``stage, outcome_status, outcome`` (and the limiter columns for
-    requests that reached it) to every request."""
+    requests that reached it) to every request; ``keep`` names the request
+    columns carried to the output (default: all). Only the columns the
+    outcome needs cross into the limiter fold."""
     if on_error not in ("closed", "open"):
         raise ValueError("on_error must be 'closed' or 'open'")
+    carry = list(keep) if keep is not None else list(requests.columns)
+    need = list(dict.fromkeys(carry + [time_col, seq_col, "status", "path"]))
     err = limiter_error if limiter_error is not None else F.lit(False)
-    st = requests.withColumn("stage", stage(F.col("path"))).withColumn("_lerr", err)
-    authed = (F.col("stage") != "protected") | (F.col("subject") != "")
-    st = st.withColumn("_auth", authed)
+    st = (requests.withColumn("stage", stage(F.col("path"))).withColumn("_lerr", err)
+                  .withColumn("_auth", (F.col("stage") != "protected") | (F.col("subject") != "")))
     reaches = F.col("stage").isin("public", "protected") & F.col("_auth") & ~F.col("_lerr")
     key = F.when(F.col("stage") == "protected", F.concat(F.lit("user:"), F.col("subject"))) \
            .otherwise(F.concat(F.lit("ip:"), client_ip("remote_addr")))
-    limited = rate_limit(st.where(reaches), key, algorithm, limit, window_us)
-    rest = st.where(~reaches)
+    # Rows reaching the limiter are routed, authenticated and met a working
+    # limiter, so only their own columns and the key go through the fold.
+    to_limit = st.where(reaches).select(*need, key.alias("key"))
+    limited = (rate_limit(to_limit, "key", algorithm, limit, window_us, time_col=time_col, seq_col=seq_col)
+               .withColumn("stage", stage(F.col("path")))
+               .withColumn("_auth", F.lit(True)).withColumn("_lerr", F.lit(False)))
+    rest = st.where(~reaches).select(*need, "stage", "_auth", "_lerr")
     both = limited.unionByName(rest, allowMissingColumns=True)
     upstream = (F.when(F.col("status") == 502, F.lit(502))
                  .when(F.col("path") == IDENTITY_PATH, F.lit(401)).otherwise(F.col("status")))
@@ -70,4 +79,5 @@ def gateway_outcome(requests: DataFrame, algorithm: str, limit: int, window_us:
             .when(F.col("status") == 502, "upstream_error")
             .when(F.col("path") == IDENTITY_PATH, "upstream_unauthorized")
             .otherwise("upstream"))
-    return both.withColumn("outcome_status", code.cast("int")).withColumn("outcome", why).drop("_auth")
+    lim_cols = ["key", "allowed", "limit", "remaining", "reset_after_us", "retry_after_us", "state_entries"]
+    return both.select(*carry, "stage", *lim_cols, code.cast("int").alias("outcome_status"), why.alias("outcome"))

@@ -87,7 +87,7 @@ def limiter_down(k="k"):
 def q_gateway_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """Class of every request through the gateway pipeline."""
     r = requests(spark, sf).select("request_id", "seq", "t_us", "k", "subject", "remote_addr", "path", "status")
-    out = _gateway(r, "token_bucket", LIMIT, WINDOW_US, limiter_error=limiter_down())
+    out = _gateway(r, "token_bucket", LIMIT, WINDOW_US, limiter_error=limiter_down(), keep=["request_id"])
     return out.select("request_id", "stage", "outcome_status", "outcome", "allowed")
 
 
