@@ -1,10 +1,10 @@
-"""DuckDB oracle SQL, one per registered query that SQL can express."""
+"""DuckDB oracles of the registered limiter queries."""
 
 from __future__ import annotations
 
-from .limiter_queries import LIMIT, WINDOW_US
 from . import sqlviews as V
 from .limiter_sql import sliding_counter_sql, sliding_log_sql, token_bucket_sql
+from .params import LIMIT, WINDOW_US
 
 KEY = V.limit_key("subject", "remote_addr")
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import limit_key, rate_headers
-from ..operators.limits import rate_limit
-from ..sources.views import DAY_US, requests
+from ..operators.limits import fixed_window, rate_limit, trailing_window_count
+from ..sources.views import requests
+from .limiter_oracles import limiter_oracles, limiter_report_oracles
+from .params import LIMIT, WINDOW_US
 
-# Parameters of the registered limiter queries: 2 requests per day per key.
-LIMIT = 2
-WINDOW_US = DAY_US
 
 RESULT_COLS = ["request_id", "key", "allowed", "limit", "remaining", "reset_after_us", "retry_after_us"]
 
@@ -56,16 +55,8 @@ QUERIES = {
     "swc_anchored": swc_anchored,
 }
 
-from .oracles import limiter_oracles  # noqa: E402
-
-ORACLES = limiter_oracles()
-
-
 # ------------------------------------------------- limiter reports
 
-from pyspark.sql import Window  # noqa: E402
-
-from ..operators.limits import fixed_window, trailing_window_count  # noqa: E402
 
 # name -> (algorithm, anchor)
 ALGOS = {
@@ -183,6 +174,4 @@ QUERIES.update({
     "boundary_burst": boundary_burst,
 })
 
-from .oracles import limiter_report_oracles  # noqa: E402
-
-ORACLES.update(limiter_report_oracles())
+ORACLES = {**limiter_oracles(), **limiter_report_oracles()}

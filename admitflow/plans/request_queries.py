@@ -14,7 +14,7 @@ from ..operators.gateway import gateway_outcome as _gateway
 from ..operators.limits import rate_limit
 from ..sources.views import requests
 from . import sqlviews as V
-from .limiter_queries import LIMIT, WINDOW_US
+from .params import LIMIT, WINDOW_US
 from .limiter_sql import sliding_counter_sql, token_bucket_sql
 
 R = "WITH " + V.REQUESTS + " "

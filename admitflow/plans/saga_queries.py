@@ -3,7 +3,6 @@ P16, S2) and their DuckDB oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import EVENT_FIELDS

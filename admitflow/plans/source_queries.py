@@ -14,7 +14,7 @@ from ..sources import views as VW
 from ..sources.events import parse_envelopes, records_from_deliveries
 from ..sources.tables import read_table
 from . import sqlviews as V
-from .saga_queries import DECODED, _decoded, _effects, _payments
+from .saga_queries import DECODED, _decoded, _effects
 
 # A token prefix (the base64 of '{"alg":"HS256"}').
 TOKEN_HEAD = "eyJhbGciOiJIUzI1NiJ9"

@@ -3,7 +3,7 @@ saga deliveries, service logs, sign-ups, consumer offsets).
 
 Every view is a narrow projection of one driver table (at most an explode
 of a fixed-size array), so it adds no shuffle and keeps parquet pruning.
-Each has a DuckDB twin in :mod:`admitflow.plans.oracles` that spells the
+Each has a DuckDB twin in :mod:`admitflow.plans.sqlviews` that spells the
 same expressions in SQL.
 """
 
