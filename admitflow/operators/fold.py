@@ -12,7 +12,7 @@ or a partition: memory is O(1) per key (O(limit) for the sliding log) and
 the sort spills. Input columns pass through untouched as Arrow arrays;
 only the key, time and the output columns cross into Python lists.
 
-Hot keys (more than ``HOT_KEY_ROWS`` rows) are split into segments at
+Hot keys (more than ``spark.admitflow.hotKeyRows`` rows) are split into segments at
 points where their state provably resets, so segments fold in parallel
 with the same result. For every
 limiter here that point is a bucket of width ``window`` (aligned to
@@ -43,12 +43,13 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
             T.LongType: pa.int64(), T.StringType: pa.string()}[type(dt)]
 
 
-# A key with more rows than this is split at its reset points.
-HOT_KEY_ROWS = 1_000_000
+# A key with more rows than this is split at its reset points (default;
+# the session's spark.admitflow.hotKeyRows overrides it).
+HOT_KEY_ROWS = None
 
 
 def segment_ids(df: DataFrame, key: str, time_col: str, width: int,
-                anchor_first: bool = False, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                anchor_first: bool = False, hot_key_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Append ``_seg``: for rows of hot keys (more than ``hot_key_rows``
     rows), the index of the run of consecutive non-empty ``width``
     buckets the row falls in; 0 for every other row.
@@ -59,6 +60,9 @@ def segment_ids(df: DataFrame, key: str, time_col: str, width: int,
     runtime size and shuffles when they are large, so the data itself is
     not shuffled here when no key is hot.
     """
+    if hot_key_rows is None:
+        from ..session import hot_key_rows as _conf_rows
+        hot_key_rows = _conf_rows(df.sparkSession)
     hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"))
              .where(F.col("_n") > hot_key_rows).select(key, F.lit(True).alias("_hot"), "_t0"))
     if hot.isEmpty():
@@ -82,7 +86,7 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
                make_stepper: StepperFactory, out_fields: list[T.StructField],
                split_width: int | None = None, anchor_first: bool = False,
                num_partitions: int | None = None, extra_inputs: list[str] | None = None,
-               hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+               hot_key_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Run ``make_stepper``'s fold over each key in (time, seq) order.
 
     Returns ``df`` with ``out_fields`` appended (one output row per input row).

@@ -47,11 +47,11 @@ def trace_gaps(logs: DataFrame, required: list[str] = REQUIRED_SERVICES) -> Data
 
 
 # A trace with more lines than this is split into time chunks for TR4.
-HOT_TRACE_LINES = 1_000_000
+HOT_TRACE_LINES = None  # None: spark.admitflow.hotKeyRows
 TRACE_CHUNKS = 256
 
 
-def step_latency(logs: DataFrame, hot_trace_lines: int = HOT_TRACE_LINES) -> DataFrame:
+def step_latency(logs: DataFrame, hot_trace_lines: int | None = HOT_TRACE_LINES) -> DataFrame:
     """TR4: time from the previous step of the same trace.
 
     Ordinary traces use ``lag`` over one window per id. A hot trace (more
@@ -60,6 +60,9 @@ def step_latency(logs: DataFrame, hot_trace_lines: int = HOT_TRACE_LINES) -> Dat
     previous non-empty chunk from the small per-chunk table, so the
     result is the same and no task holds the whole trace.
     """
+    if hot_trace_lines is None:
+        from ..session import hot_key_rows
+        hot_trace_lines = hot_key_rows(logs.sparkSession)
     lines = logs.where(F.col("correlation_id").isNotNull())
     pos = F.struct("ts_us", "service", "line_no")
     step = F.struct(F.col("ts_us").alias("ts_us"), F.col("service").alias("service"))

@@ -27,7 +27,7 @@ from ..session import cut_lineage
 MAX_ROUNDS = 500
 # A product with more merged lines than this gets its running sums in two
 # levels (see ``prefix_sums``) instead of one window over the product.
-HOT_PRODUCT_LINES = 1_000_000
+HOT_PRODUCT_LINES = None  # None: spark.admitflow.hotKeyRows
 CHUNKS = 256
 
 
@@ -63,7 +63,7 @@ def prefix_sums(df: DataFrame, key: str, order: str, values: dict[str, Column],
 
 
 def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_ROUNDS,
-                 hot_product_lines: int = HOT_PRODUCT_LINES) -> DataFrame:
+                 hot_product_lines: int | None = HOT_PRODUCT_LINES) -> DataFrame:
     """Return ``order_id, admitted, decided_round`` for every order with lines."""
     merged = (lines.groupBy("order_id", "product_id").agg(F.sum("quantity").cast("long").alias("q"))
                    .join(products.select("product_id", F.col("stock").cast("long").alias("stock")),
@@ -74,6 +74,9 @@ def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_RO
     # One small job decides whether any product is hot; if so the running
     # sums use chunks of the order-id range.
     width = None
+    if hot_product_lines is None:
+        from ..session import hot_key_rows
+        hot_product_lines = hot_key_rows(lines.sparkSession)
     hot = merged.groupBy("product_id").count().where(F.col("count") > hot_product_lines)
     if not hot.isEmpty():
         lo_id, hi_id = merged.agg(F.min("order_id"), F.max("order_id")).first()

@@ -67,3 +67,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+HOT_KEY_ROWS_CONF = "spark.admitflow.hotKeyRows"
+DEFAULT_HOT_KEY_ROWS = 1_000_000
+
+
+def hot_key_rows(spark: SparkSession) -> int:
+    """Rows above which one key (limiter key, product, trace) counts as hot
+    and is split; set ``spark.admitflow.hotKeyRows`` to about the rows of
+    one shuffle partition on the cluster."""
+    return int(spark.conf.get(HOT_KEY_ROWS_CONF, str(DEFAULT_HOT_KEY_ROWS)))
