@@ -65,6 +65,13 @@ def limiter_report_oracles() -> dict[str, str]:
                                 "CAST(SUM(CAST(allowed_per_instance AS INTEGER)) AS BIGINT) AS per_instance_allowed, "
                                 "COUNT(DISTINCT instance) AS instances FROM j) "
                                 "SELECT *, allowed * 4 < per_instance_allowed * 3 AS pass FROM s",
+        "limiter_state_size": (
+            f"WITH {V.REQUESTS}, lg AS ({sliding_log_sql(KEY, LIMIT, WINDOW_US, with_entries=True)}), "
+            "k AS (SELECT DISTINCT key FROM lg) "
+            "SELECT 'token_bucket' AS algorithm, key, CAST(1 AS INTEGER) AS max_entries, CAST(96 AS BIGINT) AS est_bytes FROM k "
+            "UNION ALL SELECT 'swc_grid', key, 1, 112 FROM k UNION ALL SELECT 'swc_anchored', key, 1, 112 FROM k "
+            "UNION ALL SELECT 'sliding_window_log', key, CAST(max(state_entries) AS INTEGER), "
+            "CAST(max(state_entries) * 16 + 64 AS BIGINT) FROM lg GROUP BY key"),
         "boundary_burst": A + f", a AS (SELECT algorithm, key, t_us FROM dec WHERE allowed UNION ALL "
                               f"SELECT algorithm, key, t_us FROM ({fixed}) fw WHERE allowed), "
                               f"c AS (SELECT algorithm, key, COUNT(*) OVER (PARTITION BY algorithm, key ORDER BY t_us "

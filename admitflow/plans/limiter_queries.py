@@ -109,10 +109,11 @@ STATE_NUMBERS = {"token_bucket": 2, "sliding_window_log": 1, "swc_grid": 3, "swc
 
 
 def limiter_state_size(spark, sf):
-    """M17 (rows-only): retained state entries per key and algorithm, and
-    a byte estimate: flat for the bucket and counters, linear for the log."""
+    """Retained state entries per key and algorithm, and a byte
+    estimate (16 bytes per stored number plus 64 per key): flat for the
+    bucket and counters, linear in retained timestamps for the log."""
     d = all_decisions(spark, sf)
-    per = d.groupBy("algorithm", "key").agg(F.max("state_entries").alias("max_entries"))
+    per = d.groupBy("algorithm", "key").agg(F.max("state_entries").cast("int").alias("max_entries"))
     nums = F.when(F.col("algorithm") == "token_bucket", 2).when(F.col("algorithm") == "sliding_window_log", 1).otherwise(3)
     mult = F.when(F.col("algorithm") == "sliding_window_log", F.col("max_entries")).otherwise(1)
     return per.withColumn("est_bytes", (mult * nums * 16 + 64).cast("bigint"))

@@ -34,7 +34,9 @@ SELECT b.request_id, b.key, f.allowed,
 FROM fold f JOIN base b ON b.key = f.key AND b.rn = f.rn"""
 
 
-def sliding_log_sql(key_sql: str, C: int, W: int, prelude: str = REQUESTS, source: str = "requests") -> str:
+def sliding_log_sql(key_sql: str, C: int, W: int, prelude: str = REQUESTS, source: str = "requests",
+                    with_entries: bool = False) -> str:
+    entries = ",\n  CAST(len(f.log) AS INTEGER) AS state_entries" if with_entries else ""
     return f"""WITH RECURSIVE {prelude},
 {_base(key_sql, source)},
 fold(key, rn, t_us, log, allowed) AS (
@@ -50,7 +52,7 @@ SELECT b.request_id, b.key, f.allowed,
   CAST({C} AS INTEGER) AS "limit",
   CAST(CASE WHEN f.allowed THEN {C} - len(f.log) ELSE 0 END AS BIGINT) AS remaining,
   CAST(CASE WHEN len(f.log) = 0 THEN 0 ELSE least(greatest(list_max(f.log) + {W} - f.t_us, 0), {W}) END AS BIGINT) AS reset_after_us,
-  CAST(CASE WHEN f.allowed THEN 0 ELSE least(greatest(list_min(f.log) + {W} - f.t_us, 0), {W}) END AS BIGINT) AS retry_after_us
+  CAST(CASE WHEN f.allowed THEN 0 ELSE least(greatest(list_min(f.log) + {W} - f.t_us, 0), {W}) END AS BIGINT) AS retry_after_us{entries}
 FROM fold f JOIN base b ON b.key = f.key AND b.rn = f.rn"""
 
 
