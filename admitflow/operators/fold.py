@@ -121,7 +121,9 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
             segs = b.column(seg_i).to_pylist()
             # (key, segment) identifies one independent fold.
             ident = list(zip(keys, segs))
-            times = b.column(t_i).to_numpy(zero_copy_only=False).tolist()
+            tcol = b.column(t_i)
+            # to_numpy would turn a column with NULLs into floats
+            times = tcol.to_pylist() if tcol.null_count else tcol.to_numpy(zero_copy_only=False).tolist()
             anchors = b.column(a_i).to_pylist() if a_i is not None else None
             if extra_i:
                 extras = [b.column(i).to_pylist() for i in extra_i]

@@ -64,6 +64,9 @@ def token_bucket_stepper(C: int, W: int):
             k, tok, last = cur
             for i in range(n):
                 t = times[i]
+                if t is None:  # no time: undecidable, reported as NULL, state untouched
+                    allowed[i] = remaining[i] = reset[i] = retry[i] = None
+                    continue
                 if ident[i] != k:
                     k = ident[i]
                     tok = full
@@ -102,6 +105,9 @@ def sliding_log_stepper(C: int, W: int):
             k, log = cur
             for i in range(n):
                 t = times[i]
+                if t is None:
+                    allowed[i] = remaining[i] = reset[i] = retry[i] = entries[i] = None
+                    continue
                 if ident[i] != k:
                     k = ident[i]
                     log = deque()
@@ -143,6 +149,9 @@ def sliding_counter_stepper(C: int, W: int, anchored: bool = False):
             retry = [0] * n
             k, win, curr, prev, a0 = cur
             for i in range(n):
+                if times[i] is None:
+                    allowed[i] = remaining[i] = reset[i] = retry[i] = None
+                    continue
                 if ident[i] != k:
                     a0 = 0
                     if anchored:

@@ -185,3 +185,10 @@ def test_user_defined_limiter_plugs_into_the_fold(spark):
     rows = [("a", t) for t in range(5)] + [("b", t) for t in range(2)]
     d = decide(spark, rows, lifetime_quota, 3, MIN)
     assert [r["allowed"] for r in d] == [True, True, True, False, False, True, True]
+
+
+@pytest.mark.parametrize("algo,anchor", ALGOS)
+def test_rows_without_time_are_kept_undecided(spark, algo, anchor):
+    df = spark.createDataFrame([("k", 1, 0), ("k", None, 1), ("k", 2, 2), ("k", 3, 3)], "key string, t_us long, seq long")
+    out = {r.seq: r.allowed for r in rate_limit(df, "key", algo, 2, MIN, anchor=anchor).collect()}
+    assert out == {0: True, 1: None, 2: True, 3: False}
