@@ -78,21 +78,23 @@ fold(product_id, rn, stock, reserved, holds, result, hold_qty) AS (
   UNION ALL
   SELECT product_id, rn,
     CASE WHEN op = 'commit' AND has THEN greatest(0, s - hq) WHEN op = 'add_stock' AND q > 0 THEN s + q ELSE s END,
-    CASE WHEN op = 'reserve' AND NOT has AND s - r >= q THEN r + q
+    CASE WHEN op = 'reserve' AND ok AND NOT has AND s - r >= q THEN r + q
          WHEN op IN ('release', 'commit') AND has THEN greatest(0, r - hq) ELSE r END,
-    CASE WHEN op = 'reserve' AND NOT has AND s - r >= q THEN list_append(hs, {{'o': order_id, 'q': q}})
+    CASE WHEN op = 'reserve' AND ok AND NOT has AND s - r >= q THEN list_append(hs, {{'o': order_id, 'q': q}})
          WHEN op IN ('release', 'commit') AND has THEN list_filter(hs, lambda x: x.o <> order_id) ELSE hs END,
-    CASE WHEN op = 'reserve' AND has THEN 'held' WHEN op = 'reserve' AND s - r >= q THEN 'reserved'
+    CASE WHEN op = 'reserve' AND NOT ok THEN 'invalid'
+         WHEN op = 'reserve' AND has THEN 'held' WHEN op = 'reserve' AND s - r >= q THEN 'reserved'
          WHEN op = 'reserve' THEN 'insufficient'
          WHEN op = 'release' AND has THEN 'released' WHEN op = 'commit' AND has THEN 'committed'
          WHEN op IN ('release', 'commit') THEN 'no_hold'
          WHEN op = 'add_stock' AND q > 0 THEN 'restocked' ELSE 'invalid' END,
-    CASE WHEN op = 'reserve' AND has THEN hq WHEN op = 'reserve' AND s - r >= q THEN q
+    CASE WHEN op = 'reserve' AND NOT ok THEN NULL WHEN op = 'reserve' AND has THEN hq WHEN op = 'reserve' AND s - r >= q THEN q
          WHEN op IN ('release', 'commit') AND has THEN hq END
   FROM (
     SELECT c.product_id, c.rn, c.op, c.order_id, c.quantity AS q, f.stock AS s, f.reserved AS r, f.holds AS hs,
       len(list_filter(f.holds, lambda x: x.o = c.order_id)) > 0 AS has,
-      list_filter(f.holds, lambda x: x.o = c.order_id)[1].q AS hq
+      list_filter(f.holds, lambda x: x.o = c.order_id)[1].q AS hq,
+      coalesce(c.order_id IS NOT NULL AND c.quantity > 0, false) AS ok
     FROM fold f JOIN cmds c ON c.product_id = f.product_id AND c.rn = f.rn + 1
   ) z
 ),
