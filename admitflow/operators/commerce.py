@@ -138,7 +138,7 @@ def orders_for_user(orders: DataFrame, limit: int = 20, offset: int = 0) -> Data
     limit before the shuffle, so a user with many orders ships only k rows
     from each map task."""
     w = Window.partitionBy("user_id").orderBy(F.col("created_us").desc(), F.col("order_id").asc())
-    ranked = orders.withColumn("rn", F.row_number().over(w))
+    ranked = orders.withColumn("rn", F.row_number().over(w).cast("bigint"))
     return ranked.where((F.col("rn") > offset) & (F.col("rn") <= offset + limit))
 
 

@@ -233,7 +233,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         msg.alias("msg"),
         corr.alias("correlation_id"),
         ok.cast("string").alias("order_id"),
-        i.alias("line_no"),
+        i.cast("bigint").alias("line_no"),
     )
 
 

@@ -34,10 +34,19 @@ def rows(cols, data):
     return sorted((tuple(norm(r[i]) for i in order) for r in data), key=repr)
 
 
+# Spark type -> DuckDB type of the same values.
+TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+         "BooleanType()": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF001)
     got = [tuple(r) for r in df.collect()]
+    rel = con.sql(f"SELECT * FROM ({ORACLES[name]}) LIMIT 0")
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        assert TYPES.get(repr(f.dataType), repr(f.dataType)) == duck_types.get(f.name), (name, f.name)
     res = con.execute(ORACLES[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
