@@ -17,6 +17,17 @@ from ..functions.scalars import is_server_error, route_label
 DEFAULT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 METRICS_PATH = "/metrics"
 
+# Metric family names.
+HTTP_REQUESTS = "http_requests_total"
+HTTP_ERRORS = "http_request_errors_total"
+HTTP_DURATION = "http_request_duration_seconds"
+HTTP_IN_FLIGHT = "http_requests_in_flight"
+LIMIT_DECISIONS = "ratelimit_decisions_total"
+LIMIT_REMAINING = "ratelimit_remaining_tokens"
+EVENTS_PUBLISHED = "saga_events_published_total"
+EVENTS_CONSUMED = "saga_events_consumed_total"
+ORDER_OUTCOMES = "saga_order_outcomes_total"
+
 
 def _le_label(b: float) -> str:
     return ("%g" % b)

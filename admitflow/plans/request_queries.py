@@ -172,7 +172,9 @@ def _red_duration_sql() -> str:
             f"CAST(SUM(duration_us) AS BIGINT) AS sum_us FROM obs GROUP BY method, route) " + " UNION ALL ".join(arms))
 
 
-def _gateway_sql() -> str:
+def gateway_fold_sql() -> tuple[str, str]:
+    """(prelude, fold) of the gateway oracle: the classified requests and
+    the token-bucket fold over the rows that reach the limiter."""
     stage = ("CASE WHEN path IN ('/healthz', '/metrics') THEN 'gateway' WHEN starts_with(path, '/auth/') THEN 'public' "
              "WHEN starts_with(path, '/catalog/') OR starts_with(path, '/orders/') OR starts_with(path, '/payment/') "
              "THEN 'protected' ELSE 'unrouted' END")
@@ -180,7 +182,11 @@ def _gateway_sql() -> str:
     prelude = (V.REQUESTS + f", gw AS (SELECT *, {stage} AS stage, k = 99 AS lerr FROM requests), "
                "gw2 AS (SELECT *, (stage <> 'protected' OR subject <> '') AS auth FROM gw), "
                "lim_src AS (SELECT * FROM gw2 WHERE stage IN ('public', 'protected') AND auth AND NOT lerr)")
-    fold = token_bucket_sql(key, LIMIT, WINDOW_US, prelude=prelude, source="lim_src")
+    return prelude, token_bucket_sql(key, LIMIT, WINDOW_US, prelude=prelude, source="lim_src")
+
+
+def _gateway_sql() -> str:
+    prelude, fold = gateway_fold_sql()
     return (f"WITH {prelude} SELECT g.request_id, g.stage, "
             "CAST(CASE WHEN g.stage = 'gateway' THEN 200 WHEN g.stage = 'unrouted' THEN 404 WHEN NOT g.auth THEN 401 "
             "WHEN g.lerr THEN 503 WHEN NOT l.allowed THEN 429 WHEN g.status = 502 THEN 502 "

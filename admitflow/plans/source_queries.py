@@ -10,11 +10,14 @@ from ..functions.jsonx import strict_decode
 from ..functions.scalars import count_tokens, redact_tokens
 from ..operators import metrics as M
 from ..operators import saga as SG
+from ..operators.gateway import gateway_outcome
 from ..sources import views as VW
 from ..sources.events import parse_envelopes, records_from_deliveries
 from ..sources.tables import read_table
 from . import sqlviews as V
-from .saga_queries import DECODED, _decoded, _effects
+from .params import LIMIT, WINDOW_US
+from .request_queries import limiter_down
+from .saga_queries import DECODED, _decoded, _effects, _payments
 
 # A token prefix (the base64 of '{"alg":"HS256"}').
 TOKEN_HEAD = "eyJhbGciOiJIUzI1NiJ9"
@@ -60,33 +63,50 @@ def q_metric_samples(spark, sf):
         for i, (k, c) in enumerate(pairs):
             parts += [F.lit(("," if i else "") + f'{k}="'), F.col(c).cast("string"), F.lit('"')]
         return F.concat(*parts)
-    reqs = M.red_requests(req).select(F.lit("http_requests_total").alias("name"),
+    reqs = M.red_requests(req).select(F.lit(M.HTTP_REQUESTS).alias("name"),
                                       lbl(("method", "method"), ("route", "route"), ("service", "service"),
                                           ("status", "status")).alias("labels"),
                                       F.col("requests").cast("double").alias("value"))
-    errs = M.red_errors(req).select(F.lit("http_request_errors_total").alias("name"),
+    errs = M.red_errors(req).select(F.lit(M.HTTP_ERRORS).alias("name"),
                                     lbl(("method", "method"), ("route", "route")).alias("labels"),
                                     F.col("errors").cast("double").alias("value"))
     hist = M.red_duration(req)
-    buckets = hist.select(F.lit("http_request_duration_seconds_bucket").alias("name"),
+    buckets = hist.select(F.lit(M.HTTP_DURATION + "_bucket").alias("name"),
                           lbl(("le", "le"), ("method", "method"), ("route", "route")).alias("labels"),
                           F.col("cumulative").cast("double").alias("value"))
     sums = hist.where(F.col("le") == "+Inf").select(
-        F.lit("http_request_duration_seconds_sum").alias("name"), lbl(("method", "method"), ("route", "route")).alias("labels"),
+        F.lit(M.HTTP_DURATION + "_sum").alias("name"), lbl(("method", "method"), ("route", "route")).alias("labels"),
         (F.col("sum_us") / 1_000_000).alias("value"))
     counts = hist.where(F.col("le") == "+Inf").select(
-        F.lit("http_request_duration_seconds_count").alias("name"), lbl(("method", "method"), ("route", "route")).alias("labels"),
+        F.lit(M.HTTP_DURATION + "_count").alias("name"), lbl(("method", "method"), ("route", "route")).alias("labels"),
         F.col("count").cast("double").alias("value"))
     eff = _effects(spark, sf)
     consumed = SG.events_consumed(eff).select(
-        F.lit("events_consumed_total").alias("name"),
+        F.lit(M.EVENTS_CONSUMED).alias("name"),
         lbl(("outcome", "outcome"), ("topic", "topic"), ("type", "type")).alias("labels"),
         F.col("consumed").cast("double").alias("value"))
     outcomes = SG.saga_outcomes(eff).select(
-        F.lit("saga_order_outcomes_total").alias("name"), lbl(("outcome", "outcome")).alias("labels"),
+        F.lit(M.ORDER_OUTCOMES).alias("name"), lbl(("outcome", "outcome")).alias("labels"),
         F.col("per_delivery").cast("double").alias("value"))
+    ev = VW.saga_events(spark, sf)
+    published = SG.events_published(ev, SG.republish_outcome(SG.decode_deliveries(ev), _payments(spark, sf))).select(
+        F.lit(M.EVENTS_PUBLISHED).alias("name"), lbl(("topic", "topic"), ("type", "type")).alias("labels"),
+        F.col("published").cast("double").alias("value"))
+    # The gateway's limiter: decisions it made and the remaining-tokens gauge
+    # after the last one (only requests that reached the limiter count).
+    gw = (gateway_outcome(req.select("request_id", "seq", "t_us", "k", "subject", "remote_addr", "path", "status"),
+                          "token_bucket", LIMIT, WINDOW_US, limiter_error=limiter_down(),
+                          keep=["request_id", "seq", "t_us"])
+          .where(F.col("allowed").isNotNull()).withColumn("algorithm", F.lit("token_bucket")))
+    decisions = gw.groupBy("algorithm", F.when(F.col("allowed"), "allowed").otherwise("denied").alias("decision")) \
+        .agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(M.LIMIT_DECISIONS).alias("name"), lbl(("algorithm", "algorithm"), ("decision", "decision")).alias("labels"),
+        F.col("n").cast("double").alias("value"))
+    remaining = gw.groupBy("algorithm").agg(F.max_by("remaining", F.struct("t_us", "seq")).alias("r")).select(
+        F.lit(M.LIMIT_REMAINING).alias("name"), lbl(("algorithm", "algorithm")).alias("labels"),
+        F.col("r").cast("double").alias("value"))
     out = reqs
-    for p in (errs, buckets, sums, counts, consumed, outcomes):
+    for p in (errs, buckets, sums, counts, consumed, outcomes, published, decisions, remaining):
         out = out.unionByName(p)
     return out
 
@@ -196,11 +216,20 @@ def _metric_samples_sql() -> str:
         "WHERE le = '+Inf'",
         f"SELECT 'http_request_duration_seconds_count', {lab(*mr)}, CAST(count AS DOUBLE) FROM ({RQ.ORACLES['red_duration']}) e "
         "WHERE le = '+Inf'",
-        f"SELECT 'events_consumed_total', {lab(('outcome', 'outcome'), ('topic', 'topic'), ('type', 'type'))}, "
+        f"SELECT 'saga_events_consumed_total', {lab(('outcome', 'outcome'), ('topic', 'topic'), ('type', 'type'))}, "
         f"CAST(consumed AS DOUBLE) FROM ({SQ.ORACLES['events_consumed']}) f",
         f"SELECT 'saga_order_outcomes_total', {lab(('outcome', 'outcome'))}, CAST(per_delivery AS DOUBLE) "
         f"FROM ({SQ.ORACLES['saga_outcomes']}) g",
+        f"SELECT 'saga_events_published_total', {lab(('topic', 'topic'), ('type', 'type'))}, CAST(published AS DOUBLE) "
+        f"FROM ({SQ.ORACLES['events_published']}) h",
     ]
+    prelude, fold = RQ.gateway_fold_sql()
+    dec = f"(WITH {prelude} SELECT l.allowed, l.remaining, r.t_us, r.seq FROM ({fold}) l JOIN requests r USING (request_id)) x"
+    parts.append(f"SELECT 'ratelimit_decisions_total', 'algorithm=\"token_bucket\",decision=\"' || "
+                 f"CASE WHEN allowed THEN 'allowed' ELSE 'denied' END || '\"', CAST(COUNT(*) AS DOUBLE) FROM {dec} "
+                 "GROUP BY allowed")
+    parts.append(f"SELECT 'ratelimit_remaining_tokens', 'algorithm=\"token_bucket\"', "
+                 f"CAST(arg_max(remaining, (t_us, seq)) AS DOUBLE) FROM {dec}")
     return " UNION ALL ".join(parts)
 
 
