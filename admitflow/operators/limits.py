@@ -252,8 +252,10 @@ def trailing_window_count(df: DataFrame, key: str | list[str], time_col: str, wi
     history is spread over its chunks."""
     keys = [key] if isinstance(key, str) else list(key)
     chunk = F.floor(F.col(time_col) / F.lit(window_us)).cast("long")
-    own = df.withColumn("_c", chunk).withColumn("_own", F.lit(True))
-    spill = df.withColumn("_c", chunk + 1).withColumn("_own", F.lit(False))
+    # one pass: each row becomes (its chunk, own) and (next chunk, copy)
+    copies = F.explode(F.array(F.struct(chunk.alias("c"), F.lit(True).alias("own")),
+                               F.struct((chunk + 1).alias("c"), F.lit(False).alias("own"))))
+    both = df.withColumn("_x", copies).withColumn("_c", F.col("_x.c")).withColumn("_own", F.col("_x.own")).drop("_x")
     w = Window.partitionBy(*keys, "_c").orderBy(time_col).rangeBetween(-(window_us - 1), 0)
-    both = own.unionByName(spill).withColumn(out, F.count(F.lit(1)).over(w))
+    both = both.withColumn(out, F.count(F.lit(1)).over(w))
     return both.where(F.col("_own")).drop("_c", "_own")

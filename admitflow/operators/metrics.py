@@ -162,8 +162,11 @@ def in_flight(requests: DataFrame, scrape_us: int = 15_000_000, chunk_us: int =
                 .groupBy("instance", "_i").agg(F.count(F.lit(1)).alias("n"))
                 .groupBy("instance").agg(F.max("n").alias("max_at_scrape"),
                                          F.count(F.lit(1)).alias("busy_scrapes")))
-    marks = (r.select("instance", F.col("s").alias("t"), F.lit(1).alias("d"))
-              .unionByName(r.select("instance", F.col("e").alias("t"), F.lit(-1).alias("d")))
+    # one pass over the requests: each becomes a +1 start and a -1 end mark
+    mark = F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")),
+                             F.struct(F.col("e").alias("t"), F.lit(-1).alias("d"))))
+    marks = (r.select("instance", mark.alias("_m"))
+              .select("instance", F.col("_m.t").alias("t"), F.col("_m.d").alias("d"))
               .withColumn("_ch", F.floor(F.col("t") / chunk_us)))
     chunks = marks.groupBy("instance", "_ch").agg(F.sum("d").alias("_net"))
     wc = Window.partitionBy("instance").orderBy("_ch")
