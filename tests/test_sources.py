@@ -70,3 +70,18 @@ def test_iso_utc_is_zone_free(spark):
     got = [r.s for r in df.select(iso_utc(F.col("us")).alias("s")).orderBy("us").collect()]
     # the last one falls in a daylight-saving gap of some zones; UTC text is unaffected
     assert got == ["1970-01-01T00:00:00.000000Z", "2024-01-01T00:00:00.123456Z", "2024-03-10T10:00:00.000001Z"]
+
+
+def test_read_events_as_a_stream(spark):
+    ev = VW.saga_events(spark, SF001)
+    recs = records_from_deliveries(ev).withColumn("timestamp", F.timestamp_micros(F.lit(0)))
+    path = tempfile.mkdtemp(prefix="admitflow-topics-") + "/t"
+    write_events(recs, path=path)
+    s = read_events(spark, ["order.created"], path=path, stream=True)
+    q = (s.writeStream.format("memory").queryName("s1_stream")
+          .option("checkpointLocation", tempfile.mkdtemp(prefix="admitflow-ckpt-"))
+          .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("s1_stream")
+    assert got.count() == ev.where(F.col("topic") == "order.created").count()
+    assert got.select("topic").distinct().collect()[0].topic == "order.created"
