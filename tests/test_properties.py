@@ -65,3 +65,45 @@ def test_outputs_stay_in_range(kind, gs, C):
         if not a:
             assert rem == 0
     assert out["allowed"][0]  # a fresh key is never denied its first request
+
+
+# ------------------------------------------------------------------ ledger
+
+from admitflow.operators.ledger import _ledger_stepper  # noqa: E402
+
+commands = st.lists(st.tuples(st.sampled_from(["reserve", "release", "commit", "add_stock"]),
+                              st.integers(min_value=0, max_value=6),     # order
+                              st.integers(min_value=-1, max_value=8)),   # quantity
+                    min_size=1, max_size=80)
+
+
+def run_ledger_kernel(cmds, stock0, product="p"):
+    run = _ledger_stepper()()
+    n = len(cmds)
+    return run([(product, 0)] * n, list(range(n)), None, [c[0] for c in cmds], [f"o{c[1]}" for c in cmds],
+               [c[2] for c in cmds], [stock0] * n, [0] * n), run.cur
+
+
+@settings(max_examples=200, deadline=None)
+@given(commands, st.integers(min_value=0, max_value=20))
+def test_ledger_never_oversells_and_holds_add_up(cmds, stock0):
+    out, cur = run_ledger_kernel(cmds, stock0)
+    for s, r in zip(out["stock_after"], out["reserved_after"]):
+        assert 0 <= r <= s
+    _, stock, reserved, holds = cur
+    assert reserved == sum(holds.values()) and all(q > 0 for q in holds.values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(commands, commands, st.integers(min_value=0, max_value=20))
+def test_ledger_products_are_independent(a, b, stock0):
+    # interleaving another product's commands changes nothing for this one
+    alone, _ = run_ledger_kernel(a, stock0)
+    run = _ledger_stepper()()
+    seq = [("p", c) for c in a] + [("q", c) for c in b]
+    seq.sort(key=lambda x: x[0])  # the fold sees each product's commands together, in order
+    n = len(seq)
+    out = run([(p, 0) for p, _ in seq], list(range(n)), None, [c[0] for _, c in seq],
+              [f"o{c[1]}" for _, c in seq], [c[2] for _, c in seq], [stock0] * n, [0] * n)
+    mine = [i for i, (p, _) in enumerate(seq) if p == "p"]
+    assert [out["result"][i] for i in mine] == alone["result"]
