@@ -32,3 +32,31 @@ def test_fixpoint_matches_serial_admission(spark, hot):
         serial[o] = ok
     assert res == serial
     assert 0 < sum(serial.values()) < len(serial)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+# random small shops: orders of 1-3 lines over 4 products with tight stock
+order_lines_st = st.lists(
+    st.lists(st.tuples(st.integers(1, 4), st.integers(1, 6)), min_size=1, max_size=3, unique_by=lambda x: x[0]),
+    min_size=1, max_size=25)
+stock_st = st.lists(st.integers(0, 12), min_size=4, max_size=4)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(order_lines_st, stock_st)
+def test_fixpoint_equals_serial_on_random_shops(spark, orders, stock):
+    rows = [(o + 1, p, q, i + 1, 0, 0) for o, lines in enumerate(orders) for i, (p, q) in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "order_id long, product_id long, quantity int, line_no int, "
+                                        "supp_id long, unit_cents long")
+    prods = spark.createDataFrame([(p + 1, stock[p]) for p in range(4)], "product_id long, stock int")
+    got = {r.order_id: r.admitted for r in admit_orders(lines, prods).collect()}
+    left, want = list(stock), {}
+    for o, ls in enumerate(orders):
+        ok = all(left[p - 1] >= q for p, q in ls)
+        if ok:
+            for p, q in ls:
+                left[p - 1] -= q
+        want[o + 1] = ok
+    assert got == want
