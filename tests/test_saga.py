@@ -84,3 +84,58 @@ def test_shuffled_and_replayed_log_changes_nothing(spark):
         pay, res = outcome(log)
         assert pay.exceptAll(base_pay).count() == 0 and base_pay.exceptAll(pay).count() == 0
         assert res.exceptAll(base_res).count() == 0 and base_res.exceptAll(res).count() == 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+delivery = st.tuples(st.sampled_from(["OrderCreated", "PaymentSucceeded", "PaymentFailed"]),
+                     st.integers(1, 4),                       # order id (4 is unknown)
+                     st.booleans(),                           # decodable
+                     st.sampled_from(["", "no funds"]))       # failure reason
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(delivery, min_size=1, max_size=20))
+def test_saga_equals_a_serial_handler_model(spark, log):
+    topic = {"OrderCreated": "order.created", "PaymentSucceeded": "payment.succeeded", "PaymentFailed": "payment.failed"}
+    rows = []
+    for seq, (typ, o, ok, why) in enumerate(log):
+        if not ok:
+            payload = '{"order_id":%d}' % o
+        elif typ == "OrderCreated":
+            payload = OC % (str(o), 100 * o)
+        elif typ == "PaymentSucceeded":
+            payload = PS % str(o)
+        else:
+            payload = PF % (str(o), why)
+        rows.append((seq, f"e{seq}", typ, topic[typ], payload))
+    d = log_df = SG.decode_deliveries(spark.createDataFrame(rows, SCHEMA))
+    known = orders(spark, ["1", "2", "3"])
+    # serial model of the two consumers
+    charged, status, effects = {}, {}, {}
+    for seq, (typ, o, ok, why) in enumerate(log):
+        if not ok:
+            effects[seq] = "undecodable"
+        elif typ == "OrderCreated":
+            effects[seq] = "duplicate" if o in charged else "applied"
+            charged.setdefault(o, seq)
+        elif o == 4:
+            effects[seq] = "unknown_order"
+        elif o not in status:
+            status[o] = (typ, why)
+            effects[seq] = "applied"
+        else:
+            effects[seq] = "duplicate" if status[o][0] == typ else "late_ignored"
+    got = {r.seq: r.effect for r in SG.delivery_effects(log_df, known).collect()}
+    assert got == effects
+    res = {r.order_id: (r.status, r.failure_reason) for r in SG.resolve_orders(d, known).collect()}
+    for o in (1, 2, 3):
+        if o not in status:
+            assert res[str(o)] == ("pending", None)
+        elif status[o][0] == "PaymentSucceeded":
+            assert res[str(o)] == ("confirmed", None)
+        else:
+            assert res[str(o)] == ("cancelled", status[o][1] or "payment failed")
+    pay = {r.order_id: r.charged_seq for r in SG.charge_once(d, F.lit(False)).collect()}
+    assert pay == {str(o): s for o, s in charged.items()}
