@@ -12,12 +12,13 @@ or a partition: memory is O(1) per key (O(limit) for the sliding log) and
 the sort spills. Input columns pass through untouched as Arrow arrays;
 only the key, time and the output columns cross into Python lists.
 
-Hot keys (more than ``spark.admitflow.hotKeyRows`` rows) are split into segments at
-points where their state provably resets, so segments fold in parallel
-with the same result. For every
-limiter here that point is a bucket of width ``window`` (aligned to
-``anchor``) with no request in it: the time gap is then > window, which
-refills a bucket, empties a log and clears both counters. Segments are
+Hot keys (more than ``spark.admitflow.hotKeyRows`` rows) are split into
+segments at points where their state provably resets, so segments fold in
+parallel with the same result. For every limiter here that point is a
+bucket of width ``window`` (aligned to the grid, or to the key's first
+request for the anchored counter) with no request in it: the time gap is
+then > window, which refills a bucket, empties a log and clears both
+counters. Segments are
 found on the distinct (key, bucket) table, which is far smaller than the
 input, then joined back. A key with traffic in every bucket has no reset
 point: each decision depends on all earlier ones, so it folds in one task,
@@ -33,9 +34,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A stepper factory returns run(keys, times, anchors) -> dict of output
-# lists, keeping per-key state in its closure between calls.
-StepperFactory = Callable[[], Callable[[list, list, list], dict]]
+# A stepper factory ``make(cur=None)`` returns ``run(idents, times, anchors,
+# *extra_inputs) -> {output name: list}``; per-key state lives in ``cur``
+# (exposed as ``run.cur``), carried between calls and resumable, which is
+# how the streaming twins restart a fold from stored state.
+StepperFactory = Callable[..., Callable[..., dict]]
 
 
 def _arrow_type(dt: T.DataType) -> pa.DataType:
@@ -43,8 +46,7 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
             T.LongType: pa.int64(), T.StringType: pa.string()}[type(dt)]
 
 
-# A key with more rows than this is split at its reset points (default;
-# the session's spark.admitflow.hotKeyRows overrides it).
+# None: read the hot-key threshold from spark.admitflow.hotKeyRows.
 HOT_KEY_ROWS = None
 
 
