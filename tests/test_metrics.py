@@ -35,3 +35,12 @@ def test_in_flight_peak_matches_a_direct_sweep(spark):
     got = {r.instance: r.peak_in_flight for r in M.in_flight(req, scrape_us=15, chunk_us=7).collect()}
     # [0,10) and [5,10) overlap; [10,11) starts as they end (ends first); [20,120) alone
     assert got == {"g1": 2, "g2": 1}
+
+
+def test_label_cardinality_sketch_is_close(spark):
+    req = VW.requests(spark, SF001)
+    e = M.label_cardinality(req).collect()[0]
+    a = M.label_cardinality(req, approx=True).collect()[0]
+    assert a.requests == e.requests and a.series_by_route == e.series_by_route
+    assert abs(a.series_by_path - e.series_by_path) <= 3 * 0.02 * e.series_by_path + 1  # 3 x rsd
+    assert e.series_by_path > 10 * e.series_by_route  # the bounded label is the point
