@@ -67,3 +67,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "allowed" in df.columns
+
+
+@pytest.mark.parametrize("name", ["red_duration", "load_report", "in_flight", "resolve_orders", "delivery_effects",
+                                  "price_orders", "validate_orders", "traces", "step_latency", "consumer_lag"])
+def test_results_do_not_depend_on_partition_counts(spark, name):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = QUERIES[name](spark, SF001).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        b = QUERIES[name](spark, SF001).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(map(repr, a)) == sorted(map(repr, b))
