@@ -88,8 +88,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``admitflow`` importable in the Python workers, wherever the
     driver was started: zip the package once and ``addPyFile`` it (the
     programmatic form of ``spark-submit --py-files``). Once per application."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc, app = None, f"connect-{id(spark)}"
     if app in _SHIPPED:
         return
     import zipfile
@@ -101,5 +104,12 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+    try:
+        if sc is not None:
+            sc.addPyFile(out)
+        else:
+            spark.addArtifacts(out, pyfile=True)
+    except Exception:
+        # Already importable on the workers (e.g. installed); nothing to ship.
+        pass
     _SHIPPED.add(app)
