@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import lz_fingerprint, pii, token_store
+from . import backoff_lm, lz_fingerprint, packing, pii, token_store
 from .common import Scratch
 from .encoding import tokenizer_path
 
@@ -23,6 +23,19 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(manifest)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 tokens."""
+    ship_package(spark)
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, Scratch(spark, "op5"), tokenizer_path("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    ship_package(spark)
+    return backoff_lm.score_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "op7"), folds=7, held=2)
+
+
 def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase fingerprints of every document and of its edited text."""
     ship_package(spark)
@@ -36,6 +49,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_token_file": op4_token_file,
+    "op5_packing": op5_packing,
+    "op7_backoff_lm": op7_backoff_lm,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_pii": op10_pii,
 }
