@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import backoff_lm, lz_fingerprint, packing, pii, token_store
+from . import backoff_lm, lz_fingerprint, packing, pii, token_store, toxicity
 from .common import Scratch
 from .encoding import tokenizer_path
 
@@ -30,6 +30,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, Scratch(spark, "op5"), tokenizer_path("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    ship_package(spark)
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held=0)
+
+
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document."""
     ship_package(spark)
@@ -50,6 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_token_file": op4_token_file,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_backoff_lm": op7_backoff_lm,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_pii": op10_pii,
