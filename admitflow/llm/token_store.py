@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int)
         store, path = filesystem(folder)
         store.create_dir(path, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
-        with store.open_output_stream(f"{path}/{name}") as out:
+        with store.open_output_stream(f"{path}/{name}", compression=None) as out:
             n, tokens = write_token_file(out, ((i, enc.encode(t or "") + end) for i, t in rows(first)), enc.dtype.itemsize)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"],
                                           "docs": [n], "tokens": [tokens]})
