@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import backoff_lm, lz_fingerprint, packing, pii, token_store, toxicity
+from . import backoff_lm, lz_fingerprint, ngram_join, packing, pii, token_store, toxicity
 from .common import Scratch
 from .encoding import tokenizer_path
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 3-word shingles at 0.9."""
+    ship_package(spark)
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"), n=3, num=90, den=100)
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to and read back from token files."""
     ship_package(spark)
@@ -54,6 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op4_token_file": op4_token_file,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
