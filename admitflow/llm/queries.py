@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import backoff_lm, lz_fingerprint, ngram_join, packing, pii, token_store, toxicity
+from . import backoff_lm, lz_fingerprint, ngram_join, nra_topk, packing, pii, token_store, toxicity
 from .common import Scratch
 from .encoding import tokenizer_path
 
@@ -21,6 +21,13 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"), n=3, num=90, den=100)
 
 
+def op3_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every hundredth vector."""
+    ship_package(spark)
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nra_topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), Scratch(spark, "op3"), k=10, scale=1024)
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to and read back from token files."""
     ship_package(spark)
@@ -61,6 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_nra_topk": op3_nra_topk,
     "op4_token_file": op4_token_file,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
@@ -69,4 +77,44 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_nra_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+                   CAST(coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
+            WHERE q.vec_id % 100 = 0),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM pairs)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op2_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i:
+                       ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2]))
+                   WHEN len(ws) > 0 THEN [array_to_string(ws, chr(1))] ELSE [] END AS g
+            FROM w),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach(a, b) AS (
+            SELECT doc_id, doc_id FROM s
+            UNION
+            SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+        smallest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id
+        FROM s JOIN smallest ON s.doc_id = smallest.a""",
+}
