@@ -312,3 +312,19 @@ def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80,
     linked = rows.where("node is not null").join(ids, "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def first_of_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` (any columns besides doc_id and text) without the documents
+    whose group has a smaller doc_id. Rows of one doc_id are one document, of
+    which the row with the smallest text stays; rows without a doc_id stay."""
+    groups = scratch.table(similar_groups(docs, scratch, n, num, den).where("doc_id is not null"), "groups")
+    per_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    gone = scratch.table(per_id.where("component_id < doc_id").select("doc_id"), "gone")
+    many = scratch.table(per_id.where("n > 1 and component_id = doc_id").select("doc_id"), "many")
+    left = docs.join(_small(gone), "doc_id", "left_anti")
+    if not many.isEmpty():
+        again = left.join(_small(many), "doc_id", "left_semi")
+        one = again.groupBy("doc_id").agg(F.min_by(F.struct(*again.columns), F.coalesce("text", F.lit(""))).alias("row"))
+        left = left.join(_small(many), "doc_id", "left_anti").unionByName(one.select("row.*"))
+    return left.select(*docs.columns)

@@ -172,22 +172,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return fit([set(w.split()) for w in rows["words"].to_pylist()], rows["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (score >= 0.5) to ``docs``."""
+def score(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with two more columns (which replace columns of their names):
+    the score, 0 to 1, and 1 where it is 0.5 or more, else 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    fields = [f for f in docs.schema.fields if f.name not in out]
+    kept = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text}`").alias("_text_"))
 
     def scored(batches):
         m = shared.value
         for b in batches:
-            s = pa.array([m.score(text_words(t)) for t in b[text].to_pylist()], pa.float64())
-            kept = [i for i, c in enumerate(b.schema.names) if c not in ("score", "predicted")]
+            s = pa.array([m.score(text_words(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in kept] + [s, pa.compute.greater_equal(s, 0.5).cast(pa.int32())],
-                names=[b.schema.names[i] for i in kept] + ["score", "predicted"])
+                [*b.columns[:-1], s, pa.compute.greater_equal(s, 0.5).cast(pa.int32())], names=[*b.schema.names[:-1], *out])
 
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = type(docs.schema)(list(fields)).add("score", "double").add("predicted", "int")
-    return docs.mapInArrow(scored, schema)
+    schema = type(docs.schema)(list(fields)).add(out[0], "double").add(out[1], "integer")
+    return kept.mapInArrow(scored, schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
