@@ -12,6 +12,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# A chunk is "\nword" or "word"; this finds white space at its ends, or no word.
+_WHITE = r"\s\x1c-\x1f\x{85}\pZ"
+_ODD = rf"^$|^\n[{_WHITE}]|^[\t\v\f\r\x1c-\x1f\x{{85}}\pZ]|[{_WHITE}]$"
 
 # Chunks kept per worker; at the bound the store is emptied and fills anew.
 MAX_CHUNKS = 1_200_000
@@ -32,6 +38,28 @@ def cut_rule(spec: dict) -> str:
     return "whole"
 
 
+def cut_chunks(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Cut texts at spaces: each text's first chunk, the chunks as numbers,
+    and the distinct chunks that the numbers mean."""
+    lists = pc.split_pattern(col, " ")
+    first = lists.offsets.to_numpy()
+    words = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+    return first - first[0], words.indices.to_numpy(), words.dictionary
+
+
+def gather(parts: list[bytes], dtype: np.dtype, first: np.ndarray, number: np.ndarray, skip: int = 0) -> list[np.ndarray]:
+    """The ids of each text, from those of its chunks in text order, without
+    its first ``skip``."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // dtype.itemsize
+    ids = np.frombuffer(b"".join(parts), dtype)
+    n = sizes[number]
+    ends = np.cumsum(n)
+    begin = (np.cumsum(sizes) - sizes)[number] - (ends - n)
+    flat = ids[np.repeat(begin, n) + np.arange(ends[-1] if len(ends) else 0)]
+    ends = np.append(0, ends)
+    return [flat[a + skip:b] for a, b in zip(ends[first[:-1]].tolist(), ends[first[1:]].tolist())]
+
+
 class ChunkEncoder:
     """Encode texts to the little-endian bytes of their ids, without special
     tokens (their strings in a text are ordinary text)."""
@@ -46,7 +74,8 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_chunks = max_chunks
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?"))))
         if self.rule == "lead":
             self.starts = np.zeros(self.tok.get_vocab_size(), bool)
             self.starts[[i for t, i in self.tok.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
@@ -76,51 +105,84 @@ class ChunkEncoder:
         raw, at = ids.tobytes(), cuts.tolist()
         return [raw[a + skip:b] for a, b in zip(at, at[1:])]
 
+    def _with_mark(self, new: list[str]) -> list[str]:
+        """Learn chunks that are a known word and one mark, which both rules
+        encode apart; returns the others."""
+        known, marks, rest = self.known, self.marks, []
+        for c in new:
+            if c and c[-1] in marks and c[:-1].lower().isalpha() and (stem := known.get(c[:-1])) is not None:
+                known[c] = stem + marks[c[-1]]
+            else:
+                rest.append(c)
+        return rest
+
     def _learn(self, chunks: list[str]) -> None:
+        """Store the ids of chunks that are not known."""
         known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if len(known) + len(new) > self.max_chunks:
+        if len(known) + len(chunks) > self.max_chunks:
             known.clear()
-            new = list(dict.fromkeys(chunks))
+        known[""] = b""
         if self.rule == "lead":
-            # A chunk is "\nword" or (written without it) " word"; at an end
-            # that is white space itself the cut is not the tokenizer's.
-            odd = [c for c in new if not c.lstrip("\n") or c[-1].isspace() or c[c[0] == "\n"].isspace()]
-            known.update(dict.fromkeys(odd))
-            new = [c for c in new if c not in known]
+            new = self._with_mark(chunks)
             known.update(zip(new, self._ids_joined([c if c[0] == "\n" else " " + c for c in new])))
-        else:
-            plain = [c for c in new if "|" not in c] if self.bar >= 0 else []
-            known.update(zip(plain, self._ids_joined([" " + c + " " for c in plain])))
-            rest = [c for c in new if c not in known]
-            known.update(zip(rest, self._ids(rest)))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+            return
+        # The tokenizer lowers the text anyway; two letters lower by their
+        # neighbours or to two characters, so they are left to it.
+        low = {c: c if "\u03a3" in c or "\u0130" in c else c.lower() for c in chunks}
+        new = self._with_mark([c for c in dict.fromkeys(low.values()) if c not in known])
+        plain = [c for c in new if "|" not in c] if self.bar >= 0 else []
+        known.update(zip(plain, self._ids_joined([" " + c + " " for c in plain])))
+        rest = [c for c in new if c not in known]
+        known.update(zip(rest, self._ids(rest)))
+        known.update([(c, known[k]) for c, k in low.items()])
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of one text."""
+        return self.encode_column(pa.array([text], pa.large_string()))[0]
+
+    def encode_column(self, col: pa.Array, at_once: int = 1500) -> list[np.ndarray]:
+        """The ids of each text of an Arrow string column (null: none)."""
+        out = []
+        for i in range(0, len(col), at_once):
+            out += self._encode_slice(col.slice(i, at_once).cast(pa.large_string()).fill_null(""))
+        return out
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, self.dtype) for x in self._ids(texts)]
+
+    def _encode_slice(self, col: pa.Array) -> list[np.ndarray]:
         if self.rule == "whole":
-            return self._ids([text])[0]
+            return self._whole(col.to_pylist())
         if self.rule == "lead":
-            chunks = ("\n" + text).replace("\n", " \n").split(" ")
-            del chunks[0]
+            # Chunks: "\nword" at a line's start, else "word", which stands for " word".
+            cut = pc.replace_substring(col, "\n", " \n")
+            cut = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), cut, pa.scalar("", pa.large_string()))
         else:
-            # Lowering here makes more chunks equal; the tokenizer does it anyway.
-            # Two letters lower by their neighbours or to two characters.
-            plain = text if "\u03a3" in text or "\u0130" in text else text.lower()
-            chunks = plain.replace("\n", " ").split(" ")
-        get = self.known.get
-        got = list(map(get, chunks))
+            cut = pc.replace_substring(col, "\n", " ")
+        first, number, distinct = cut_chunks(cut)
+        odd = None
+        if self.rule == "lead":
+            # At an end that is white space itself a cut is not the tokenizer's.
+            odd = pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False)
+            distinct = pc.if_else(odd, "", distinct) if odd.any() else distinct
+        skip = 1 if self.rule == "lead" else 0  # the line end put before the text
+        out = gather(self._chunks(distinct.to_pylist()), self.dtype, first, number, skip)
+        if odd is not None and odd.any():
+            again = np.flatnonzero(np.add.reduceat(odd[number], first[:-1]))
+            for i, ids in zip(again.tolist(), self._whole([col[int(i)].as_py() for i in again])):
+                out[i] = ids
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks."""
+        got = list(map(self.known.get, chunks))
         if None in got:
+            kept = len(self.known)
             self._learn([c for c, v in zip(chunks, got) if v is None])
+            if len(self.known) < kept:  # the store was emptied meanwhile
+                self._learn(list({c for c in chunks if c not in self.known}))
             got = list(map(self.known.get, chunks))
-            if None in got:
-                if any(c not in self.known for c in chunks):  # the store was emptied meanwhile
-                    self._learn(chunks)
-                    got = list(map(self.known.get, chunks))
-                if None in got:
-                    return self._ids([text])[0]
-        ids = b"".join(got)
-        return ids[self.dtype.itemsize:] if self.rule == "lead" else ids
+        return got
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

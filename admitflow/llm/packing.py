@@ -48,11 +48,10 @@ def encode_rest(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Da
     ids left after them."""
     def encode(batches):
         enc = encoder(tokenizer)
-        end = np.asarray([end_id], enc.dtype).tobytes()
-        for b in batches:
+        for b in (b.slice(i, 1500) for b in batches for i in range(0, b.num_rows, 1500)):
             cols = [[], [], [], [], []]
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                ids = np.frombuffer(enc.encode(text or "") + end, enc.dtype)
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), enc.encode_column(b["text"])):
+                ids = np.append(ids, enc.dtype.type(end_id))
                 whole = len(ids) // window
                 rest = ids[whole * window:]
                 for c, v in zip(cols, (doc_id, len(ids), [_crc_ids(ids[i * window:(i + 1) * window]) for i in range(whole)],
@@ -225,21 +224,17 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, window:
 
     def place(batches):
         plan, before, chunk_base, chunks = shared.value
-        width = None
         for b in batches:
             out: list[tuple] = []
-            for r in b.to_pylist():
-                n, rest = r["rest_len"], r["rest"]
-                size = r["doc_tokens"]
-                for i, c in enumerate(r["chunk_crcs"]):
-                    out.append((r["doc_id"], i * window, window, c, size,
-                                plan.combined + chunk_base[r["part"]] + r["chunks_before"] + i, 0, "chunk"))
+            rows = zip(*[b[c].to_pylist() for c in ("doc_id", "doc_tokens", "chunk_crcs", "rest_len", "rest", "part", "rank", "chunks_before")])
+            for doc_id, size, crcs, n, rest, part, rank, ahead in rows:
+                seq = plan.combined + chunk_base[part] + ahead
+                out += [(doc_id, i * window, window, c, size, seq + i, 0, "chunk") for i, c in enumerate(crcs)]
                 if not n:
                     continue
-                width = len(rest) // n
-                ids = np.frombuffer(rest, f"<u{width}")
-                for at, m, seq, off, kind in plan.places(n, before[r["part"], n] + r["rank"], plan.combined + chunks):
-                    out.append((r["doc_id"], size - n + at, m, _crc_ids(ids[at:at + m]), size, seq, off, kind))
+                ids = np.frombuffer(rest, f"<u{len(rest) // n}").astype("<u4")
+                for at, m, seq, off, kind in plan.places(n, before[part, n] + rank, plan.combined + chunks):
+                    out.append((doc_id, size - n + at, m, crc(ids[at:at + m]), size, seq, off, kind))
             cols = list(zip(*out)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.string())],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "kind"])

@@ -44,7 +44,9 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int)
 
         def rows(first):
             for b in chain([first], batches):
-                yield from zip(b["doc_id"].to_pylist(), b["text"].to_pylist())
+                for i in range(0, b.num_rows, 1500):
+                    piece = b.slice(i, 1500)
+                    yield from zip(piece["doc_id"].to_pylist(), [ids.tobytes() + end for ids in enc.encode_column(piece["text"])])
 
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
@@ -53,7 +55,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int)
         store.create_dir(path, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
         with store.open_output_stream(f"{path}/{name}", compression=None) as out:
-            n, tokens = write_token_file(out, ((i, enc.encode(t or "") + end) for i, t in rows(first)), enc.dtype.itemsize)
+            n, tokens = write_token_file(out, rows(first), enc.dtype.itemsize)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"],
                                           "docs": [n], "tokens": [tokens]})
 
