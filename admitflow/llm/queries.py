@@ -46,7 +46,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document."""
     ship_package(spark)
-    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held=0)
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.toxicity_scores(docs, labels, Scratch(spark, "op6"), folds=5, held=0)
 
 
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

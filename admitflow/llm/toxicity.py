@@ -2,17 +2,19 @@
 
 A text is the set of its words and of their beginnings (four and five
 letters, which inflected forms share). The classifier is a logistic regression
-on their presence, toxic texts weighing ``POSITIVE`` times a clean one, fitted to a bounded sample of labelled texts (``MAX_TRAIN``,
-drawn by a hash of the id over all labelled rows of the training folds). Its
-loss has a second term: in every labelled text that names a group, the group's
-name is swapped for each of the other names of the same kind, and the squared
-change of the score is penalised. A name alone then moves no score, so neutral
-mentions of a group are not taken for abuse of it.
-
-The sample's words go to the driver; its vocabulary is the at most ``MAX_WORDS``
-words whose share of toxic texts is ``TELLING`` standard errors off, and all
-names of groups; the fitted weights (as bounded) are
-broadcast, and every whole text of the table is scored where it lies.
+on their presence, toxic texts weighing ``POSITIVE`` times a clean one, fitted
+to a bounded sample of labelled texts (``MAX_TRAIN``, drawn by a hash of the
+id over all labelled rows of the training folds). Its loss has a second term:
+in every labelled text that names a group, the group's name is swapped for
+each of the other names of the same kind, and the squared change of the score
+is penalised. A name alone then moves no score, so neutral mentions of a group
+are not taken for abuse of it.
+
+The sample's words are counted in Spark; its vocabulary is the at most
+``MAX_WORDS`` words whose share of toxic texts is ``TELLING`` standard errors
+off, and all names of groups. The driver gets it and each text as numbers of
+it; the fitted weights (as bounded) are broadcast, and every whole text of the
+table is scored where it lies.
 
 Edge cases: a null or wordless text scores as the intercept alone; labels
 other than 0 and 1 and labels of absent documents are not used; of repeated
@@ -31,6 +33,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MAX_TRAIN = 20_000
 MAX_WORDS = 20_000
 TELLING = 3.0
@@ -89,39 +93,34 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return known.join(docs.select("doc_id", "text"), "doc_id").select("text", "y").limit(max_train)
 
 
-def fit(words: list[set[str]], y: np.ndarray, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL,
-        steps: int = STEPS, max_words: int = MAX_WORDS) -> Model:
-    """Fit on the driver's bounded sample."""
+def telling_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
+    """The vocabulary of a sample (words, y): counted in Spark, at most
+    ``max_words`` of it reach the driver."""
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return []
+    share, names = toxic / n, " ".join(IDENTITY_TERMS.values()).split()
+    counts = sample.select(F.explode("words").alias("word"), "y").groupBy("word").agg(
+        F.count("*").alias("n"), F.sum("y").alias("toxic"))
+    told = F.abs(F.col("toxic") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
+    name = F.col("word").isin(names)
+    kept = counts.withColumn("told", told).withColumn("name", name).where(
+        name | (F.col("n") >= max(3, n // 2000)) & (F.col("told") >= TELLING))
+    return [r["word"] for r in kept.orderBy(F.desc("name"), F.desc("told"), "word").select("word").limit(max_words).collect()]
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, vocabulary: list[str], ridge: float = RIDGE,
+        counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> Model:
+    """Fit the weights of ``vocabulary`` to texts given as numbers of its
+    words (on the driver; texts, words and steps are bounded)."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model({}, float(np.log(p / (1 - p))))
-    counts: dict[str, int] = {}
-    for ws in words:
-        for w in ws:
-            counts[w] = counts.get(w, 0) + 1
-    in_toxic: dict[str, int] = {}
-    for ws, one in zip(words, y):
-        if one:
-            for w in ws:
-                in_toxic[w] = in_toxic.get(w, 0) + 1
-    share, names = y.mean(), set(" ".join(IDENTITY_TERMS.values()).split())
-
-    def told(w: str) -> float:
-        """How far a word's toxic texts are from what the shares alone give, in standard errors."""
-        c = counts[w]
-        return abs(in_toxic.get(w, 0) - share * c) / np.sqrt(share * (1 - share) * c)
-
-    least = max(3, len(y) // 2000)
-    kept = sorted((w for w, c in counts.items() if w in names or c >= least and told(w) >= TELLING),
-                  key=lambda w: (w not in names, -told(w), w))[:max_words]
-    number = {w: i for i, w in enumerate(kept)}
-    rows = [np.fromiter((number[w] for w in ws if w in number), np.int32) for ws in words]
-    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    cols = np.concatenate(rows) if at[-1] else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(y)), np.diff(at))
-    swaps = _swaps(words, number)
-    n, m = len(y), len(kept)
+    n, m = len(y), len(vocabulary)
+    cols = np.concatenate(rows).astype(np.int64)
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    swaps = _swaps(cols, vocabulary)
     weight = np.where(y > 0, POSITIVE, 1.0)
     weight /= weight.sum()
     w, b = np.zeros(m), float(np.log(y.mean() / (1 - y.mean())))
@@ -132,7 +131,7 @@ def fit(words: list[set[str]], y: np.ndarray, ridge: float = RIDGE, counterfactu
         gw = np.bincount(cols, weights=g[row], minlength=m) + ridge * w
         if len(swaps):
             change = w[swaps[:, 0]] - np.where(swaps[:, 1] >= 0, w[swaps[:, 1]], 0.0)
-            pull = counterfactual * change * 2 / n
+            pull = counterfactual * change * swaps[:, 2] * 2 / n
             gw += np.bincount(swaps[:, 0], weights=pull, minlength=m)
             there = swaps[:, 1] >= 0
             gw -= np.bincount(swaps[there, 1], weights=pull[there], minlength=m)
@@ -142,34 +141,40 @@ def fit(words: list[set[str]], y: np.ndarray, ridge: float = RIDGE, counterfactu
         rate = 0.1 * min(1.0, 2.0 * (1 - t / (steps + 1)))
         w -= rate * (mw / (1 - 0.9 ** t)) / (np.sqrt(vw / (1 - 0.99 ** t)) + 1e-5)
         b -= rate * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-5)
-    return Model({k: float(v) for k, v in zip(kept, w)}, float(b))
+    return Model({k: float(v) for k, v in zip(vocabulary, w)}, float(b))
 
 
-def _swaps(words: list[set[str]], number: dict[str, int]) -> np.ndarray:
-    """(word, other word) numbers of all swaps of group names in the sample;
-    -1 stands for a name that the vocabulary has not."""
-    kinds = [k.split() for k in IDENTITY_TERMS.values()]
-    out = []
-    for kind in kinds:
-        names = set(kind)
-        for ws in words:
-            for name in ws & names:
-                if name in number:
-                    out += [(number[name], number.get(o, -1)) for o in kind if o != name]
-    return np.asarray(out, np.int64).reshape(-1, 2)
+def _swaps(cols: np.ndarray, vocabulary: list[str]) -> np.ndarray:
+    """(name, other name, texts with the name) of all swaps of group names in
+    the sample, as numbers of words; -1 is a name that no text has."""
+    number, there = {w: i for i, w in enumerate(vocabulary)}, np.bincount(cols, minlength=len(vocabulary))
+    out = [(number[name], number.get(other, -1), int(there[number[name]]))
+           for kind in IDENTITY_TERMS.values() for name in kind.split() if name in number
+           for other in kind.split() if other != name]
+    return np.asarray(out, np.int64).reshape(-1, 3)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "toxic", folds: int = 5, held: int = 0,
           max_train: int = MAX_TRAIN) -> Model:
     """Fit the classifier on the training folds' labels."""
-    def features(batches):
+    def words(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([" ".join(text_words(t)) for t in b["text"].to_pylist()], pa.string()), b["y"]], names=["words", "y"])
+                [pa.array([list(text_words(t)) for t in b["text"].to_pylist()], pa.list_(pa.string())), b["y"]], names=["words", "y"])
 
     sample = training_sample(docs, labels, label, folds, held, max_train)
-    rows = sample.mapInArrow(features, "words string, y int").toArrow()
-    return fit([set(w.split()) for w in rows["words"].to_pylist()], rows["y"].to_numpy())
+    sample = scratch.table(sample.mapInArrow(words, "words array<string>, y int"), "sample")
+    vocabulary = telling_words(sample)
+    number = {w: i for i, w in enumerate(vocabulary)}
+
+    def numbers(batches):
+        for b in batches:
+            rows = [np.asarray([number[w] for w in ws if w in number], "<i4").tobytes() for ws in b["words"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b["y"]], names=["words", "y"])
+
+    rows = sample.mapInArrow(numbers, "words binary, y int").toArrow()
+    scratch.drop("sample")
+    return fit([np.frombuffer(r, "<i4") for r in rows["words"].to_pylist()], rows["y"].to_numpy(), vocabulary)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -177,21 +182,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str
     the score, 0 to 1, and 1 where it is 0.5 or more, else 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name not in out]
-    kept = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text}`").alias("_text_"))
+    kept = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text}`"))
+    plain = kept.toDF(*[f"c{i}" for i in range(len(fields) + 1)])  # whatever the columns' names are
 
     def scored(batches):
         m = shared.value
         for b in batches:
             s = pa.array([m.score(text_words(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], s, pa.compute.greater_equal(s, 0.5).cast(pa.int32())], names=[*b.schema.names[:-1], *out])
+                [*b.columns[:-1], s, pa.compute.greater_equal(s, 0.5).cast(pa.int32())], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    schema = type(docs.schema)(list(fields)).add(out[0], "double").add(out[1], "integer")
-    return kept.mapInArrow(scored, schema)
+    schema = plain.drop(f"c{len(fields)}").schema.add("score", "double").add("predicted", "integer")
+    return plain.mapInArrow(scored, schema).toDF(*[f.name for f in fields], *out)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int = 5, held: int = 0) -> DataFrame:
     """Scores of all ``docs`` (doc_id, text): doc_id, held_out, score, predicted."""
-    model = train(docs, labels, "toxic", folds, held)
+    model = train(docs, labels, scratch, "toxic", folds, held)
     found = score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (~in_training(F.col("doc_id"), folds, held)).alias("held_out"), "score", "predicted")

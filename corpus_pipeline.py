@@ -27,9 +27,9 @@ WINDOW, END_ID = 1024, 0
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier predicts to be toxic."""
     ship_package(spark)
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.select("*"), model, out=("_score", "_predicted"))
-    return scored.where("_predicted = 0").select(*docs.columns)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "pipeline-labels"))
+    scored = toxicity.score(docs, model, out=("_score", "_predicted"))
+    return scored.where("_predicted = 0").drop("_score", "_predicted")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Confirmed spans of personal data replaced by their kinds."""
     masked = pii.redact_pii(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
