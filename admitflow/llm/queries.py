@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import backoff_lm, lz_fingerprint, ngram_join, nra_topk, packing, pii, token_store, toxicity
+from . import (backoff_lm, chat_hmm, lz_fingerprint, ngram_join, nra_topk, packing, pii, sentencepiece_backend,
+               token_store, toxicity)
 from .common import Scratch
 from .encoding import tokenizer_path
 
@@ -15,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and canonical text of every conversation, read as transcripts;
+    learned from those whose crc32(conv_id as text) mod 5 is not 0."""
+    ship_package(spark)
+    texts = chat_hmm.transcripts(_table(spark, sf_dir, "conversations"))
+    texts = Scratch(spark, "op1").table(texts.withColumn("held_out", ~chat_hmm.in_training(texts["conv_id"])), "texts")
+    return chat_hmm.format_chats(texts, chat_hmm.train(texts.where("not held_out")))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 3-word shingles at 0.9."""
     ship_package(spark)
@@ -56,6 +66,12 @@ def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(_table(spark, sf_dir, "documents"), Scratch(spark, "op7"), folds=7, held=2)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, compared with SentencePiece and decoded."""
+    ship_package(spark)
+    return sentencepiece_backend.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase fingerprints of every document and of its edited text."""
     ship_package(spark)
@@ -68,12 +84,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_hmm": op1_chat_hmm,
     "op2_ngram_join": op2_ngram_join,
     "op3_nra_topk": op3_nra_topk,
     "op4_token_file": op4_token_file,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_backoff_lm": op7_backoff_lm,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_pii": op10_pii,
 }
