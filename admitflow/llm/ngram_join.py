@@ -325,6 +325,10 @@ def first_of_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80
     left = docs.join(_small(gone), "doc_id", "left_anti")
     if not many.isEmpty():
         again = left.join(_small(many), "doc_id", "left_semi")
-        one = again.groupBy("doc_id").agg(F.min_by(F.struct(*again.columns), F.coalesce("text", F.lit(""))).alias("row"))
+        one = again.groupBy("doc_id").agg(F.min_by(F.struct(*_names(again)), F.coalesce("text", F.lit(""))).alias("row"))
         left = left.join(_small(many), "doc_id", "left_anti").unionByName(one.select("row.*"))
-    return left.select(*docs.columns)
+    return left.select(*_names(docs))
+
+
+def _names(df: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in df.columns]

@@ -146,11 +146,16 @@ def _clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _MARK, _STAND_IN)
 
 
+def _as_row(df: DataFrame) -> Column:
+    """All columns as one, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Add column ``out``: array of (kind, start, end, score) by kind in the
     order of ``KINDS``, then start. Input columns of any name stay."""
     names = df.columns
-    tmp = df.select(F.struct(*[df[c] for c in names]).alias("_row")) if names else df
+    tmp = df.select(_as_row(df))
     tmp = tmp.withColumn("_t", _clean(F.col("_row").getField(text)))
     for k in KINDS:
         tmp = _with_spans(tmp, k)
@@ -168,7 +173,7 @@ def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
     ``KINDS`` on the text left by the kinds before; null texts stay null,
     texts without spans stay as they are."""
     names = df.columns
-    tmp = df.select(F.struct(*[df[c] for c in names]).alias("_row"))
+    tmp = df.select(_as_row(df))
     source = F.col("_row").getField(text)
     tmp = tmp.withColumn("_t", _clean(source)).withColumn("_hit", F.lit(False))
     for k in KINDS:
