@@ -166,7 +166,8 @@ def email_key(raw) -> Column:
 def clamp_param(raw, default: int, lo: int, hi: int) -> Column:
     """P10: default when empty or not an integer, else clamped to [lo, hi]."""
     s = _c(raw)
-    n = F.when(s.rlike(r"^[+-]?[0-9]{1,18}$"), s.cast("long"))
+    # 64-bit integers only: longer numbers are not integers to the parser.
+    n = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("long"))
     return (F.when(n.isNull(), F.lit(default))
              .when(n < lo, F.lit(lo)).when(n > hi, F.lit(hi)).otherwise(n)).cast("int")
 

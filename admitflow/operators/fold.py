@@ -56,40 +56,40 @@ def segment_ids(df: DataFrame, key: str, time_col: str, width: int,
     rows), the index of the run of consecutive non-empty ``width``
     buckets the row falls in; 0 for every other row.
 
-    The hot-key list comes from a partial-aggregate count and holds at
-    most rows / hot_key_rows keys; the run table holds one row per
-    (hot key, run). Neither join is hinted: AQE broadcasts them from their
-    runtime size and shuffles when they are large, so the data itself is
-    not shuffled here when no key is hot.
+    All inside one plan: the hot-key list comes from a partial-aggregate
+    count and holds at most rows / hot_key_rows keys (a proven bound, so it
+    is broadcast); rows of other keys pass it without a shuffle, and only
+    rows of hot keys meet the run table (one row per hot key and bucket).
+    Rows with a NULL key or time stay whole.
     """
     if hot_key_rows is None:
         from ..session import hot_key_rows as _conf_rows
         hot_key_rows = _conf_rows(df.sparkSession)
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"))
-             .where(F.col("_n") > hot_key_rows).select(key, F.lit(True).alias("_hot"), "_t0"))
-    if hot.isEmpty():
-        # One small job (a partial-aggregate count) decides the plan: with
-        # no hot key there is nothing to split and no extra pass is added.
-        return df.withColumn("_seg", F.lit(0)).withColumn("_t0", F.lit(None).cast("long"))
+    # At most rows / hot_key_rows keys, so the list may be broadcast.
+    hot = F.broadcast(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"))
+                        .where(F.col("_n") > hot_key_rows).select(key, "_t0"))
+    cold = (df.join(hot, key, "left_anti")
+              .withColumn("_t0", F.lit(None).cast("long")).withColumn("_seg", F.lit(0).cast("long")))
     # Hot keys carry their anchor (first request) explicitly, because their
     # later segments do not start at it; other keys take it in the fold.
-    tagged = df.join(hot, key, "left")
-    rel = F.col(time_col) - (F.coalesce(F.col("_t0"), F.lit(0)) if anchor_first else F.lit(0))
-    tagged = tagged.withColumn("_b", F.floor(rel / F.lit(width)).cast("long"))
+    rel = F.col(time_col) - (F.col("_t0") if anchor_first else F.lit(0))
+    tagged = df.join(hot, key).withColumn("_b", F.floor(rel / F.lit(width)).cast("long"))
     w = Window.partitionBy(key).orderBy("_b")
-    runs = (tagged.where(F.col("_hot")).select(key, "_b").distinct()
+    runs = (tagged.select(key, "_b").distinct()
                   .withColumn("_seg", F.sum(F.when(F.col("_b") - F.lag("_b").over(w) > 1, 1)
                                              .otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    out = tagged.join(runs, [key, "_b"], "left")
-    return out.withColumn("_seg", F.coalesce(F.col("_seg"), F.lit(0))).drop("_b", "_hot")
+    split = (tagged.join(runs, [key, "_b"], "left")
+                   .withColumn("_seg", F.coalesce(F.col("_seg"), F.lit(0).cast("long"))).drop("_b"))
+    return cold.unionByName(split)
 
 
 def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
                make_stepper: StepperFactory, out_fields: list[T.StructField],
                split_width: int | None = None, anchor_first: bool = False,
                num_partitions: int | None = None, extra_inputs: list[str] | None = None,
-               hot_key_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
-    """Run ``make_stepper``'s fold over each key in (time, seq) order.
+               hot_key_rows: int | None = HOT_KEY_ROWS, lead_cols: list[str] | None = None) -> DataFrame:
+    """Run ``make_stepper``'s fold over each key in (time, seq) order
+    (``lead_cols``, if any, come before the time).
 
     Returns ``df`` with ``out_fields`` appended (one output row per input row).
     """
@@ -99,11 +99,15 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
     else:
         df = df.withColumn("_seg", F.lit(0)).withColumn("_t0", F.lit(None).cast("long"))
         part_cols = [key]
+    # Spread by a hash column of the fold's own: no join or aggregate below is
+    # partitioned by it, so the planner cannot take their partitioning for the
+    # fold's (AQE would then be free to split a skewed key over tasks).
+    df = df.withColumn("_fold", F.xxhash64(*part_cols))
     ties = [seq_col] if isinstance(seq_col, str) else list(seq_col)
     # Without an explicit count the shuffle starts at spark.sql.shuffle.partitions
     # and AQE may merge small partitions; hash partitioning keeps keys whole.
-    parted = df.repartition(num_partitions, *part_cols) if num_partitions else df.repartition(*part_cols)
-    ordered = parted.sortWithinPartitions(key, "_seg", time_col, *ties)
+    parted = df.repartition(num_partitions, "_fold") if num_partitions else df.repartition("_fold")
+    ordered = parted.sortWithinPartitions(key, "_seg", *(lead_cols or []), time_col, *ties).drop("_fold")
     in_schema = ordered.schema
     out_schema = T.StructType(list(in_schema.fields) + list(out_fields))
     names = [f.name for f in out_fields]

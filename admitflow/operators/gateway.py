@@ -49,8 +49,9 @@ def gateway_outcome(requests: DataFrame, algorithm: str, limit: int, window_us:
     carry = list(keep) if keep is not None else list(requests.columns)
     need = list(dict.fromkeys(carry + [time_col, seq_col, "status", "path"]))
     err = limiter_error if limiter_error is not None else F.lit(False)
-    st = (requests.withColumn("stage", stage(F.col("path"))).withColumn("_lerr", err)
-                  .withColumn("_auth", (F.col("stage") != "protected") | (F.col("subject") != "")))
+    # NULL subject: no identity; NULL limiter_error: no error; NULL path: no route.
+    st = (requests.withColumn("stage", stage(F.coalesce("path", F.lit("")))).withColumn("_lerr", F.coalesce(err, F.lit(False)))
+                  .withColumn("_auth", (F.col("stage") != "protected") | (F.coalesce("subject", F.lit("")) != "")))
     reaches = F.col("stage").isin("public", "protected") & F.col("_auth") & ~F.col("_lerr")
     key = F.when(F.col("stage") == "protected", F.concat(F.lit("user:"), F.col("subject"))) \
            .otherwise(F.concat(F.lit("ip:"), client_ip("remote_addr")))

@@ -32,9 +32,6 @@ from .fold import check_limit, key_column, keyed_fold
 ALGORITHMS = ("token_bucket", "sliding_window_log", "sliding_window_counter")
 ANCHORS = ("grid", "first_request")
 
-# A denied counter request whose threshold is already met is
-# told to retry after one millisecond.
-COUNTER_MIN_RETRY_US = 1_000
 
 OUT_FIELDS = [
     T.StructField("allowed", T.BooleanType()),
@@ -174,15 +171,17 @@ def sliding_counter_stepper(C: int, W: int, anchored: bool = False):
                     allowed[i] = True
                     remaining[i] = (full - load) // W
                 else:
-                    if prev == 0:
-                        r = rest if curr == 0 else rest + _ceil_div(max(0, curr - C + 1) * W, curr)
+                    # Admitted later in this window once prev * (W - e') <= full - W - curr * W,
+                    # that is e' = W - floor(that / prev); with no room for it even then, or
+                    # with nothing to wait out, when the next window has begun and this one's
+                    # count has faded enough.
+                    room = (C - 1 - curr) * W
+                    if prev and room > 0:
+                        r = min(rest, W - room // prev - e)
+                    elif prev:
+                        r = rest
                     else:
-                        target = C - 1 - curr
-                        if target <= 0:
-                            r = rest
-                        else:
-                            wait = W - (target * W) // prev - e
-                            r = COUNTER_MIN_RETRY_US if wait <= 0 else min(wait, rest)
+                        r = rest + _ceil_div(max(0, curr - C + 1) * W, curr)
                     retry[i] = r
                 reset[i] = rest
             cur[0], cur[1], cur[2], cur[3], cur[4] = k, win, curr, prev, a0

@@ -180,8 +180,9 @@ def events_published(events: DataFrame, republished: DataFrame) -> DataFrame:
 
 def dedupe_envelopes(events: DataFrame) -> DataFrame:
     """The first delivery of each envelope id."""
-    first = events.groupBy("envelope_id").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("deliveries"))
-    return first.join(events.select("seq", "type", "topic"), "seq")
+    first = events.groupBy("envelope_id").agg(F.min_by(F.struct("seq", "type", "topic"), F.col("seq")).alias("_f"),
+                                              F.count(F.lit(1)).alias("deliveries"))
+    return first.select("_f.seq", "envelope_id", "deliveries", "_f.type", "_f.topic")
 
 
 def saga_pairs(decoded: DataFrame, orders: DataFrame) -> DataFrame:
@@ -206,31 +207,59 @@ def stuck_pending(resolved: DataFrame, holds: DataFrame, now_us: Column, max_age
         F.coalesce("held_units", F.lit(0)).cast("bigint").alias("held_units"))
 
 
+def settle(settled: DataFrame, holds: DataFrame, op: str, fails: Column) -> DataFrame:
+    """Settle the holds (``order_id, product_id, quantity``) of ``settled``
+    orders through the stock ledger: ``op`` is ``release`` or ``commit``. A
+    first attempt goes through an order's products in product order and stops
+    at the first that ``fails``; the redelivered event goes through all of them
+    again once the outage is over (both operations are idempotent by the hold).
+    Orders without holds settle at once. Per order: items, settled units,
+    holds settled by the first attempt, attempts, and whether every hold was
+    settled after the first attempt and in the end."""
+    from .ledger import run_ledger
+    done = {"release": "released", "commit": "committed"}[op]
+    items = settled.select("order_id").join(holds, "order_id").withColumn("_fails", F.coalesce(fails, F.lit(False)))
+    stop = items.where("_fails").groupBy("order_id").agg(F.min("product_id").alias("_stop"))
+    items = items.join(stop, "order_id", "left")
+    tries = F.when(F.col("_stop").isNull() | (F.col("product_id") < F.col("_stop")), F.array(F.lit(0), F.lit(1)))
+    tries = F.when(F.col("_stop").isNull(), tries).otherwise(F.array_append(F.coalesce(tries, F.array(F.lit(0))), F.lit(2)))
+    commands = items.withColumn("attempt", F.explode(tries)).select(
+        "product_id", F.col("attempt").cast("long").alias("t_us"), F.col("order_id"), "quantity", "attempt",
+        F.when(F.col("attempt") == 0, "reserve").otherwise(op).alias("op"))
+    stock = items.groupBy("product_id").agg(F.sum("quantity").alias("stock")).withColumn("reserved", F.lit(0))
+    results = run_ledger(commands, stock, ["order_id"]).where(F.col("attempt") > 0)
+    hit = F.col("result") == done
+    per = results.groupBy("order_id").agg(
+        F.sum(F.when(hit, 1).otherwise(0)).alias("_settled"),
+        F.sum(F.when(hit, F.col("hold_qty")).otherwise(0)).alias("units"),
+        F.sum(F.when(hit & (F.col("attempt") == 1), 1).otherwise(0)).alias("first"))
+    count = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("items"), F.max("_stop").isNotNull().alias("_again"))
+    j = settled.select("order_id").join(count, "order_id", "left").join(per, "order_id", "left")
+    items_n, first = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("items", "first"))
+    return j.select("order_id", items_n.alias("items"), F.coalesce("units", F.lit(0)).cast("bigint").alias("units"),
+                    first.alias("first"), F.when(F.coalesce("_again", F.lit(False)), 2).otherwise(1).alias("attempts"),
+                    (first == items_n).alias("settled_first"),
+                    (F.coalesce("_settled", F.lit(0)) == items_n).alias("settled"))
+
+
 def compensate(cancelled: DataFrame, holds: DataFrame, release_fails: Column) -> DataFrame:
     """Release every hold of a cancelled order, in product order, then
     cancel. A failing release stops the pass and leaves the order pending;
-    the redelivered event retries (release is idempotent), so an outage
-    that clears costs one more attempt. Per order: items, units released,
-    releases done on the first attempt, attempts, status after the first
-    attempt and in the end. Orders have at most 50 items, so the
-    per-order window below is bounded."""
-    from pyspark.sql import Window
-    c = cancelled.select("order_id").join(holds, "order_id").withColumn("_fails", release_fails)
-    w = Window.partitionBy("order_id")
-    c = c.withColumn("_ff", F.min(F.when(F.col("_fails"), F.col("product_id"))).over(w))
-    before = F.col("_ff").isNull() | (F.col("product_id") < F.col("_ff"))
-    return c.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.sum("quantity").cast("bigint").alias("released_units"),
-        F.sum(F.when(before, 1).otherwise(0)).cast("bigint").alias("released_first_attempt"),
-        F.when(F.max("_ff").isNull(), 1).otherwise(2).alias("attempts"),
-        F.when(F.max("_ff").isNull(), "cancelled").otherwise("pending").alias("status_after_first"),
-        F.lit("cancelled").alias("status"))
-
-
-def confirm(confirmed: DataFrame, holds: DataFrame) -> DataFrame:
+    the redelivered event retries, so an outage that clears costs one more
+    attempt."""
+    s = settle(cancelled, holds, "release", release_fails)
+    status = lambda c: F.when(c, "cancelled").otherwise("pending")
+    return s.select("order_id", "items", F.col("units").alias("released_units"), F.col("first").alias("released_first_attempt"),
+                    "attempts", status(F.col("settled_first")).alias("status_after_first"), status(F.col("settled")).alias("status"))
+
+
+def settlement_retries(compensated: DataFrame) -> DataFrame:
+    """The retry table of E6: orders still pending after their first attempt."""
+    return compensated.where(F.col("status_after_first") == "pending").select("order_id", F.lit(2).alias("attempt"))
+
+
+def confirm(confirmed: DataFrame, holds: DataFrame, commit_fails: Column | None = None) -> DataFrame:
     """Commit every hold of a confirmed order, then confirm it."""
-    c = confirmed.select("order_id").join(holds, "order_id")
-    return c.groupBy("order_id").agg(F.count(F.lit(1)).alias("items"),
-                                     F.sum("quantity").cast("bigint").alias("committed_units"),
-                                     F.lit("confirmed").alias("status"))
+    s = settle(confirmed, holds, "commit", commit_fails if commit_fails is not None else F.lit(False))
+    return s.select("order_id", "items", F.col("units").alias("committed_units"),
+                    F.when(F.col("settled"), "confirmed").otherwise("pending").alias("status"))

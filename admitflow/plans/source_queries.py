@@ -187,15 +187,16 @@ ORACLES = {
     "src_events": f"WITH {V.SAGA_EVENTS} SELECT topic, partition, \"offset\", key, envelope_id AS id, type, correlation_id, "
                   "payload FROM saga_events",
     "compensate": f"WITH {DECODED}, {_HOLDS}, c AS (SELECT r.order_id, h.product_id, h.quantity, h.product_id % 97 = 0 AS fails "
-                  "FROM resolved r JOIN holds h USING (order_id) WHERE r.status = 'cancelled'), "
+                  "FROM resolved r LEFT JOIN holds h USING (order_id) WHERE r.status = 'cancelled'), "
                   "f AS (SELECT order_id, min(CASE WHEN fails THEN product_id END) AS first_fail FROM c GROUP BY order_id) "
-                  "SELECT c.order_id, COUNT(*) AS items, CAST(SUM(c.quantity) AS BIGINT) AS released_units, "
-                  "CAST(SUM(CASE WHEN f.first_fail IS NULL OR c.product_id < f.first_fail THEN 1 ELSE 0 END) AS BIGINT) "
+                  "SELECT c.order_id, COUNT(c.product_id) AS items, CAST(coalesce(SUM(c.quantity), 0) AS BIGINT) AS released_units, "
+                  "CAST(SUM(CASE WHEN c.product_id IS NOT NULL AND (f.first_fail IS NULL OR c.product_id < f.first_fail) THEN 1 ELSE 0 END) AS BIGINT) "
                   "AS released_first_attempt, CASE WHEN max(f.first_fail) IS NULL THEN 1 ELSE 2 END AS attempts, "
                   "CASE WHEN max(f.first_fail) IS NULL THEN 'cancelled' ELSE 'pending' END AS status_after_first, "
                   "'cancelled' AS status FROM c JOIN f USING (order_id) GROUP BY c.order_id",
-    "confirm": f"WITH {DECODED}, {_HOLDS} SELECT r.order_id, COUNT(*) AS items, CAST(SUM(h.quantity) AS BIGINT) AS committed_units, "
-               "'confirmed' AS status FROM resolved r JOIN holds h USING (order_id) WHERE r.status = 'confirmed' GROUP BY r.order_id",
+    "confirm": f"WITH {DECODED}, {_HOLDS} SELECT r.order_id, COUNT(h.product_id) AS items, "
+               "CAST(coalesce(SUM(h.quantity), 0) AS BIGINT) AS committed_units, 'confirmed' AS status "
+               "FROM resolved r LEFT JOIN holds h USING (order_id) WHERE r.status = 'confirmed' GROUP BY r.order_id",
 }
 
 

@@ -18,11 +18,13 @@ def get_session(master: str | None = None, app: str = "admitflow",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("ADMITFLOW_SHUFFLE_PARTITIONS", "8"))
+    # The cluster's own setting holds unless the caller names a number.
+    parts = shuffle_partitions or os.environ.get("ADMITFLOW_SHUFFLE_PARTITIONS")
+    if parts:
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.session.timeZone", "UTC")
-          .config("spark.sql.shuffle.partitions", str(parts))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -104,12 +106,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    try:
-        if sc is not None:
-            sc.addPyFile(out)
-        else:
-            spark.addArtifacts(out, pyfile=True)
-    except Exception:
-        # Already importable on the workers (e.g. installed); nothing to ship.
-        pass
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(app)
