@@ -48,17 +48,18 @@ def trace_gaps(logs: DataFrame, required: list[str] = REQUIRED_SERVICES) -> Data
 
 # A trace with more lines than this is split into time chunks for TR4.
 HOT_TRACE_LINES = None  # None: spark.admitflow.hotKeyRows
-TRACE_CHUNKS = 256
 
 
 def step_latency(logs: DataFrame, hot_trace_lines: int | None = HOT_TRACE_LINES) -> DataFrame:
     """TR4: time from the previous step of the same trace.
 
     Ordinary traces use ``lag`` over one window per id. A hot trace (more
-    than ``hot_trace_lines`` lines) is cut into time chunks: ``lag`` runs
-    per (id, chunk) and a chunk's first line takes the last step of the
-    previous non-empty chunk from the small per-chunk table, so the
-    result is the same and no task holds the whole trace.
+    than ``hot_trace_lines`` lines) is cut into time chunks of about that many
+    lines: ``lag`` runs per (id, chunk) and a chunk's first line takes the last
+    step of the previous non-empty chunk from the small per-chunk table, so
+    the result is the same and no task holds the whole trace. Both kinds are
+    in one plan; the list of hot traces has at most lines / hot_trace_lines
+    rows, so it is broadcast.
     """
     if hot_trace_lines is None:
         from ..session import hot_key_rows
@@ -66,26 +67,20 @@ def step_latency(logs: DataFrame, hot_trace_lines: int | None = HOT_TRACE_LINES)
     lines = logs.where(F.col("correlation_id").isNotNull())
     pos = F.struct("ts_us", "service", "line_no")
     step = F.struct(F.col("ts_us").alias("ts_us"), F.col("service").alias("service"))
-    hot = (lines.groupBy("correlation_id").agg(F.count(F.lit(1)).alias("_n"), F.min("ts_us").alias("_t0"),
-                                               F.max("ts_us").alias("_t1"))
-                .where(F.col("_n") > hot_trace_lines))
-    if hot.isEmpty():
-        w = Window.partitionBy("correlation_id").orderBy("ts_us", "service", "line_no")
-        prev = F.lag(step).over(w)
-        d = lines.withColumn("_prev", prev)
-    else:
-        width = F.greatest(F.lit(1), F.floor((F.col("_t1") - F.col("_t0")) / TRACE_CHUNKS) + 1)
-        tagged = (lines.join(hot.select("correlation_id", "_t0", "_t1"), "correlation_id", "left")
-                       .withColumn("_chunk", F.when(F.col("_t0").isNull(), F.lit(0))
-                                   .otherwise(F.floor((F.col("ts_us") - F.col("_t0")) / width))))
-        wi = Window.partitionBy("correlation_id", "_chunk").orderBy("ts_us", "service", "line_no")
-        last = (tagged.where(F.col("_t0").isNotNull())
-                      .groupBy("correlation_id", "_chunk").agg(F.max_by(step, pos).alias("_last")))
-        wc = Window.partitionBy("correlation_id").orderBy("_chunk")
-        carry = last.select("correlation_id", "_chunk", F.lag("_last").over(wc).alias("_carry"))
-        d = (tagged.withColumn("_in", F.lag(step).over(wi))
-                   .join(carry, ["correlation_id", "_chunk"], "left")
-                   .withColumn("_prev", F.coalesce("_in", "_carry")))
+    hot = F.broadcast(lines.groupBy("correlation_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("ts_us").alias("_t0"), F.max("ts_us").alias("_t1")).where(F.col("_n") > hot_trace_lines))
+    w = Window.partitionBy("correlation_id").orderBy("ts_us", "service", "line_no")
+    plain = lines.join(hot, "correlation_id", "left_anti").withColumn("_prev", F.lag(step).over(w))
+    width = F.floor((F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / F.lit(max(1, hot_trace_lines)))) + 1
+    tagged = (lines.join(hot, "correlation_id")
+                   .withColumn("_chunk", F.floor((F.col("ts_us") - F.col("_t0")) / width)).drop("_n", "_t0", "_t1"))
+    wi = Window.partitionBy("correlation_id", "_chunk").orderBy("ts_us", "service", "line_no")
+    last = tagged.groupBy("correlation_id", "_chunk").agg(F.max_by(step, pos).alias("_last"))
+    wc = Window.partitionBy("correlation_id").orderBy("_chunk")
+    carry = last.select("correlation_id", "_chunk", F.lag("_last").over(wc).alias("_carry"))
+    split = (tagged.withColumn("_in", F.lag(step).over(wi)).join(carry, ["correlation_id", "_chunk"], "left")
+                   .withColumn("_prev", F.coalesce("_in", "_carry")).drop("_chunk", "_in", "_carry"))
+    d = plain.unionByName(split)
     return d.select("correlation_id", "line_no", "service", "msg", "ts_us",
                     F.col("_prev.service").alias("prev_service"),
                     (F.col("ts_us") - F.col("_prev.ts_us")).alias("gap_us"))

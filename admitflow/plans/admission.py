@@ -3,18 +3,23 @@
 Serial meaning: orders in ``order_id`` order; an order is admitted iff
 every one of its lines fits the stock left by the earlier admitted
 orders. That crosses product keys, so no single partitioning decides it.
-Instead a fixpoint over statuses unknown / yes / no: each round takes two
-running sums per product in order-id order, ``hi`` over earlier orders not
-yet refused and ``lo`` over earlier admitted orders. A line surely fits
-if hi + q <= stock and surely fails if lo + q > stock; an order is yes
+Instead a fixpoint over statuses unknown / yes / no: each round knows per
+line ``lo``, the units of earlier admitted orders of its product, and takes a
+running sum ``ahead`` of the earlier undecided ones. A line surely fits if
+lo + ahead + q <= stock and surely fails if lo + q > stock; an order is yes
 when all its lines surely fit, no when any surely fails. The earliest
-undecided order is always decidable, so every round makes progress.
+undecided order is always decidable, so every round makes progress, and
+there are at most as many rounds as orders in a chain of dependencies (no
+cap: valid data always settles).
 
-Each round is a window over the lines plus a group-by per order; the
-status table is checkpointed between rounds into the shared checkpoint
-directory, so a lost executor recomputes one round, not the history.
-Transient holds of refused orders, which concurrent requests could see in
-a live service, do not exist under serial semantics.
+Products whose whole demand fits their stock bind nobody; their lines are
+left out from the start. A round holds undecided lines only: what the round
+before admitted is added to ``lo`` and then dropped. It costs two shuffles of
+them (by product chunk for the sums, by order for the verdicts). Its table is
+written to the shared checkpoint directory, undecided and decided lines apart;
+the undecided part of the round before is then removed. Transient holds of
+refused orders, which concurrent requests could see in a live service, do
+not exist under serial semantics.
 """
 
 from __future__ import annotations
@@ -22,31 +27,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import Rounds
 
-MAX_ROUNDS = 500
-# A product with more merged lines than this gets its running sums in two
-# levels (see ``prefix_sums``) instead of one window over the product.
-HOT_PRODUCT_LINES = None  # None: spark.admitflow.hotKeyRows
-CHUNKS = 256
+# Lines of one task's running sums, on average: a product's lines are summed in
+# chunks of the order-id range, so a hot product is spread over tasks.
+CHUNK_LINES = 500_000
 
 
 def prefix_sums(df: DataFrame, key: str, order: str, values: dict[str, Column],
-                width: int | None) -> DataFrame:
+                width: int) -> DataFrame:
     """Exclusive running sums of ``values`` per ``key`` in ``order`` order
     (strictly earlier rows; ``order`` is unique within a key).
 
-    ``width=None``: one window per key. Otherwise two levels, so a key with
-    a third of all rows is not one task: totals per (key, order // width)
-    chunk, a carry per chunk from the small chunk table, then running sums
-    inside each (key, chunk) plus that carry.
+    Two levels, so a key with a third of all rows is not one task: totals
+    per (key, order // width) chunk, a carry per chunk from the small chunk
+    table, then running sums inside each (key, chunk) plus that carry.
     """
-    if width is None:
-        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        out = df
-        for name, v in values.items():
-            out = out.withColumn(name, F.coalesce(F.sum(v).over(w), F.lit(0)))
-        return out
     d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
     for name, v in values.items():
         d = d.withColumn(f"_v_{name}", v)
@@ -62,48 +58,48 @@ def prefix_sums(df: DataFrame, key: str, order: str, values: dict[str, Column],
     return out.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
 
 
-def admit_orders(lines: DataFrame, products: DataFrame, max_rounds: int = MAX_ROUNDS,
-                 hot_product_lines: int | None = HOT_PRODUCT_LINES) -> DataFrame:
-    """Return ``order_id, admitted, decided_round`` for every order with lines."""
+SCHEMA = ["order_id", "product_id", "q", "stock", "lo", "st", "open"]
+
+
+def admit_orders(lines: DataFrame, products: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Return ``order_id, admitted, decided_round`` for every order with lines.
+    A line of an unknown product refuses its order."""
+    rounds = Rounds(lines.sparkSession, "admission")
     merged = (lines.groupBy("order_id", "product_id").agg(F.sum("quantity").cast("long").alias("q"))
                    .join(products.select("product_id", F.col("stock").cast("long").alias("stock")),
                          "product_id", "left"))
-    merged = cut_lineage(merged)
-    status = cut_lineage(merged.select("order_id").distinct()
-                               .withColumn("st", F.lit("u")).withColumn("decided_round", F.lit(None).cast("int")))
-    # One small job decides whether any product is hot; if so the running
-    # sums use chunks of the order-id range.
-    width = None
-    if hot_product_lines is None:
-        from ..session import hot_key_rows
-        hot_product_lines = hot_key_rows(lines.sparkSession)
-    hot = merged.groupBy("product_id").count().where(F.col("count") > hot_product_lines)
-    if not hot.isEmpty():
-        lo_id, hi_id = merged.agg(F.min("order_id"), F.max("order_id")).first()
-        width = max(1, (hi_id - lo_id + 1) // CHUNKS + 1)
-    for rnd in range(1, max_rounds + 1):
-        # Only products that still carry an undecided order need new sums;
-        # decided orders keep their status, so each round works on the
-        # shrinking slice of the lines those products hold.
-        undecided = status.where(F.col("st") == "u").select("order_id")
-        active = merged.join(undecided, "order_id", "left_semi").select("product_id").distinct()
-        j = (merged.join(active, "product_id", "left_semi")
-                   .join(status.select("order_id", "st"), "order_id"))
-        j = prefix_sums(j, "product_id", "order_id",
-                        {"_hi": F.when(F.col("st") != "n", F.col("q")).otherwise(0),
-                         "_lo": F.when(F.col("st") == "y", F.col("q")).otherwise(0)}, width)
-        lines_r = (j.withColumn("fits", F.col("stock").isNotNull() & (F.col("_hi") + F.col("q") <= F.col("stock")))
-                    .withColumn("fails", F.col("stock").isNull() | (F.col("_lo") + F.col("q") > F.col("stock")))
-                    .where(F.col("st") == "u"))
-        per = lines_r.groupBy("order_id").agg(F.bool_and("fits").alias("all_fit"),
-                                              F.bool_or("fails").alias("any_fail"))
-        decided = (per.where(F.col("all_fit") | F.col("any_fail"))
-                      .select("order_id", F.when(F.col("any_fail"), "n").otherwise("y").alias("_new")))
-        nxt = status.join(decided, "order_id", "left").select(
-            "order_id",
-            F.coalesce(F.col("_new"), F.col("st")).alias("st"),
-            F.when(F.col("_new").isNotNull(), F.lit(rnd)).otherwise(F.col("decided_round")).alias("decided_round"))
-        status = cut_lineage(nxt)
-        if status.where(F.col("st") == "u").isEmpty():
-            return status.select("order_id", (F.col("st") == "y").alias("admitted"), "decided_round")
-    raise RuntimeError(f"admission did not settle in {max_rounds} rounds")
+    merged = rounds.write(merged, "lines")
+    demand = merged.groupBy("product_id").agg(F.sum("q").alias("_total"))
+    binding = demand.join(merged.select("product_id", "stock").distinct(), "product_id").where("_total > stock").select("product_id")
+    held = merged.join(binding, "product_id", "left_semi").unionByName(merged.where("stock IS NULL"))
+    now = rounds.write(held.select("order_id", "product_id", "q", "stock", F.lit(0).cast("long").alias("lo"),
+                                   F.lit("u").alias("st"), F.lit(1).alias("open")), "round-0", "open")
+    n, least, most = now.agg(F.count("*"), F.min("order_id"), F.max("order_id")).first()
+    width = max(1, (most - least + 1) * chunk_lines // n + 1) if n and least is not None else 1
+    per_order = Window.partitionBy("order_id")
+    done, k = [], 0
+    while rounds.exists(f"round-{k}/open=1"):
+        k += 1
+        sums = prefix_sums(now, "product_id", "order_id",
+                           {"_yes": F.when(F.col("st") == "y", F.col("q")).otherwise(0),
+                            "_ahead": F.when(F.col("st") == "u", F.col("q")).otherwise(0)}, width)
+        open_lines = sums.where("st = 'u'").withColumn("lo", F.col("lo") + F.col("_yes"))
+        fits = F.coalesce(F.col("lo") + F.col("_ahead") + F.col("q") <= F.col("stock"), F.lit(False))
+        fails = F.coalesce(F.col("lo") + F.col("q") > F.col("stock"), F.lit(True))
+        judged = open_lines.withColumn("_fits", F.min(fits).over(per_order)).withColumn("_fails", F.max(fails).over(per_order))
+        st = F.when(F.col("_fails"), "n").when(F.col("_fits"), "y").otherwise("u")
+        step = judged.withColumn("st", st).withColumn("open", F.when(F.col("st") == "u", 1).otherwise(0)).select(*SCHEMA)
+        now = rounds.write(step, f"round-{k}", "open")
+        rounds.drop(f"round-{k - 1}/open=1")
+        done.append(now.where("open = 0").select("order_id", (F.col("st") == "y").alias("admitted"),
+                                                 F.lit(k).alias("decided_round")))
+    # Orders of unbound lines alone are admitted at once.
+    known = merged.select("order_id").distinct()
+    if not done:
+        return known.select("order_id", F.lit(True).alias("admitted"), F.lit(1).alias("decided_round"))
+    decided = done[0]
+    for d in done[1:]:
+        decided = decided.unionByName(d)
+    decided = decided.distinct()
+    return known.join(decided, "order_id", "left").select(
+        "order_id", F.coalesce("admitted", F.lit(True)).alias("admitted"), F.coalesce("decided_round", F.lit(1)).alias("decided_round"))

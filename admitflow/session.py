@@ -72,6 +72,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iterative job, written below the shared checkpoint
+    directory (so lost executors recompute one round) and removed when the
+    next round has used them up."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        import uuid
+        self.spark = spark
+        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        w = df.write.mode("overwrite")
+        (w.partitionBy(by) if by else w).parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def _path(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        p, fs = self._path(name)
+        return fs.exists(p)
+
+    def drop(self, name: str) -> None:
+        p, fs = self._path(name)
+        fs.delete(p, True)
+
+
 HOT_KEY_ROWS_CONF = "spark.admitflow.hotKeyRows"
 DEFAULT_HOT_KEY_ROWS = 1_000_000
 

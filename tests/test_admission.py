@@ -11,10 +11,10 @@ from conftest import SF001
 import pytest
 
 
-@pytest.mark.parametrize("hot", [None, 0])
-def test_fixpoint_matches_serial_admission(spark, hot):
-    # hot=0 makes every product hot, so the two-level running sums run.
-    kw = {} if hot is None else {"hot_product_lines": hot}
+@pytest.mark.parametrize("chunk", [None, 50])
+def test_fixpoint_matches_serial_admission(spark, chunk):
+    # 50: many chunks, so the running sums are carried from chunk to chunk.
+    kw = {} if chunk is None else {"chunk_lines": chunk}
     res = {r.order_id: r.admitted
            for r in admit_orders(order_lines(spark, SF001), products(spark, SF001), **kw).collect()}
     lines = duckdb.sql(f"SELECT l_orderkey, l_partkey, SUM(CAST(l_quantity AS INTEGER)) FROM "
@@ -60,3 +60,17 @@ def test_fixpoint_equals_serial_on_random_shops(spark, orders, stock):
                 left[p - 1] -= q
         want[o + 1] = ok
     assert got == want
+
+
+def test_long_chains_settle_and_rounds_are_removed(spark):
+    """Order i takes the last unit of product i only if order i - 1 was
+    refused: one round an order."""
+    rows, n = [], 30
+    for i in range(1, n + 1):
+        rows += [(i, i, 1), (i, i + 1, 1)]
+    lines = spark.createDataFrame(rows + [(n + 1, 999, 1), (n + 2, 500, 1)], "order_id long, product_id long, quantity int")
+    prods = spark.createDataFrame([(i, 1) for i in range(1, n + 2)] + [(500, 9)], "product_id long, stock int")
+    got = {r.order_id: (r.admitted, r.decided_round) for r in admit_orders(lines, prods).collect()}
+    assert {i: a for i, (a, _) in got.items()} == {i: i % 2 == 1 for i in range(1, n + 1)} | {n + 1: False, n + 2: True}
+    assert max(r for _, r in got.values()) > 10
+    assert admit_orders(lines.limit(0), prods).count() == 0
