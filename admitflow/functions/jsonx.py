@@ -17,13 +17,14 @@ MAX_BODY_BYTES = 1 << 20
 # The event payload fields and their JSON kinds.
 EVENT_FIELDS = {
     "OrderCreated": {"order_id": "string", "user_id": "string", "amount_cents": "int",
-                     "currency": "string", "items": "array"},
+                     "currency": "string", "items": [{"product_id": "string", "quantity": "int"}]},
     "PaymentSucceeded": {"order_id": "string", "payment_id": "string", "amount_cents": "int",
                          "currency": "string"},
     "PaymentFailed": {"order_id": "string", "reason": "string"},
 }
 
-_KIND = {"string": ["STRING"], "int": ["BIGINT", "INT", "SMALLINT", "TINYINT"], "array": None}
+# A kind is the name of a scalar, or [fields] for an array of objects.
+_KIND = {"string": ["STRING"], "int": ["BIGINT", "INT", "SMALLINT", "TINYINT"]}
 
 
 ALL_FIELDS = sorted({f for fs in EVENT_FIELDS.values() for f in fs})
@@ -38,12 +39,44 @@ def payload_struct(payload: Column) -> Column:
     return F.from_json(payload, schema, {"columnNameOfCorruptRecord": BAD_RECORD, "mode": "PERMISSIVE"})
 
 
-def _field_ok(p: Column, field: str, kind: str) -> Column:
-    """Missing, null or of the right kind (one type lookup per field)."""
-    t = F.coalesce(F.schema_of_variant(p.getField(field)), F.lit("VOID"))
-    if kind == "array":
-        return F.substring_index(t, "<", 1).isin("VOID", "ARRAY")
-    return t.isin("VOID", *_KIND[kind])
+def _type(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _elements(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _value_ok(v: Column, kind) -> Column:
+    """Missing, null or of the right kind, array elements included."""
+    t = _type(v)
+    if not isinstance(kind, list):
+        return t.isin("VOID", *_KIND[kind])
+
+    def element_ok(x):
+        ok = F.lit(True)
+        for f, k in kind[0].items():
+            ok = ok & _value_ok(F.try_variant_get(x, f"$.{f}", "variant"), k)
+        return (_type(x) == "VOID") | (_type(x).startswith("OBJECT") & ok)
+
+    return (t == "VOID") | (t.startswith("ARRAY") & F.coalesce(F.forall(_elements(v), element_ok), F.lit(True)))
+
+
+def _field_ok(p: Column, field: str, kind) -> Column:
+    return _value_ok(p.getField(field), kind)
+
+
+def _unknown_inside(v: Column, kind) -> Column:
+    """Some element of an array of objects has a field that is not listed."""
+    if not isinstance(kind, list):
+        return F.lit(False)
+    names = F.array(*[F.lit(f) for f in kind[0]])
+
+    def odd(x):
+        keys = F.coalesce(F.json_object_keys(F.to_json(x)), F.array().cast("array<string>"))
+        return F.size(F.array_except(keys, names)) > 0
+
+    return F.coalesce(F.exists(_elements(v), odd), F.lit(False))
 
 
 def decode_event(type_col: Column, p: Column, expected: Column | str) -> tuple[Column, Column]:
@@ -72,10 +105,11 @@ def event_field(p: Column, field: str, as_type: str = "string") -> Column:
     return F.try_variant_get(p.getField(field), "$", as_type)
 
 
-def strict_decode(body: Column, allowed: list[str]) -> Column:
+def strict_decode(body: Column, allowed: list[str] | dict) -> Column:
     """Reason a request body is rejected, or NULL. Order: too large,
     malformed or not an object, a second document after the first, an
-    unknown field. A single document is proven by parsing the body inside
+    unknown field (nested ones too), a field of the wrong type. ``allowed``
+    names the fields, as a list (any type) or with their kinds. A single document is proven by parsing the body inside
     a wrapper that also carries a key derived from the body: trailing
     text breaks the wrapper."""
     tag = F.concat(F.lit("k"), F.md5(body))
@@ -88,8 +122,13 @@ def strict_decode(body: Column, allowed: list[str]) -> Column:
     keys = F.json_object_keys(body)
     unknown = F.size(F.array_except(F.coalesce(keys, F.array().cast("array<string>")),
                                     F.array(*[F.lit(a) for a in allowed])))
+    unknown_inside, typed = F.lit(False), F.lit(True)
+    for f, kind in (allowed.items() if isinstance(allowed, dict) else ()):
+        field = F.try_variant_get(v, f"$.{f}", "variant")
+        unknown_inside, typed = unknown_inside | _unknown_inside(field, kind), typed & _value_ok(field, kind)
     return (F.when(F.octet_length(body) > MAX_BODY_BYTES, F.lit("request body too large"))
              .when(v.isNull() | ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
                    F.lit("malformed JSON"))
              .when(~F.coalesce(single, F.lit(False)), F.lit("request body must contain a single JSON object"))
-             .when(unknown > 0, F.lit("unknown field")))
+             .when((unknown > 0) | unknown_inside, F.lit("unknown field"))
+             .when(~typed, F.lit("field has the wrong type")))

@@ -40,8 +40,8 @@ def q_orphan_holds(spark, sf):
 
 
 def q_admit_orders(spark, sf):
-    """I6 (rows-only for the driver; brute-force serial check in tests)."""
-    return admit_orders(VW.order_lines(spark, sf), VW.products(spark, sf))
+    """Which orders are admitted."""
+    return admit_orders(VW.order_lines(spark, sf), VW.products(spark, sf)).select("order_id", "admitted")
 
 
 QUERIES = {
@@ -119,4 +119,21 @@ ORACLES = {
                              "SELECT h.order_id, h.product_id, h.lq AS quantity, coalesce(o.status, 'missing') AS order_status "
                              "FROM lastchg h LEFT JOIN orders_v o USING (order_id) WHERE h.lr = 'reserved' "
                              "AND (o.status IS NULL OR o.status IN ('confirmed', 'cancelled'))",
+    # One order a step: its lines against what the steps before left.
+    "admit_orders": """WITH RECURSIVE need AS MATERIALIZED (
+  SELECT l_orderkey AS o, l_partkey AS p, CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
+ranked AS MATERIALIZED (SELECT o, row_number() OVER (ORDER BY o) AS k FROM (SELECT DISTINCT o FROM need)),
+step AS MATERIALIZED (SELECT r.k, n.o, n.p, n.q FROM need n JOIN ranked r USING (o)),
+t(kind, id, val) USING KEY (kind, id) AS (
+  SELECT 'stock' AS kind, CAST(p_partkey AS BIGINT) AS id, CAST(p_size * 20 AS BIGINT) AS val FROM part
+  UNION ALL SELECT 'step', 0, 0
+  UNION
+  (WITH cur AS (SELECT val + 1 AS k FROM t WHERE kind = 'step'),
+   ln AS (SELECT s.o, s.p, s.q, r.val AS have FROM step s JOIN cur c ON s.k = c.k
+          LEFT JOIN recurring.t r ON r.kind = 'stock' AND r.id = s.p),
+   ok AS (SELECT o, bool_and(coalesce(have >= q, false)) AS fits FROM ln GROUP BY o)
+   SELECT 'stock', ln.p, ln.have - ln.q FROM ln JOIN ok USING (o) WHERE ok.fits
+   UNION ALL SELECT 'order', ok.o, CAST(ok.fits AS BIGINT) FROM ok
+   UNION ALL SELECT 'step', 0, c.k FROM cur c WHERE EXISTS (SELECT 1 FROM ok)))
+SELECT id AS order_id, val = 1 AS admitted FROM t WHERE kind = 'order'""",
 }

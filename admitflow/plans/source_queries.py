@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import strict_decode
+from ..functions.jsonx import EVENT_FIELDS, strict_decode
 from ..functions.scalars import count_tokens, redact_tokens
 from ..operators import metrics as M
 from ..operators import saga as SG
@@ -126,8 +126,7 @@ def strict_bodies(spark, sf) -> DataFrame:
 def q_strict_decode(spark, sf):
     """P11 (rows-only): first reason a request body is refused."""
     b = strict_bodies(spark, sf)
-    return b.select("seq", strict_decode(F.col("body"), ["order_id", "user_id", "amount_cents", "currency", "items"])
-                    .alias("reason"))
+    return b.select("seq", strict_decode(F.col("body"), EVENT_FIELDS["OrderCreated"]).alias("reason"))
 
 
 def _holds(spark, sf):
