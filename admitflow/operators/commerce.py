@@ -99,7 +99,7 @@ def price_orders(lines: DataFrame, products: DataFrame) -> DataFrame:
                   F.bool_and(F.col("_price").isNotNull()).alias("all_known"),
                   F.sum(F.col("_price") * F.col("quantity")).cast("bigint").alias("_total"),
                   F.max_by("_cur", line_position(lines)).alias("currency"),
-                  (F.countDistinct("_cur") > 1).alias("mixed_currency"))
+                  F.coalesce(F.min("_cur") != F.max("_cur"), F.lit(False)).alias("mixed_currency"))
              .select("order_id", "n_lines", "all_known",
                      F.when(F.col("all_known"), F.col("_total")).alias("total_cents"),
                      "currency", "mixed_currency"))

@@ -161,7 +161,7 @@ def _fields_ok() -> str:
     arms = []
     for etype, fields in EVENT_FIELDS.items():
         conds = " AND ".join(f"(json_type(payload, '$.{f}') IS NULL OR json_type(payload, '$.{f}') = 'NULL' "
-                             f"OR json_type(payload, '$.{f}') IN {_KINDS[k]})" for f, k in fields.items())
+                             f"OR json_type(payload, '$.{f}') IN {_KINDS[k if isinstance(k, str) else 'array']})" for f, k in fields.items())
         arms.append(f"WHEN type = '{etype}' THEN {conds}")
     return "CASE " + " ".join(arms) + " ELSE false END"
 

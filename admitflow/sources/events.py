@@ -71,16 +71,30 @@ def kafka_frame(records: DataFrame) -> DataFrame:
                                            F.col("correlation_id").cast("binary").alias("value"))).alias("headers"))
 
 
+FILE_PARTITIONS = 3
+
+
+def file_frame(records: DataFrame) -> DataFrame:
+    """Records with the columns that :func:`read_events` reads, filled in as
+    the broker would: a partition by key, an offset that ascends within a
+    writer's rows, a write time. Columns that the records have are kept."""
+    have = set(records.columns)
+    partition = F.pmod(F.xxhash64(F.coalesce("key", F.lit(""))), F.lit(FILE_PARTITIONS)).cast("int")
+    fill = {"partition": partition, "offset": F.monotonically_increasing_id(), "timestamp": F.current_timestamp()}
+    out = records.withColumns({c: v for c, v in fill.items() if c not in have})
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in ENVELOPE_SCHEMA.fields])
+
+
 def write_events(records: DataFrame, *, bootstrap: str | None = None, path: str | None = None,
                  mode: str = "append") -> None:
     """S2 sink (batch): Kafka when ``bootstrap`` is given, else parquet
-    partitioned by topic."""
+    partitioned by topic, which ``read_events`` reads back whole."""
     if bootstrap:
         kafka_frame(records).write.format("kafka").option("kafka.bootstrap.servers", bootstrap).save()
         return
     if path is None:
         raise ValueError("write_events needs bootstrap servers or a path")
-    records.write.mode(mode).partitionBy("topic").parquet(path)
+    file_frame(records).write.mode(mode).partitionBy("topic").parquet(path)
 
 
 ENVELOPE_FIELDS = "id STRING, type STRING, correlation_id STRING"

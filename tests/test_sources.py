@@ -85,3 +85,12 @@ def test_read_events_as_a_stream(spark):
     got = spark.table("s1_stream")
     assert got.count() == ev.where(F.col("topic") == "order.created").count()
     assert got.select("topic").distinct().collect()[0].topic == "order.created"
+
+
+def test_written_outcomes_read_back_whole(spark, tmp_path):
+    pay = spark.createDataFrame([("1", "p1", "succeeded", 5, "USD", None), ("2", "p2", "failed", 6, "USD", "no")],
+                                "order_id string, payment_id string, status string, amount_cents long, currency string, failure_reason string")
+    write_events(envelope_records(pay), path=str(tmp_path / "log"))
+    got = read_events(spark, ["payment.succeeded", "payment.failed"], path=str(tmp_path / "log"), stream=False).collect()
+    assert sorted(r.key for r in got) == ["1", "2"]
+    assert all(r.partition is not None and r.offset is not None and r.timestamp is not None and r.value for r in got)
