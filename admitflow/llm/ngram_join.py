@@ -4,10 +4,10 @@ Two documents link when ``den * |A and B| >= num * |A or B|``. Sets of sizes
 a and b that link differ in at most ``(a + b) (den - num) / (den + num)``
 elements, so sizes are put into bands and each band has a bound ``k`` on the
 difference. The feature domain is partitioned in two levels by hash: into n1
-parts, each of ``SECOND`` pieces. With 2 * n1 > k, two linked sets differ in at
-most one element in some part, so they agree there on all pieces but one:
-every choice of ``SECOND - 1`` pieces of a part, with its number, is hashed to
-a signature, and linked sets share one at least. A set near a band's upper
+parts, each of n2 pieces. With 2 * n1 > k, two linked sets differ in at most one
+element in some part, so they agree there on all pieces but one: every choice of
+n2 - 1 pieces of a part, with its number, is hashed to a signature, and linked
+sets share one at least (n2 = 3: more, finer signatures; 2: fewer, coarser). A set near a band's upper
 end takes the next band's signatures, too.
 
 Candidates are then reduced and checked exactly, without ever emitting all
@@ -15,14 +15,14 @@ pairs of a group:
 
 1. Copies (equal sets) are one node. Signatures are aggregated to their
    smallest and largest node before and after the shuffle; those of one node
-   are dropped. Signatures with the same nodes count once.
-2. In every bucket the nodes are paired with its smallest one; pairs that
-   size and a 256-bit parity sketch (a lower bound of the difference) do not
-   rule out are checked on the whole sets. Their links give components.
-3. Where a bucket's nodes are not all in one component yet, the pairs across
-   components are run through sketch and size in blocks of bounded size, and
-   those left are checked on the whole sets, too. So every linked pair is
-   either linked through others already or checked itself.
+   are dropped. Of buckets with more rows the nodes are fetched, and buckets of
+   the same nodes count once.
+2. A node is paired with its buckets' smallest ones. Pairs that size and a
+   parity sketch (a lower bound of the difference) rule out go, the others are
+   checked on the whole sets. The links give components.
+3. Pairs across components in every bucket are run through size and sketch in
+   blocks of bounded size; those left are checked on the whole sets, too. So every linked pair is either linked through others already or
+   checked itself.
 
 Sets are compared by 64-bit hashes of their n-grams, nodes are 64-bit hashes
 of sets. Edge cases: a null text, or one without words, has the empty set and
@@ -45,7 +45,7 @@ from .components import components
 from .textkernel import mix, text_buffer, word_hashes
 
 BAND = 1.5  # largest size of a band over its smallest
-SECOND = 3  # pieces of a part
+SKETCH = 6  # least bits of a sketch for each element
 BLOCK = 512  # nodes of a bucket compared at once with as many
 BROADCAST_ROWS = 1_500_000  # a pair of longs each; larger sides are shuffled
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -76,8 +76,8 @@ def shingle_sets(col, n: int):
 class Bands:
     """Size bands and the signature scheme of each."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, second: int = 3):
+        self.num, self.den, self.second = num, den, second
         self.low, self.high = [1], [1]
 
     def difference(self, sizes: int) -> int:
@@ -102,7 +102,7 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a set of 64-bit items."""
     if not len(items):
         return np.zeros(0, np.uint64)
-    out = []
+    out, second = [], bands.second
     spread = mix(items ^ _STEP[2])
     with np.errstate(over="ignore"):
         for band, k in bands.of(len(items)):
@@ -111,12 +111,12 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
                 out.append(mix(np.asarray([spread.sum(dtype=np.uint64)]) + salt))
                 continue
             n1 = (k + 2) // 2
-            piece = (items >> np.uint64(32)) % np.uint64(n1) * np.uint64(SECOND) + (items & np.uint64(0xFFFFFFFF)) % np.uint64(SECOND)
-            sums = np.zeros(n1 * SECOND, np.uint64)
+            piece = (items >> np.uint64(32)) % np.uint64(n1) * np.uint64(second) + (items & np.uint64(0xFFFFFFFF)) % np.uint64(second)
+            sums = np.zeros(n1 * second, np.uint64)
             np.add.at(sums, piece.astype(np.int64), spread)
-            sums = mix(sums + np.arange(n1 * SECOND, dtype=np.uint64) * _STEP[1]).reshape(n1, SECOND)
+            sums = mix(sums + np.arange(n1 * second, dtype=np.uint64) * _STEP[1]).reshape(n1, second)
             rest = sums.sum(1, dtype=np.uint64)
-            parts = np.arange(n1 * SECOND, dtype=np.uint64).reshape(n1, SECOND)
+            parts = np.arange(n1 * second, dtype=np.uint64).reshape(n1, second)
             out.append(mix(rest[:, None] - sums + parts * _STEP[2] + salt).ravel())  # all pieces but one
     return np.concatenate(out)
 
@@ -125,11 +125,23 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a, np.uint64).view(np.int64)
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """256 parities of the items: two sets' sketches differ in at most as
-    many bits as the sets in elements."""
-    odd = np.bincount((items % np.uint64(256)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(items: np.ndarray) -> bytes:
+    """Parities of the items by hash, in a power of two of bits that grows
+    with the set: two sets' sketches, folded to one length, differ in at most
+    as many bits as the sets in elements."""
+    bits = 1 << max(8, (SKETCH * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all of the shortest one's length."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), np.uint64)
+    for i, b in enumerate(sketches):
+        words = np.frombuffer(b, np.uint64)
+        out[i] = np.bitwise_xor.reduce(words.reshape(-1, least // 8), axis=0) if len(b) > least else words
+    return out
 
 
 def node_of(items: np.ndarray) -> int:
@@ -137,8 +149,7 @@ def node_of(items: np.ndarray) -> int:
         return int(_signed(mix(np.asarray([mix(items + _STEP[0]).sum(dtype=np.uint64) + np.uint64(len(items))])))[0])
 
 
-SETS = "doc_id long, n_shingles long, node long, sigs array<long>, s0 long, s1 long, s2 long, s3 long"
-_INFO = ["n_shingles", "s0", "s1", "s2", "s3"]
+SETS = "doc_id long, n_shingles long, node long, sigs array<long>, sketch binary"
 
 
 def _slices(batches):
@@ -147,9 +158,9 @@ def _slices(batches):
             yield b.slice(i, 500)
 
 
-def _sets(n: int, num: int, den: int):
+def _sets(n: int, num: int, den: int, second: int):
     def sets(batches):
-        bands = Bands(num, den)
+        bands = Bands(num, den, second)
         for b in _slices(batches):
             sizes, nodes, sigs, sketches = [], [], [], []
             for items in shingle_sets(b["text"], n):
@@ -158,12 +169,11 @@ def _sets(n: int, num: int, den: int):
                 sigs.append(_signed(signatures(items, bands)))
                 sketches.append(sketch(items))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            four = np.stack(sketches) if sketches else np.zeros((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))),
-                 *[pa.array(four[:, j]) for j in range(4)]],
-                names=["doc_id", "n_shingles", "node", "sigs", "s0", "s1", "s2", "s3"])
+                 pa.array(sketches, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "sigs", "sketch"])
     return sets
 
 
@@ -174,16 +184,26 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches do not rule out."""
-    info = nodes.select("node", *_INFO)
     for side in "ab":
-        pairs = pairs.join(info.select(*[F.col(c).alias(f"{c}_{side}") for c in _INFO], F.col("node").alias(side)), side)
-    small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
-    bits = sum(F.bit_count(F.col(f"s{j}_a").bitwiseXOR(F.col(f"s{j}_b"))) for j in range(4))
-    return pairs.where((small * den >= large * num) & (bits * (den + num) <= (small + large) * (den - num))).select("a", "b")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
+    sized = pairs.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    for side in "ab":
+        sized = sized.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def near(batches):
+        for b in batches:
+            keep = []
+            for x, y, n in zip(b["sketch_a"].to_pylist(), b["sketch_b"].to_pylist(), (b["n_a"].to_numpy() + b["n_b"].to_numpy()).tolist()):
+                two = folded([x, y])
+                keep.append(int(np.bitwise_count(two[0] ^ two[1]).sum()) * (den + num) <= n * (den - num))
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int,
+            unique: bool) -> DataFrame:
+    """The pairs (a, b) whose whole sets link; ``unique``: no doc_id repeats."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = scratch.table(wanted.join(nodes.select("node", "rep"), "node"), f"{name}-wanted")
 
@@ -194,7 +214,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
                                               pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "items"])
 
     texts = docs.select("doc_id", "text").join(_small(wanted).withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = texts.select("node", "text").mapInArrow(items, "node long, items binary").dropDuplicates(["node"])
+    sets = texts.select("node", "text").mapInArrow(items, "node long, items binary")
+    if not unique:  # rows of one doc_id may be copies
+        sets = sets.dropDuplicates(["node"])
     sets = scratch.table(sets, f"{name}-sets")
     left = pairs.join(sets.withColumnsRenamed({"node": "a", "items": "items_a"}), "a")
     both = left.join(sets.withColumnsRenamed({"node": "b", "items": "items_b"}), "b")
@@ -219,7 +241,7 @@ def _across(num: int, den: int):
     that sizes and sketches do not rule out; rows come sorted by bucket."""
     def run(rows: dict) -> tuple[np.ndarray, np.ndarray]:
         size, comp, node = rows["n_shingles"], rows["comp"], rows["node"]
-        bits = np.stack([rows[f"s{j}"] for j in range(4)], 1).view(np.uint64)
+        bits = folded(rows["sketch"].tolist())
         cross = rows["one"][0] != rows["two"][0]
         out_a, out_b = [], []
         for i in range(len(node)):
@@ -265,60 +287,64 @@ def _far_pairs(kept: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, d
     """Pairs to check across the components that buckets still span."""
     placed = kept.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     spans = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    rows = placed.join(spans, "sig").join(nodes.select("node", *_INFO), "node")
+    rows = placed.join(spans, "sig").join(nodes.select("node", "n_shingles", "sketch"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    rows = rows.select("sig", "one", "two", "block", "node", "comp", *_INFO)
+    rows = rows.select("sig", "one", "two", "block", "node", "comp", "n_shingles", "sketch")
     parts = shuffle_partitions(kept.sparkSession)
     dealt = rows.repartition(parts, "sig", "one", "two").sortWithinPartitions("sig", "one", "two")
     return dealt.mapInArrow(_across(num, den), "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, second: int = 2) -> DataFrame:
     """A row per document of ``docs`` (doc_id, text): doc_id, n_shingles, and
     component_id, the smallest doc_id among the documents reachable by links."""
     docs = docs.select("doc_id", "text")
-    sets = scratch.table(docs.mapInArrow(_sets(n, num, den), SETS), "sets")
+    sets = scratch.table(docs.mapInArrow(_sets(n, num, den, second), SETS), "sets")
+    unique = sets.groupBy("doc_id").count().where("count > 1").isEmpty()
     # Copies: one node, in numbers only.
-    nodes = sets.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in _INFO])
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
+                                                               F.first("sketch").alias("sketch"))
     nodes = scratch.table(nodes, "nodes")
+    rows = scratch.table(sets.select("doc_id", "n_shingles", "node"), "rows")
     signs = sets.where("node is not null").select(F.explode("sigs").alias("sig"), "node")
-    shared = signs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("sig")
+    shared = signs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo != hi")
     shared = scratch.table(shared, "shared")
-    members = scratch.table(signs.join(_small(shared), "sig").distinct(), "members")
+    large = scratch.table(shared.where("n > 2").select("sig"), "large")
+    members = scratch.table(signs.join(_small(large), "sig").distinct(), "members")
+    scratch.drop("sets", "large")
     # Buckets of the same nodes count once (two independent 31-bit sums).
     halves = [F.sum(F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 31))).alias(f"h{s}") for s in (1, 2)]
     buckets = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("a"), *halves)
     buckets = buckets.groupBy("n", "a", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "n", "a")
     kept = scratch.table(members.join(buckets, "sig"), "kept")
-    scratch.drop("shared", "members")
-    pairs = kept.where("node != a").select("a", F.col("node").alias("b")).distinct()
-    pairs = scratch.table(_possible(pairs, nodes, num, den), "pairs-1")
-    links = _linked(pairs, nodes, docs, scratch, "one", n, num, den)
+    scratch.drop("members")
+    pairs = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(kept.where("node != a").select("a", F.col("node").alias("b")))
+    pairs = scratch.table(_possible(pairs.distinct(), nodes, num, den), "pairs")
+    scratch.drop("shared")
+    links = _linked(pairs, nodes, docs, scratch, "one", n, num, den, unique)
     labels = components(links, scratch, "first")
     more = _far_pairs(kept.select("sig", "n", "node"), labels, nodes, num, den)
     more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if not more.isEmpty():
-        links = links.unionByName(_linked(more, nodes, docs, scratch, "two", n, num, den))
+        links = links.unionByName(_linked(more, nodes, docs, scratch, "two", n, num, den, unique))
         labels = components(links, scratch, "second")
     joined = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = scratch.table(joined.join(smallest, "comp").select("node", "component_id"), "ids")
-    scratch.drop("kept", "pairs-1", "pairs-2")
-    rows = sets.select("doc_id", "n_shingles", "node")
+    scratch.drop("kept", "pairs", "pairs-2", "nodes")
     linked = rows.where("node is not null").join(ids, "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
-def first_of_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def first_of_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, second: int = 2) -> DataFrame:
     """``docs`` (any columns besides doc_id and text) without the documents
     whose group has a smaller doc_id. Rows of one doc_id are one document, of
     which the row with the smallest text stays; rows without a doc_id stay."""
-    groups = scratch.table(similar_groups(docs, scratch, n, num, den).where("doc_id is not null"), "groups")
+    groups = scratch.table(similar_groups(docs, scratch, n, num, den, second).where("doc_id is not null"), "groups")
     per_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     gone = scratch.table(per_id.where("component_id < doc_id").select("doc_id"), "gone")
     many = scratch.table(per_id.where("n > 1 and component_id = doc_id").select("doc_id"), "many")

@@ -28,7 +28,7 @@ def op1_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 3-word shingles at 0.9."""
     ship_package(spark)
-    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"), n=3, num=90, den=100)
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"), n=3, num=90, den=100, second=3)
 
 
 def op3_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def test_similar_groups_of_no_documents(spark):
 
 @pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (50, 100), (1, 1)])
 def test_linked_sets_share_a_signature(num, den):
-    r, bands = np.random.default_rng(4), NJ.Bands(num, den)
+    r, bands = np.random.default_rng(4), NJ.Bands(num, den, 2 + num % 4 // 2)
     linked = 0
     for _ in range(1500):
         a = np.unique(r.integers(0, 1 << 63, r.integers(1, 80), dtype=np.uint64))
@@ -102,7 +102,8 @@ def test_linked_sets_share_a_signature(num, den):
             assert set(NJ.signatures(a, bands).tolist()) & set(NJ.signatures(b, bands).tolist())
             diff = len(a) + len(b) - 2 * common
             assert diff <= bands.difference(len(a) + len(b))
-            assert np.bitwise_count(NJ.sketch(a).view(np.uint64) ^ NJ.sketch(b).view(np.uint64)).sum() <= diff
+            two = NJ.folded([NJ.sketch(a), NJ.sketch(b)])
+            assert np.bitwise_count(two[0] ^ two[1]).sum() <= diff
     assert linked > 100
 
 
