@@ -20,6 +20,8 @@ MAX_ITEMS_PER_ORDER = 50
 # Charge (payment service).
 ORDER_ID_REQUIRED = "order_id is required"
 AMOUNT_NOT_POSITIVE = "amount_cents must be positive"
+RESERVATION_IDS_REQUIRED = "order_id and product_id are required"
+RESERVATION_BAD_QUANTITY = "quantity must be positive"
 
 # Sign-up (auth service).
 EMAIL_REQUIRED = "email is required"

@@ -88,6 +88,13 @@ def validate_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
                     why.isNull().alias("valid"))
 
 
+def reservation_reason(order_id: Column, product_id: Column, quantity: Column) -> Column:
+    """Why a reservation request is refused, or NULL."""
+    blank = (F.coalesce(order_id, F.lit("")) == "") | (F.coalesce(product_id, F.lit("")) == "")
+    return (F.when(blank, M.RESERVATION_IDS_REQUIRED)
+             .when(F.coalesce(quantity, F.lit(0)) <= 0, M.RESERVATION_BAD_QUANTITY))
+
+
 def price_orders(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Price every line from the catalog; an unknown product rejects the
     whole order; total = sum(price x qty); currency = the last line's (kept

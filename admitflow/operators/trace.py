@@ -36,6 +36,15 @@ def traces(logs: DataFrame) -> DataFrame:
                 .withColumn("duration_us", F.col("end_us") - F.col("start_us")))
 
 
+def trace_steps(logs: DataFrame) -> DataFrame:
+    """TR2: every trace's steps in time order, a row a step with its number.
+    Numbers are running counts: per (id, service) totals are not needed, and
+    a window over one id spills, so no trace is held in memory."""
+    w = Window.partitionBy("correlation_id").orderBy("ts_us", "service", "line_no")
+    return (logs.where(F.col("correlation_id").isNotNull())
+                .select("correlation_id", F.row_number().over(w).cast("bigint").alias("step"), "ts_us", "service", "msg"))
+
+
 def trace_gaps(logs: DataFrame, required: list[str] = REQUIRED_SERVICES) -> DataFrame:
     """TR3: ids whose trace misses a required service."""
     seen = (logs.where(F.col("correlation_id").isNotNull())

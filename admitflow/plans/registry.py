@@ -14,8 +14,9 @@ from . import saga_queries as SQ
 from . import ledger_queries as GQ
 from . import trace_queries as TQ
 from . import source_queries as XQ
+from . import view_queries as WQ
 
-MODULES = (LQ, RQ, CQ, SQ, GQ, TQ, XQ)
+MODULES = (LQ, RQ, CQ, SQ, GQ, TQ, XQ, WQ)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
