@@ -90,7 +90,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     if n > max_train:
         share = max_train / n * 0.95
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return known.join(docs.select("doc_id", "text"), "doc_id").select("text", "y").limit(max_train)
+    # At most max_train pairs of numbers: small enough to broadcast, so texts are not shuffled.
+    return docs.select("doc_id", "text").join(F.broadcast(known.limit(max_train)), "doc_id").select("text", "y")
 
 
 def telling_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
@@ -158,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
           max_train: int = MAX_TRAIN) -> Model:
     """Fit the classifier on the training folds' labels."""
     def words(batches):
-        for b in batches:
+        for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(text_words(t)) for t in b["text"].to_pylist()], pa.list_(pa.string())), b["y"]], names=["words", "y"])
 
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def numbers(batches):
-        for b in batches:
+        for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             rows = [np.asarray([number[w] for w in ws if w in number], "<i4").tobytes() for ws in b["words"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b["y"]], names=["words", "y"])
 
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str
 
     def scored(batches):
         m = shared.value
-        for b in batches:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             s = pa.array([m.score(text_words(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], s, pa.compute.greater_equal(s, 0.5).cast(pa.int32())], names=[*b.schema.names[:-1], "score", "predicted"])
