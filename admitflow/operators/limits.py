@@ -226,6 +226,83 @@ def rate_limit(df: DataFrame, key: str | Column, algorithm, limit: int, window_u
                       anchor_first=anchored, num_partitions=num_partitions, **extra)
 
 
+def _side_by_side(makes: dict):
+    """One stepper that runs several over the same rows."""
+    def make(cur=None):
+        runs = {name: m() for name, m in makes.items()}
+
+        def run(ident, times, anchors):
+            return {f"{name}_{k}": v for name, r in runs.items() for k, v in r(ident, times, anchors).items()}
+        return run
+    return make
+
+
+def _per_value(make_one, name: str):
+    """A stepper that keeps one state per value of an extra input within a
+    key (a few values, such as the gateways), beside one for the whole key."""
+    def make(cur=None):
+        whole, parts = make_one(), {}
+
+        def run(ident, times, anchors, values):
+            out = {f"all_{k}": v for k, v in whole(ident, times, anchors).items()}
+            rows: dict = {}
+            for i, v in enumerate(values):
+                rows.setdefault(v, []).append(i)
+            for v, at in rows.items():
+                if v not in parts:
+                    parts[v] = make_one()
+                got = parts[v]([ident[i] for i in at], [times[i] for i in at], None)
+                for k, x in got.items():
+                    col = out.setdefault(f"{name}_{k}", [None] * len(times))
+                    for i, y in zip(at, x):
+                        col[i] = y
+            return out
+        return run
+    return make
+
+
+def _prefixed(name: str) -> list[T.StructField]:
+    return [T.StructField(f"{name}_{f.name}", f.dataType) for f in OUT_FIELDS]
+
+
+def rate_limits(df: DataFrame, key: str | Column, algorithms: dict[str, tuple[str, str]], limit: int, window_us: int,
+                time_col: str = "t_us", seq_col: str = "seq", carry: list[str] | None = None) -> DataFrame:
+    """Decide every row by several limiters (name -> (algorithm, anchor)) and
+    return a row per limiter, tagged ``algorithm``. Limiters whose hot keys
+    split at the same points share one shuffle, sort and pass: all on the
+    grid, and the counters anchored at a key's first request."""
+    check_limit(limit, window_us)
+    df, kname = key_column(df, key, "key")
+    cols = [kname, time_col, seq_col, *(carry or [])]
+    out = None
+    for anchored in (False, True):
+        some = {n: a for n, (a, anchor) in algorithms.items() if (a == "sliding_window_counter" and anchor == "first_request") == anchored}
+        if not some:
+            continue
+        steppers = {"token_bucket": token_bucket_stepper, "sliding_window_log": sliding_log_stepper,
+                    "sliding_window_counter": lambda c, w: sliding_counter_stepper(c, w, anchored)}
+        folded = keyed_fold(df.select(*cols), kname, time_col, seq_col,
+                            _side_by_side({n: steppers[a](limit, window_us) for n, a in some.items()}),
+                            [f for n in some for f in _prefixed(n)], split_width=window_us, anchor_first=anchored)
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("algorithm"), *[F.col(f"{n}_{f.name}").alias(f.name) for f in OUT_FIELDS])
+                                   for n in some]))
+        rows = folded.select(*cols, each.alias("_d")).select("_d.algorithm", *cols, *[f"_d.{f.name}" for f in OUT_FIELDS])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def shared_and_split(df: DataFrame, key: str | Column, split: str, limit: int, window_us: int,
+                     time_col: str = "t_us", seq_col: str = "seq") -> DataFrame:
+    """Token buckets of whole keys and of each (key, ``split`` value) in one
+    pass: appends ``allowed_shared`` and ``allowed_split``."""
+    check_limit(limit, window_us)
+    df, kname = key_column(df, key, "key")
+    out = keyed_fold(df, kname, time_col, seq_col, _per_value(token_bucket_stepper(limit, window_us), "split"),
+                     _prefixed("all") + _prefixed("split"), split_width=window_us, extra_inputs=[split])
+    keep = [F.col(c) for c in df.columns]
+    return out.select(*keep, F.col("all_allowed").alias("allowed_shared"), F.col("split_allowed").alias("allowed_split"))
+
+
 def fixed_window(df: DataFrame, key: str | Column, limit: int, window_us: int,
                  time_col: str = "t_us", seq_col: str = "seq") -> DataFrame:
     """Plain fixed window on the grid: the first ``limit`` requests of each

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import limit_key, rate_headers
-from ..operators.limits import fixed_window, rate_limit, trailing_window_count
+from ..operators.limits import fixed_window, rate_limit, rate_limits, shared_and_split, trailing_window_count
 from ..sources.views import requests
 from .limiter_oracles import limiter_oracles, limiter_report_oracles
 from .params import LIMIT, WINDOW_US
@@ -70,14 +70,7 @@ ALGOS = {
 def all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log decided by each algorithm, tagged ``algorithm``."""
     req = requests(spark, sf_dir).select(*FOLD_INPUT)
-    key = limit_key("subject", "remote_addr")
-    out = None
-    for name, (algo, anchor) in ALGOS.items():
-        d = (rate_limit(req, key, algo, LIMIT, WINDOW_US, anchor=anchor)
-             .select(F.lit(name).alias("algorithm"), "request_id", "key", "t_us", "seq", "allowed",
-                     "remaining", "reset_after_us", "retry_after_us", "state_entries"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return rate_limits(req, limit_key("subject", "remote_addr"), ALGOS, LIMIT, WINDOW_US, carry=["request_id"])
 
 
 def limiter_decisions(spark, sf):
@@ -121,12 +114,8 @@ def limiter_state_size(spark, sf):
 
 def _per_instance(spark, sf):
     req = requests(spark, sf).select(*FOLD_INPUT, "instance")
-    shared = rate_limit(req, limit_key("subject", "remote_addr"), "token_bucket", LIMIT, WINDOW_US) \
-        .select("request_id", "key", "instance", F.col("allowed").alias("allowed_shared"))
-    inst_key = F.concat(limit_key("subject", "remote_addr"), F.lit("@"), F.col("instance"))
-    per = rate_limit(req, inst_key, "token_bucket", LIMIT, WINDOW_US) \
-        .select("request_id", F.col("allowed").alias("allowed_per_instance"))
-    return shared.join(per, "request_id")
+    both = shared_and_split(req, limit_key("subject", "remote_addr"), "instance", LIMIT, WINDOW_US)
+    return both.withColumnRenamed("allowed_split", "allowed_per_instance")
 
 
 def shared_vs_per_instance(spark, sf):
