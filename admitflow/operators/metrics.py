@@ -105,14 +105,26 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, ps: list[floa
     """Exact interpolated percentiles (``quantile_cont``) per group.
 
     Works on the (group, value) histogram: rank r's value is the smallest
-    value whose cumulative count exceeds r. Memory per group is its number
-    of distinct values, not its number of rows, and the window that ranks
-    values runs on that much smaller histogram.
+    value whose cumulative count exceeds r. The ranking works on that much
+    smaller histogram in two levels: values are cut into ranges (sixteen to
+    a doubling, so at most a couple of thousand a group), counts are summed
+    inside each range, and the ranges' totals are carried over; no task
+    holds a group's whole histogram.
     """
     h = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group).orderBy(value)
-    h = (h.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_n", F.sum("_c").over(Window.partitionBy(*group))))
+    v = F.col(value).cast("double")
+    h = h.withColumn("_r", F.coalesce(F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 16), F.lit(0.0)))
+    upto = Window.unboundedPreceding
+    totals = h.groupBy(*group, "_r").agg(F.sum("_c").alias("_t"))
+    wr = Window.partitionBy(*group)
+    carry = (totals.withColumn("_before", F.sum("_t").over(wr.orderBy("_r").rowsBetween(upto, 0)) - F.col("_t"))
+                   .withColumn("_n", F.sum("_t").over(wr)).drop("_t"))
+    inside = Window.partitionBy(*group, "_r").orderBy(value).rowsBetween(upto, 0)
+    same = F.col("h._r") == F.col("c._r")
+    for g in group:  # a NULL group is a group, too
+        same = same & F.col(f"h.{g}").eqNullSafe(F.col(f"c.{g}"))
+    h = (h.alias("h").join(carry.alias("c"), same).select("h.*", "c._before", "c._n")
+          .withColumn("_cum", F.col("_before") + F.sum("_c").over(inside)))
     aggs = []
     for p, nm in zip(ps, names):
         pos = F.lit(p) * (F.col("_n") - 1)

@@ -44,3 +44,14 @@ def test_label_cardinality_sketch_is_close(spark):
     assert a.requests == e.requests and a.series_by_route == e.series_by_route
     assert abs(a.series_by_path - e.series_by_path) <= 3 * 0.02 * e.series_by_path + 1  # 3 x rsd
     assert e.series_by_path > 10 * e.series_by_route  # the bounded label is the point
+
+
+def test_exact_percentiles_equal_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(g, int(v)) for g, n in (("a", 1000), ("b", 1), (None, 37)) for v in np.exp(rng.normal(8, 3, n))] + [("a", 0), ("a", -5)]
+    got = M.exact_percentiles(spark.createDataFrame(rows, "g string, v long"), ["g"], "v", [0.0, 0.5, 0.99, 1.0], ["p0", "p50", "p99", "p100"])
+    for r in got.collect():
+        vals = [v for g, v in rows if g == r.g]
+        assert np.allclose([r.p0, r.p50, r.p99, r.p100], np.quantile(vals, [0, 0.5, 0.99, 1.0]))
+    assert got.count() == 3
