@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc, pack_ints, shuffle_partitions, unpack_ints
 from .textkernel import mix, text_buffer, word_hashes
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 PRIOR = 1024.0  # weight of the unigram beside a state's own count; held-out scores are flat around it
 END = np.uint64(0x5BD1E9955BD1E995)  # the end token's hash
 BLOCKS = "block long, docs int, doc_ids binary, id_null binary, n_tokens binary, words binary, stream binary"
