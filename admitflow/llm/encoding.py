@@ -198,6 +198,12 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def drop_encoders() -> None:
+    """Forget this worker's encoders: workers are used again by later
+    operators, whose tasks call this so that the store's memory is theirs."""
+    _ENCODERS.clear()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

@@ -42,11 +42,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_partitions
 from .components import components
+from .encoding import drop_encoders
 from .textkernel import mix, text_buffer, word_hashes
 
 BAND = 1.5  # largest size of a band over its smallest
-SKETCH = 6  # least bits of a sketch for each element
-BLOCK = 512  # nodes of a bucket compared at once with as many
+SKETCH = 4  # least bits of a sketch for each element
+BLOCK = 1024  # nodes of a bucket compared at once with as many
+SKETCH_BYTES = 48 << 20  # sketches that may be sent to every task; more are shuffled
 BROADCAST_ROWS = 1_500_000  # a pair of longs each; larger sides are shuffled
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -160,6 +162,7 @@ def _slices(batches):
 
 def _sets(n: int, num: int, den: int, second: int):
     def sets(batches):
+        drop_encoders()
         bands = Bands(num, den, second)
         for b in _slices(batches):
             sizes, nodes, sigs, sketches = [], [], [], []
@@ -191,7 +194,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
         sized = sized.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
 
     def near(batches):
-        for b in batches:
+        drop_encoders()
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             keep = []
             for x, y, n in zip(b["sketch_a"].to_pylist(), b["sketch_b"].to_pylist(), (b["n_a"].to_numpy() + b["n_b"].to_numpy()).tolist()):
                 two = folded([x, y])
@@ -208,6 +212,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
     wanted = scratch.table(wanted.join(nodes.select("node", "rep"), "node"), f"{name}-wanted")
 
     def items(batches):
+        drop_encoders()
         for b in _slices(batches):
             found = [(w, s) for w, s in zip(b["node"].to_pylist(), shingle_sets(b["text"], n)) if len(s) and node_of(s) == w]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()),
@@ -222,6 +227,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
     both = left.join(sets.withColumnsRenamed({"node": "b", "items": "items_b"}), "b")
 
     def check(batches):
+        drop_encoders()
         for b in batches:
             keep = []
             for x, y in zip(b["items_a"], b["items_b"]):
@@ -236,12 +242,17 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
     return out
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, sent=None):
     """Pairs of one bucket's block (pairs of blocks) in different components
-    that sizes and sketches do not rule out; rows come sorted by bucket."""
+    that sizes and sketches do not rule out; rows come sorted by bucket.
+    ``sent``: a broadcast of node -> (size, sketch), if rows have not got them."""
     def run(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        size, comp, node = rows["n_shingles"], rows["comp"], rows["node"]
-        bits = folded(rows["sketch"].tolist())
+        comp, node = rows["comp"], rows["node"]
+        if sent is not None:
+            sizes, sketches = zip(*map(sent.value.__getitem__, node.tolist()))
+            size, bits = np.asarray(sizes, np.int64), folded(sketches)
+        else:
+            size, bits = rows["n_shingles"], folded(rows["sketch"].tolist())
         cross = rows["one"][0] != rows["two"][0]
         out_a, out_b = [], []
         for i in range(len(node)):
@@ -259,6 +270,7 @@ def _across(num: int, den: int):
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def across(batches):
+        drop_encoders()
         held: list = []
         last = None
         for b in batches:
@@ -283,19 +295,26 @@ def _across(num: int, den: int):
     return across
 
 
-def _far_pairs(kept: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _far_pairs(kept: DataFrame, labels: DataFrame, nodes: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Pairs to check across the components that buckets still span."""
     placed = kept.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     spans = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    rows = placed.join(spans, "sig").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = scratch.table(placed.join(spans, "sig").select("sig", "n", "node", "comp"), "far")
+    known = scratch.table(rows.select("node").distinct().join(nodes.select("node", "n_shingles", "sketch"), "node"), "far-nodes")
+    columns, sent = ["sig", "one", "two", "block", "node", "comp"], None
+    if (known.agg(F.sum(F.length("sketch") + 32)).first()[0] or 0) <= SKETCH_BYTES:
+        t = known.toArrow()  # bounded by SKETCH_BYTES
+        sent = nodes.sparkSession.sparkContext.broadcast(
+            dict(zip(t["node"].to_pylist(), zip(t["n_shingles"].to_pylist(), t["sketch"].to_pylist()))))
+    else:
+        rows, columns = rows.join(known, "node"), [*columns, "n_shingles", "sketch"]
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    rows = rows.select("sig", "one", "two", "block", "node", "comp", "n_shingles", "sketch")
     parts = shuffle_partitions(kept.sparkSession)
-    dealt = rows.repartition(parts, "sig", "one", "two").sortWithinPartitions("sig", "one", "two")
-    return dealt.mapInArrow(_across(num, den), "a long, b long").distinct()
+    dealt = rows.select(*columns).repartition(parts, "sig", "one", "two").sortWithinPartitions("sig", "one", "two")
+    return dealt.mapInArrow(_across(num, den, sent), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, second: int = 2) -> DataFrame:
@@ -326,7 +345,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80,
     scratch.drop("shared")
     links = _linked(pairs, nodes, docs, scratch, "one", n, num, den, unique)
     labels = components(links, scratch, "first")
-    more = _far_pairs(kept.select("sig", "n", "node"), labels, nodes, num, den)
+    more = scratch.table(_far_pairs(kept.select("sig", "n", "node"), labels, nodes, scratch, num, den), "far-pairs")
     more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if not more.isEmpty():
         links = links.unionByName(_linked(more, nodes, docs, scratch, "two", n, num, den, unique))
@@ -334,7 +353,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80,
     joined = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = scratch.table(joined.join(smallest, "comp").select("node", "component_id"), "ids")
-    scratch.drop("kept", "pairs", "pairs-2", "nodes")
+    scratch.drop("kept", "pairs", "pairs-2", "nodes", "far", "far-nodes", "far-pairs")
     linked = rows.where("node is not null").join(ids, "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -21,7 +21,7 @@ _FAR[0] = 1  # words of up to 4096 bytes hash the same wherever they stand
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES[_SPACE] = 0
-_WINDOW = 1 << 22
+_WINDOW = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .encoding import drop_encoders
 
 MAX_TRAIN = 20_000
 MAX_WORDS = 20_000
@@ -159,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
           max_train: int = MAX_TRAIN) -> Model:
     """Fit the classifier on the training folds' labels."""
     def words(batches):
+        drop_encoders()
         for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(text_words(t)) for t in b["text"].to_pylist()], pa.list_(pa.string())), b["y"]], names=["words", "y"])
@@ -187,6 +189,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str
     plain = kept.toDF(*[f"c{i}" for i in range(len(fields) + 1)])  # whatever the columns' names are
 
     def scored(batches):
+        drop_encoders()
         m = shared.value
         for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             s = pa.array([m.score(text_words(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())

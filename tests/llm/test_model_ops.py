@@ -71,10 +71,11 @@ def near_copies(seed, groups, base=1_000):
 
 @pytest.mark.parametrize("n,num,broadcast,block", [(3, 90, None, None), (5, 80, 0, 3)])
 def test_similar_groups_equal_brute_force(spark, monkeypatch, n, num, broadcast, block):
-    """Also with all joins shuffled and buckets compared in small blocks."""
+    """Also with all joins and sketches shuffled and buckets compared in small blocks."""
     if broadcast is not None:
         monkeypatch.setattr(NJ, "BROADCAST_ROWS", broadcast)
         monkeypatch.setattr(NJ, "BLOCK", block)
+        monkeypatch.setattr(NJ, "SKETCH_BYTES", 0)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     rows += near_copies(n, 30) + [(50_000 + i, t) for i, t in enumerate(ODD_TEXTS)]
     rows += [(60_000, "a b c"), (60_000, "x y z q"), (None, "a b c"), (60_001, "A B C"), (7, rows[3][1])]
