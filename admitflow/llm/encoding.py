@@ -198,10 +198,24 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def drop_encoders() -> None:
-    """Forget this worker's encoders: workers are used again by later
-    operators, whose tasks call this so that the store's memory is theirs."""
+def tidy(task):
+    """Wrap an Arrow task of an operator without an encoder. Python workers
+    live on and are used again, so before and after the task the worker's
+    encoders are forgotten and freed memory goes back to the system."""
+    def run(batches):
+        _give_back()
+        yield from task(batches)
+        _give_back()
+    return run
+
+
+def _give_back() -> None:
+    import ctypes
     _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def tokenizer_path(name: str) -> str:

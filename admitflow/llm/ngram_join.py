@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_partitions
 from .components import components
-from .encoding import drop_encoders
+from .encoding import tidy
 from .textkernel import mix, text_buffer, word_hashes
 
 BAND = 1.5  # largest size of a band over its smallest
@@ -162,7 +162,6 @@ def _slices(batches):
 
 def _sets(n: int, num: int, den: int, second: int):
     def sets(batches):
-        drop_encoders()
         bands = Bands(num, den, second)
         for b in _slices(batches):
             sizes, nodes, sigs, sketches = [], [], [], []
@@ -194,7 +193,6 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
         sized = sized.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
 
     def near(batches):
-        drop_encoders()
         for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             keep = []
             for x, y, n in zip(b["sketch_a"].to_pylist(), b["sketch_b"].to_pylist(), (b["n_a"].to_numpy() + b["n_b"].to_numpy()).tolist()):
@@ -202,7 +200,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
                 keep.append(int(np.bitwise_count(two[0] ^ two[1]).sum()) * (den + num) <= n * (den - num))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
+    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(near), "a long, b long")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int,
@@ -212,14 +210,13 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
     wanted = scratch.table(wanted.join(nodes.select("node", "rep"), "node"), f"{name}-wanted")
 
     def items(batches):
-        drop_encoders()
         for b in _slices(batches):
             found = [(w, s) for w, s in zip(b["node"].to_pylist(), shingle_sets(b["text"], n)) if len(s) and node_of(s) == w]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()),
                                               pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "items"])
 
     texts = docs.select("doc_id", "text").join(_small(wanted).withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = texts.select("node", "text").mapInArrow(items, "node long, items binary")
+    sets = texts.select("node", "text").mapInArrow(tidy(items), "node long, items binary")
     if not unique:  # rows of one doc_id may be copies
         sets = sets.dropDuplicates(["node"])
     sets = scratch.table(sets, f"{name}-sets")
@@ -227,7 +224,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
     both = left.join(sets.withColumnsRenamed({"node": "b", "items": "items_b"}), "b")
 
     def check(batches):
-        drop_encoders()
         for b in batches:
             keep = []
             for x, y in zip(b["items_a"], b["items_b"]):
@@ -237,7 +233,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = scratch.table(both.select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long"), f"{name}-links")
+    out = scratch.table(both.select("a", "b", "items_a", "items_b").mapInArrow(tidy(check), "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-wanted")
     return out
 
@@ -270,7 +266,6 @@ def _across(num: int, den: int, sent=None):
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def across(batches):
-        drop_encoders()
         held: list = []
         last = None
         for b in batches:
@@ -314,14 +309,14 @@ def _far_pairs(kept: DataFrame, labels: DataFrame, nodes: DataFrame, scratch: Sc
     rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     parts = shuffle_partitions(kept.sparkSession)
     dealt = rows.select(*columns).repartition(parts, "sig", "one", "two").sortWithinPartitions("sig", "one", "two")
-    return dealt.mapInArrow(_across(num, den, sent), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(_across(num, den, sent)), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, second: int = 2) -> DataFrame:
     """A row per document of ``docs`` (doc_id, text): doc_id, n_shingles, and
     component_id, the smallest doc_id among the documents reachable by links."""
     docs = docs.select("doc_id", "text")
-    sets = scratch.table(docs.mapInArrow(_sets(n, num, den, second), SETS), "sets")
+    sets = scratch.table(docs.mapInArrow(tidy(_sets(n, num, den, second)), SETS), "sets")
     unique = sets.groupBy("doc_id").count().where("count > 1").isEmpty()
     # Copies: one node, in numbers only.
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),

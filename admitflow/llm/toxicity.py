@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .encoding import drop_encoders
+from .encoding import tidy
 
 MAX_TRAIN = 20_000
 MAX_WORDS = 20_000
@@ -160,13 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
           max_train: int = MAX_TRAIN) -> Model:
     """Fit the classifier on the training folds' labels."""
     def words(batches):
-        drop_encoders()
         for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(text_words(t)) for t in b["text"].to_pylist()], pa.list_(pa.string())), b["y"]], names=["words", "y"])
 
     sample = training_sample(docs, labels, label, folds, held, max_train)
-    sample = scratch.table(sample.mapInArrow(words, "words array<string>, y int"), "sample")
+    sample = scratch.table(sample.mapInArrow(tidy(words), "words array<string>, y int"), "sample")
     vocabulary = telling_words(sample)
     number = {w: i for i, w in enumerate(vocabulary)}
 
@@ -175,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
             rows = [np.asarray([number[w] for w in ws if w in number], "<i4").tobytes() for ws in b["words"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b["y"]], names=["words", "y"])
 
-    rows = sample.mapInArrow(numbers, "words binary, y int").toArrow()
+    rows = sample.mapInArrow(tidy(numbers), "words binary, y int").toArrow()
     scratch.drop("sample")
     return fit([np.frombuffer(r, "<i4") for r in rows["words"].to_pylist()], rows["y"].to_numpy(), vocabulary)
 
@@ -189,7 +188,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str
     plain = kept.toDF(*[f"c{i}" for i in range(len(fields) + 1)])  # whatever the columns' names are
 
     def scored(batches):
-        drop_encoders()
         m = shared.value
         for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             s = pa.array([m.score(text_words(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
@@ -197,7 +195,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str
                 [*b.columns[:-1], s, pa.compute.greater_equal(s, 0.5).cast(pa.int32())], names=[*b.schema.names[:-1], "score", "predicted"])
 
     schema = plain.drop(f"c{len(fields)}").schema.add("score", "double").add("predicted", "integer")
-    return plain.mapInArrow(scored, schema).toDF(*[f.name for f in fields], *out)
+    return plain.mapInArrow(tidy(scored), schema).toDF(*[f.name for f in fields], *out)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int = 5, held: int = 0) -> DataFrame:
