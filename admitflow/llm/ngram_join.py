@@ -46,7 +46,7 @@ from .encoding import tidy
 from .textkernel import mix, text_buffer, word_hashes
 
 BAND = 1.5  # largest size of a band over its smallest
-SKETCH = 4  # least bits of a sketch for each element
+SKETCH = 2  # least bits of a sketch for each element, and 1024 in all
 BLOCK = 1024  # nodes of a bucket compared at once with as many
 SKETCH_BYTES = 48 << 20  # sketches that may be sent to every task; more are shuffled
 BROADCAST_ROWS = 1_500_000  # a pair of longs each; larger sides are shuffled
@@ -131,7 +131,7 @@ def sketch(items: np.ndarray) -> bytes:
     """Parities of the items by hash, in a power of two of bits that grows
     with the set: two sets' sketches, folded to one length, differ in at most
     as many bits as the sets in elements."""
-    bits = 1 << max(8, (SKETCH * len(items) - 1).bit_length())
+    bits = 1 << max(10, (SKETCH * len(items) - 1).bit_length())
     odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
