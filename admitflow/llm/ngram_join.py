@@ -48,7 +48,7 @@ from .textkernel import mix, text_buffer, word_hashes
 BAND = 1.5  # largest size of a band over its smallest
 SKETCH = 2  # least bits of a sketch for each element, and 1024 in all
 BLOCK = 1024  # nodes of a bucket compared at once with as many
-SKETCH_BYTES = 48 << 20  # sketches that may be sent to every task; more are shuffled
+SKETCH_BYTES = 96 << 20  # sketches that may be sent to every task; more are shuffled
 BROADCAST_ROWS = 1_500_000  # a pair of longs each; larger sides are shuffled
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
