@@ -20,9 +20,11 @@ pairs of a group:
 2. A node is paired with its buckets' smallest ones. Pairs that size and a
    parity sketch (a lower bound of the difference) rule out go, the others are
    checked on the whole sets. The links give components.
-3. Pairs across components in every bucket are run through size and sketch in
-   blocks of bounded size; those left are checked on the whole sets, too. So every linked pair is either linked through others already or
-   checked itself.
+3. Buckets that still span components and have the same smallest node are one
+   star: its nodes' sketches are sent once, not once per bucket. Pairs across
+   components in every star are run through size and sketch in blocks of
+   bounded size; those left are checked on the whole sets, too. So every linked
+   pair is either linked through others already or checked itself.
 
 Sets are compared by 64-bit hashes of their n-grams, nodes are 64-bit hashes
 of sets. Edge cases: a null text, or one without words, has the empty set and
@@ -48,7 +50,7 @@ from .textkernel import mix, text_buffer, word_hashes
 BAND = 1.5  # largest size of a band over its smallest
 SKETCH = 2  # least bits of a sketch for each element, and 1024 in all
 BLOCK = 1024  # nodes of a bucket compared at once with as many
-SKETCH_BYTES = 96 << 20  # sketches that may be sent to every task; more are shuffled
+SKETCH_BYTES = 0  # not read: sketches are shuffled at every size (tests still set it)
 BROADCAST_ROWS = 1_500_000  # a pair of longs each; larger sides are shuffled
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -238,17 +240,12 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
     return out
 
 
-def _across(num: int, den: int, sent=None):
-    """Pairs of one bucket's block (pairs of blocks) in different components
-    that sizes and sketches do not rule out; rows come sorted by bucket.
-    ``sent``: a broadcast of node -> (size, sketch), if rows have not got them."""
+def _across(num: int, den: int):
+    """Pairs of one star's block (pairs of blocks) in different components
+    that sizes and sketches do not rule out; rows come sorted by star."""
     def run(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        comp, node = rows["comp"], rows["node"]
-        if sent is not None:
-            sizes, sketches = zip(*map(sent.value.__getitem__, node.tolist()))
-            size, bits = np.asarray(sizes, np.int64), folded(sketches)
-        else:
-            size, bits = rows["n_shingles"], folded(rows["sketch"].tolist())
+        comp, node, size = rows["comp"], rows["node"], rows["n_shingles"]
+        bits = folded(rows["sketch"].tolist())
         cross = rows["one"][0] != rows["two"][0]
         out_a, out_b = [], []
         for i in range(len(node)):
@@ -272,7 +269,7 @@ def _across(num: int, den: int, sent=None):
             if not b.num_rows:
                 continue
             cols = {c: b[c].to_numpy(zero_copy_only=False) for c in b.schema.names}
-            key = np.stack([cols["sig"], cols["one"], cols["two"]], 1)
+            key = np.stack([cols["star"], cols["one"], cols["two"]], 1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
                 piece = {c: v[lo:hi] for c, v in cols.items()}
@@ -294,22 +291,20 @@ def _far_pairs(kept: DataFrame, labels: DataFrame, nodes: DataFrame, scratch: Sc
     """Pairs to check across the components that buckets still span."""
     placed = kept.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     spans = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    rows = scratch.table(placed.join(spans, "sig").select("sig", "n", "node", "comp"), "far")
-    known = scratch.table(rows.select("node").distinct().join(nodes.select("node", "n_shingles", "sketch"), "node"), "far-nodes")
-    columns, sent = ["sig", "one", "two", "block", "node", "comp"], None
-    if (known.agg(F.sum(F.length("sketch") + 32)).first()[0] or 0) <= SKETCH_BYTES:
-        t = known.toArrow()  # bounded by SKETCH_BYTES
-        sent = nodes.sparkSession.sparkContext.broadcast(
-            dict(zip(t["node"].to_pylist(), zip(t["n_shingles"].to_pylist(), t["sketch"].to_pylist()))))
-    else:
-        rows, columns = rows.join(known, "node"), [*columns, "n_shingles", "sketch"]
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = placed.join(spans, "sig").select(F.col("a").alias("star"), "node", "comp")
+    rows = scratch.table(rows.distinct(), "far")
+    # Stars of more than one block, at most a BLOCK-th of the rows.
+    large = rows.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = scratch.table(large, "far-stars")
+    known = nodes.select("node", "n_shingles", "sketch")
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = rows.join(_small(large), "star", "left").join(known, "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    parts = shuffle_partitions(kept.sparkSession)
-    dealt = rows.select(*columns).repartition(parts, "sig", "one", "two").sortWithinPartitions("sig", "one", "two")
-    return dealt.mapInArrow(tidy(_across(num, den, sent)), "a long, b long").distinct()
+    dealt = rows.select("star", "one", "two", "block", "node", "comp", "n_shingles", "sketch").repartition(
+        shuffle_partitions(kept.sparkSession), "star", "one", "two").sortWithinPartitions("star", "one", "two")
+    return dealt.mapInArrow(tidy(_across(num, den)), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, second: int = 2) -> DataFrame:
@@ -340,7 +335,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80,
     scratch.drop("shared")
     links = _linked(pairs, nodes, docs, scratch, "one", n, num, den, unique)
     labels = components(links, scratch, "first")
-    more = scratch.table(_far_pairs(kept.select("sig", "n", "node"), labels, nodes, scratch, num, den), "far-pairs")
+    more = scratch.table(_far_pairs(kept.select("sig", "a", "node"), labels, nodes, scratch, num, den), "far-pairs")
     more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if not more.isEmpty():
         links = links.unionByName(_linked(more, nodes, docs, scratch, "two", n, num, den, unique))
@@ -348,7 +343,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80,
     joined = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = scratch.table(joined.join(smallest, "comp").select("node", "component_id"), "ids")
-    scratch.drop("kept", "pairs", "pairs-2", "nodes", "far", "far-nodes", "far-pairs")
+    scratch.drop("kept", "pairs", "pairs-2", "nodes", "far", "far-stars", "far-pairs")
     linked = rows.where("node is not null").join(ids, "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

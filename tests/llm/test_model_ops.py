@@ -84,6 +84,36 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch, n, num, broadcast,
     assert len({x[2] for x in brute_groups(rows, n, num, 100)}) < len(rows) - 100
 
 
+def test_far_sketches_are_not_collected_and_sent_once_a_star(spark, monkeypatch):
+    """Near copies that are no links share many buckets; sketches take the shuffle at this size, too."""
+    def refuse(*_):
+        raise AssertionError("rows collected to the driver")
+
+    dealt = []
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", refuse)
+    across = NJ._across
+    def counted(num, den):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield from across(num, den)([b])
+        seen = spark.sparkContext.accumulator(0)
+        dealt.append(seen)
+        return run
+    monkeypatch.setattr(NJ, "_across", counted)
+    r = random.Random(8)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(12):
+        t = list(base)
+        for k in r.sample(range(400), 12):
+            t[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(t)))
+    got = NJ.similar_groups(docs_frame(spark, rows), Scratch(spark, "t2"), 5, 80, 100).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_groups(rows, 5, 80, 100))
+    assert len({x[2] for x in got}) > 1
+    assert 0 < dealt[0].value <= 12 * 12  # a node is in as many stars as there are nodes at most
+
+
 def test_similar_groups_of_no_documents(spark):
     assert NJ.similar_groups(docs_frame(spark, []), Scratch(spark, "t2")).count() == 0
     assert NJ.similar_groups(docs_frame(spark, [(1, None), (2, "")]), Scratch(spark, "t2")).where("component_id = doc_id").count() == 2
