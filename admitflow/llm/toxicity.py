@@ -1,14 +1,16 @@
 """Toxicity scores from a counterfactual-regularised linear classifier.
 
 A text is the set of its words and of their beginnings (four and five
-letters, which inflected forms share). The classifier is a logistic regression
+letters, which inflected forms share), but for beginnings that a group's name
+has: no text gets those. The classifier is a logistic regression
 on their presence, toxic texts weighing ``POSITIVE`` times a clean one, fitted
 to a bounded sample of labelled texts (``MAX_TRAIN``, drawn by a hash of the
 id over all labelled rows of the training folds). Its loss has a second term:
 in every labelled text that names a group, the group's name is swapped for
 each of the other names of the same kind, and the squared change of the score
-is penalised. A name alone then moves no score, so neutral mentions of a group
-are not taken for abuse of it.
+is penalised. As a name is one feature only, this is the whole change of the
+score's log-odds; it becomes small, not nothing, so neutral mentions of one
+group score much like those of another.
 
 The sample's words are counted in Spark; its vocabulary is the at most
 ``MAX_WORDS`` words whose share of toxic texts is ``TELLING`` standard errors
@@ -53,17 +55,21 @@ IDENTITY_TERMS = {
     "ability": "blind deaf disabled autistic paralyzed",
     "age": "old young elderly teenager teenagers",
 }
+NAMES = " ".join(IDENTITY_TERMS.values()).split()
+# Beginnings that a name's toxic weight could move to, out of the penalty's reach.
+_OF_NAMES = {name[:n] for name in NAMES if len(name) > 4 for n in (4, 5)}
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 def text_words(text: str | None) -> set[str]:
-    """The distinct lowered words of a text and their marked beginnings."""
+    """The distinct lowered words of a text and their marked beginnings,
+    without those of groups' names."""
     if not text:
         return set()
     words = set(_WORD.findall(text.lower()))
     long = [w for w in words if len(w) > 4]
-    words.update(["^" + b for b in {w[:4] for w in long}])
-    words.update(["^" + b for b in {w[:5] for w in long}])
+    words.update(["^" + b for b in {w[:4] for w in long} - _OF_NAMES])
+    words.update(["^" + b for b in {w[:5] for w in long} - _OF_NAMES])
     return words
 
 
@@ -101,11 +107,11 @@ def telling_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < toxic < n:
         return []
-    share, names = toxic / n, " ".join(IDENTITY_TERMS.values()).split()
+    share = toxic / n
     counts = sample.select(F.explode("words").alias("word"), "y").groupBy("word").agg(
         F.count("*").alias("n"), F.sum("y").alias("toxic"))
     told = F.abs(F.col("toxic") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
-    name = F.col("word").isin(names)
+    name = F.col("word").isin(NAMES)
     kept = counts.withColumn("told", told).withColumn("name", name).where(
         name | (F.col("n") >= max(3, n // 2000)) & (F.col("told") >= TELLING))
     return [r["word"] for r in kept.orderBy(F.desc("name"), F.desc("told"), "word").select("word").limit(max_words).collect()]

@@ -280,6 +280,30 @@ def test_swaps_pull_names_together():
     assert abs(gap[1]) < 0.5 * abs(gap[0])
 
 
+def test_swapped_names_leave_the_predicted_score():
+    """Names that go with the label, on whole texts: no other feature takes their weight."""
+    r, texts, y = random.Random(3), [], []
+    for i in range(2000):
+        toxic = r.random() < 0.2
+        w = r.choices(["bend", "ford", "gull", "dent"], k=6) + (["scum"] if toxic and r.random() < 0.5 else [])
+        if r.random() < (0.6 if toxic else 0.03):
+            w.append(r.choice(["muslim", "muslims"]))
+        elif r.random() < 0.1:
+            w.append(r.choice(["christian", "christians"]))
+        texts.append(" ".join(w))
+        y.append(int(toxic))
+    sets = [TX.text_words(t) for t in texts]
+    vocabulary = sorted(set().union(*sets))
+    number = {w: i for i, w in enumerate(vocabulary)}
+    model = TX.fit([np.array([number[w] for w in s]) for s in sets], np.array(y), vocabulary)
+    said = "bend gull {} ford"
+    scores = [model.score(TX.text_words(said.format(name))) for name in ("muslim", "muslims", "christian", "christians", "hindu")]
+    assert max(scores) - min(scores) < 0.1
+    for names in TX.IDENTITY_TERMS.values():
+        for name in names.split():
+            assert TX.text_words(name) == {name}
+
+
 def test_toxicity_odd_tables(spark):
     df = docs_frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
