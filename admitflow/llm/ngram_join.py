@@ -3,35 +3,26 @@
 Two documents link when ``den * |A and B| >= num * |A or B|``. Sets of sizes
 a and b that link differ in at most ``(a + b) (den - num) / (den + num)``
 elements, so sizes are put into bands and each band has a bound ``k`` on the
-difference. The feature domain is partitioned in two levels by hash: into n1
-parts, each of n2 pieces. With 2 * n1 > k, two linked sets differ in at most one
-element in some part, so they agree there on all pieces but one: every choice of
-n2 - 1 pieces of a part, with its number, is hashed to a signature, and linked
-sets share one at least (n2 = 3: more, finer signatures; 2: fewer, coarser). A set near a band's upper
-end takes the next band's signatures, too.
-
-Candidates are then reduced and checked exactly, without ever emitting all
-pairs of a group:
-
-1. Copies (equal sets) are one node. Signatures are aggregated to their
-   smallest and largest node before and after the shuffle; those of one node
-   are dropped. Of buckets with more rows the nodes are fetched, and buckets of
-   the same nodes count once.
-2. A node is paired with its buckets' smallest ones. Pairs that size and a
-   parity sketch (a lower bound of the difference) rule out go, the others are
-   checked on the whole sets. The links give components.
-3. Buckets that still span components and have the same smallest node are one
-   star: its nodes' sketches are sent once, not once per bucket. Pairs across
-   components in every star are run through size and sketch in blocks of
-   bounded size; those left are checked on the whole sets, too. So every linked
-   pair is either linked through others already or checked itself.
+difference of linked sets whose smaller one is in it. The feature domain is
+partitioned in two levels by hash: into n1 parts, each of ``second`` pieces.
+Every choice of all pieces but one of a part, with the part's number, is
+hashed to a signature. As n1 > k / 2, k differences cannot spoil all
+signatures; n1 is larger than needed by the share ``SPARE``, so linked sets
+have several in common (``Bands.shared``), and sets that merely share a passage
+do not. A set slightly larger than the band below takes that band's
+signatures, too; a signature's lowest bit tells the two kinds apart.
+
+``overlap.grouped`` makes lists of the rarest shared signatures, tests pairs
+by size and a parity sketch (a lower bound of the difference), checks those
+left on the whole sets and joins links to components, without ever emitting
+all pairs of a group. Copies (equal sets) are one node.
 
 Sets are compared by 64-bit hashes of their n-grams, nodes are 64-bit hashes
 of sets. Edge cases: a null text, or one without words, has the empty set and
 links with nothing; a text of fewer than n words has its whole sequence as
-one n-gram; null ids form their own components but may stand in others';
-repeated ids with different texts are different documents; an empty table
-has no rows.
+one n-gram; rows without an id link like others, and a group that has no id
+has a null component; repeated ids with different texts are different
+documents; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -42,16 +33,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
-from .components import components
+from .common import Scratch
 from .encoding import tidy
+from .overlap import grouped, per_row, small
 from .textkernel import mix, text_buffer, word_hashes
 
-BAND = 1.5  # largest size of a band over its smallest
+BAND = 1.5  # largest size of a band over its smallest, at least
 SKETCH = 2  # least bits of a sketch for each element, and 1024 in all
-BLOCK = 1024  # nodes of a bucket compared at once with as many
-SKETCH_BYTES = 0  # not read: sketches are shuffled at every size (tests still set it)
-BROADCAST_ROWS = 1_500_000  # a pair of longs each; larger sides are shuffled
+SPARE = 0.35  # more first-level parts than one that must agree, as a share
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -83,6 +72,7 @@ class Bands:
     def __init__(self, num: int, den: int, second: int = 3):
         self.num, self.den, self.second = num, den, second
         self.low, self.high = [1], [1]
+        self.ratio = max(BAND, den / num)  # a set links into the next band at most
 
     def difference(self, sizes: int) -> int:
         """Most elements by which linked sets of that total size differ."""
@@ -93,36 +83,48 @@ class Bands:
         while self.high[-1] < size:
             low = self.high[-1] + 1
             self.low.append(low)
-            self.high.append(max(low, int(low * BAND)))
+            self.high.append(max(low, int(low * self.ratio)))
         i = int(np.searchsorted(self.low, size, "right")) - 1
-        next_low = self.high[i] + 1
-        out = [(i, self.difference(2 * self.high[i]))]
-        if size * self.den >= self.num * next_low:
-            out.append((i + 1, self.difference(2 * max(next_low, int(next_low * BAND)))))
-        return out
-
-
-def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of a set of 64-bit items."""
+        bands = [j for j in (i, i - 1) if j >= 0 and size * self.num <= self.high[j] * self.den]
+        return [(j, self.difference(self.high[j] + self.high[j] * self.den // self.num)) for j in bands]
+
+    def parts(self, k: int) -> int:
+        """First-level parts for sets that differ in at most k elements."""
+        return (k // 2 + 1) + int(SPARE * (k // 2 + 1))
+
+    def shared(self, k: int) -> int:
+        """Signatures that two such sets have in common at least. With two
+        pieces a difference spoils one; with more, a part's first difference
+        spoils all but one, the second the last."""
+        n1 = self.parts(k)
+        if self.second == 2:
+            return 2 * n1 - k
+        first = min(k, n1)
+        return self.second * n1 - (self.second - 1) * first - (k - first)
+
+
+def signatures(items: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """PartEnum signatures of a set of 64-bit items, and how many of them,
+    by their lowest bit, a linked set has at least (0: takes none)."""
+    need = [0, 0]
     if not len(items):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), need
     out, second = [], bands.second
     spread = mix(items ^ _STEP[2])
     with np.errstate(over="ignore"):
         for band, k in bands.of(len(items)):
             salt = np.uint64(band + 1) * _STEP[0]
-            if k == 0:
-                out.append(mix(np.asarray([spread.sum(dtype=np.uint64)]) + salt))
-                continue
-            n1 = (k + 2) // 2
+            n1 = bands.parts(k)
+            need[band & 1] = bands.shared(k)
             piece = (items >> np.uint64(32)) % np.uint64(n1) * np.uint64(second) + (items & np.uint64(0xFFFFFFFF)) % np.uint64(second)
             sums = np.zeros(n1 * second, np.uint64)
             np.add.at(sums, piece.astype(np.int64), spread)
             sums = mix(sums + np.arange(n1 * second, dtype=np.uint64) * _STEP[1]).reshape(n1, second)
             rest = sums.sum(1, dtype=np.uint64)
             parts = np.arange(n1 * second, dtype=np.uint64).reshape(n1, second)
-            out.append(mix(rest[:, None] - sums + parts * _STEP[2] + salt).ravel())  # all pieces but one
-    return np.concatenate(out)
+            found = mix(rest[:, None] - sums + parts * _STEP[2] + salt).ravel()  # all pieces but one
+            out.append(found & ~np.uint64(1) | np.uint64(band & 1))
+    return np.concatenate(out), need
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -153,7 +155,22 @@ def node_of(items: np.ndarray) -> int:
         return int(_signed(mix(np.asarray([mix(items + _STEP[0]).sum(dtype=np.uint64) + np.uint64(len(items))])))[0])
 
 
-SETS = "doc_id long, n_shingles long, node long, sigs array<long>, sketch binary"
+class Sketches:
+    """Sizes and parity sketches of some sets."""
+
+    def __init__(self, sizes: np.ndarray, sketches: np.ndarray, num: int, den: int):
+        self.sizes, self.bits, self.num, self.den = sizes, folded(sketches.tolist()), num, den
+
+    def near(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of js whose size and sketch allow a link with i."""
+        size = self.sizes[js]
+        ok = np.minimum(size, self.sizes[i]) * self.den >= np.maximum(size, self.sizes[i]) * self.num
+        js, size = js[ok], size[ok]
+        diff = np.bitwise_count(self.bits[js] ^ self.bits[i]).sum(1, dtype=np.int64)
+        return js[diff * (self.den + self.num) <= (size + self.sizes[i]) * (self.den - self.num)]
+
+
+SETS = "doc_id long, rep_key long, n_shingles long, node long, sigs array<long>, need_0 int, need_1 int, sketch binary"
 
 
 def _slices(batches):
@@ -166,202 +183,88 @@ def _sets(n: int, num: int, den: int, second: int):
     def sets(batches):
         bands = Bands(num, den, second)
         for b in _slices(batches):
-            sizes, nodes, sigs, sketches = [], [], [], []
+            sizes, nodes, sigs, needs, sketches = [], [], [], [], []
             for items in shingle_sets(b["text"], n):
                 sizes.append(len(items))
                 nodes.append(node_of(items) if len(items) else None)
-                sigs.append(_signed(signatures(items, bands)))
+                found, need = signatures(items, bands)
+                sigs.append(_signed(found))
+                needs.append(need)
                 sketches.append(sketch(items))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+            need = np.asarray(needs, np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                [b["doc_id"].cast(pa.int64()), b["rep_key"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))),
-                 pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "sigs", "sketch"])
+                 pa.array(need[:, 0]), pa.array(need[:, 1]), pa.array(sketches, pa.binary())],
+                names=["doc_id", "rep_key", "n_shingles", "node", "sigs", "need_0", "need_1", "sketch"])
     return sets
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of longs if its rows are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches do not rule out."""
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
-    sized = pairs.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    for side in "ab":
-        sized = sized.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-
-    def near(batches):
-        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            keep = []
-            for x, y, n in zip(b["sketch_a"].to_pylist(), b["sketch_b"].to_pylist(), (b["n_a"].to_numpy() + b["n_b"].to_numpy()).tolist()):
-                two = folded([x, y])
-                keep.append(int(np.bitwise_count(two[0] ^ two[1]).sum()) * (den + num) <= n * (den - num))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def items_of(n: int):
+    """(node, set) of every text of a column; the empty set has no node."""
+    def items(col):
+        for s in shingle_sets(col, n):
+            yield (node_of(s) if len(s) else None), s
+    return items
 
-    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(near), "a long, b long")
 
+def one_row_a_node(sets: DataFrame, *cols: str) -> DataFrame:
+    """Copies as one node: its smallest id, the hash of one of its texts, and
+    the given columns, which are the same in all copies."""
+    key = F.coalesce(F.min_by("rep_key", "doc_id"), F.min("rep_key"))
+    return sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"), key.alias("rep_key"),
+                                                              *[F.first(c).alias(c) for c in cols])
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int,
-            unique: bool) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; ``unique``: no doc_id repeats."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = scratch.table(wanted.join(nodes.select("node", "rep"), "node"), f"{name}-wanted")
 
-    def items(batches):
-        for b in _slices(batches):
-            found = [(w, s) for w, s in zip(b["node"].to_pylist(), shingle_sets(b["text"], n)) if len(s) and node_of(s) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()),
-                                              pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "items"])
-
-    texts = docs.select("doc_id", "text").join(_small(wanted).withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = texts.select("node", "text").mapInArrow(tidy(items), "node long, items binary")
-    if not unique:  # rows of one doc_id may be copies
-        sets = sets.dropDuplicates(["node"])
-    sets = scratch.table(sets, f"{name}-sets")
-    left = pairs.join(sets.withColumnsRenamed({"node": "a", "items": "items_a"}), "a")
-    both = left.join(sets.withColumnsRenamed({"node": "b", "items": "items_b"}), "b")
-
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b["items_a"], b["items_b"]):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    out = scratch.table(both.select("a", "b", "items_a", "items_b").mapInArrow(tidy(check), "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-wanted")
-    return out
-
-
-def _across(num: int, den: int):
-    """Pairs of one star's block (pairs of blocks) in different components
-    that sizes and sketches do not rule out; rows come sorted by star."""
-    def run(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        comp, node, size = rows["comp"], rows["node"], rows["n_shingles"]
-        bits = folded(rows["sketch"].tolist())
-        cross = rows["one"][0] != rows["two"][0]
-        out_a, out_b = [], []
-        for i in range(len(node)):
-            js = np.arange(i + 1, len(node))
-            ok = comp[js] != comp[i]
-            if cross:
-                ok &= rows["block"][js] != rows["block"][i]
-            js = js[ok]
-            small, large = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
-            js = js[small * den >= large * num]
-            diff = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
-            js = js[diff * (den + num) <= (size[js] + size[i]) * (den - num)]
-            out_a.append(np.minimum(node[js], node[i]))
-            out_b.append(np.maximum(node[js], node[i]))
-        return np.concatenate(out_a), np.concatenate(out_b)
-
-    def across(batches):
-        held: list = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = {c: b[c].to_numpy(zero_copy_only=False) for c in b.schema.names}
-            key = np.stack([cols["star"], cols["one"], cols["two"]], 1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
-                piece = {c: v[lo:hi] for c, v in cols.items()}
-                if held and (key[lo] != last).any():
-                    yield _pairs(*run({c: np.concatenate([h[c] for h in held]) for c in cols}))
-                    held = []
-                held.append(piece)
-                last = key[lo]
-        if held:
-            yield _pairs(*run({c: np.concatenate([h[c] for h in held]) for c in held[0]}))
-
-    def _pairs(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return across
-
-
-def _far_pairs(kept: DataFrame, labels: DataFrame, nodes: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Pairs to check across the components that buckets still span."""
-    placed = kept.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    spans = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    rows = placed.join(spans, "sig").select(F.col("a").alias("star"), "node", "comp")
-    rows = scratch.table(rows.distinct(), "far")
-    # Stars of more than one block, at most a BLOCK-th of the rows.
-    large = rows.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    large = scratch.table(large, "far-stars")
-    known = nodes.select("node", "n_shingles", "sketch")
-    blocks = F.coalesce("blocks", F.lit(1))
-    rows = rows.join(_small(large), "star", "left").join(known, "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    dealt = rows.select("star", "one", "two", "block", "node", "comp", "n_shingles", "sketch").repartition(
-        shuffle_partitions(kept.sparkSession), "star", "one", "two").sortWithinPartitions("star", "one", "two")
-    return dealt.mapInArrow(tidy(_across(num, den)), "a long, b long").distinct()
+def _rows(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int, second: int) -> DataFrame:
+    """(doc_id, rep_key, n_shingles, node, comp, component_id) of every row."""
+    docs = docs.select("doc_id", "text")
+    texts = docs.withColumn("rep_key", F.xxhash64("text"))
+    sets = scratch.table(texts.mapInArrow(tidy(_sets(n, num, den, second)), SETS), "sets")
+    nodes = scratch.table(one_row_a_node(sets, "n_shingles", "sketch", "need_0", "need_1"), "nodes")
+    rows = scratch.table(sets.select("doc_id", "rep_key", "n_shingles", "node"), "rows")
+    signs = sets.where("node is not null").select(F.explode("sigs").alias("sig"), "node")
+    signs = signs.withColumn("part", F.col("sig").bitwiseAND(1).cast("int"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"need_{i}").alias("need")) for i in (0, 1)])
+    need = nodes.select("node", F.inline(kinds)).where("need > 0")
+    ids = grouped(docs, nodes, signs, need, Sketches, items_of(n), num, den, scratch, lambda: scratch.drop("sets"))
+    scratch.drop("nodes")
+    return per_row(rows, ids)
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, second: int = 2) -> DataFrame:
     """A row per document of ``docs`` (doc_id, text): doc_id, n_shingles, and
     component_id, the smallest doc_id among the documents reachable by links."""
-    docs = docs.select("doc_id", "text")
-    sets = scratch.table(docs.mapInArrow(tidy(_sets(n, num, den, second)), SETS), "sets")
-    unique = sets.groupBy("doc_id").count().where("count > 1").isEmpty()
-    # Copies: one node, in numbers only.
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
-                                                               F.first("sketch").alias("sketch"))
-    nodes = scratch.table(nodes, "nodes")
-    rows = scratch.table(sets.select("doc_id", "n_shingles", "node"), "rows")
-    signs = sets.where("node is not null").select(F.explode("sigs").alias("sig"), "node")
-    shared = signs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    shared = scratch.table(shared, "shared")
-    large = scratch.table(shared.where("n > 2").select("sig"), "large")
-    members = scratch.table(signs.join(_small(large), "sig").distinct(), "members")
-    scratch.drop("sets", "large")
-    # Buckets of the same nodes count once (two independent 31-bit sums).
-    halves = [F.sum(F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << 31))).alias(f"h{s}") for s in (1, 2)]
-    buckets = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("a"), *halves)
-    buckets = buckets.groupBy("n", "a", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "n", "a")
-    kept = scratch.table(members.join(buckets, "sig"), "kept")
-    scratch.drop("members")
-    pairs = shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(kept.where("node != a").select("a", F.col("node").alias("b")))
-    pairs = scratch.table(_possible(pairs.distinct(), nodes, num, den), "pairs")
-    scratch.drop("shared")
-    links = _linked(pairs, nodes, docs, scratch, "one", n, num, den, unique)
-    labels = components(links, scratch, "first")
-    more = scratch.table(_far_pairs(kept.select("sig", "a", "node"), labels, nodes, scratch, num, den), "far-pairs")
-    more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
-    if not more.isEmpty():
-        links = links.unionByName(_linked(more, nodes, docs, scratch, "two", n, num, den, unique))
-        labels = components(links, scratch, "second")
-    joined = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = scratch.table(joined.join(smallest, "comp").select("node", "component_id"), "ids")
-    scratch.drop("kept", "pairs", "pairs-2", "nodes", "far", "far-stars", "far-pairs")
-    linked = rows.where("node is not null").join(ids, "node").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return _rows(docs, scratch, n, num, den, second).select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_groups(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80, den: int = 100, second: int = 2) -> DataFrame:
-    """``docs`` (any columns besides doc_id and text) without the documents
-    whose group has a smaller doc_id. Rows of one doc_id are one document, of
-    which the row with the smallest text stays; rows without a doc_id stay."""
-    groups = scratch.table(similar_groups(docs, scratch, n, num, den, second).where("doc_id is not null"), "groups")
-    per_id = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    gone = scratch.table(per_id.where("component_id < doc_id").select("doc_id"), "gone")
-    many = scratch.table(per_id.where("n > 1 and component_id = doc_id").select("doc_id"), "many")
-    left = docs.join(_small(gone), "doc_id", "left_anti")
+    """``docs`` (any columns besides doc_id and text) with one row of each
+    group of near copies: the one with the smallest doc_id (rows without one
+    come last), among rows of that id the one whose text has the smallest
+    hash, and of equal rows of one id any. Every row is judged by its own
+    text, also where ids repeat; texts without words stay."""
+    rows = _rows(docs, scratch, n, num, den, second).where("node is not null")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rep_key")
+    rows = rows.groupBy("comp", "doc_id", "rep_key").agg(F.count("*").alias("n"))
+    rows = scratch.table(rows.select("*", first.alias("at")), "group-rows")
+    kept = scratch.table(rows.groupBy("comp").agg(F.min("at").alias("kept")), "group-kept")
+    judged = rows.join(kept, "comp")
+    gone = scratch.table(judged.where("at != kept").select("doc_id", "rep_key"), "gone")
+    many = scratch.table(judged.where("at = kept and n > 1").select("doc_id", "rep_key"), "many")
+    scratch.drop("group-rows", "group-kept", "rows", "ids")
+    keyed = docs.select("*", F.struct("doc_id", F.xxhash64("text").alias("key")).alias("_of"))
+
+    def among(list_of: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        wanted = small(list_of).select(F.col("doc_id").alias("_id"), F.col("rep_key").alias("_key"))
+        return of.join(wanted, F.col("_of.doc_id").eqNullSafe(F.col("_id")) & (F.col("_of.key") == F.col("_key")), how)
+
+    left = among(gone, "left_anti", keyed)
     if not many.isEmpty():
-        again = left.join(_small(many), "doc_id", "left_semi")
-        one = again.groupBy("doc_id").agg(F.min_by(F.struct(*_names(again)), F.coalesce("text", F.lit(""))).alias("row"))
-        left = left.join(_small(many), "doc_id", "left_anti").unionByName(one.select("row.*"))
+        again = among(many, "left_semi", left)
+        one = again.groupBy("_of").agg(F.first(F.struct(*_names(docs))).alias("row")).select("row.*")
+        return among(many, "left_anti", left).select(*_names(docs)).unionByName(one)
     return left.select(*_names(docs))
 
 

@@ -14,6 +14,7 @@ from admitflow.llm import backoff_lm as LM
 from admitflow.llm import chat_hmm as CH
 from admitflow.llm import ngram_join as NJ
 from admitflow.llm import nra_topk as NT
+from admitflow.llm import overlap as OV
 from admitflow.llm import toxicity as TX
 from admitflow.llm.common import Scratch
 from admitflow.llm.components import components
@@ -73,9 +74,8 @@ def near_copies(seed, groups, base=1_000):
 def test_similar_groups_equal_brute_force(spark, monkeypatch, n, num, broadcast, block):
     """Also with all joins and sketches shuffled and buckets compared in small blocks."""
     if broadcast is not None:
-        monkeypatch.setattr(NJ, "BROADCAST_ROWS", broadcast)
-        monkeypatch.setattr(NJ, "BLOCK", block)
-        monkeypatch.setattr(NJ, "SKETCH_BYTES", 0)
+        monkeypatch.setattr(OV, "BROADCAST_ROWS", broadcast)
+        monkeypatch.setattr(OV, "BLOCK", block)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     rows += near_copies(n, 30) + [(50_000 + i, t) for i, t in enumerate(ODD_TEXTS)]
     rows += [(60_000, "a b c"), (60_000, "x y z q"), (None, "a b c"), (60_001, "A B C"), (7, rows[3][1])]
@@ -84,34 +84,77 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch, n, num, broadcast,
     assert len({x[2] for x in brute_groups(rows, n, num, 100)}) < len(rows) - 100
 
 
-def test_far_sketches_are_not_collected_and_sent_once_a_star(spark, monkeypatch):
-    """Near copies that are no links share many buckets; sketches take the shuffle at this size, too."""
+def lookalikes(n, changes, seed=8):
+    """Texts that differ from one base in as many words each."""
+    r = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(n):
+        t = list(base)
+        for k in r.sample(range(400), changes):
+            t[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_lookalikes_that_do_not_link_cost_rows_in_proportion(spark, monkeypatch):
+    """Nodes and sketches reach the far comparison by the shuffle, never the driver, and as often as
+    their own lists at most, however many lookalikes there are."""
     def refuse(*_):
         raise AssertionError("rows collected to the driver")
 
-    dealt = []
-    monkeypatch.setattr(type(spark.range(1)), "toArrow", refuse)
-    across = NJ._across
-    def counted(num, den):
-        def run(batches):
+    packed, counts = OV._packed, []
+
+    def counted(batches):
+        def count():
             for b in batches:
                 seen.add(b.num_rows)
-                yield from across(num, den)([b])
+                yield b
+        yield from packed(count())
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", refuse)
+    monkeypatch.setattr(OV, "_packed", counted)
+    for n, block in ((30, 4096), (120, 7)):
+        monkeypatch.setattr(OV, "BLOCK", block)
         seen = spark.sparkContext.accumulator(0)
-        dealt.append(seen)
-        return run
-    monkeypatch.setattr(NJ, "_across", counted)
-    r = random.Random(8)
-    base, rows = [f"w{i}" for i in range(400)], []
-    for i in range(12):
-        t = list(base)
-        for k in r.sample(range(400), 12):
-            t[k] = f"x{i}-{k}"
-        rows.append((i, " ".join(t)))
+        rows = lookalikes(n, 12)
+        got = NJ.similar_groups(docs_frame(spark, rows), Scratch(spark, "t2"), 5, 80, 100).collect()
+        assert Counter(map(tuple, got)) == Counter(brute_groups(rows, 5, 80, 100))
+        assert len({x[2] for x in got}) > 1
+        counts.append(seen.value)
+    assert 0 < counts[1] <= 8 * counts[0]  # all pairs would be 16 times as many
+
+
+def test_passages_make_no_lists(spark):
+    """Texts of which half is one passage share signatures, but too few to be paired."""
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(i, passage + " " + " ".join(f"u{r.randrange(10**9)}" for _ in range(120))) for i in range(40)]
+    rows.append((99, rows[7][1] + " end"))
     got = NJ.similar_groups(docs_frame(spark, rows), Scratch(spark, "t2"), 5, 80, 100).collect()
-    assert Counter(map(tuple, got)) == Counter(brute_groups(rows, 5, 80, 100))
-    assert len({x[2] for x in got}) > 1
-    assert 0 < dealt[0].value <= 12 * 12  # a node is in as many stars as there are nodes at most
+    assert {x.doc_id: x.component_id for x in got} == {**{i: i for i in range(40)}, 99: 7}
+
+
+def test_rows_without_an_id_link_others(spark):
+    """A(1) links with B(null), B with C(2), A not with C; ids may repeat, too."""
+    base = [f"w{i}" for i in range(100)]
+    b = base[:60] + [f"v{i}" for i in range(4)] + base[64:]
+    c = b[:80] + [f"z{i}" for i in range(4)] + b[84:]
+    rows = [(1, " ".join(base)), (None, " ".join(b)), (2, " ".join(c)), (None, "alone it stands here now"), (3, "one text of this id"), (3, " ".join(c[:-1]))]
+    want = brute_groups(rows, 5, 80, 100)
+    assert want[2][2] == 1 and want[5][2] == 1
+    got = NJ.similar_groups(docs_frame(spark, rows), Scratch(spark, "t2"), 5, 80, 100).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_first_of_groups_judges_every_row_by_its_text(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (5, base + " more"), (5, "a text of its own with six words"), (6, "twice the same text and id here"), (6, "twice the same text and id here"),
+            (7, "first of two texts that share ids"), (7, "second of two quite other ones here"), (None, base), (None, "no id but no copy either here"), (8, None), (9, ""), (9, "")]
+    docs = docs_frame(spark, rows).withColumn("rep_key", F.lit(3)).withColumn("a.b", F.lit(1))
+    got = NJ.first_of_groups(docs, Scratch(spark, "t2"))
+    assert got.columns == docs.columns
+    left = [rows[0], rows[2], rows[3], rows[5], rows[6], rows[8], rows[9], rows[10], rows[11]]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(left)
 
 
 def test_similar_groups_of_no_documents(spark):
@@ -130,7 +173,9 @@ def test_linked_sets_share_a_signature(num, den):
         common = len(np.intersect1d(a, b))
         if common and den * common >= num * (len(a) + len(b) - common):
             linked += 1
-            assert set(NJ.signatures(a, bands).tolist()) & set(NJ.signatures(b, bands).tolist())
+            (of_a, need_a), (of_b, need_b) = NJ.signatures(a, bands), NJ.signatures(b, bands)
+            both = set(of_a.tolist()) & set(of_b.tolist())
+            assert any(x and y and sum(s & 1 == kind for s in both) >= max(x, y) > 0 for kind, (x, y) in enumerate(zip(need_a, need_b)))
             diff = len(a) + len(b) - 2 * common
             assert diff <= bands.difference(len(a) + len(b))
             two = NJ.folded([NJ.sketch(a), NJ.sketch(b)])
@@ -383,7 +428,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     copies = docs.limit(20).withColumn("doc_id", F.col("doc_id") + 100_000)
     extra = docs_frame(spark, [(200_000, None), (200_001, ""), (None, "a null id"), (200_002, "x@y.co 10.0.0.1 " + "fine words " * 30),
-                               (200_003, "same id one"), (200_003, "same id two")])
+                               (200_003, "same id one"), (200_003, "same id one")])
     given = docs.unionByName(copies).unionByName(extra.select(docs.columns)).withColumn("x.y", F.lit(1))
     clean, groups, masked, packed = staged(spark, given)
     assert clean.columns == groups.columns == masked.columns == given.columns
