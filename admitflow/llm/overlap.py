@@ -16,9 +16,11 @@ signatures, but for pairs that resist every test:
    those of other components; sketches, then whole sets decide; links give
    components.
 3. Lists that still span components and have the same node of most lists are
-   one star, whose nodes are compared across components inside tasks, in blocks
-   of bounded size. A block's nodes and sketches travel as one packed row.
-   Pairs that sketches leave are checked on the whole sets.
+   one star, whose nodes are compared across components inside tasks, in
+   blocks of bounded size that travel as one packed row each. First sketches
+   tell which nodes have a possible partner at all, then the whole sets of
+   those are compared, and only links that join components come out. So what
+   is shuffled and written grows with nodes, not with pairs.
 
 Every linked pair is in one component at the end: it meets in a list, and a
 list's pairs are either inside a component or were tested.
@@ -38,6 +40,7 @@ from .components import components
 from .encoding import tidy
 
 BLOCK = 4_096  # nodes compared at once with as many; members of a star in one task
+BLOCK_BYTES = 16_000_000  # of whole sets compared at once with as many
 STAR_ROUNDS = 2
 BROADCAST_ROWS = 1_000_000  # a few longs each; larger sides are shuffled
 
@@ -152,71 +155,125 @@ def _sketch_test(block: Callable, num: int, den: int) -> Callable:
     return keep
 
 
-def _across(block: Callable, num: int, den: int):
-    """Pairs of different components that a star's packed blocks leave; rows
-    come sorted by (star, one, two), one for each block of nodes."""
-    def compared(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        tables = [pa.ipc.open_stream(p).read_all() for p in parts]
-        cut = len(tables[0])
-        rows = pa.concat_tables(tables)
-        comp, node = rows["comp"].to_numpy(), rows["node"].to_numpy()
-        held = block(rows["n_shingles"].to_numpy(), rows["sketch"].to_numpy(), num, den)
-        out_a, out_b = [node[:0]], [node[:0]]
-        for i in range(cut):
-            js = np.arange(cut if len(tables) > 1 else i + 1, len(node))
-            js = held.near(i, js[comp[js] != comp[i]])
-            out_a.append(np.minimum(node[js], node[i]))
-            out_b.append(np.maximum(node[js], node[i]))
-        return np.concatenate(out_a), np.concatenate(out_b)
+def _packed(cols: list[str]):
+    """One row of Arrow bytes for each (star, block); rows come sorted."""
+    def packed(batches):
+        held, last = [], None
+
+        def row():
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int32()), pa.array([last[2]], pa.int32()),
+                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["star", "block", "blocks", "rows"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b[c].to_numpy() for c in ("star", "block", "blocks")], 1)
+            cuts = (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
+                if held and tuple(key[lo].tolist()) != last:
+                    yield row()
+                    held = []
+                last = tuple(key[lo].tolist())
+                held.append(b.slice(lo, hi - lo).select(cols))
+        if held:
+            yield row()
+    return packed
+
+
+def _blocks_met(rows: DataFrame, cols: list[str], size, most: int, meet: Callable, schema: str, scratch: Scratch, name: str) -> DataFrame:
+    """``meet(first, second)`` of all pairs of a star's blocks (second is None
+    for a block with itself), as Arrow batches. ``rows``: (star, node, ...);
+    a block's sizes add up to about ``most``; each is packed into one row."""
+    sizes = rows.groupBy("star").agg(F.ceil(F.sum(size) / most).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "star").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = rows.select("star", "block", "blocks", *cols).repartition("star", "block").sortWithinPartitions("star", "block")
+    packs = scratch.table(dealt.mapInArrow(tidy(_packed(cols)), "star long, block int, blocks int, rows binary"), name)
+    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
+    met = packs.select("star", "block", "rows", other).select("star", F.least("block", "other").alias("one"),
+                                                              F.greatest("block", "other").alias("two"), "block", "rows")
+    dealt = met.repartition("star", "one", "two").sortWithinPartitions("star", "one", "two", "block")
 
     def across(batches):
         held, last = [], None
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 key = (r["star"], r["one"], r["two"])
                 if held and key != last:
-                    yield _pair_batch(*compared(held))
+                    yield meet(*held, *[None] * (2 - len(held)))
                     held = []
-                held.append(r["rows"])
+                held.append(pa.ipc.open_stream(r["rows"]).read_all())
                 last = key
         if held:
-            yield _pair_batch(*compared(held))
-    return across
-
+            yield meet(*held, *[None] * (2 - len(held)))
 
-def _pair_batch(a, b):
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return dealt.mapInArrow(tidy(across), schema)
 
 
-def _packed(batches):
-    """One row of Arrow bytes for each (star, block); rows come sorted."""
-    held, last = [], None
-
-    def row():
-        table = pa.Table.from_batches(held).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int32()), pa.array([last[2]], pa.int32()),
-                                           pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["star", "block", "blocks", "rows"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = np.stack([b[c].to_numpy() for c in ("star", "block", "blocks")], 1)
-        cuts = (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()
-        for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
-            if held and tuple(key[lo].tolist()) != last:
-                yield row()
-                held = []
-            last = tuple(key[lo].tolist())
-            held.append(b.slice(lo, hi - lo).select(["node", "comp", "n_shingles", "sketch"]))
-    if held:
-        yield row()
-
-
-def _far_pairs(placed: DataFrame, nodes: DataFrame, block: Callable, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs to check across the components that lists still span."""
+def _close(block: Callable, num: int, den: int):
+    """Nodes that have a partner of another component in their block that no
+    sketch rules out."""
+    def close(first, second):
+        rows = first if second is None else pa.concat_tables([first, second])
+        comp, cut = rows["comp"].to_numpy(), len(first)
+        held = block(rows["n_shingles"].to_numpy(), rows["sketch"].to_numpy(), num, den)
+        found = np.zeros(len(comp), bool)
+        for i in range(cut):
+            js = np.arange(i + 1 if second is None else cut, len(comp))
+            js = js[comp[js] != comp[i]]
+            if found[i]:
+                js = js[~found[js]]
+            for at in range(0, len(js), 64):  # once i is known to have one, only unknown ones matter
+                part = js[at:at + 64]
+                near = held.near(i, part[~found[part]] if found[i] else part)
+                found[near] = True
+                found[i] |= len(near) > 0
+        return pa.RecordBatch.from_arrays([rows["node"].combine_chunks().filter(pa.array(found))], names=["node"])
+    return close
+
+
+def _joined(num: int, den: int):
+    """Links that join the components of a block, by whole sets. Common items
+    of one set with all others are counted in an inverted list."""
+    def joined(first, second):
+        rows = first if second is None else pa.concat_tables([first, second])
+        node, cut = rows["node"].to_numpy(), len(first)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["items"].combine_chunks()]
+        size = np.asarray([len(x) for x in sets])
+        at = np.append(0, np.cumsum(size))
+        _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        begin = np.cumsum(times) - times
+        owner = np.repeat(np.arange(len(sets)), size)[np.argsort(item, kind="stable")]
+        _, root = np.unique(rows["comp"].to_numpy(), return_inverse=True)
+        out_a, out_b = [], []
+        for i in range(cut):
+            js = np.arange(i + 1 if second is None else cut, len(sets))
+            js = js[root[js] != root[i]]
+            js = js[np.minimum(size[js], size[i]) * den >= np.maximum(size[js], size[i]) * num]
+            if not len(js):
+                continue
+            mine = item[at[i]:at[i + 1]]
+            mine = mine[times[mine] > 1]
+            n = times[mine]
+            places = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[places], minlength=len(sets))[js]
+            for j in js[den * common >= num * (size[js] + size[i] - common)].tolist():
+                if root[j] != root[i]:
+                    out_a.append(int(node[i]))
+                    out_b.append(int(node[j]))
+                    root[root == root[j]] = root[i]
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+    return joined
+
+
+def _far_links(placed: DataFrame, nodes: DataFrame, docs: DataFrame, block: Callable, items_of: Callable, num: int, den: int,
+               scratch: Scratch) -> DataFrame:
+    """Links across the components that lists still span: enough to join
+    whatever any of them joins."""
     # A list's star is its node with most lists, so lists of the same nodes share one.
     often = placed.groupBy("node").agg(F.count("*").alias("times"))
     rank = F.struct(-F.col("times"), "node")
@@ -224,16 +281,15 @@ def _far_pairs(placed: DataFrame, nodes: DataFrame, block: Callable, num: int, d
     spans = spans.where("lo != hi")
     rows = placed.join(spans.select("sig", "star"), "sig").select("star", "node", "comp").distinct()
     rows = scratch.table(rows, "far")
-    sizes = rows.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "star").select("star", "node", "comp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    rows = rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
-    dealt = rows.repartition("star", "block").sortWithinPartitions("star", "block")
-    packs = scratch.table(dealt.mapInArrow(tidy(_packed), "star long, block int, blocks int, rows binary"), "far-packs")
-    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    met = packs.select("star", "block", "rows", other).select("star", F.least("block", "other").alias("one"),
-                                                              F.greatest("block", "other").alias("two"), "block", "rows")
-    dealt = met.repartition("star", "one", "two").sortWithinPartitions("star", "one", "two", "block")
-    return dealt.mapInArrow(tidy(_across(block, num, den)), "a long, b long").distinct()
+    sketched = rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    near = _blocks_met(sketched, ["node", "comp", "n_shingles", "sketch"], F.lit(1), BLOCK, _close(block, num, den), "node long", scratch, "far-packs")
+    near = scratch.table(near.distinct().join(nodes.select("node", "rep_id", "rep_key"), "node"), "far-near")
+    sets = scratch.table(fetched(near, docs, items_of), "far-sets")
+    whole = rows.join(sets, "node")
+    found = _blocks_met(whole, ["node", "comp", "items"], F.length("items"), BLOCK_BYTES, _joined(num, den), "a long, b long", scratch, "far-whole")
+    found = scratch.table(found, "far-links")
+    scratch.drop("far", "far-packs", "far-near", "far-sets", "far-whole")
+    return found
 
 
 def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame, block: Callable, items_of: Callable,
@@ -274,15 +330,13 @@ def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame
             break
         links = links.union(found)
         labels = components(links, scratch, f"round-{k}")
-    far = scratch.table(_far_pairs(placed(labels), nodes, block, num, den, scratch), "far-pairs")
-    far = scratch.table(untested(far), "far-left")
+    far = _far_links(placed(labels), nodes, docs, block, items_of, num, den, scratch)
     if not far.isEmpty():
-        links = links.union(linked(far, nodes, docs, items_of, num, den, scratch, "far"))
-        labels = components(links, scratch, "last")
+        labels = components(links.union(far), scratch, "last")
     joined = nodes.select("node", "rep_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = joined.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
     ids = scratch.table(joined.join(smallest, "comp").select("node", "comp", "component_id"), "ids")
-    scratch.drop("signs-kept", "far", "far-packs", "far-pairs", "far-left", *[f"star-{k}-met" for k in range(STAR_ROUNDS)])
+    scratch.drop("signs-kept", "far-links", *[f"star-{k}-met" for k in range(STAR_ROUNDS)])
     return ids
 
 

@@ -76,6 +76,7 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch, n, num, broadcast,
     if broadcast is not None:
         monkeypatch.setattr(OV, "BROADCAST_ROWS", broadcast)
         monkeypatch.setattr(OV, "BLOCK", block)
+        monkeypatch.setattr(OV, "BLOCK_BYTES", 5_000)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     rows += near_copies(n, 30) + [(50_000 + i, t) for i, t in enumerate(ODD_TEXTS)]
     rows += [(60_000, "a b c"), (60_000, "x y z q"), (None, "a b c"), (60_001, "A B C"), (7, rows[3][1])]
@@ -104,17 +105,20 @@ def test_lookalikes_that_do_not_link_cost_rows_in_proportion(spark, monkeypatch)
 
     packed, counts = OV._packed, []
 
-    def counted(batches):
-        def count():
-            for b in batches:
-                seen.add(b.num_rows)
-                yield b
-        yield from packed(count())
+    def counted(cols):
+        def run(batches):
+            def count():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+            yield from packed(cols)(count())
+        return run
 
     monkeypatch.setattr(type(spark.range(1)), "toArrow", refuse)
     monkeypatch.setattr(OV, "_packed", counted)
     for n, block in ((30, 4096), (120, 7)):
         monkeypatch.setattr(OV, "BLOCK", block)
+        monkeypatch.setattr(OV, "BLOCK_BYTES", block * 3_000)
         seen = spark.sparkContext.accumulator(0)
         rows = lookalikes(n, 12)
         got = NJ.similar_groups(docs_frame(spark, rows), Scratch(spark, "t2"), 5, 80, 100).collect()

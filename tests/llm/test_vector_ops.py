@@ -30,6 +30,7 @@ def with_kept(groups):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, n, num, k, broadcast, block):
     """Also with all joins shuffled, small blocks, and small samples of the sets."""
     monkeypatch.setattr(OV, "BLOCK", block)
+    monkeypatch.setattr(OV, "BLOCK_BYTES", block * 1_000)
     if broadcast is not None:
         monkeypatch.setattr(OV, "BROADCAST_ROWS", broadcast)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
