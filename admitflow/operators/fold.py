@@ -12,17 +12,20 @@ or a partition: memory is O(1) per key (O(limit) for the sliding log) and
 the sort spills. Input columns pass through untouched as Arrow arrays;
 only the key, time and the output columns cross into Python lists.
 
-Hot keys (more than ``spark.admitflow.hotKeyRows`` rows) are split into
-segments at points where their state provably resets, so segments fold in
-parallel with the same result. For every limiter here that point is a
-bucket of width ``window`` (aligned to the grid, or to the key's first
-request for the anchored counter) with no request in it: the time gap is
-then > window, which refills a bucket, empties a log and clears both
-counters. Segments are
-found on the distinct (key, bucket) table, which is far smaller than the
-input, then joined back. A key with traffic in every bucket has no reset
-point: each decision depends on all earlier ones, so it folds in one task,
-streaming.
+Hot keys are found by one small job over the key column (counts, combined
+before the shuffle): keys with more rows than ``spark.admitflow.hotKeyRows``
+and than a shuffle partition's share of all rows, so there are fewer of them
+than partitions. Without any, a fold is one read and one shuffle. A hot key is
+split in two steps, each with the same result as the serial fold:
+
+1. At points where its state provably resets. For every limiter here that is
+   a bucket of width ``window`` (aligned to the grid, or to the key's first
+   request for the anchored counter) with no request in it: the time gap is
+   then > window, which refills a bucket, empties a log and clears both
+   counters.
+2. Runs that are still long (traffic in every bucket, or a fold that never
+   resets, as the ledger's) are cut anywhere and folded by speculation, see
+   :mod:`admitflow.operators.speculative`.
 """
 
 from __future__ import annotations
@@ -50,37 +53,38 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
 HOT_KEY_ROWS = None
 
 
-def segment_ids(df: DataFrame, key: str, time_col: str, width: int,
-                anchor_first: bool = False, hot_key_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
-    """Append ``_seg``: for rows of hot keys (more than ``hot_key_rows``
-    rows), the index of the run of consecutive non-empty ``width``
-    buckets the row falls in; 0 for every other row.
-
-    All inside one plan: the hot-key list comes from a partial-aggregate
-    count and holds at most rows / hot_key_rows keys (a proven bound, so it
-    is broadcast); rows of other keys pass it without a shuffle, and only
-    rows of hot keys meet the run table (one row per hot key and bucket).
-    Rows with a NULL key or time stay whole.
-    """
+def hot_keys(df: DataFrame, key: str, time_col: str, hot_key_rows: int | None = HOT_KEY_ROWS) -> tuple[DataFrame | None, int]:
+    """(key, _t0: its first time) of the hot keys, None without any, and the
+    number of rows above which a key is hot. At most as many keys as shuffle
+    partitions (or as rows / ``hot_key_rows``, where that is given)."""
+    spark = df.sparkSession
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"))
+    whole = counts.agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
     if hot_key_rows is None:
         from ..session import hot_key_rows as _conf_rows
-        hot_key_rows = _conf_rows(df.sparkSession)
-    # At most rows / hot_key_rows keys, so the list may be broadcast.
-    hot = F.broadcast(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"))
-                        .where(F.col("_n") > hot_key_rows).select(key, "_t0"))
-    cold = (df.join(hot, key, "left_anti")
-              .withColumn("_t0", F.lit(None).cast("long")).withColumn("_seg", F.lit(0).cast("long")))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        hot_key_rows = max(_conf_rows(spark), (whole["rows"] or 0) // parts)
+    if (whole["most"] or 0) <= hot_key_rows:
+        return None, hot_key_rows
+    hot = counts.where(F.col("_n") > hot_key_rows).select(key, "_t0")
+    return spark.createDataFrame(hot.collect(), hot.schema), hot_key_rows
+
+
+def reset_runs(rows: DataFrame, key: str, time_col: str, width: int, anchor_first: bool = False) -> DataFrame:
+    """Append ``_seg`` to rows of hot keys (with ``_t0``): the index of the
+    run of consecutive non-empty ``width`` buckets the row falls in. Runs are
+    found on the distinct (key, bucket) table and joined back; a row without a
+    time is in run 0."""
     # Hot keys carry their anchor (first request) explicitly, because their
     # later segments do not start at it; other keys take it in the fold.
     rel = F.col(time_col) - (F.col("_t0") if anchor_first else F.lit(0))
-    tagged = df.join(hot, key).withColumn("_b", F.floor(rel / F.lit(width)).cast("long"))
+    tagged = rows.withColumn("_b", F.floor(rel / F.lit(width)).cast("long"))
     w = Window.partitionBy(key).orderBy("_b")
     runs = (tagged.select(key, "_b").distinct()
                   .withColumn("_seg", F.sum(F.when(F.col("_b") - F.lag("_b").over(w) > 1, 1)
                                              .otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    split = (tagged.join(runs, [key, "_b"], "left")
-                   .withColumn("_seg", F.coalesce(F.col("_seg"), F.lit(0).cast("long"))).drop("_b"))
-    return cold.unionByName(split)
+    return (tagged.join(runs, [key, "_b"], "left")
+                  .withColumn("_seg", F.coalesce(F.col("_seg"), F.lit(0).cast("long"))).drop("_b"))
 
 
 def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
@@ -93,53 +97,70 @@ def keyed_fold(df: DataFrame, key: str, time_col: str, seq_col: str | list[str],
 
     Returns ``df`` with ``out_fields`` appended (one output row per input row).
     """
-    if split_width:
-        df = segment_ids(df, key, time_col, split_width, anchor_first, hot_key_rows)
-        part_cols = [key, "_seg"]
-    else:
-        df = df.withColumn("_seg", F.lit(0)).withColumn("_t0", F.lit(None).cast("long"))
-        part_cols = [key]
-    # Spread by a hash column of the fold's own: no join or aggregate below is
-    # partitioned by it, so the planner cannot take their partitioning for the
-    # fold's (AQE would then be free to split a skewed key over tasks).
-    df = df.withColumn("_fold", F.xxhash64(*part_cols))
-    ties = [seq_col] if isinstance(seq_col, str) else list(seq_col)
-    # Without an explicit count the shuffle starts at spark.sql.shuffle.partitions
-    # and AQE may merge small partitions; hash partitioning keeps keys whole.
-    parted = df.repartition(num_partitions, "_fold") if num_partitions else df.repartition("_fold")
-    ordered = parted.sortWithinPartitions(key, "_seg", *(lead_cols or []), time_col, *ties).drop("_fold")
-    in_schema = ordered.schema
-    out_schema = T.StructType(list(in_schema.fields) + list(out_fields))
-    names = [f.name for f in out_fields]
-    types = [_arrow_type(f.dataType) for f in out_fields]
-    key_i = in_schema.fieldNames().index(key)
-    seg_i = in_schema.fieldNames().index("_seg")
-    t_i = in_schema.fieldNames().index(time_col)
-    a_i = in_schema.fieldNames().index("_t0") if anchor_first else None
-    extra_i = [in_schema.fieldNames().index(c) for c in (extra_inputs or [])]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = make_stepper()
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            keys = b.column(key_i).to_pylist()
-            segs = b.column(seg_i).to_pylist()
+    plan = FoldPlan(key, time_col, [seq_col] if isinstance(seq_col, str) else list(seq_col), make_stepper, list(out_fields),
+                    anchor_first, list(extra_inputs or []), list(lead_cols or []))
+    hot, rows = hot_keys(df, key, time_col, hot_key_rows)
+    none = df.withColumn("_seg", F.lit(0).cast("long")).withColumn("_t0", F.lit(None).cast("long"))
+    if hot is None:
+        return plan.folded(none, num_partitions)
+    few = F.broadcast(hot)
+    cold = plan.folded(none.join(few.select(key), key, "left_anti"), num_partitions)
+    split = df.join(few, key)
+    split = reset_runs(split, key, time_col, split_width, anchor_first) if split_width else split.withColumn("_seg", F.lit(0).cast("long"))
+    from .speculative import speculative_fold
+    both = cold.unionByName(speculative_fold(split, plan, rows))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], *[f.name for f in out_fields])
+
+
+class FoldPlan:
+    """What a fold reads, does and appends."""
+
+    def __init__(self, key: str, time_col: str, ties: list[str], make: StepperFactory, out_fields: list[T.StructField],
+                 anchor_first: bool, extra_inputs: list[str], lead_cols: list[str]):
+        self.key, self.time, self.ties, self.make, self.out_fields = key, time_col, ties, make, out_fields
+        self.anchor_first, self.extra, self.lead = anchor_first, extra_inputs, lead_cols
+
+    @property
+    def order(self) -> list[str]:
+        return [*self.lead, self.time, *self.ties]
+
+    def appended(self) -> Callable:
+        """``columns(run, batch)``: the batch's arrays and those the stepper adds."""
+        names = [f.name for f in self.out_fields]
+        types = [_arrow_type(f.dataType) for f in self.out_fields]
+        key, time, extra, anchor = self.key, self.time, self.extra, self.anchor_first
+
+        def columns(run, b: pa.RecordBatch) -> list[pa.Array]:
             # (key, segment) identifies one independent fold.
-            ident = list(zip(keys, segs))
-            tcol = b.column(t_i)
+            ident = list(zip(b[key].to_pylist(), b["_seg"].to_pylist()))
+            tcol = b[time]
             # to_numpy would turn a column with NULLs into floats
             times = tcol.to_pylist() if tcol.null_count else tcol.to_numpy(zero_copy_only=False).tolist()
-            anchors = b.column(a_i).to_pylist() if a_i is not None else None
-            if extra_i:
-                extras = [b.column(i).to_pylist() for i in extra_i]
-                out = run(ident, times, anchors, *extras)
-            else:
-                out = run(ident, times, anchors)
-            arrays = list(b.columns) + [pa.array(out[nm], type=ty) for nm, ty in zip(names, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=out_schema.fieldNames())
-
-    return ordered.mapInArrow(fold, out_schema).drop("_seg", "_t0")
+            anchors = b["_t0"].to_pylist() if anchor else None
+            out = run(ident, times, anchors, *[b[c].to_pylist() for c in extra])
+            return list(b.columns) + [pa.array(out[nm], type=ty) for nm, ty in zip(names, types)]
+        return columns
+
+    def folded(self, df: DataFrame, num_partitions: int | None) -> DataFrame:
+        """Fold every (key, ``_seg``) of ``df`` from its start, in one shuffle."""
+        # Spread by a hash column of the fold's own: no join or aggregate below is
+        # partitioned by it, so the planner cannot take their partitioning for the
+        # fold's (AQE would then be free to split a skewed key over tasks).
+        df = df.withColumn("_fold", F.xxhash64(self.key, "_seg"))
+        # Without an explicit count the shuffle starts at spark.sql.shuffle.partitions
+        # and AQE may merge small partitions; hash partitioning keeps keys whole.
+        parted = df.repartition(num_partitions, "_fold") if num_partitions else df.repartition("_fold")
+        ordered = parted.sortWithinPartitions(self.key, "_seg", *self.order).drop("_fold")
+        out_schema = T.StructType(list(ordered.schema.fields) + self.out_fields)
+        names, make, columns = out_schema.fieldNames(), self.make, self.appended()
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            run = make()
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays(columns(run, b), names=names)
+
+        return ordered.mapInArrow(fold, out_schema).drop("_seg", "_t0")
 
 
 def check_limit(limit: int, window_us: int) -> None:

@@ -229,10 +229,11 @@ def rate_limit(df: DataFrame, key: str | Column, algorithm, limit: int, window_u
 def _side_by_side(makes: dict):
     """One stepper that runs several over the same rows."""
     def make(cur=None):
-        runs = {name: m() for name, m in makes.items()}
+        runs = {name: m(cur[name] if cur else None) for name, m in makes.items()}
 
         def run(ident, times, anchors):
             return {f"{name}_{k}": v for name, r in runs.items() for k, v in r(ident, times, anchors).items()}
+        run.cur = {name: r.cur for name, r in runs.items()}
         return run
     return make
 
@@ -241,7 +242,9 @@ def _per_value(make_one, name: str):
     """A stepper that keeps one state per value of an extra input within a
     key (a few values, such as the gateways), beside one for the whole key."""
     def make(cur=None):
-        whole, parts = make_one(), {}
+        whole = make_one(cur["whole"] if cur else None)
+        parts = {v: make_one(c) for v, c in (cur["parts"] if cur else {}).items()}
+        cur = {"whole": whole.cur, "parts": {v: r.cur for v, r in parts.items()}}
 
         def run(ident, times, anchors, values):
             out = {f"all_{k}": v for k, v in whole(ident, times, anchors).items()}
@@ -251,12 +254,14 @@ def _per_value(make_one, name: str):
             for v, at in rows.items():
                 if v not in parts:
                     parts[v] = make_one()
+                    cur["parts"][v] = parts[v].cur
                 got = parts[v]([ident[i] for i in at], [times[i] for i in at], None)
                 for k, x in got.items():
                     col = out.setdefault(f"{name}_{k}", [None] * len(times))
                     for i, y in zip(at, x):
                         col[i] = y
             return out
+        run.cur = cur
         return run
     return make
 

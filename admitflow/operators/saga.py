@@ -207,59 +207,68 @@ def stuck_pending(resolved: DataFrame, holds: DataFrame, now_us: Column, max_age
         F.coalesce("held_units", F.lit(0)).cast("bigint").alias("held_units"))
 
 
-def settle(settled: DataFrame, holds: DataFrame, op: str, fails: Column) -> DataFrame:
-    """Settle the holds (``order_id, product_id, quantity``) of ``settled``
-    orders through the stock ledger: ``op`` is ``release`` or ``commit``. A
-    first attempt goes through an order's products in product order and stops
-    at the first that ``fails``; the redelivered event goes through all of them
-    again once the outage is over (both operations are idempotent by the hold).
-    Orders without holds settle at once. Per order: items, settled units,
-    holds settled by the first attempt, attempts, and whether every hold was
-    settled after the first attempt and in the end."""
+def settle(settled: DataFrame, lines: DataFrame, op: str, fails_for: Column, commands: DataFrame, products: DataFrame,
+           order_cols: list[str]) -> DataFrame:
+    """Settle ``settled`` orders on the stock ledger: ``op`` (``release`` or
+    ``commit``) for every product of an order's ``lines`` (order_id,
+    product_id) is fed, after all ``commands``, into the fold that made the
+    holds, so a hold that was refused, or is settled already, settles nothing.
+
+    An attempt goes through an order's products in product order and stops at
+    the first that fails; ``fails_for`` (over product_id, NULL: 0) is the
+    number of attempts a product's service refuses. The event is delivered
+    again until an attempt gets through; both operations are idempotent by
+    the hold. Per order: items, units and holds settled, holds settled by the
+    first attempt, items without a hold to settle, and attempts."""
     from .ledger import run_ledger
     done = {"release": "released", "commit": "committed"}[op]
-    items = settled.select("order_id").join(holds, "order_id").withColumn("_fails", F.coalesce(fails, F.lit(False)))
-    stop = items.where("_fails").groupBy("order_id").agg(F.min("product_id").alias("_stop"))
-    items = items.join(stop, "order_id", "left")
-    tries = F.when(F.col("_stop").isNull() | (F.col("product_id") < F.col("_stop")), F.array(F.lit(0), F.lit(1)))
-    tries = F.when(F.col("_stop").isNull(), tries).otherwise(F.array_append(F.coalesce(tries, F.array(F.lit(0))), F.lit(2)))
-    commands = items.withColumn("attempt", F.explode(tries)).select(
-        "product_id", F.col("attempt").cast("long").alias("t_us"), F.col("order_id"), "quantity", "attempt",
-        F.when(F.col("attempt") == 0, "reserve").otherwise(op).alias("op"))
-    stock = items.groupBy("product_id").agg(F.sum("quantity").alias("stock")).withColumn("reserved", F.lit(0))
-    results = run_ledger(commands, stock, ["order_id"]).where(F.col("attempt") > 0)
+    items = settled.select("order_id").join(lines.select("order_id", "product_id").distinct(), "order_id")
+    items = items.withColumn("_fails", F.coalesce(fails_for, F.lit(0)).cast("long"))
+    per = items.groupBy("order_id").agg((F.max("_fails") + 1).alias("attempts"), F.count(F.lit(1)).alias("items"))
+    tries = items.join(per.select("order_id", "attempts"), "order_id")
+    tries = tries.withColumn("attempt", F.explode(F.expr("sequence(1L, attempts)"))).withColumn("_stops", F.when(F.col("_fails") >= F.col("attempt"), F.col("product_id")))
+    stop = tries.groupBy("order_id", "attempt").agg(F.min("_stops").alias("_stop"))
+    tries = tries.join(stop, ["order_id", "attempt"]).where(F.col("_stop").isNull() | (F.col("product_id") < F.col("_stop")))
+    after = F.coalesce(commands.select(F.max("t_us")).scalar(), F.lit(0))
+    fed = tries.select("product_id", (after + F.col("attempt")).alias("t_us"), "order_id", F.lit(op).alias("op"), "attempt")
+    both = commands.withColumn("attempt", F.lit(None).cast("long")).unionByName(fed, allowMissingColumns=True)
+    results = run_ledger(both, products, order_cols).where("attempt is not null")
     hit = F.col("result") == done
-    per = results.groupBy("order_id").agg(
-        F.sum(F.when(hit, 1).otherwise(0)).alias("_settled"),
-        F.sum(F.when(hit, F.col("hold_qty")).otherwise(0)).alias("units"),
-        F.sum(F.when(hit & (F.col("attempt") == 1), 1).otherwise(0)).alias("first"))
-    count = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("items"), F.max("_stop").isNotNull().alias("_again"))
-    j = settled.select("order_id").join(count, "order_id", "left").join(per, "order_id", "left")
-    items_n, first = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("items", "first"))
-    return j.select("order_id", items_n.alias("items"), F.coalesce("units", F.lit(0)).cast("bigint").alias("units"),
-                    first.alias("first"), F.when(F.coalesce("_again", F.lit(False)), 2).otherwise(1).alias("attempts"),
-                    (first == items_n).alias("settled_first"),
-                    (F.coalesce("_settled", F.lit(0)) == items_n).alias("settled"))
-
-
-def compensate(cancelled: DataFrame, holds: DataFrame, release_fails: Column) -> DataFrame:
-    """Release every hold of a cancelled order, in product order, then
-    cancel. A failing release stops the pass and leaves the order pending;
-    the redelivered event retries, so an outage that clears costs one more
-    attempt."""
-    s = settle(cancelled, holds, "release", release_fails)
-    status = lambda c: F.when(c, "cancelled").otherwise("pending")
-    return s.select("order_id", "items", F.col("units").alias("released_units"), F.col("first").alias("released_first_attempt"),
-                    "attempts", status(F.col("settled_first")).alias("status_after_first"), status(F.col("settled")).alias("status"))
-
-
-def settlement_retries(compensated: DataFrame) -> DataFrame:
-    """The retry table of E6: orders still pending after their first attempt."""
-    return compensated.where(F.col("status_after_first") == "pending").select("order_id", F.lit(2).alias("attempt"))
-
-
-def confirm(confirmed: DataFrame, holds: DataFrame, commit_fails: Column | None = None) -> DataFrame:
-    """Commit every hold of a confirmed order, then confirm it."""
-    s = settle(confirmed, holds, "commit", commit_fails if commit_fails is not None else F.lit(False))
-    return s.select("order_id", "items", F.col("units").alias("committed_units"),
-                    F.when(F.col("settled"), "confirmed").otherwise("pending").alias("status"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    got = results.groupBy("order_id").agg(
+        count(hit).alias("holds"), F.sum(F.when(hit, F.col("hold_qty")).otherwise(0)).alias("units"),
+        count(hit & (F.col("attempt") == 1)).alias("first"))
+    j = settled.select("order_id").join(per, "order_id", "left").join(got, "order_id", "left")
+    n = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("items", "units", "holds", "first")}
+    return j.select("order_id", *[v.alias(c) for c, v in n.items()], (n["items"] - n["holds"]).alias("without_hold"),
+                    F.coalesce("attempts", F.lit(1)).cast("bigint").alias("attempts"))
+
+
+def compensate(settlement: DataFrame) -> DataFrame:
+    """A cancelled order releases every hold, then is cancelled. While a
+    release fails it stays pending, and the event is delivered again."""
+    status = F.when(F.col("attempts") == 1, "cancelled").otherwise("pending")
+    return settlement.select("order_id", "items", F.col("units").alias("released_units"), F.col("holds").alias("released_holds"),
+                             F.col("first").alias("released_first_attempt"), "without_hold", "attempts",
+                             status.alias("status_after_first"), F.lit("cancelled").alias("status"))
+
+
+def settlement_retries(settlement: DataFrame) -> DataFrame:
+    """The retry table of E6 / E7: an order's failed attempts."""
+    return settlement.where("attempts > 1").select("order_id", F.explode(F.expr("sequence(1L, attempts - 1)")).alias("failed_attempt"))
+
+
+def confirm(settlement: DataFrame) -> DataFrame:
+    """A confirmed order commits every hold, then is confirmed."""
+    return settlement.select("order_id", "items", F.col("units").alias("committed_units"), F.col("holds").alias("committed_holds"),
+                             "without_hold", "attempts", F.lit("confirmed").alias("status"))
+
+
+def consumed_outcomes(effects: DataFrame, releases: DataFrame) -> DataFrame:
+    """M8 with both outcomes: ``success`` as :func:`events_consumed`, and
+    ``retry``, one for each delivery of a PaymentFailed whose release failed.
+    A partition is read in order and its head is delivered again until it gets
+    through, so a retry is counted before anything behind it."""
+    retries = settlement_retries(releases).agg(F.count(F.lit(1)).alias("consumed")).where("consumed > 0")
+    retries = retries.select(F.lit("payment.failed").alias("topic"), F.lit("PaymentFailed").alias("type"), "consumed", F.lit("retry").alias("outcome"))
+    return events_consumed(effects).unionByName(retries)

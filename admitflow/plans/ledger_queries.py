@@ -54,7 +54,7 @@ QUERIES = {
 
 # ---------------------------------------------------------------- oracles
 
-COMMANDS = V.ORDER_LINES + """,
+_CMD0 = V.ORDER_LINES + """,
 cmd0 AS (
   SELECT l.product_id, l.ship_us + CASE t.n WHEN 1 THEN 30 * 86400000000 WHEN 2 THEN 31 * 86400000000
                                             WHEN 3 THEN 10 * 86400000000 ELSE 0 END AS t_us,
@@ -64,14 +64,17 @@ cmd0 AS (
   FROM order_lines l LEFT JOIN orders o ON o.o_orderkey = l.order_id, (SELECT range AS n FROM range(4)) t
   WHERE t.n = 0 OR (t.n = 1 AND o.o_orderstatus IN ('F', 'P'))
      OR (t.n = 2 AND o.o_orderstatus IN ('F', 'P') AND l.order_id % 7 = 0) OR (t.n = 3 AND l.order_id % 10 = 3)
-),
-cmds AS MATERIALIZED (
+)"""
+
+
+def _numbered(source: str) -> str:
+    return f"""cmds AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY t_us, n, order_id, line_no, supp_id, quantity, extended_price) AS rn
-  FROM cmd0
+  FROM {source}
 )"""
 
-LEDGER = f"""WITH RECURSIVE {V.PRODUCTS}, {COMMANDS},
-fold(product_id, rn, stock, reserved, holds, result, hold_qty) AS (
+
+_FOLD = """fold(product_id, rn, stock, reserved, holds, result, hold_qty) AS (
   SELECT product_id, CAST(0 AS BIGINT), CAST(stock AS BIGINT), CAST(reserved AS BIGINT),
          CAST([] AS STRUCT(o BIGINT, q BIGINT)[]), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT)
   FROM products
@@ -80,7 +83,7 @@ fold(product_id, rn, stock, reserved, holds, result, hold_qty) AS (
     CASE WHEN op = 'commit' AND has THEN greatest(0, s - hq) WHEN op = 'add_stock' AND q > 0 THEN s + q ELSE s END,
     CASE WHEN op = 'reserve' AND ok AND NOT has AND s - r >= q THEN r + q
          WHEN op IN ('release', 'commit') AND has THEN greatest(0, r - hq) ELSE r END,
-    CASE WHEN op = 'reserve' AND ok AND NOT has AND s - r >= q THEN list_append(hs, {{'o': order_id, 'q': q}})
+    CASE WHEN op = 'reserve' AND ok AND NOT has AND s - r >= q THEN list_append(hs, {'o': order_id, 'q': q})
          WHEN op IN ('release', 'commit') AND has THEN list_filter(hs, lambda x: x.o <> order_id) ELSE hs END,
     CASE WHEN op = 'reserve' AND NOT ok THEN 'invalid'
          WHEN op = 'reserve' AND has THEN 'held' WHEN op = 'reserve' AND s - r >= q THEN 'reserved'
@@ -101,6 +104,44 @@ fold(product_id, rn, stock, reserved, holds, result, hold_qty) AS (
 res AS (SELECT c.*, f.result, f.hold_qty, f.stock AS stock_after, f.reserved AS reserved_after
         FROM fold f JOIN cmds c ON c.product_id = f.product_id AND c.rn = f.rn)"""
 
+LEDGER = f"WITH RECURSIVE {V.PRODUCTS}, {_CMD0}, {_numbered('cmd0')}, {_FOLD}"
+
+
+def settled_ledger(prelude: str, status: str, op: str, fails_for: str) -> str:
+    """The ledger with a settlement of ``resolved`` orders (of ``prelude``) of
+    one status behind its commands: tables ``per`` (order_id, items,
+    attempts) and ``res`` with the settlement rows' ``attempt``."""
+    return f"""WITH RECURSIVE {V.PRODUCTS}, {prelude}, {_CMD0},
+items AS MATERIALIZED (
+  SELECT DISTINCT l.order_id, l.product_id, {fails_for} AS fails
+  FROM order_lines l JOIN resolved r ON r.order_id = CAST(l.order_id AS VARCHAR) WHERE r.status = '{status}'
+),
+per AS MATERIALIZED (SELECT order_id, COUNT(*) AS items, max(fails) + 1 AS attempts FROM items GROUP BY order_id),
+tries AS MATERIALIZED (
+  SELECT i.order_id, i.product_id, a.attempt FROM items i JOIN per p USING (order_id), LATERAL (SELECT unnest(range(1, p.attempts + 1)) AS attempt) a
+  WHERE NOT EXISTS (SELECT 1 FROM items s WHERE s.order_id = i.order_id AND s.fails >= a.attempt AND s.product_id <= i.product_id)
+),
+cmd1 AS (
+  SELECT *, CAST(NULL AS BIGINT) AS attempt FROM cmd0
+  UNION ALL BY NAME
+  SELECT product_id, (SELECT max(t_us) FROM cmd0) + attempt AS t_us, order_id, '{op}' AS op, attempt FROM tries
+), {_numbered('cmd1')}, {_FOLD},
+got AS (
+  SELECT order_id, COUNT(*) AS holds, SUM(hold_qty) AS units, SUM(CASE WHEN attempt = 1 THEN 1 ELSE 0 END) AS first
+  FROM res WHERE attempt IS NOT NULL AND result IN ('released', 'committed') GROUP BY order_id
+),
+settlement AS (
+  SELECT r.order_id, CAST(coalesce(p.items, 0) AS BIGINT) AS items, CAST(coalesce(g.units, 0) AS BIGINT) AS units,
+    CAST(coalesce(g.holds, 0) AS BIGINT) AS holds, CAST(coalesce(g.first, 0) AS BIGINT) AS first,
+    CAST(coalesce(p.items, 0) - coalesce(g.holds, 0) AS BIGINT) AS without_hold, CAST(coalesce(p.attempts, 1) AS BIGINT) AS attempts
+  FROM resolved r LEFT JOIN per p ON CAST(p.order_id AS VARCHAR) = r.order_id LEFT JOIN got g ON CAST(g.order_id AS VARCHAR) = r.order_id
+  WHERE r.status = '{status}'
+)"""
+
+
+OPEN_HOLDS = (", lastchg AS (SELECT order_id, product_id, arg_max(result, rn) AS lr, arg_max(hold_qty, rn) AS lq "
+              "FROM res WHERE result IN ('reserved', 'released', 'committed') GROUP BY order_id, product_id)")
+
 ORACLES = {
     "ledger_reserve": LEDGER + " SELECT product_id, order_id, line_no, supp_id, n, result, hold_qty, stock_after, reserved_after "
                                "FROM res WHERE op = 'reserve'",
@@ -114,8 +155,7 @@ ORACLES = {
     "oversell_audit": LEDGER + " SELECT product_id, max(reserved_after - stock_after) AS max_excess, "
                                "CAST(SUM(CASE WHEN reserved_after > stock_after THEN 1 ELSE 0 END) AS BIGINT) AS violations "
                                "FROM res GROUP BY product_id",
-    "orphan_holds": LEDGER + f", {V.ORDERS}, lastchg AS (SELECT order_id, product_id, arg_max(result, rn) AS lr, arg_max(hold_qty, rn) AS lq "
-                             "FROM res WHERE result IN ('reserved', 'released', 'committed') GROUP BY order_id, product_id) "
+    "orphan_holds": LEDGER + f", {V.ORDERS}" + OPEN_HOLDS + " "
                              "SELECT h.order_id, h.product_id, h.lq AS quantity, coalesce(o.status, 'missing') AS order_status "
                              "FROM lastchg h LEFT JOIN orders_v o USING (order_id) WHERE h.lr = 'reserved' "
                              "AND (o.status IS NULL OR o.status IN ('confirmed', 'cancelled'))",

@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import EVENT_FIELDS
+from ..operators import ledger as LG
 from ..operators import saga as SG
 from ..sources import views as VW
 from ..sources.events import envelope_records
 from . import sqlviews as V
+from .ledger_queries import LEDGER, OPEN_HOLDS
 
 DAY_US = 86_400_000_000
 STUCK_AFTER_US = 7 * DAY_US
@@ -119,10 +121,12 @@ def q_drain_eta(spark, sf):
 
 
 def q_stuck_pending(spark, sf):
-    """Pending orders older than 7 days at the latest order time, with held units."""
+    """Pending orders older than 7 days at the latest order time, with
+    the units that the ledger still holds for them."""
     o = VW.orders(spark, sf)
     r = SG.resolve_orders(_decoded(spark, sf), o)
-    holds = VW.order_lines(spark, sf).select(F.col("order_id").cast("string").alias("order_id"), "quantity")
+    results = LG.run_ledger(VW.ledger_commands(spark, sf), VW.products(spark, sf), VW.LEDGER_ORDER)
+    holds = LG.open_holds(results, VW.LEDGER_ORDER).withColumn("order_id", F.col("order_id").cast("string"))
     now = o.select(F.max("created_us")).scalar()
     return SG.stuck_pending(r, holds, now, STUCK_AFTER_US)
 
@@ -261,12 +265,13 @@ ORACLES = {
                  "FROM consumer_offsets WHERE consumer_group = 'payment'), r AS (SELECT CAST(SUM(CASE WHEN status <> 'pending' "
                  "THEN 1 ELSE 0 END) AS BIGINT) AS settled, max(created_us) - min(created_us) AS span_us FROM orders_v) "
                  "SELECT backlog, settled, span_us, CAST(trunc(CAST(backlog AS DOUBLE) * (CAST(span_us AS DOUBLE) / 1000000) / CAST(settled AS DOUBLE)) AS BIGINT) AS eta_s FROM b, r",
-    "stuck_pending": D + ", held AS (SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) "
-                         "AS held_units FROM lineitem GROUP BY 1), nw AS (SELECT max(created_us) AS now_us FROM known) "
-                         "SELECT r.order_id, CAST(trunc((nw.now_us - r.created_us) / 86400000000) AS BIGINT) AS age_days, "
-                         "CAST(coalesce(h.held_units, 0) AS BIGINT) AS held_units FROM resolved r CROSS JOIN nw "
-                         "LEFT JOIN held h USING (order_id) WHERE r.status = 'pending' AND nw.now_us - r.created_us > "
-                         f"{STUCK_AFTER_US}",
+    "stuck_pending": LEDGER + f", {DECODED}" + OPEN_HOLDS +
+                     ", held AS (SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(SUM(lq) AS BIGINT) AS held_units FROM lastchg "
+                     "WHERE lr = 'reserved' GROUP BY 1), nw AS (SELECT max(created_us) AS now_us FROM known) "
+                     "SELECT r.order_id, CAST(trunc((nw.now_us - r.created_us) / 86400000000) AS BIGINT) AS age_days, "
+                     "CAST(coalesce(h.held_units, 0) AS BIGINT) AS held_units FROM resolved r CROSS JOIN nw "
+                     "LEFT JOIN held h USING (order_id) WHERE r.status = 'pending' AND nw.now_us - r.created_us > "
+                     f"{STUCK_AFTER_US}",
     "sink_envelope": D + ", env AS (SELECT *, CASE WHEN status = 'succeeded' THEN 'PaymentSucceeded' ELSE 'PaymentFailed' END AS etype "
                          "FROM payments) SELECT CASE WHEN status = 'succeeded' THEN 'payment.succeeded' ELSE 'payment.failed' END AS topic, "
                          "order_id AS key, 'o-' || order_id AS correlation_id, "

@@ -15,6 +15,7 @@ from ..sources import views as VW
 from ..sources.events import parse_envelopes, records_from_deliveries
 from ..sources.tables import read_table
 from . import sqlviews as V
+from .ledger_queries import settled_ledger
 from .params import LIMIT, WINDOW_US
 from .request_queries import limiter_down
 from .saga_queries import DECODED, _decoded, _effects, _payments
@@ -129,24 +130,31 @@ def q_strict_decode(spark, sf):
     return b.select("seq", strict_decode(F.col("body"), EVENT_FIELDS["OrderCreated"]).alias("reason"))
 
 
-def _holds(spark, sf):
-    li = VW.order_lines(spark, sf)
-    return (li.groupBy(F.col("order_id").cast("string").alias("order_id"), "product_id")
-              .agg(F.sum("quantity").cast("bigint").alias("quantity")))
+# Attempts that a product's catalog shard refuses: one or two in an outage.
+FAILS_FOR = "CASE WHEN product_id % 97 = 0 THEN 2 WHEN product_id % 41 = 0 THEN 1 ELSE 0 END"
+
+
+def _settlement(spark, sf, status, op):
+    r = SG.resolve_orders(_decoded(spark, sf), VW.orders(spark, sf)).where(F.col("status") == status)
+    r = r.select(F.col("order_id").cast("bigint").alias("order_id"))
+    s = SG.settle(r, VW.order_lines(spark, sf), op, F.expr(FAILS_FOR), VW.ledger_commands(spark, sf), VW.products(spark, sf), VW.LEDGER_ORDER)
+    return s.withColumn("order_id", F.col("order_id").cast("string"))
 
 
 def q_compensate(spark, sf):
-    """Cancelled orders release every hold before the status changes;
-    a release that fails (catalog outage on products with id % 97 = 0,
-    first attempt only) leaves the order pending and the event is retried."""
-    r = SG.resolve_orders(_decoded(spark, sf), VW.orders(spark, sf)).where(F.col("status") == "cancelled")
-    return SG.compensate(r, _holds(spark, sf), F.col("product_id") % 97 == 0)
+    """Cancelled orders release what the ledger holds for them."""
+    return SG.compensate(_settlement(spark, sf, "cancelled", "release"))
 
 
 def q_confirm(spark, sf):
-    """Confirmed orders commit every hold, then confirm."""
-    r = SG.resolve_orders(_decoded(spark, sf), VW.orders(spark, sf)).where(F.col("status") == "confirmed")
-    return SG.confirm(r, _holds(spark, sf))
+    """Confirmed orders commit what the ledger holds for them."""
+    return SG.confirm(_settlement(spark, sf, "confirmed", "commit"))
+
+
+def q_consumed_outcomes(spark, sf):
+    """M8: deliveries consumed by outcome, those that had to be repeated included."""
+    effects = SG.delivery_effects(_decoded(spark, sf), VW.orders(spark, sf))
+    return SG.consumed_outcomes(effects, _settlement(spark, sf, "cancelled", "release"))
 
 
 QUERIES = {
@@ -156,6 +164,7 @@ QUERIES = {
     "strict_decode": q_strict_decode,
     "compensate": q_compensate,
     "confirm": q_confirm,
+    "consumed_outcomes": q_consumed_outcomes,
 }
 
 # ---------------------------------------------------------------- oracles
@@ -178,24 +187,23 @@ _REDACT = ("WITH t AS (" + _inj("documents", "doc_id", "text", "documents") + "
 
 _LBL = "'method=\"' || method || '\",route=\"' || route || '\"'"
 
-_HOLDS = ("holds AS (SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_partkey AS product_id, "
-          "CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2)")
-
 ORACLES = {
     "redact_tokens": _REDACT,
     "src_events": f"WITH {V.SAGA_EVENTS} SELECT topic, partition, \"offset\", key, envelope_id AS id, type, correlation_id, "
                   "payload FROM saga_events",
-    "compensate": f"WITH {DECODED}, {_HOLDS}, c AS (SELECT r.order_id, h.product_id, h.quantity, h.product_id % 97 = 0 AS fails "
-                  "FROM resolved r LEFT JOIN holds h USING (order_id) WHERE r.status = 'cancelled'), "
-                  "f AS (SELECT order_id, min(CASE WHEN fails THEN product_id END) AS first_fail FROM c GROUP BY order_id) "
-                  "SELECT c.order_id, COUNT(c.product_id) AS items, CAST(coalesce(SUM(c.quantity), 0) AS BIGINT) AS released_units, "
-                  "CAST(SUM(CASE WHEN c.product_id IS NOT NULL AND (f.first_fail IS NULL OR c.product_id < f.first_fail) THEN 1 ELSE 0 END) AS BIGINT) "
-                  "AS released_first_attempt, CASE WHEN max(f.first_fail) IS NULL THEN 1 ELSE 2 END AS attempts, "
-                  "CASE WHEN max(f.first_fail) IS NULL THEN 'cancelled' ELSE 'pending' END AS status_after_first, "
-                  "'cancelled' AS status FROM c JOIN f USING (order_id) GROUP BY c.order_id",
-    "confirm": f"WITH {DECODED}, {_HOLDS} SELECT r.order_id, COUNT(h.product_id) AS items, "
-               "CAST(coalesce(SUM(h.quantity), 0) AS BIGINT) AS committed_units, 'confirmed' AS status "
-               "FROM resolved r LEFT JOIN holds h USING (order_id) WHERE r.status = 'confirmed' GROUP BY r.order_id",
+    "compensate": settled_ledger(DECODED, "cancelled", "release", FAILS_FOR)
+                  + " SELECT order_id, items, units AS released_units, holds AS released_holds, first AS released_first_attempt, "
+                    "without_hold, attempts, CASE WHEN attempts = 1 THEN 'cancelled' ELSE 'pending' END AS status_after_first, "
+                    "'cancelled' AS status FROM settlement",
+    "confirm": settled_ledger(DECODED, "confirmed", "commit", FAILS_FOR)
+               + " SELECT order_id, items, units AS committed_units, holds AS committed_holds, without_hold, attempts, "
+                 "'confirmed' AS status FROM settlement",
+    "consumed_outcomes": settled_ledger(DECODED, "cancelled", "release", FAILS_FOR)
+                         + " SELECT topic, type, COUNT(*) AS consumed, 'success' AS outcome FROM effects "
+                           "WHERE (topic IN ('payment.succeeded', 'payment.failed') AND effect IN ('applied', 'duplicate')) "
+                           "OR (topic = 'order.created' AND effect = 'applied') GROUP BY topic, type "
+                           "UNION ALL SELECT 'payment.failed', 'PaymentFailed', CAST(SUM(attempts - 1) AS BIGINT), 'retry' "
+                           "FROM settlement HAVING SUM(attempts - 1) > 0",
 }
 
 
