@@ -133,9 +133,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80
     nodes = scratch.table(one_row_a_node(sets, "n_shingles", "sketch", "need"), "nodes")
     rows = scratch.table(sets.select("doc_id", "rep_key", "n_shingles", "node"), "rows")
     scratch.drop("sets")
-    part = F.lit(0).alias("part")
-    signs = nodes.select(F.explode("sketch").alias("sig"), "node", part)
-    need = nodes.select("node", part, "need")
-    ids = grouped(docs, nodes, signs, need, partial(Bottoms, k=k), items_of(n), num, den, scratch)
+    signs = nodes.select(F.explode("sketch").alias("sig"), "node")
+    need = nodes.select("node", F.lit(0).alias("part"), "need")
+    ids = grouped(docs, nodes, signs, need, partial(Bottoms, k=k), items_of(n), num, den, scratch, F.lit(0), once=True)
     scratch.drop("nodes")
     return per_row(rows, ids).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -225,10 +225,10 @@ def _rows(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int, second:
     nodes = scratch.table(one_row_a_node(sets, "n_shingles", "sketch", "need_0", "need_1"), "nodes")
     rows = scratch.table(sets.select("doc_id", "rep_key", "n_shingles", "node"), "rows")
     signs = sets.where("node is not null").select(F.explode("sigs").alias("sig"), "node")
-    signs = signs.withColumn("part", F.col("sig").bitwiseAND(1).cast("int"))
     kinds = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"need_{i}").alias("need")) for i in (0, 1)])
     need = nodes.select("node", F.inline(kinds)).where("need > 0")
-    ids = grouped(docs, nodes, signs, need, Sketches, items_of(n), num, den, scratch, lambda: scratch.drop("sets"))
+    ids = grouped(docs, nodes, signs, need, Sketches, items_of(n), num, den, scratch, F.col("sig").bitwiseAND(1).cast("int"),
+                  signed=lambda: scratch.drop("sets"))
     scratch.drop("nodes")
     return per_row(rows, ids)
 

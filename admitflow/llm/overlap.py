@@ -50,30 +50,36 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def rarest_lists(signs: DataFrame, need: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def rarest_lists(signs: DataFrame, part, need: DataFrame, once: bool, scratch: Scratch, name: str) -> DataFrame:
     """(sig, node): the rarest shared signatures of every node that shares
-    enough. ``signs``: (sig, node, part); ``need``: (node, part, need)."""
-    shared = signs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    shared = scratch.table(shared.select("sig", "n"), f"{name}-shared")
-    members = scratch.table(signs.join(small(shared), "sig"), f"{name}-members")
-    scratch.drop(f"{name}-shared")
+    enough. ``signs``: (sig, node), with repeated rows unless ``once``;
+    ``part``: a signature's class, over sig; ``need``: (node, part, need)."""
+    def shared_of(rows: DataFrame, once: bool) -> DataFrame:
+        if once:
+            return rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+        found = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
+        return found.where("lo != hi").select("sig", "n")
 
     def enough(rows: DataFrame) -> DataFrame:
-        per_node = rows.groupBy("node", "part").agg(F.sort_array(F.collect_set(F.struct("n", "sig"))).alias("sigs"))
+        per_node = rows.groupBy("node", part.alias("part")).agg(F.sort_array(F.collect_set(F.struct("n", "sig"))).alias("sigs"))
         return per_node.join(need, ["node", "part"]).where("size(sigs) >= need")
 
-    left = scratch.table(enough(members).select("node", "part", F.explode("sigs.sig").alias("sig")), f"{name}-left")
-    scratch.drop(f"{name}-members")
-    again = left.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    again = scratch.table(again.select("sig", "n"), f"{name}-again")
-    rarest = enough(left.join(small(again), "sig")).select("node", F.explode(F.expr("slice(sigs.sig, 1, size(sigs) - need + 1)")).alias("sig"))
+    shared = scratch.table(shared_of(signs, once), f"{name}-shared")
+    left = scratch.table(enough(signs.join(shared, "sig")).select("node", F.explode("sigs.sig").alias("sig")), f"{name}-left")
+    again = scratch.table(shared_of(left, True), f"{name}-again")
+    rarest = enough(left.join(again, "sig")).select("node", F.explode(F.expr("slice(sigs.sig, 1, size(sigs) - need + 1)")).alias("sig"))
     lists = scratch.table(rarest.distinct(), f"{name}-lists")
-    spans = lists.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("sig")
-    out = scratch.table(lists.join(spans, "sig"), f"{name}-kept")
-    scratch.drop(f"{name}-left", f"{name}-again", f"{name}-lists")
+    out = scratch.table(lists.join(shared_of(lists, True).select("sig"), "sig"), f"{name}-kept")
+    scratch.drop(*[f"{name}-{x}" for x in ("shared", "left", "again", "lists")])
     return out
 
 
+def only(payload: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of ``payload`` for some nodes, before they are shuffled."""
+    wanted = scratch.table(nodes.select("node").distinct(), name)
+    return payload.join(small(wanted), "node", "left_semi")
+
+
 def by_star(pairs: DataFrame, payload: DataFrame, keep: Callable) -> DataFrame:
     """The distinct pairs (a, b) that ``keep(centre, members)`` leaves: the
     rows of ``payload`` (node, ...) of a star's centre a, sent once, and of a
@@ -281,25 +287,26 @@ def _far_links(placed: DataFrame, nodes: DataFrame, docs: DataFrame, block: Call
     spans = spans.where("lo != hi")
     rows = placed.join(spans.select("sig", "star"), "sig").select("star", "node", "comp").distinct()
     rows = scratch.table(rows, "far")
-    sketched = rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    sketched = rows.join(only(nodes.select("node", "n_shingles", "sketch"), rows, scratch, "far-nodes"), "node")
     near = _blocks_met(sketched, ["node", "comp", "n_shingles", "sketch"], F.lit(1), BLOCK, _close(block, num, den), "node long", scratch, "far-packs")
     near = scratch.table(near.distinct().join(nodes.select("node", "rep_id", "rep_key"), "node"), "far-near")
     sets = scratch.table(fetched(near, docs, items_of), "far-sets")
     whole = rows.join(sets, "node")
     found = _blocks_met(whole, ["node", "comp", "items"], F.length("items"), BLOCK_BYTES, _joined(num, den), "a long, b long", scratch, "far-whole")
     found = scratch.table(found, "far-links")
-    scratch.drop("far", "far-packs", "far-near", "far-sets", "far-whole")
+    scratch.drop("far", "far-packs", "far-near", "far-sets", "far-whole", "far-nodes")
     return found
 
 
 def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame, block: Callable, items_of: Callable,
-            num: int, den: int, scratch: Scratch, signed: Callable = lambda: None) -> DataFrame:
+            num: int, den: int, scratch: Scratch, part, once: bool = False, signed: Callable = lambda: None) -> DataFrame:
     """(node, comp, component_id): the component of every node, and the
     smallest doc_id in it. ``nodes``: (node, rep_id, rep_key, n_shingles,
     sketch); ``block(sizes, sketches, num, den)`` has ``near(i, js)``, those
-    of js that no sketch rules out for i; ``signed`` is called when ``signs``
-    are used up."""
-    lists = rarest_lists(signs, need, scratch, "signs")
+    of js that no sketch rules out for i; ``signs``, ``part``, ``need``,
+    ``once``: see ``rarest_lists``; ``signed`` is called when ``signs`` are
+    used up."""
+    lists = rarest_lists(signs, part, need, once, scratch, "signs")
     signed()
     sketches = nodes.select("node", "n_shingles", "sketch")
     test = _sketch_test(block, num, den)
@@ -322,10 +329,11 @@ def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame
         met = now.join(centre.select("sig", "c"), "sig").where("comp != c.comp")
         pairs = met.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
         pairs = scratch.table(untested(pairs), f"star-{k}-met")
-        near = scratch.table(by_star(pairs, sketches, test), f"star-{k}-near")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        near = scratch.table(by_star(pairs, only(sketches, ends, scratch, f"star-{k}-ends"), test), f"star-{k}-near")
         found = linked(near, nodes, docs, items_of, num, den, scratch, f"star-{k}")
         tested = tested.union(pairs)
-        scratch.drop(f"star-{k}-near")
+        scratch.drop(f"star-{k}-near", f"star-{k}-ends")
         if found.isEmpty():
             break
         links = links.union(found)
