@@ -135,6 +135,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n: int = 5, num: int = 80
     scratch.drop("sets")
     signs = nodes.select(F.explode("sketch").alias("sig"), "node")
     need = nodes.select("node", F.lit(0).alias("part"), "need")
-    ids = grouped(docs, nodes, signs, need, partial(Bottoms, k=k), items_of(n), num, den, scratch, F.lit(0), once=True)
+    ids = grouped(docs, nodes, signs, need, partial(Bottoms, k=k), items_of(n), num, den, scratch, F.lit(0))
     scratch.drop("nodes")
     return per_row(rows, ids).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

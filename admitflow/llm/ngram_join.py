@@ -40,7 +40,7 @@ from .textkernel import mix, text_buffer, word_hashes
 
 BAND = 1.5  # largest size of a band over its smallest, at least
 SKETCH = 2  # least bits of a sketch for each element, and 1024 in all
-SPARE = 0.35  # more first-level parts than one that must agree, as a share
+SPARE = 0.3  # more first-level parts than one that must agree, as a share
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 

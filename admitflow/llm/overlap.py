@@ -50,26 +50,25 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def rarest_lists(signs: DataFrame, part, need: DataFrame, once: bool, scratch: Scratch, name: str) -> DataFrame:
+def rarest_lists(signs: DataFrame, part, need: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(sig, node): the rarest shared signatures of every node that shares
-    enough. ``signs``: (sig, node), with repeated rows unless ``once``;
-    ``part``: a signature's class, over sig; ``need``: (node, part, need)."""
-    def shared_of(rows: DataFrame, once: bool) -> DataFrame:
-        if once:
-            return rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-        found = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
-        return found.where("lo != hi").select("sig", "n")
+    enough. ``signs``: (sig, node), rows of copies repeated or not; ``part``: a
+    signature's class, over sig; ``need``: (node, part, need). The first count
+    takes copies' signatures for shared ones, the second, over distinct rows,
+    does not."""
+    def shared_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
 
     def enough(rows: DataFrame) -> DataFrame:
         per_node = rows.groupBy("node", part.alias("part")).agg(F.sort_array(F.collect_set(F.struct("n", "sig"))).alias("sigs"))
         return per_node.join(need, ["node", "part"]).where("size(sigs) >= need")
 
-    shared = scratch.table(shared_of(signs, once), f"{name}-shared")
+    shared = scratch.table(shared_of(signs.select("sig")), f"{name}-shared")
     left = scratch.table(enough(signs.join(shared, "sig")).select("node", F.explode("sigs.sig").alias("sig")), f"{name}-left")
-    again = scratch.table(shared_of(left, True), f"{name}-again")
+    again = scratch.table(shared_of(left), f"{name}-again")
     rarest = enough(left.join(again, "sig")).select("node", F.explode(F.expr("slice(sigs.sig, 1, size(sigs) - need + 1)")).alias("sig"))
     lists = scratch.table(rarest.distinct(), f"{name}-lists")
-    out = scratch.table(lists.join(shared_of(lists, True).select("sig"), "sig"), f"{name}-kept")
+    out = scratch.table(lists.join(shared_of(lists).select("sig"), "sig"), f"{name}-kept")
     scratch.drop(*[f"{name}-{x}" for x in ("shared", "left", "again", "lists")])
     return out
 
@@ -299,14 +298,13 @@ def _far_links(placed: DataFrame, nodes: DataFrame, docs: DataFrame, block: Call
 
 
 def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame, block: Callable, items_of: Callable,
-            num: int, den: int, scratch: Scratch, part, once: bool = False, signed: Callable = lambda: None) -> DataFrame:
+            num: int, den: int, scratch: Scratch, part, signed: Callable = lambda: None) -> DataFrame:
     """(node, comp, component_id): the component of every node, and the
     smallest doc_id in it. ``nodes``: (node, rep_id, rep_key, n_shingles,
     sketch); ``block(sizes, sketches, num, den)`` has ``near(i, js)``, those
-    of js that no sketch rules out for i; ``signs``, ``part``, ``need``,
-    ``once``: see ``rarest_lists``; ``signed`` is called when ``signs`` are
-    used up."""
-    lists = rarest_lists(signs, part, need, once, scratch, "signs")
+    of js that no sketch rules out for i; ``signs``, ``part``, ``need``:
+    see ``rarest_lists``; ``signed`` is called when ``signs`` are used up."""
+    lists = rarest_lists(signs, part, need, scratch, "signs")
     signed()
     sketches = nodes.select("node", "n_shingles", "sketch")
     test = _sketch_test(block, num, den)
