@@ -14,9 +14,10 @@ from . import saga_queries as SQ
 from . import ledger_queries as GQ
 from . import trace_queries as TQ
 from . import source_queries as XQ
+from . import stream_queries as SQX
 from . import view_queries as WQ
 
-MODULES = (LQ, RQ, CQ, SQ, GQ, TQ, XQ, WQ)
+MODULES = (LQ, RQ, CQ, SQ, GQ, TQ, XQ, WQ, SQX)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
