@@ -36,13 +36,21 @@ def traces(logs: DataFrame) -> DataFrame:
                 .withColumn("duration_us", F.col("end_us") - F.col("start_us")))
 
 
-def trace_steps(logs: DataFrame) -> DataFrame:
+def trace_steps(logs: DataFrame, hot_trace_lines: int | None = None) -> DataFrame:
     """TR2: every trace's steps in time order, a row a step with its number.
-    Numbers are running counts: per (id, service) totals are not needed, and
-    a window over one id spills, so no trace is held in memory."""
-    w = Window.partitionBy("correlation_id").orderBy("ts_us", "service", "line_no")
-    return (logs.where(F.col("correlation_id").isNotNull())
-                .select("correlation_id", F.row_number().over(w).cast("bigint").alias("step"), "ts_us", "service", "msg"))
+    A hot trace is numbered inside time chunks, to which the lines of the
+    chunks before are added from the small per-chunk table, so no task holds
+    a trace (see :func:`step_latency`)."""
+    plain, split = _hot_chunks(logs.where(F.col("correlation_id").isNotNull()), hot_trace_lines)
+    order = ["ts_us", "service", "line_no"]
+    plain = plain.withColumn("step", F.row_number().over(Window.partitionBy("correlation_id").orderBy(*order)))
+    before = Window.partitionBy("correlation_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = split.groupBy("correlation_id", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    carry = sizes.select("correlation_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    split = split.withColumn("_in", F.row_number().over(Window.partitionBy("correlation_id", "_chunk").orderBy(*order)))
+    split = split.join(carry, ["correlation_id", "_chunk"]).withColumn("step", F.col("_in") + F.col("_before"))
+    cols = ["correlation_id", F.col("step").cast("bigint").alias("step"), "ts_us", "service", "msg"]
+    return plain.select(*cols).unionByName(split.select(*cols))
 
 
 def trace_gaps(logs: DataFrame, required: list[str] = REQUIRED_SERVICES) -> DataFrame:
@@ -59,6 +67,20 @@ def trace_gaps(logs: DataFrame, required: list[str] = REQUIRED_SERVICES) -> Data
 HOT_TRACE_LINES = None  # None: spark.admitflow.hotKeyRows
 
 
+def _hot_chunks(lines: DataFrame, hot_trace_lines: int | None) -> tuple[DataFrame, DataFrame]:
+    """Lines of ordinary traces, and those of hot ones with the time chunk
+    (``_chunk``) they are in."""
+    if hot_trace_lines is None:
+        from ..session import hot_key_rows
+        hot_trace_lines = hot_key_rows(lines.sparkSession)
+    hot = F.broadcast(lines.groupBy("correlation_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("ts_us").alias("_t0"), F.max("ts_us").alias("_t1")).where(F.col("_n") > hot_trace_lines))
+    width = F.floor((F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / F.lit(max(1, hot_trace_lines)))) + 1
+    tagged = (lines.join(hot, "correlation_id")
+                   .withColumn("_chunk", F.floor((F.col("ts_us") - F.col("_t0")) / width)).drop("_n", "_t0", "_t1"))
+    return lines.join(hot, "correlation_id", "left_anti"), tagged
+
+
 def step_latency(logs: DataFrame, hot_trace_lines: int | None = HOT_TRACE_LINES) -> DataFrame:
     """TR4: time from the previous step of the same trace.
 
@@ -70,19 +92,12 @@ def step_latency(logs: DataFrame, hot_trace_lines: int | None = HOT_TRACE_LINES)
     in one plan; the list of hot traces has at most lines / hot_trace_lines
     rows, so it is broadcast.
     """
-    if hot_trace_lines is None:
-        from ..session import hot_key_rows
-        hot_trace_lines = hot_key_rows(logs.sparkSession)
     lines = logs.where(F.col("correlation_id").isNotNull())
     pos = F.struct("ts_us", "service", "line_no")
     step = F.struct(F.col("ts_us").alias("ts_us"), F.col("service").alias("service"))
-    hot = F.broadcast(lines.groupBy("correlation_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("ts_us").alias("_t0"), F.max("ts_us").alias("_t1")).where(F.col("_n") > hot_trace_lines))
+    plain, tagged = _hot_chunks(lines, hot_trace_lines)
     w = Window.partitionBy("correlation_id").orderBy("ts_us", "service", "line_no")
-    plain = lines.join(hot, "correlation_id", "left_anti").withColumn("_prev", F.lag(step).over(w))
-    width = F.floor((F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / F.lit(max(1, hot_trace_lines)))) + 1
-    tagged = (lines.join(hot, "correlation_id")
-                   .withColumn("_chunk", F.floor((F.col("ts_us") - F.col("_t0")) / width)).drop("_n", "_t0", "_t1"))
+    plain = plain.withColumn("_prev", F.lag(step).over(w))
     wi = Window.partitionBy("correlation_id", "_chunk").orderBy("ts_us", "service", "line_no")
     last = tagged.groupBy("correlation_id", "_chunk").agg(F.max_by(step, pos).alias("_last"))
     wc = Window.partitionBy("correlation_id").orderBy("_chunk")

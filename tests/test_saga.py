@@ -139,3 +139,21 @@ def test_saga_equals_a_serial_handler_model(spark, log):
             assert res[str(o)] == ("cancelled", status[o][1] or "payment failed")
     pay = {r.order_id: r.charged_seq for r in SG.charge_once(d, F.lit(False)).collect()}
     assert pay == {str(o): s for o, s in charged.items()}
+
+
+def test_settlement_settles_what_the_ledger_holds(spark):
+    """Refused and already settled holds settle nothing; an outage holds an order's later products back."""
+    rows = [(0, 1, 10, "reserve", 1, 5), (1, 1, 11, "reserve", 2, 3), (2, 2, 12, "reserve", 2, 2), (3, 3, 12, "reserve", 2, 1),
+            (4, 4, 13, "reserve", 3, 4), (5, 4, 14, "commit", 3, None)]
+    cmds = spark.createDataFrame(rows, "seq long, product_id long, t_us long, op string, order_id long, quantity long")
+    products = spark.createDataFrame([(i, 5, 0) for i in range(1, 5)], "product_id long, stock int, reserved int")
+    lines = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (2, 3), (2, 3), (3, 4)], "order_id long, product_id long")
+    settled = spark.createDataFrame([(1,), (2,), (3,), (9,)], "order_id long")
+    fails = F.expr("CASE product_id WHEN 2 THEN 2 WHEN 4 THEN NULL ELSE 0 END")
+    s = SG.settle(settled, lines, "release", fails, cmds, products, ["seq"])
+    got = {r.order_id: tuple(r)[1:] for r in s.collect()}
+    assert s.columns == ["order_id", "items", "units", "holds", "first", "without_hold", "attempts"]
+    assert got == {1: (1, 5, 1, 1, 0, 1), 2: (3, 3, 2, 0, 1, 3), 3: (1, 0, 0, 0, 1, 1), 9: (0, 0, 0, 0, 0, 1)}
+    assert [(r.order_id, r.failed_attempt) for r in SG.settlement_retries(s).orderBy("failed_attempt").collect()] == [(2, 1), (2, 2)]
+    c = {r.order_id: (r.status_after_first, r.status) for r in SG.compensate(s).collect()}
+    assert c == {1: ("cancelled", "cancelled"), 2: ("pending", "cancelled"), 3: ("cancelled", "cancelled"), 9: ("cancelled", "cancelled")}

@@ -27,3 +27,12 @@ def test_gaps_find_the_missing_payment_line(spark):
 def test_uncorrelated_lines_have_no_id(spark):
     u = TR.uncorrelated(VW.logs(spark, SF001))
     assert u.count() > 0 and u.where(F.col("correlation_id").isNotNull()).count() == 0
+
+
+def test_hot_trace_split_numbers_the_same_steps(spark):
+    logs = VW.logs(spark, SF001)
+    hot = logs.withColumn("correlation_id", F.when(F.col("line_no") % 3 == 0, F.lit("o-hot")).otherwise(F.col("correlation_id")))
+    plain = TR.trace_steps(hot, hot_trace_lines=10 ** 9)
+    split = TR.trace_steps(hot, hot_trace_lines=5)
+    assert plain.count() == split.count() > 0
+    assert plain.exceptAll(split).count() == 0
