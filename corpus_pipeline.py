@@ -4,9 +4,10 @@ group of near copies stays, personal data is masked, the rest is packed.
 Every stage is ``f(spark, docs, sf_dir) -> DataFrame``; its rows are written as
 Parquet and read again as the next one's ``docs``. All stages but the last
 return the columns of ``documents``. Edge cases: null texts are kept as empty
-ones (clean, alone, unmasked, one end token); rows that repeat a doc_id are one
-document from the second stage on (the smallest text stays); rows without a
-doc_id stay until they are packed; empty tables give empty results.
+ones (clean, alone, unmasked, one end token); the second stage judges every row
+by its own text: of a group of near copies the row with the smallest doc_id
+stays (one without an id only where no row of the group has one), rows that
+repeat an id with texts of their own all stay; empty tables give empty results.
 """
 
 from __future__ import annotations
