@@ -103,9 +103,10 @@ ENVELOPE_FIELDS = "id STRING, type STRING, correlation_id STRING"
 def records_from_deliveries(deliveries: DataFrame) -> DataFrame:
     """Kafka-shaped records (topic, partition, offset, key, value) of a
     delivery table; the value embeds the raw payload JSON."""
-    value = F.concat(F.lit('{"id":"'), F.col("envelope_id"), F.lit('","type":"'), F.col("type"),
-                     F.lit('","correlation_id":"'), F.col("correlation_id"), F.lit('","payload":'),
-                     F.col("payload"), F.lit("}"))
+    # Written as JSON, so texts are escaped and an absent id leaves no field out of place.
+    head = F.to_json(F.struct(F.col("envelope_id").alias("id"), "type", "correlation_id"))
+    body = F.concat(F.lit('"payload":'), F.coalesce("payload", F.lit("null")), F.lit("}"))
+    value = F.when(head == "{}", F.concat(F.lit("{"), body)).otherwise(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), body))
     return deliveries.select("topic", "partition", "offset", "key", value.alias("value"))
 
 

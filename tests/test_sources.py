@@ -94,3 +94,13 @@ def test_written_outcomes_read_back_whole(spark, tmp_path):
     got = read_events(spark, ["payment.succeeded", "payment.failed"], path=str(tmp_path / "log"), stream=False).collect()
     assert sorted(r.key for r in got) == ["1", "2"]
     assert all(r.partition is not None and r.offset is not None and r.timestamp is not None and r.value for r in got)
+
+
+def test_records_escape_texts_and_keep_deliveries_without_an_id(spark):
+    from admitflow.sources.events import parse_envelopes, records_from_deliveries
+    rows = [(0, "t", 'a"b\\c\n', "T", "o-1", '{"order_id":"1"}'), (1, "t", None, "T", None, "{}"), (2, "t", None, None, None, None), (3, "t", "e", "T", "o", "not json")]
+    d = spark.createDataFrame(rows, "offset long, topic string, envelope_id string, type string, correlation_id string, payload string")
+    got = {r.offset: (r.id, r.type, r.correlation_id, r.payload) for r in
+           parse_envelopes(records_from_deliveries(d.withColumn("partition", F.lit(0)).withColumn("key", F.lit("k")))).collect()}
+    assert got[0] == ('a"b\\c\n', "T", "o-1", '{"order_id":"1"}')
+    assert got[1] == (None, "T", None, "{}") and got[2] == (None, None, None, None)
