@@ -40,7 +40,7 @@ from .textkernel import mix, text_buffer, word_hashes
 
 BAND = 1.5  # largest size of a band over its smallest, at least
 SKETCH = 2  # least bits of a sketch for each element, and 1024 in all
-SPARE = 0.3  # more first-level parts than one that must agree, as a share
+SPARE = 0.2  # more first-level parts than one that must agree, as a share
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -102,20 +102,25 @@ class Bands:
         first = min(k, n1)
         return self.second * n1 - (self.second - 1) * first - (k - first)
 
+    def needs(self, size: int) -> list[int]:
+        """The same for a set of that size, by the signatures' lowest bit
+        (0: takes none)."""
+        need = [0, 0]
+        for band, k in self.of(size) if size else []:
+            need[band & 1] = self.shared(k)
+        return need
 
-def signatures(items: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
-    """PartEnum signatures of a set of 64-bit items, and how many of them,
-    by their lowest bit, a linked set has at least (0: takes none)."""
-    need = [0, 0]
+
+def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
+    """PartEnum signatures of a set of 64-bit items."""
     if not len(items):
-        return np.zeros(0, np.uint64), need
+        return np.zeros(0, np.uint64)
     out, second = [], bands.second
     spread = mix(items ^ _STEP[2])
     with np.errstate(over="ignore"):
         for band, k in bands.of(len(items)):
             salt = np.uint64(band + 1) * _STEP[0]
             n1 = bands.parts(k)
-            need[band & 1] = bands.shared(k)
             piece = (items >> np.uint64(32)) % np.uint64(n1) * np.uint64(second) + (items & np.uint64(0xFFFFFFFF)) % np.uint64(second)
             sums = np.zeros(n1 * second, np.uint64)
             np.add.at(sums, piece.astype(np.int64), spread)
@@ -124,7 +129,7 @@ def signatures(items: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
             parts = np.arange(n1 * second, dtype=np.uint64).reshape(n1, second)
             found = mix(rest[:, None] - sums + parts * _STEP[2] + salt).ravel()  # all pieces but one
             out.append(found & ~np.uint64(1) | np.uint64(band & 1))
-    return np.concatenate(out), need
+    return np.concatenate(out)
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -170,7 +175,7 @@ class Sketches:
         return js[diff * (self.den + self.num) <= (size + self.sizes[i]) * (self.den - self.num)]
 
 
-SETS = "doc_id long, rep_key long, n_shingles long, node long, sigs array<long>, need_0 int, need_1 int, sketch binary"
+SETS = "doc_id long, rep_key long, n_shingles long, node long, need_0 int, need_1 int, sketch binary"
 
 
 def _slices(batches):
@@ -183,24 +188,35 @@ def _sets(n: int, num: int, den: int, second: int):
     def sets(batches):
         bands = Bands(num, den, second)
         for b in _slices(batches):
-            sizes, nodes, sigs, needs, sketches = [], [], [], [], []
+            sizes, nodes, needs, sketches = [], [], [], []
             for items in shingle_sets(b["text"], n):
                 sizes.append(len(items))
                 nodes.append(node_of(items) if len(items) else None)
-                found, need = signatures(items, bands)
-                sigs.append(_signed(found))
-                needs.append(need)
+                needs.append(bands.needs(len(items)))
                 sketches.append(sketch(items))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             need = np.asarray(needs, np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"].cast(pa.int64()), b["rep_key"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))),
                  pa.array(need[:, 0]), pa.array(need[:, 1]), pa.array(sketches, pa.binary())],
-                names=["doc_id", "rep_key", "n_shingles", "node", "sigs", "need_0", "need_1", "sketch"])
+                names=["doc_id", "rep_key", "n_shingles", "node", "need_0", "need_1", "sketch"])
     return sets
 
 
+def _signs(n: int, num: int, den: int, second: int):
+    """(sig, node) of every text: made anew where they are read, as storing
+    them takes as much room as the texts."""
+    def signs(batches):
+        bands = Bands(num, den, second)
+        for b in _slices(batches):
+            sets = [s for s in shingle_sets(b["text"], n) if len(s)]
+            sigs = [_signed(signatures(s, bands)) for s in sets]
+            nodes = np.repeat(np.asarray([node_of(s) for s in sets], np.int64), [len(s) for s in sigs])
+            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
+            for i in range(0, len(flat), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[i:i + 100_000]), pa.array(nodes[i:i + 100_000])], names=["sig", "node"])
+    return signs
+
+
 def items_of(n: int):
     """(node, set) of every text of a column; the empty set has no node."""
     def items(col):
@@ -224,11 +240,11 @@ def _rows(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int, second:
     sets = scratch.table(texts.mapInArrow(tidy(_sets(n, num, den, second)), SETS), "sets")
     nodes = scratch.table(one_row_a_node(sets, "n_shingles", "sketch", "need_0", "need_1"), "nodes")
     rows = scratch.table(sets.select("doc_id", "rep_key", "n_shingles", "node"), "rows")
-    signs = sets.where("node is not null").select(F.explode("sigs").alias("sig"), "node")
+    scratch.drop("sets")
+    signs = docs.select("text").mapInArrow(tidy(_signs(n, num, den, second)), "sig long, node long")
     kinds = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"need_{i}").alias("need")) for i in (0, 1)])
     need = nodes.select("node", F.inline(kinds)).where("need > 0")
-    ids = grouped(docs, nodes, signs, need, Sketches, items_of(n), num, den, scratch, F.col("sig").bitwiseAND(1).cast("int"),
-                  signed=lambda: scratch.drop("sets"))
+    ids = grouped(docs, nodes, signs, need, Sketches, items_of(n), num, den, scratch, F.col("sig").bitwiseAND(1).cast("int"))
     scratch.drop("nodes")
     return per_row(rows, ids)
 

@@ -298,14 +298,13 @@ def _far_links(placed: DataFrame, nodes: DataFrame, docs: DataFrame, block: Call
 
 
 def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame, block: Callable, items_of: Callable,
-            num: int, den: int, scratch: Scratch, part, signed: Callable = lambda: None) -> DataFrame:
+            num: int, den: int, scratch: Scratch, part) -> DataFrame:
     """(node, comp, component_id): the component of every node, and the
     smallest doc_id in it. ``nodes``: (node, rep_id, rep_key, n_shingles,
     sketch); ``block(sizes, sketches, num, den)`` has ``near(i, js)``, those
     of js that no sketch rules out for i; ``signs``, ``part``, ``need``:
-    see ``rarest_lists``; ``signed`` is called when ``signs`` are used up."""
+    see ``rarest_lists``."""
     lists = rarest_lists(signs, part, need, scratch, "signs")
-    signed()
     sketches = nodes.select("node", "n_shingles", "sketch")
     test = _sketch_test(block, num, den)
     spark = docs.sparkSession

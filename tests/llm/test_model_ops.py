@@ -177,8 +177,8 @@ def test_linked_sets_share_a_signature(num, den):
         common = len(np.intersect1d(a, b))
         if common and den * common >= num * (len(a) + len(b) - common):
             linked += 1
-            (of_a, need_a), (of_b, need_b) = NJ.signatures(a, bands), NJ.signatures(b, bands)
-            both = set(of_a.tolist()) & set(of_b.tolist())
+            both = set(NJ.signatures(a, bands).tolist()) & set(NJ.signatures(b, bands).tolist())
+            need_a, need_b = bands.needs(len(a)), bands.needs(len(b))
             assert any(x and y and sum(s & 1 == kind for s in both) >= max(x, y) > 0 for kind, (x, y) in enumerate(zip(need_a, need_b)))
             diff = len(a) + len(b) - 2 * common
             assert diff <= bands.difference(len(a) + len(b))
