@@ -1,21 +1,64 @@
-"""Connected components of an edge table, by rounds of smallest labels."""
+"""Connected components of an edge table: forests of blocks of edges, then
+rounds of smallest labels."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .encoding import tidy
+
+EDGE_BLOCK = 1_000_000  # edges whose forest is made at once
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable) of the nodes that reach a smaller one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        hooked = root.copy()
+        np.minimum.at(hooked, root[x], low)
+        np.minimum.at(hooked, root[y], low)
+        while (hooked[hooked] != hooked).any():
+            hooked = hooked[hooked]
+        if (hooked == root).all():
+            below = root != np.arange(len(ids))
+            return ids[below], ids[root[below]]
+        root = hooked
+
+
+def _forests(batches):
+    held = []
+
+    def made():
+        a, b = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("a", "b"))
+        node, low = forest(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(low, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= EDGE_BLOCK:
+            yield made()
+            held = []
+    if held:
+        yield made()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, comp) of every node of ``edges`` (a, b: long): ``comp`` is the
-    smallest node reachable. Every round takes the smallest label among a
-    node's neighbours (pre-aggregated, so a hub's edges are combined before
-    they are shuffled) and then the label's own label, so long chains need a
-    logarithm of their length; rounds end when no label changes. Each round's
-    labels are a written table."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    """(node, comp) of every node that an edge of ``edges`` (a, b: long) joins
+    to another: ``comp`` is the smallest node reachable. Each task first makes
+    stars of its blocks of edges, so few rounds are left. Every round takes
+    the smallest label among a node's neighbours (pre-aggregated, so a hub's
+    edges are combined before they are shuffled) and then the label's own
+    label, so long chains need a logarithm of their length; rounds end when no
+    label changes. Each round's labels are a written table."""
+    edges = edges.select("a", "b").mapInArrow(tidy(_forests), "a long, b long")
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
     both = scratch.table(both, f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     labels = scratch.table(labels.withColumn("comp", F.least("node", "comp")), f"{name}-0")

@@ -308,13 +308,15 @@ def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame
     sketches = nodes.select("node", "n_shingles", "sketch")
     test = _sketch_test(block, num, den)
     spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
     tested = spark.createDataFrame([], "a long, b long")
 
     def placed(labels):
         return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
+    def stars(labels):
+        return labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
     def untested(pairs):
         done = tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         return pairs.join(done, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
@@ -333,11 +335,10 @@ def grouped(docs: DataFrame, nodes: DataFrame, signs: DataFrame, need: DataFrame
         scratch.drop(f"star-{k}-near", f"star-{k}-ends")
         if found.isEmpty():
             break
-        links = links.union(found)
-        labels = components(links, scratch, f"round-{k}")
+        labels = components(stars(labels).union(found), scratch, f"round-{k}")
     far = _far_links(placed(labels), nodes, docs, block, items_of, num, den, scratch)
     if not far.isEmpty():
-        labels = components(links.union(far), scratch, "last")
+        labels = components(stars(labels).union(far), scratch, "last")
     joined = nodes.select("node", "rep_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = joined.groupBy("comp").agg(F.min("rep_id").alias("component_id"))
     ids = scratch.table(joined.join(smallest, "comp").select("node", "comp", "component_id"), "ids")

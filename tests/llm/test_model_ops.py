@@ -17,7 +17,7 @@ from admitflow.llm import nra_topk as NT
 from admitflow.llm import overlap as OV
 from admitflow.llm import toxicity as TX
 from admitflow.llm.common import Scratch
-from admitflow.llm.components import components
+from admitflow.llm.components import components, forest
 
 from .helpers import ODD_TEXTS, crc, docs_frame, words
 
@@ -187,6 +187,18 @@ def test_linked_sets_share_a_signature(num, den):
     assert linked > 100
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_forest_of_a_block_against_a_plain_loop(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(-40, 40, (2, rng.integers(0, 60)))
+    least = {int(x): int(x) for x in [*a, *b]}
+    for _ in least:
+        for x, y in zip(a.tolist(), b.tolist()):
+            least[x] = least[y] = min(least[x], least[y])
+    node, low = forest(a, b)
+    assert dict(zip(node.tolist(), low.tolist())) == {x: y for x, y in least.items() if x != y}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5)] + [(2000 + i, 1999) for i in range(1, 50)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc"), "c").collect())
