@@ -60,11 +60,13 @@ def range_bounds(df: DataFrame, col: str, parts: int) -> list[int]:
 
 
 def bucket_of(col, bounds: list[int]):
-    """Number of cut values at or below the column: ranges (, b0), [b0, b1), ..."""
+    """Number of cut values at or below the column: ranges (, b0), [b0, b1), ...
+    A binary search, so a row costs the logarithm of the ranges' number."""
     if not bounds:
         return F.lit(0)
-    arr = F.lit(np.asarray(bounds, dtype="int64"))
-    return F.coalesce(F.size(F.filter(arr, lambda b: b <= col)), F.lit(0))
+    cuts = F.lit(np.asarray(bounds, dtype="int64"))
+    steps = F.lit(np.asarray([1 << k for k in reversed(range(len(bounds).bit_length()))], dtype="int32"))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= col, at + step).otherwise(at))
 
 
 def pack_ints(a: np.ndarray, level: int = 1) -> bytes:

@@ -191,9 +191,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if not firsts:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
                                      "edited_fingerprint string, near_edited double, near_next double")
-    begins = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the range before; of the first, the last
-    before = F.element_at(F.create_map(*[F.lit(x) for kv in begins.items() for x in kv]), F.col("_k"))
-    ahead = keyed.where(F.col("_k").isin(list(begins))).withColumn("_range", before.cast("int"))
+    # The range before each (of the first, the last), by the key that begins it: at most a row a shuffle partition.
+    begins = spark.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "_k long, _range int")
+    ahead = keyed.join(F.broadcast(begins), "_k").select(*keyed.columns, "_range")
     rows = placed.withColumn("_ahead", F.lit(0)).unionByName(ahead.withColumn("_ahead", F.lit(1)))
     ranges = rows.repartitionById(parts, F.col("_range")).sortWithinPartitions("_range", "_ahead", "_k", "text")
     schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

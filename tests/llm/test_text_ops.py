@@ -1,5 +1,6 @@
 """Encoders, token files, packing, fingerprints, personal data."""
 
+import bisect
 import hashlib
 import io
 import random
@@ -341,3 +342,8 @@ def test_ranges(spark):
     sizes = df.groupBy(bucket_of(F.col("k"), bounds).alias("b")).count().collect()
     assert len(sizes) == 7 and max(r["count"] for r in sizes) < 200
     assert range_bounds(df.limit(0), "k", 7) == [] == range_bounds(df, "k", 1)
+    for n in (1, 2, 3, 7, 8, 100):
+        cuts = sorted({random.Random(n).randrange(-5, 1000) for _ in range(n)})
+        got = df.select("k", bucket_of(F.col("k"), cuts).alias("b")).collect()
+        assert [r.b for r in got] == [bisect.bisect_right(cuts, r.k) for r in got]
+    assert df.select(bucket_of(F.lit(None).cast("long"), [3, 5]).alias("b")).first().b == 0
