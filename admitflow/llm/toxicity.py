@@ -4,8 +4,8 @@ A text is the set of its words and of their beginnings (four and five
 letters, which inflected forms share), but for beginnings that a group's name
 has: no text gets those. The classifier is a logistic regression
 on their presence, toxic texts weighing ``POSITIVE`` times a clean one, fitted
-to a bounded sample of labelled texts (``MAX_TRAIN``, drawn by a hash of the
-id over all labelled rows of the training folds). Its loss has a second term:
+to a bounded sample of labelled texts (``MAX_TRAIN``, drawn by hashes of ids
+and texts over all labelled rows of the training folds). Its loss has a second term:
 in every labelled text that names a group, the group's name is swapped for
 each of the other names of the same kind, and the squared change of the score
 is penalised. As a name is one feature only, this is the whole change of the
@@ -48,10 +48,18 @@ STEPS = 200
 
 # Names of groups, by kind; a name is swapped within its kind.
 IDENTITY_TERMS = {
-    "gender": "woman women man men girl girls boy boys female male transgender nonbinary femme femmes mujer mujeres hombre hombres frau frauen",
-    "religion": "muslim muslims christian christians jewish jew jews hindu hindus buddhist buddhists atheist atheists catholic catholics sikh sikhs",
-    "origin": "black white asian african european american mexican arab arabs latino latina hispanic indian chinese immigrant immigrants refugee refugees",
-    "orientation": "gay lesbian bisexual queer straight heterosexual homosexual",
+    "gender": "woman women man men girl girls boy boys female females male males transgender nonbinary "
+              "femme femmes homme hommes fille filles garçon garçons mujer mujeres hombre hombres chica chicas chico chicos "
+              "frau frauen mann männer mädchen junge jungen",
+    "religion": "muslim muslims christian christians jewish jew jews hindu hindus buddhist buddhists atheist atheists catholic catholics sikh sikhs "
+                "musulman musulmans chrétien chrétiens juif juifs musulmán musulmanes cristiano cristianos judío judíos "
+                "muslime christen juden",
+    "origin": "black blacks white whites asian asians african africans european europeans american americans mexican mexicans arab arabs "
+              "latino latinos latina latinas hispanic hispanics indian indians chinese immigrant immigrants refugee refugees "
+              "africain africains arabe arabes immigré immigrés africano africanos árabe árabes inmigrante inmigrantes "
+              "afrikaner araber ausländer einwanderer flüchtlinge",
+    "orientation": "gay gays lesbian lesbians bisexual bisexuals queer queers straight heterosexual heterosexuals homosexual homosexuals "
+                   "lesbienne lesbiennes homosexuel homosexuels lesbiana lesbianas homosexuales lesben schwule homosexuelle",
     "ability": "blind deaf disabled autistic paralyzed",
     "age": "old young elderly teenager teenagers",
 }
@@ -88,17 +96,28 @@ def in_training(doc_id, folds: int, held: int):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)) != held
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_train: int) -> DataFrame:
-    """(text, y) of at most ``max_train`` labelled documents of the training
-    folds; which ones depends on a hash of their ids alone."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_train: int,
+                    scratch: Scratch) -> DataFrame:
+    """(text, y) of at most ``max_train`` labelled texts of the training
+    folds; which ones depends on hashes of their ids and texts alone."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(in_training(F.col("doc_id"), folds, held))
-    n = known.count()
-    if n > max_train:
-        share = max_train / n * 0.95
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
     # At most max_train pairs of numbers: small enough to broadcast, so texts are not shuffled.
-    return docs.select("doc_id", "text").join(F.broadcast(known.limit(max_train)), "doc_id").select("text", "y")
+    picked = _by_hash(known, known.count(), max_train, "doc_id")
+    key = F.xxhash64("text").alias("text_key")
+    found = docs.select("doc_id", key).join(F.broadcast(picked), "doc_id").distinct()
+    found = scratch.table(found, "sample-keys")  # one id may have many texts, and a row many copies
+    keys = _by_hash(found, found.count(), max_train, "doc_id", "text_key")
+    texts = docs.select("doc_id", key, "text").join(F.broadcast(keys), ["doc_id", "text_key"])
+    return texts.dropDuplicates(["doc_id", "text_key", "y"]).select("text", "y")
+
+
+def _by_hash(rows: DataFrame, n: int, most: int, *key: str) -> DataFrame:
+    """At most ``most`` of ``n`` rows, by a hash of their key."""
+    if n > most:
+        share = most / n * 0.95
+        rows = rows.where(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows.orderBy(F.xxhash64(*key, F.lit(17)), *rows.columns).limit(most)
 
 
 def telling_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
@@ -170,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(text_words(t)) for t in b["text"].to_pylist()], pa.list_(pa.string())), b["y"]], names=["words", "y"])
 
-    sample = training_sample(docs, labels, label, folds, held, max_train)
+    sample = training_sample(docs, labels, label, folds, held, max_train, scratch)
     sample = scratch.table(sample.mapInArrow(tidy(words), "words array<string>, y int"), "sample")
     vocabulary = telling_words(sample)
     number = {w: i for i, w in enumerate(vocabulary)}
@@ -181,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b["y"]], names=["words", "y"])
 
     rows = sample.mapInArrow(tidy(numbers), "words binary, y int").toArrow()
-    scratch.drop("sample")
+    scratch.drop("sample", "sample-keys")
     return fit([np.frombuffer(r, "<i4") for r in rows["words"].to_pylist()], rows["y"].to_numpy(), vocabulary)
 
 

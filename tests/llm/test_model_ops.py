@@ -380,10 +380,60 @@ def test_toxicity_odd_tables(spark):
 def test_training_sample_is_bounded(spark):
     docs, labels = toxic_corpus(600)
     table = spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, toxic int")
-    got = TX.training_sample(docs_frame(spark, docs), table, "toxic", 5, 0, 100)
+    got = TX.training_sample(docs_frame(spark, docs), table, "toxic", 5, 0, 100, Scratch(spark, "t6"))
     assert 40 < got.count() <= 100
 
 
+def test_training_sample_of_repeated_ids_is_bounded(spark):
+    """Two labelled ids with thousands of texts, and copies of rows."""
+    ids = [i for i in range(20) if crc(i) % 5][:2]
+    df = docs_frame(spark, [(i, f"text {k}") for i in ids for k in range(2500)])
+    table = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = TX.training_sample(df, table, "toxic", 5, 0, 100, Scratch(spark, "t6")).collect()
+    assert 40 < len(got) <= 100 and {r.y for r in got} == {0, 1}
+    copies = docs_frame(spark, [(ids[0], "same"), (ids[1], None)] * 300)
+    twice = table.union(table)
+    got = TX.training_sample(copies, twice, "toxic", 5, 0, 100, Scratch(spark, "t6")).collect()
+    assert sorted((r.text or "", r.y) for r in got) == [("", 1), ("same", 0)]
+
+
+def test_fit_equals_a_plain_loop_over_texts():
+    """Every text's swapped forms are made and scored one after another."""
+    r = random.Random(8)
+    kind = {n: k for k, names in TX.IDENTITY_TERMS.items() for n in names.split()}
+    texts = [set(r.sample(["moron", "nice", "muslim", "christian", "women", "bend"], r.randint(1, 4))) for _ in range(40)]
+    y = [int("moron" in t and r.random() < 0.9) for t in texts]
+    vocabulary = ["moron", "nice", "muslim", "christian", "women", "bend"]
+    model = TX.fit([np.array([vocabulary.index(w) for w in t]) for t in texts], np.array(y), vocabulary, steps=30)
+    w, b = dict.fromkeys(vocabulary, 0.0), math.log(sum(y) / (len(y) - sum(y)))
+    first, second = dict.fromkeys([*vocabulary, None], 0.0), dict.fromkeys([*vocabulary, None], 0.0)
+    total = sum(TX.POSITIVE if v else 1.0 for v in y)
+    for step in range(1, 31):
+        grad = {v: TX.RIDGE * w[v] for v in vocabulary} | {None: 0.0}
+        for t, v in zip(texts, y):
+            z = b + sum(w[x] for x in t)
+            g = (1 / (1 + math.exp(-z)) - v) * (TX.POSITIVE if v else 1.0) / total
+            grad[None] += g
+            for x in t:
+                grad[x] += g
+                for other in TX.IDENTITY_TERMS[kind[x]].split() if x in kind else []:
+                    if other != x:
+                        change = w[x] - w.get(other, 0.0)
+                        grad[x] += 2 * TX.COUNTERFACTUAL * change / len(texts)
+                        if other in w:
+                            grad[other] -= 2 * TX.COUNTERFACTUAL * change / len(texts)
+        rate = 0.1 * min(1.0, 2.0 * (1 - step / 31))
+        for x, g in grad.items():
+            first[x], second[x] = 0.9 * first[x] + 0.1 * g, 0.99 * second[x] + 0.01 * g * g
+            move = rate * first[x] / (1 - 0.9 ** step) / (math.sqrt(second[x] / (1 - 0.99 ** step)) + 1e-5)
+            if x is None:
+                b -= move
+            else:
+                w[x] -= move
+    assert model.intercept == pytest.approx(b, abs=1e-6)
+    assert all(model.weights[x] == pytest.approx(w[x], abs=1e-6) for x in vocabulary)
+
+
 def hmm(spark):
     return CH.train(CH.transcripts(spark.read.parquet(f"{SF001}/conversations.parquet")))
 
