@@ -1,5 +1,5 @@
-"""Connected components of an edge table: forests of blocks of edges, then
-rounds of smallest labels."""
+"""Connected components of an edge table: forests of blocks of edges of
+bounded size, then rounds of smallest labels."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forests(batches):
-    held = []
+    held, rows = [], 0
 
     def made():
         a, b = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("a", "b"))
@@ -42,22 +42,26 @@ def _forests(batches):
 
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= EDGE_BLOCK:
+        rows += batch.num_rows
+        if rows >= EDGE_BLOCK:
             yield made()
-            held = []
-    if held:
+            held, rows = [], 0
+    if rows:
         yield made()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) of every node that an edge of ``edges`` (a, b: long) joins
-    to another: ``comp`` is the smallest node reachable. Each task first makes
-    stars of its blocks of edges, so few rounds are left. Every round takes
+    to another: ``comp`` is the smallest node reachable. The edges are dealt
+    into blocks of about ``EDGE_BLOCK``, whatever tasks they lie in, and each
+    block becomes stars, so few rounds are left. Every round takes
     the smallest label among a node's neighbours (pre-aggregated, so a hub's
     edges are combined before they are shuffled) and then the label's own
     label, so long chains need a logarithm of their length; rounds end when no
     label changes. Each round's labels are a written table."""
-    edges = edges.select("a", "b").mapInArrow(tidy(_forests), "a long, b long")
+    edges = edges.select("a", "b").where("a != b")
+    blocks = -(-edges.count() // EDGE_BLOCK) or 1
+    edges = edges.repartition(blocks).mapInArrow(tidy(_forests), "a long, b long")
     both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
     both = scratch.table(both, f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))

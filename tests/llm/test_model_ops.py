@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from admitflow.llm import backoff_lm as LM
 from admitflow.llm import chat_hmm as CH
+from admitflow.llm import components as CC
 from admitflow.llm import ngram_join as NJ
 from admitflow.llm import nra_topk as NT
 from admitflow.llm import overlap as OV
@@ -199,7 +200,9 @@ def test_forest_of_a_block_against_a_plain_loop(seed):
     assert dict(zip(node.tolist(), low.tolist())) == {x: y for x, y in least.items() if x != y}
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("block", [1_000_000, 30])
+def test_components_of_long_chains(spark, monkeypatch, block):
+    monkeypatch.setattr(CC, "EDGE_BLOCK", block)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5)] + [(2000 + i, 1999) for i in range(1, 50)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc"), "c").collect())
     want = {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000} | {2000 + i: 1999 for i in range(1, 50)} | {1999: 1999}
