@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ..session import Rounds
 
-# Lines of one task's running sums, on average: a product's lines are summed in
-# chunks of the order-id range, so a hot product is spread over tasks.
+# A product with more lines than this is hot: its lines are summed in chunks of
+# the order-id range, of as many lines on average, so it is spread over tasks.
 CHUNK_LINES = 500_000
 
 
@@ -58,6 +58,19 @@ def prefix_sums(df: DataFrame, key: str, order: str, values: dict[str, Column],
     return out.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
 
 
+def running_sums(df: DataFrame, key: str, order: str, values: dict[str, Column], hot: DataFrame | None, width: int) -> DataFrame:
+    """:func:`prefix_sums`, in two levels for the ``hot`` keys (None: there
+    are none) alone: chunks of any other key would be a few lines each."""
+    def one_level(d):
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumns({n: F.coalesce(F.sum(v).over(w), F.lit(0)) for n, v in values.items()})
+    if hot is None:
+        return one_level(df)
+    few = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    return one_level(df.join(few, same, "left_anti")).unionByName(prefix_sums(df.join(few, same, "left_semi"), key, order, values, width))
+
+
 SCHEMA = ["order_id", "product_id", "q", "stock", "lo", "st", "open"]
 
 
@@ -69,8 +82,13 @@ def admit_orders(lines: DataFrame, products: DataFrame, chunk_lines: int = CHUNK
                    .join(products.select("product_id", F.col("stock").cast("long").alias("stock")),
                          "product_id", "left"))
     merged = rounds.write(merged, "lines")
-    demand = merged.groupBy("product_id").agg(F.sum("q").alias("_total"))
-    binding = demand.join(merged.select("product_id", "stock").distinct(), "product_id").where("_total > stock").select("product_id")
+    demand = rounds.write(merged.groupBy("product_id", "stock").agg(F.sum("q").alias("_total"), F.count(F.lit(1)).alias("_lines")), "demand")
+    # One row a product and stock it is listed with; lines are there once for each.
+    totals = demand.groupBy("product_id").agg(F.sum("_total").alias("_total"), F.min("stock").alias("stock"))
+    binding = totals.where("_total > stock").select("product_id")
+    # At most as many products as lines / chunk_lines.
+    hot = demand.where(F.col("_lines") > chunk_lines).select("product_id").distinct()
+    hot = None if hot.isEmpty() else hot
     held = merged.join(binding, "product_id", "left_semi").unionByName(merged.where("stock IS NULL"))
     now = rounds.write(held.select("order_id", "product_id", "q", "stock", F.lit(0).cast("long").alias("lo"),
                                    F.lit("u").alias("st"), F.lit(1).alias("open")), "round-0", "open")
@@ -80,9 +98,9 @@ def admit_orders(lines: DataFrame, products: DataFrame, chunk_lines: int = CHUNK
     done, k = [], 0
     while rounds.exists(f"round-{k}/open=1"):
         k += 1
-        sums = prefix_sums(now, "product_id", "order_id",
-                           {"_yes": F.when(F.col("st") == "y", F.col("q")).otherwise(0),
-                            "_ahead": F.when(F.col("st") == "u", F.col("q")).otherwise(0)}, width)
+        sums = running_sums(now, "product_id", "order_id",
+                            {"_yes": F.when(F.col("st") == "y", F.col("q")).otherwise(0),
+                             "_ahead": F.when(F.col("st") == "u", F.col("q")).otherwise(0)}, hot, width)
         open_lines = sums.where("st = 'u'").withColumn("lo", F.col("lo") + F.col("_yes"))
         fits = F.coalesce(F.col("lo") + F.col("_ahead") + F.col("q") <= F.col("stock"), F.lit(False))
         fails = F.coalesce(F.col("lo") + F.col("q") > F.col("stock"), F.lit(True))
@@ -93,13 +111,11 @@ def admit_orders(lines: DataFrame, products: DataFrame, chunk_lines: int = CHUNK
         rounds.drop(f"round-{k - 1}/open=1")
         done.append(now.where("open = 0").select("order_id", (F.col("st") == "y").alias("admitted"),
                                                  F.lit(k).alias("decided_round")))
-    # Orders of unbound lines alone are admitted at once.
-    known = merged.select("order_id").distinct()
-    if not done:
-        return known.select("order_id", F.lit(True).alias("admitted"), F.lit(1).alias("decided_round"))
-    decided = done[0]
-    for d in done[1:]:
-        decided = decided.unionByName(d)
-    decided = decided.distinct()
-    return known.join(decided, "order_id", "left").select(
-        "order_id", F.coalesce("admitted", F.lit(True)).alias("admitted"), F.coalesce("decided_round", F.lit(1)).alias("decided_round"))
+    rounds.drop("demand")
+    # Orders of unbound lines alone are admitted at once. An order's open lines
+    # are decided together, so one aggregate brings each its verdict.
+    decided = merged.select("order_id", F.lit(None).cast("boolean").alias("admitted"), F.lit(None).cast("int").alias("decided_round"))
+    for d in done:
+        decided = decided.unionByName(d.where("order_id IS NOT NULL"))
+    return decided.groupBy("order_id").agg(F.coalesce(F.max("admitted"), F.lit(True)).alias("admitted"),
+                                           F.coalesce(F.max("decided_round"), F.lit(1)).alias("decided_round"))

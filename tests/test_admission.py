@@ -74,3 +74,20 @@ def test_long_chains_settle_and_rounds_are_removed(spark):
     assert {i: a for i, (a, _) in got.items()} == {i: i % 2 == 1 for i in range(1, n + 1)} | {n + 1: False, n + 2: True}
     assert max(r for _, r in got.values()) > 10
     assert admit_orders(lines.limit(0), prods).count() == 0
+
+
+def test_chunks_are_for_hot_products_alone(spark):
+    from pyspark.sql import functions as F
+
+    from admitflow.plans.admission import prefix_sums, running_sums
+    df = spark.createDataFrame([(p if p else None, o, o + 1) for p in range(5) for o in range(40)], "product_id long, order_id long, q long")
+    want = sorted(map(tuple, running_sums(df, "product_id", "order_id", {"s": F.col("q")}, None, 7).collect()), key=str)
+    hot = spark.createDataFrame([(2,), (4,)], "product_id long")
+    got = running_sums(df, "product_id", "order_id", {"s": F.col("q")}, hot, 7)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    assert sum(r[3] for r in want) == 5 * sum(o * (o + 1) // 2 for o in range(40))
+
+    def shuffles(d):
+        return d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(running_sums(df, "product_id", "order_id", {"s": F.col("q")}, None, 7)) == 1
+    assert shuffles(prefix_sums(df, "product_id", "order_id", {"s": F.col("q")}, 7)) > 1
