@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..functions.scalars import currency_ok_for_catalog, normalize_currency
 
+# Lines that one task of a join by order takes, on average.
+LINES_PER_TASK = 1_000_000
 
 
 def first_wins(df: DataFrame, key: str | list[str], order: str, winner: str = "first") -> DataFrame:
@@ -129,9 +131,16 @@ def orders_with_items(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def orders_holding_product(lines: DataFrame, orders: DataFrame) -> DataFrame:
-    """Distinct orders holding each product (inner join, distinct count)."""
-    j = lines.select("order_id", "product_id").join(orders.select("order_id"), "order_id")
-    return j.groupBy("product_id").agg(F.countDistinct("order_id").alias("n_orders"))
+    """Distinct orders holding each product. Lines meet their order in
+    parts by order id, in which a pair's copies are together, so a task's
+    memory follows ``LINES_PER_TASK``; only counts by product are shuffled
+    on. The number of lines is read from the files' footers."""
+    pairs = lines.select("order_id", "product_id")
+    parts = pairs.count() // LINES_PER_TASK + 1
+    if parts > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        pairs = pairs.repartition(parts, "order_id")
+    known = pairs.join(orders.select("order_id"), "order_id", "left_semi").distinct()
+    return known.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
 def orders_without_items(orders: DataFrame, lines: DataFrame) -> DataFrame:

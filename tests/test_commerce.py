@@ -77,3 +77,14 @@ def test_owner_scope_hides_other_users_orders(spark):
     o = spark.createDataFrame([(1, 7, "pending"), (2, 8, "confirmed")], "order_id long, user_id long, status string")
     r = {x.order_id: (x.outcome, x.status) for x in C.owner_scope(o, F.lit(7)).collect()}
     assert r == {1: ("found", "pending"), 2: ("not_found", None)}
+
+
+def test_order_counts_are_taken_in_parts_of_bounded_size(spark, monkeypatch):
+    lines = spark.createDataFrame([(o, p) for o in [*range(40), 3, None] for p in (1, 2, None) if (o or 0) % 3 or p], "order_id long, product_id long")
+    orders = spark.createDataFrame([(o,) for o in [*range(30), 7, None]], "order_id long")
+    want = {p: len({r.order_id for r in lines.collect() if r.product_id == p and r.order_id is not None and r.order_id < 30}) for p in (1, 2, None)}
+    monkeypatch.setattr(C, "LINES_PER_TASK", 5)
+    df = C.orders_holding_product(lines, orders)
+    assert "hashpartitioning(order_id" in df._jdf.queryExecution().executedPlan().toString()
+    assert f", {lines.count() // 5 + 1})" in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.product_id: r.n_orders for r in df.collect()} == want
