@@ -12,8 +12,8 @@ from .admission import admit_orders
 ORDER = VW.LEDGER_ORDER
 
 
-def _results(spark, sf):
-    return LG.run_ledger(VW.ledger_commands(spark, sf), VW.products(spark, sf), ORDER)
+def _results(spark, sf, returned=None):
+    return LG.run_ledger(VW.ledger_commands(spark, sf), VW.products(spark, sf), ORDER, returned=returned)
 
 
 def q_ledger_reserve(spark, sf):
@@ -30,12 +30,12 @@ def q_ledger_final(spark, sf):
 
 def q_oversell_audit(spark, sf):
     """I7."""
-    return LG.oversell_audit(_results(spark, sf))
+    return LG.oversell_audit(_results(spark, sf, ["product_id", "stock_after", "reserved_after"]))
 
 
 def q_orphan_holds(spark, sf):
     """I8: holds left behind by reserves redelivered after settlement."""
-    holds = LG.open_holds(_results(spark, sf), ORDER)
+    holds = LG.open_holds(_results(spark, sf, LG.HOLD_COLUMNS), ORDER)
     return LG.orphan_holds(holds, VW.orders(spark, sf))
 
 

@@ -125,7 +125,7 @@ def q_stuck_pending(spark, sf):
     the units that the ledger still holds for them."""
     o = VW.orders(spark, sf)
     r = SG.resolve_orders(_decoded(spark, sf), o)
-    results = LG.run_ledger(VW.ledger_commands(spark, sf), VW.products(spark, sf), VW.LEDGER_ORDER)
+    results = LG.run_ledger(VW.ledger_commands(spark, sf), VW.products(spark, sf), VW.LEDGER_ORDER, returned=LG.HOLD_COLUMNS)
     holds = LG.open_holds(results, VW.LEDGER_ORDER).withColumn("order_id", F.col("order_id").cast("string"))
     now = o.select(F.max("created_us")).scalar()
     return SG.stuck_pending(r, holds, now, STUCK_AFTER_US)
