@@ -10,7 +10,7 @@ the key whose sides Catalyst and AQE size at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
@@ -224,21 +224,24 @@ def settle(settled: DataFrame, lines: DataFrame, op: str, fails_for: Column, com
     done = {"release": "released", "commit": "committed"}[op]
     items = settled.select("order_id").join(lines.select("order_id", "product_id").distinct(), "order_id")
     items = items.withColumn("_fails", F.coalesce(fails_for, F.lit(0)).cast("long"))
-    per = items.groupBy("order_id").agg((F.max("_fails") + 1).alias("attempts"), F.count(F.lit(1)).alias("items"))
-    tries = items.join(per.select("order_id", "attempts"), "order_id")
-    tries = tries.withColumn("attempt", F.explode(F.expr("sequence(1L, attempts)"))).withColumn("_stops", F.when(F.col("_fails") >= F.col("attempt"), F.col("product_id")))
-    stop = tries.groupBy("order_id", "attempt").agg(F.min("_stops").alias("_stop"))
-    tries = tries.join(stop, ["order_id", "attempt"]).where(F.col("_stop").isNull() | (F.col("product_id") < F.col("_stop")))
+    # One order's items: all of them are in its last attempt.
+    order, attempt = Window.partitionBy("order_id"), Window.partitionBy("order_id", "attempt")
+    tries = items.withColumn("attempts", F.max("_fails").over(order) + 1).withColumn("items", F.count(F.lit(1)).over(order))
+    tries = tries.withColumn("attempt", F.explode(F.expr("sequence(1L, attempts)")))
+    tries = tries.withColumn("_stop", F.min(F.when(F.col("_fails") >= F.col("attempt"), F.col("product_id"))).over(attempt))
+    tries = tries.where(F.col("_stop").isNull() | (F.col("product_id") < F.col("_stop")))
     after = F.coalesce(commands.select(F.max("t_us")).scalar(), F.lit(0))
-    fed = tries.select("product_id", (after + F.col("attempt")).alias("t_us"), "order_id", F.lit(op).alias("op"), "attempt")
-    both = commands.withColumn("attempt", F.lit(None).cast("long")).unionByName(fed, allowMissingColumns=True)
-    results = run_ledger(both, products, order_cols).where("attempt is not null")
+    per = ["attempt", "attempts", "items"]
+    fed = tries.select("product_id", (after + F.col("attempt")).alias("t_us"), "order_id", F.lit(op).alias("op"), *per)
+    both = commands.withColumns({c: F.lit(None).cast("long") for c in per}).unionByName(fed, allowMissingColumns=True)
+    results = run_ledger(both, products, order_cols, returned=["order_id", *per, "result", "hold_qty"], only="attempt")
     hit = F.col("result") == done
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     got = results.groupBy("order_id").agg(
+        F.max("attempts").alias("attempts"), F.max("items").alias("items"),
         count(hit).alias("holds"), F.sum(F.when(hit, F.col("hold_qty")).otherwise(0)).alias("units"),
         count(hit & (F.col("attempt") == 1)).alias("first"))
-    j = settled.select("order_id").join(per, "order_id", "left").join(got, "order_id", "left")
+    j = settled.select("order_id").join(got, "order_id", "left")
     n = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("items", "units", "holds", "first")}
     return j.select("order_id", *[v.alias(c) for c, v in n.items()], (n["items"] - n["holds"]).alias("without_hold"),
                     F.coalesce("attempts", F.lit(1)).cast("bigint").alias("attempts"))
