@@ -157,3 +157,16 @@ def test_settlement_settles_what_the_ledger_holds(spark):
     assert [(r.order_id, r.failed_attempt) for r in SG.settlement_retries(s).orderBy("failed_attempt").collect()] == [(2, 1), (2, 2)]
     c = {r.order_id: (r.status_after_first, r.status) for r in SG.compensate(s).collect()}
     assert c == {1: ("cancelled", "cancelled"), 2: ("pending", "cancelled"), 3: ("cancelled", "cancelled"), 9: ("cancelled", "cancelled")}
+
+
+def test_settlement_reads_an_orders_lines_once(spark):
+    settled = spark.createDataFrame([(1,), (2,), (3,)], "order_id long")
+    lines = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 10)], "order_id long, product_id long")
+    commands = spark.createDataFrame([(p, t, o, "reserve", 2) for t, (o, p) in enumerate([(1, 10), (1, 11), (2, 10)])],
+                                     "product_id long, t_us long, order_id long, op string, quantity long")
+    products = spark.createDataFrame([(10, 2, 0), (11, 9, 0)], "product_id long, stock int, reserved int")
+    s = SG.settle(settled, lines, "commit", F.when(F.col("product_id") == 11, 2), commands, products, ["order_id"])
+    assert s._jdf.queryExecution().analyzed().toString().count("Join ") == 2
+    got = {r.order_id: tuple(r)[1:] for r in SG.confirm(s).collect()}
+    # items, units, holds, without a hold, attempts
+    assert got == {1: (2, 4, 2, 0, 3, "confirmed"), 2: (1, 0, 0, 1, 1, "confirmed"), 3: (0, 0, 0, 0, 1, "confirmed")}
