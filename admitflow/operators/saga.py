@@ -220,6 +220,7 @@ def settle(settled: DataFrame, lines: DataFrame, op: str, fails_for: Column, com
     again until an attempt gets through; both operations are idempotent by
     the hold. Per order: items, units and holds settled, holds settled by the
     first attempt, items without a hold to settle, and attempts."""
+    from .fold import hot_keys_and_last
     from .ledger import run_ledger
     done = {"release": "released", "commit": "committed"}[op]
     items = settled.select("order_id").join(lines.select("order_id", "product_id").distinct(), "order_id")
@@ -230,11 +231,15 @@ def settle(settled: DataFrame, lines: DataFrame, op: str, fails_for: Column, com
     tries = tries.withColumn("attempt", F.explode(F.expr("sequence(1L, attempts)")))
     tries = tries.withColumn("_stop", F.min(F.when(F.col("_fails") >= F.col("attempt"), F.col("product_id"))).over(attempt))
     tries = tries.where(F.col("_stop").isNull() | (F.col("product_id") < F.col("_stop")))
-    after = F.coalesce(commands.select(F.max("t_us")).scalar(), F.lit(0))
+    # Hot products are told by commands and lines: the settled orders and their
+    # tries, which cost far more, are then made by the fold alone.
+    near = commands.select("product_id", "t_us").unionByName(lines.select("product_id", F.lit(None).cast("long").alias("t_us")))
+    *hot, last = hot_keys_and_last(near, "product_id", "t_us")
+    after = F.lit(last or 0).cast("long")
     per = ["attempt", "attempts", "items"]
     fed = tries.select("product_id", (after + F.col("attempt")).alias("t_us"), "order_id", F.lit(op).alias("op"), *per)
     both = commands.withColumns({c: F.lit(None).cast("long") for c in per}).unionByName(fed, allowMissingColumns=True)
-    results = run_ledger(both, products, order_cols, returned=["order_id", *per, "result", "hold_qty"], only="attempt")
+    results = run_ledger(both, products, order_cols, returned=["order_id", *per, "result", "hold_qty"], only="attempt", hot=hot)
     hit = F.col("result") == done
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     got = results.groupBy("order_id").agg(

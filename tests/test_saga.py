@@ -170,3 +170,30 @@ def test_settlement_reads_an_orders_lines_once(spark):
     got = {r.order_id: tuple(r)[1:] for r in SG.confirm(s).collect()}
     # items, units, holds, without a hold, attempts
     assert got == {1: (2, 4, 2, 0, 3, "confirmed"), 2: (1, 0, 0, 1, 1, "confirmed"), 3: (0, 0, 0, 0, 1, "confirmed")}
+
+
+def test_settlement_makes_the_settled_orders_in_the_fold_alone(spark):
+    """Counting hot products must not decode the deliveries a second time."""
+    tables = [spark.createDataFrame([(1, 10)], "order_id long, product_id long"),
+              spark.createDataFrame([(10, None, 1, "reserve", 2), (10, 7, 1, "reserve", 2)],
+                                    "product_id long, t_us long, order_id long, op string, quantity long"),
+              spark.createDataFrame([(10, 5, 0)], "product_id long, stock int, reserved int")]
+
+    def settled(order_id):
+        s = SG.settle(spark.range(1).select(order_id.cast("long").alias("order_id")), tables[0], "commit", F.lit(0), *tables[1:], ["order_id"])
+        return SG.confirm(s)
+    settled(F.raise_error(F.lit("computed while the query is built")))
+    assert [tuple(r) for r in settled(F.lit(1)).collect()] == [(1, 1, 2, 1, 0, 1, "confirmed")]
+
+
+def test_a_fold_reads_batches_without_arrow_scalars():
+    import pyarrow as pa
+
+    from admitflow.operators.fold import values
+    arrays = [pa.array(v, t) for v, t in [
+        ([1, None, -2 ** 63, 2 ** 63 - 1], pa.int64()), ([None, None], pa.int64()), ([], pa.int64()), ([3, 4], pa.int32()), ([None, 4], pa.int8()),
+        (["a", None, "", "\u00e9\0"], pa.string()), ([None], pa.string()), ([True, None, False], pa.bool_()), ([True], pa.bool_()),
+        ([1.5, None, float("inf")], pa.float64()), ([b"x", None], pa.binary()), ([[1], None], pa.list_(pa.int64()))]]
+    for a in [*arrays, arrays[0].slice(1, 2), arrays[5].slice(1), arrays[7].slice(1)]:
+        assert values(a) == a.to_pylist()
+        assert [type(x) for x in values(a)] == [type(x) for x in a.to_pylist()]
